@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seqspark.llm import quality_rules
+from seqspark.llm import pii, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op2_pii": pii.op2_pii,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
