@@ -305,6 +305,10 @@ def _joined(of) -> F.Column:
     return F.array_join(F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _of_kind(found, kind: str) -> F.Column:
+    return F.filter(found, lambda x: x["kind"] == kind)
+
+
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     from seqspark.llm.shared import table
 
@@ -312,7 +316,7 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: ~x["added"])
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(F.size(_of_kind(base, k)).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda x: x["added"])).cast("long").alias("n_added"),
