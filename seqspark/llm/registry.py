@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from seqspark.llm import pii, quality_rules
+from seqspark.llm import huffman, packing, pii, quality_rules
 
 
 def queries() -> dict:
     return {
         "op2_pii": pii.op2_pii,
+        "op3_huffman_tokens": huffman.op3_huffman_tokens,
+        "op4_mixture_packing": packing.op4_mixture_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
