@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqspark.llm import huffman, packing, pii, quality_rules
+from seqspark.llm import gbt, huffman, langid, packing, pii, quality_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_pii": pii.op2_pii,
         "op3_huffman_tokens": huffman.op3_huffman_tokens,
         "op4_mixture_packing": packing.op4_mixture_packing,
+        "op5_language_id": langid.op5_language_id,
+        "op10_quality_classifier": gbt.op10_quality_classifier,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
