@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqspark.llm import gbt, huffman, langid, packing, pii, quality_rules
+from seqspark.llm import gbt, html_blocks, huffman, langid, packing, pii, quality_rules
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_mixture_packing": packing.op4_mixture_packing,
         "op5_language_id": langid.op5_language_id,
         "op10_quality_classifier": gbt.op10_quality_classifier,
+        "op7_html_extraction": html_blocks.op7_html_extraction,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
