@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqspark.llm import gbt, html_blocks, huffman, langid, packing, pii, quality_rules
+from seqspark.llm import gbt, html_blocks, huffman, langid, near_dup, packing, pii, quality_rules
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op10_quality_classifier": gbt.op10_quality_classifier,
         "op7_html_extraction": html_blocks.op7_html_extraction,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_near_duplicates": near_dup.op9_near_duplicates,
     }
 
 
