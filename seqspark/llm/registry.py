@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seqspark.llm import gbt, html_blocks, huffman, langid, near_dup, packing, pii, quality_rules
+from seqspark.llm import decontam, gbt, html_blocks, huffman, langid, near_dup, packing, pii, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontam.op1_decontamination,
         "op2_pii": pii.op2_pii,
         "op3_huffman_tokens": huffman.op3_huffman_tokens,
         "op4_mixture_packing": packing.op4_mixture_packing,
