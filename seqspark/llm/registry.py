@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqspark.llm import decontam, gbt, html_blocks, huffman, langid, near_dup, packing, pii, quality_rules
+from seqspark.llm import decontam, gbt, html_blocks, huffman, katz, langid, near_dup, packing, pii, quality_rules
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mixture_packing": packing.op4_mixture_packing,
         "op5_language_id": langid.op5_language_id,
         "op10_quality_classifier": gbt.op10_quality_classifier,
+        "op6_katz_backoff": katz.op6_katz_backoff,
         "op7_html_extraction": html_blocks.op7_html_extraction,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_near_duplicates": near_dup.op9_near_duplicates,
