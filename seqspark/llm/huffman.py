@@ -9,7 +9,7 @@ document id. A block is decoded without any other, its stretches between
 checkpoints side by side by table look-up.
 
 Defined cases: a null text is an empty one; rows with a null id come first;
-rows that share an id are ordered by text; extra columns are ignored; an empty
+rows that share an id are ordered by their bytes; extra columns are ignored; an empty
 table gives empty files. A block holds whole documents, so one very long text
 makes one long block, still with checkpoints.
 """
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.shared import shared_dir, table
+from seqspark.llm.shared import shared_dir, table, written
 from seqspark.llm.tokens import encoder
 
 BLOCK_IDS = 1 << 18
@@ -124,26 +124,44 @@ class Decoder:
         return out.ravel()[:n]
 
 
-def count_ids(docs: DataFrame, text_col: str, vocabulary: str, chunks: str, end_id: int) -> DataFrame:
-    """(id, n) over all texts, each followed by ``end_id``; counted in every task, then summed."""
+def encoded(docs: DataFrame, vocabulary: str, chunks: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, ids): the token ids of each text and ``end_id``, as little-endian bytes."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def counted(batches):
+    def run(batches):
         enc = encoder(vocabulary, chunks)
-        total = np.zeros(max(enc.size, end_id + 1), np.int64)
+        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            ids = np.frombuffer(b"".join(enc.encode(x.as_py()) for x in batch.column(0)), enc.dtype)
-            total += np.bincount(ids, minlength=len(total))
-            total[end_id] += batch.num_rows
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in enc.encode_all(part.column(1).to_pylist())], pa.binary())], names=["id", "ids"])
+
+    return rows.mapInArrow(run, f"id {kind}, ids binary")
+
+
+def count_ids(ids: DataFrame, width: np.dtype, size: int) -> DataFrame:
+    """(id, n) over all token ids; counted in every task, then summed."""
+
+    def counted(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = b"".join(batch.column(0).slice(at, 1000).to_pylist())
+                total += np.bincount(np.frombuffer(part, width), minlength=size)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["id", "n"])
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, chunks: str = "apart", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts and write them to ``path``. The code book, at most one entry per id of the vocabulary, is made on the driver."""
     spark = docs.sparkSession
-    counts = count_ids(docs, text_col, vocabulary, chunks, end_id).collect()
+    enc = encoder(vocabulary, chunks)
+    width, size = enc.dtype, max(enc.size, end_id + 1)
+    rows = written(encoded(docs, vocabulary, chunks, end_id, id_col, text_col), "huffman-ids")
+    counts = count_ids(rows, width, size).collect()
     total = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         total[r["id"]] = r["n"]
@@ -152,17 +170,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, chunks: str = "apa
     used = np.flatnonzero(lengths).tolist()
     book = spark.createDataFrame([(i, int(total[i]), int(lengths[i])) for i in used], "id int, n long, length int")
     book.coalesce(1).write.parquet(f"{path}/codebook")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def coded(batches):
-        enc = encoder(vocabulary, chunks)
         shard, block, before = TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], enc.dtype).tobytes()
         ids, sizes, parts, held, id_type = [], [], [], 0, None
 
         def flush():
-            data, marks = pack(np.frombuffer(b"".join(parts), enc.dtype).astype(np.int64), codes, lengths)
+            data, marks = pack(np.frombuffer(b"".join(parts), width).astype(np.int64), codes, lengths)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([marks.tolist()], pa.list_(pa.int64())), pa.array([data], pa.binary())],
                 names=["shard", "block", "first", "n_ids", "ids", "sizes", "checkpoints", "bits"],
@@ -170,10 +185,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, chunks: str = "apa
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = enc.encode(text.as_py()) + end
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = data.as_py()
                 ids.append(key)
-                sizes.append(len(data) // enc.dtype.itemsize)
+                sizes.append(len(data) // width.itemsize)
                 parts.append(data)
                 held += sizes[-1]
                 if held >= BLOCK_IDS:
@@ -183,7 +198,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, chunks: str = "apa
         if ids:
             yield flush()
 
-    blocks = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(
+    blocks = rows.repartitionByRange("id").sortWithinPartitions("id", "ids").mapInArrow(
         coded, f"shard int, block int, first long, n_ids long, ids array<{kind}>, sizes array<long>, checkpoints array<long>, bits binary"
     )
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")

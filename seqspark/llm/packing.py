@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                data = [enc.encode(x.as_py()) + end for x in part.column(2)]
+                data = [x + end for x in enc.encode_all(part.column(2).to_pylist())]
                 sizes, starts = [len(x) // enc.dtype.itemsize for x in data], []
                 for s, n in zip(part.column(1).to_pylist(), sizes):
                     starts.append(before.get(s, 0))

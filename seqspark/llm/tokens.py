@@ -13,11 +13,15 @@ import re
 
 import numpy as np
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
 # Unicode white space, as the tokenizers' patterns have it (Python's own class has four more).
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _AWKWARD = re.compile(f"[{_WS}] ")
+# The letters by which byte-level vocabularies write bytes; those that print stand for themselves.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BLANK = _BYTE[0x20]
 _LOADED: dict = {}
 
 
@@ -43,28 +47,84 @@ class Encoder:
     def __init__(self, path: str, chunks: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.split = CHUNKS[chunks]
+        self.split, self.apart = CHUNKS[chunks], chunks == "apart"
+        # words of Latin letters need no normalising or pattern: the same merges, with white space between words
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
+        self.plain.model._resize_cache(0)
+        self.edge = np.zeros(self.size, bool)  # ids that end a word, or that begin one after a blank
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = piece.endswith("</w>") if self.apart else piece.startswith(_BLANK)
         self.seen: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = self.split(text)
-        try:
-            return b"".join(map(self.seen.__getitem__, parts))
-        except KeyError:
-            pass
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.split(x) if x else [] for x in texts]
         if len(self.seen) > CACHE_CHUNKS:
             self.seen = {"": b""}
-        new = list(set(parts).difference(self.seen))
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.seen[part] = np.array(found.ids, self.dtype).tobytes()
-        return b"".join(map(self.seen.__getitem__, parts))
+        seen = self.seen
+        if new := set().union(*split).difference(seen):
+            self._learn(new)
+        get = seen.__getitem__
+        return [b"".join(map(get, x)) for x in split]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode chunks. One that ends in a comma or stop after a letter, or holds a single line end, is put together from its parts."""
+        seen, whole, composed = self.seen, set(), []
+        for w in new:
+            parts = self._parts(w)
+            if parts is None:
+                whole.add(w)
+            else:
+                composed.append((w, parts))
+                whole.update(x for x in parts if x not in seen)
+        plain = [w for w in whole if self._is_plain(w)]
+        for at in range(0, len(plain), 20_000):
+            self._learn_plain(plain[at : at + 20_000])
+        whole = whole.difference(seen)
+        rest = list(whole)
+        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            seen[w] = np.array(found.ids, self.dtype).tobytes()
+        for w, parts in composed:
+            seen[w] = b"".join(seen[x] for x in parts)
+
+    def _is_plain(self, w: str) -> bool:
+        word = w if self.apart else w[1:]
+        return word.isalpha() and max(word) <= "ÿ" and (self.apart or w[0] == " ")
+
+    def _learn_plain(self, words: list[str]) -> None:
+        text = " ".join(words).lower() if self.apart else " ".join(_BLANK + w[1:] for w in words)
+        if not text.isascii():
+            text = " ".join("".join(_BYTE[b] for b in w.encode()) if not w.isascii() else w for w in text.replace(_BLANK, "").split(" "))
+            text = text if self.apart else _BLANK + text.replace(" ", " " + _BLANK)
+        (found,) = self.plain.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found.ids, self.dtype)
+        edges = np.flatnonzero(self.edge[ids])
+        cuts = (edges + 1 if self.apart else np.append(edges[1:], len(ids))) * self.dtype.itemsize
+        if len(cuts) != len(words):
+            raise ValueError("the vocabulary marks words in another way")
+        data, at = ids.tobytes(), 0
+        for w, cut in zip(words, cuts.tolist()):
+            self.seen[w] = data[at:cut]
+            at = cut
+
+    @staticmethod
+    def _parts(w: str) -> list[str] | None:
+        if "\n" in w:
+            parts, out = w.split("\n"), []
+            if "" in parts or any(x[0].isspace() or x[-1].isspace() for x in parts[1:]) or parts[0][-1].isspace():
+                return None
+            for i, x in enumerate(parts):
+                out += (["\n"] if i else []) + (Encoder._parts(x) or [x])
+            return out
+        if w[-1] in ",." and len(w) > 1 and w[-2].isalpha() and w[-2] <= "ÿ":
+            return [w[:-1], w[-1]]
+        return None
 
 
 def encoder(path: str, chunks: str) -> Encoder:
