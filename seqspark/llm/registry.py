@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from seqspark.llm import decontam, gbt, html_blocks, huffman, katz, langid, near_dup, packing, pii, quality_rules
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op7_html_extraction": html_blocks.op7_html_extraction,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_near_duplicates": near_dup.op9_near_duplicates,
+        "pipeline": corpus_pipeline.run,
     }
 
 
