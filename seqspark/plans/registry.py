@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import functions as F
+
+from seqspark.sources.frames import VIEWS, Tables
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+DIGITS = 6
+
 
+def query(name: str, keys: str = "", floats: str = "", sql: str | None = None, digits: int = DIGITS):
+    """Register ``f(tables) -> DataFrame`` under ``name``.
 
-def query(name: str, sql: str | None = None):
-    """Register ``f(spark, sf_dir) -> DataFrame`` under ``name``, with its DuckDB SQL if there is one."""
+    ``keys`` and ``floats`` name its columns; floats are rounded on both sides,
+    since sums depend on the order of rows. ``sql`` is the body of the DuckDB
+    query over the base tables and VIEWS, with the same columns.
+    """
+    ks, fs = keys.split(), floats.split()
 
     def add(f):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = f
+
+        def run(spark, sf_dir):
+            df = f(Tables(spark, sf_dir))
+            return df.select(*ks, *((F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) for c in fs)) if ks or fs else df
+
+        QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql
+            used = [v for k, v in VIEWS.items() if re.search(rf"\b{k}\b", sql)]
+            inner = re.match(r"\s*WITH\s", sql)
+            head = "WITH " + ",\n".join(used) + (", " if inner else " ") if used else ("WITH " if inner else "")
+            body = sql[inner.end() :] if inner else sql
+            cut = _main_select(body) if inner else 0
+            out = ", ".join([*ks, *(f"round({c}::DOUBLE, {digits}) + 0.0 AS {c}" for c in fs)]) or "*"
+            ORACLES[name] = f"{head}{body[:cut]}SELECT {out} FROM ({body[cut:]}) AS result_rows"
         return f
 
     return add
+
+
+def _main_select(body: str) -> int:
+    """Where the main SELECT of a text of common table expressions begins."""
+    depth = 0
+    for m in re.finditer(r"[()]|\bSELECT\b", body):
+        if m[0] == "SELECT":
+            if depth == 0:
+                return m.start()
+        else:
+            depth += 1 if m[0] == "(" else -1
+    raise ValueError("no main SELECT")
