@@ -20,6 +20,7 @@ the language first in alphabetical order.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -30,10 +31,15 @@ from pyspark.sql import functions as F
 from seqspark.llm.shared import fold, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 COUNTER_WORDS = 200_000
-BATCH = 4096
+BATCH = 2048
+#: Up to this length sums of products stay far from underflow; longer words are done with logarithms.
+LINEAR = 40
+#: More different letters than Unicode has that are no pieces cannot come.
+SPELLED = 200_000
 _PIECES: dict[str, Pieces] = {}
+_SCORER: dict = {}
 
 
 class Pieces:
@@ -70,10 +76,27 @@ class Pieces:
             out[b, j, 0] = self.size + self.spelled.setdefault(words[b][j], len(self.spelled))
         return out
 
-    def with_spelled(self, logp: np.ndarray) -> np.ndarray:
-        """Log-probabilities (languages x pieces) with a column for each spelled letter, and -inf last, for id -1."""
-        extra = [logp[:, [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]].sum(1) for c in self.spelled]
-        return np.column_stack([logp, *extra, np.full(len(logp), -np.inf)])
+
+class Probabilities:
+    """Probabilities by id (ids x languages): pieces, then spelled letters, which come as they are met, and 0 last, for id -1."""
+
+    def __init__(self, vocab: Pieces, logp: np.ndarray):
+        vocab.spelled.clear()
+        self.vocab, self.done = vocab, 0
+        self.log = np.full((vocab.size + SPELLED + 1, len(logp)), -np.inf)
+        self.log[: vocab.size] = logp.T
+        self.plain = np.exp(self.log)
+
+    def ready(self) -> Probabilities:
+        """With rows for all spelled letters met so far."""
+        spelled = self.vocab.spelled
+        if len(spelled) > self.done:
+            for c in list(spelled)[self.done :]:
+                at = self.vocab.size + spelled[c]
+                self.log[at] = self.log[[self.vocab.byte[b] for b in c.encode("utf-8", "surrogatepass")]].sum(0)
+                self.plain[at] = np.exp(self.log[at])
+            self.done = len(spelled)
+        return self
 
 
 def pieces(path: str) -> Pieces:
@@ -121,37 +144,68 @@ def _by_length(words: list[str]):
             yield n, at[i : i + step]
 
 
-def word_log_probabilities(words: list[str], vocab: Pieces, logp: np.ndarray) -> np.ndarray:
+def forward_plain(terms: np.ndarray) -> np.ndarray:
+    """``forward`` for probabilities: terms[word, end - 1, length - 1, language]."""
+    words, n, most, langs = terms.shape
+    alpha = np.zeros((words, n + 1, langs))
+    alpha[:, 0] = 1.0
+    for j in range(1, n + 1):
+        k = min(j, most)
+        alpha[:, j] = (terms[:, j - 1, :k] * alpha[:, j - k : j][:, ::-1]).sum(1)
+    return alpha
+
+
+def backward_plain(terms: np.ndarray) -> np.ndarray:
+    words, n, most, langs = terms.shape
+    beta = np.zeros((words, n + 1, langs))
+    beta[:, n] = 1.0
+    for i in range(n - 1, -1, -1):
+        for x in range(min(n - i, most)):
+            beta[:, i] += terms[:, i + x, x] * beta[:, i + 1 + x]
+    return beta
+
+
+def word_log_probabilities(words: list[str], table_: Probabilities) -> np.ndarray:
     """words x languages."""
-    out = np.zeros((len(words), len(logp)))
+    out = np.zeros((len(words), table_.log.shape[1]))
     marked = ["▁" + w for w in words]
     for n, at in _by_length(marked):
-        ids = vocab.lattice([marked[i] for i in at], n)
-        full = vocab.with_spelled(logp)
-        for k in range(len(logp)):
-            out[at, k] = forward(full[k][ids])[..., n]
+        ids = table_.vocab.lattice([marked[i] for i in at], n)
+        table_.ready()
+        if n <= LINEAR:
+            out[at] = np.log(forward_plain(table_.plain[ids])[:, n])
+        else:
+            for k in range(out.shape[1]):
+                out[at, k] = forward(table_.log[:, k][ids])[..., n]
     return out
 
 
-def expected_counts(words: list[str], n_words: np.ndarray, vocab: Pieces, logp: np.ndarray) -> np.ndarray:
+def expected_counts(words: list[str], n_words: np.ndarray, table_: Probabilities, lang: int) -> np.ndarray:
     """Expected uses of every piece in the words of one language, over all segmentations."""
+    vocab = table_.vocab
     out = np.zeros(vocab.size)
     marked = ["▁" + w for w in words]
     for n, at in _by_length(marked):
         ids = vocab.lattice([marked[i] for i in at], n)
-        terms = vocab.with_spelled(logp[None])[0][ids]
-        alpha, beta = forward(terms), backward(terms)
-        most = terms.shape[-1]
+        table_.ready()
+        if n <= LINEAR:
+            terms = table_.plain[:, lang][ids]
+            alpha, beta = forward_plain(terms[..., None])[..., 0], backward_plain(terms[..., None])[..., 0]
+            use = [terms[:, x:, x] * alpha[:, : n - x] * beta[:, x + 1 :] / alpha[:, n:] for x in range(terms.shape[-1])]
+        else:
+            terms = table_.log[:, lang][ids]
+            alpha, beta = forward(terms), backward(terms)
+            use = [np.exp(terms[:, x:, x] + alpha[:, : n - x] + beta[:, x + 1 :] - alpha[:, n:]) for x in range(terms.shape[-1])]
         got = np.zeros(vocab.size + len(vocab.spelled))
-        for x in range(most):  # pieces of x + 1 characters
-            e = terms[:, x:, x] + alpha[:, : n - x] + beta[:, x + 1 :] - alpha[:, n:]
-            on = np.isfinite(e)
-            weight = np.exp(np.where(on, e, 0.0)) * n_words[at][:, None]
-            got += np.bincount(ids[:, x:, x][on], weight[on], len(got))
+        for x, e in enumerate(use):  # pieces of x + 1 characters
+            i = ids[:, x:, x]
+            on = i >= 0
+            got += np.bincount(i[on], (e * n_words[at][:, None])[on], len(got))
         out += got[: vocab.size]
-        for c, i in vocab.spelled.items():
-            if got[vocab.size + i]:
-                np.add.at(out, [vocab.byte[b] for b in c.encode("utf-8", "surrogatepass")], got[vocab.size + i])
+        letters = list(vocab.spelled)
+        for i in np.flatnonzero(got[vocab.size :]).tolist():
+            c = letters[i]
+            np.add.at(out, [vocab.byte[b] for b in c.encode("utf-8", "surrogatepass")], got[vocab.size + i])
     return out
 
 
@@ -190,21 +244,20 @@ def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
             np.add.at(counts, (batch.column(0).to_numpy(), batch.column(1).to_numpy()), batch.column(2).to_numpy())
         logp = np.log(counts) - np.log(counts.sum(1, keepdims=True))
     n = np.array([r["n"] for r in per], float)
-    return {"langs": langs, "prior": np.log(n / n.sum()) if langs else n, "logp": logp}
+    return {"key": uuid.uuid4().hex, "langs": langs, "prior": np.log(n / n.sum()) if langs else n, "logp": logp}
 
 
 def _expectation(vocabulary: str, langs: list[str], logp: np.ndarray):
     def run(batches):
         vocab = pieces(vocabulary)
+        table_ = Probabilities(vocab, logp)
         out = np.zeros((len(langs), vocab.size))
         for batch in batches:
             lang = np.array([langs.index(x) for x in batch.column(0).to_pylist()])
             words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for k in np.unique(lang).tolist():
                 at = np.flatnonzero(lang == k)
-                out[k] += expected_counts([words[i] for i in at], n[at].astype(float), vocab, logp[k])
-            if len(vocab.spelled) > 20_000:
-                vocab.spelled.clear()
+                out[k] += expected_counts([words[i] for i in at], n[at].astype(float), table_, k)
         i, j = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(out[i, j])], names=["lang", "piece", "e"])
 
@@ -215,25 +268,25 @@ class Scorer:
     """Keeps the log-probabilities of the words it has met, as rows of a matrix."""
 
     def __init__(self, model: dict, vocabulary: str):
-        self.model, self.vocab = model, pieces(vocabulary)
+        self.model = model
+        self.table = Probabilities(pieces(vocabulary), model["logp"])
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1, len(self.model["langs"])))  # row 0: words without a letter
-        self.vocab.spelled.clear()
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         langs = self.model["langs"]
         split = [WORD.findall(x.lower()) if x else [] for x in texts]
         if len(self.at) > CACHE_WORDS:
             self.clear()
-        new = list({w for ws in split for w in ws} - self.at.keys())
+        new = list(set().union(*split) - self.at.keys())
         if new and langs:
             lettered = [w for w in new if any(map(str.isalpha, w))]
             self.at |= {w: 0 for w in new}
             self.at |= {w: len(self.rows) + i for i, w in enumerate(lettered)}
-            self.rows = np.vstack([self.rows, word_log_probabilities(lettered, self.vocab, self.model["logp"])])
+            self.rows = np.vstack([self.rows, word_log_probabilities(lettered, self.table)])
         out = []
         for words in split:
             idx = np.array(list(map(self.at.__getitem__, words)), np.int64) if langs else np.zeros(0, np.int64)
@@ -252,10 +305,12 @@ def predict(docs: DataFrame, model: dict, vocabulary: str, id_col: str = "doc_id
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        scorer = Scorer(model, vocabulary)
+        if _SCORER.get("key") != model["key"]:  # a worker keeps what it has met from task to task
+            _SCORER.update(key=model["key"], scorer=Scorer(model, vocabulary))
+        scorer = _SCORER["scorer"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2500):
+                part = batch.slice(at, 2500)
                 found = scorer.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
