@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from seqspark.operators import stats as S
 from seqspark.plans.registry import query
 
-V = F.col("v")
 
 
 @query("a01_basic_stats", "sequence_id", "mean std var min max range", "SELECT sequence_id, avg(v) AS mean, stddev_pop(v) AS std, var_pop(v) AS var, min(v) AS min, max(v) AS max, max(v) - min(v) AS range FROM fe GROUP BY 1")
 def _(t):
-    return S.summarise(t.fe, S.basic(V))
+    return S.summarise(t.fe, S.basic(F.col("v")))
 
 
 @query(
@@ -21,12 +20,12 @@ def _(t):
     "SELECT sequence_id, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q75, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM fe GROUP BY 1",
 )
 def _(t):
-    return S.summarise(t.fe, S.quantiles(V))
+    return S.summarise(t.fe, S.quantiles(F.col("v")))
 
 
 @query("a03_variation", "sequence_id", "cv_abs cv_raw", "SELECT sequence_id, stddev_pop(v) / (abs(avg(v)) + 1e-8) AS cv_abs, stddev_pop(v) / (avg(v) + 1e-10) AS cv_raw FROM fe GROUP BY 1")
 def _(t):
-    return S.summarise(t.fe, {"cv_abs": F.stddev_pop(V) / (F.abs(F.avg(V)) + 1e-8), "cv_raw": F.try_divide(F.stddev_pop(V), F.avg(V) + 1e-10)})
+    return S.summarise(t.fe, {"cv_abs": F.stddev_pop(F.col("v")) / (F.abs(F.avg(F.col("v"))) + 1e-8), "cv_raw": F.try_divide(F.stddev_pop(F.col("v")), F.avg(F.col("v")) + 1e-10)})
 
 
 _MOMENTS = "m AS (SELECT fe.sequence_id, count(*)::DOUBLE AS n, avg((v - mu) ** 2) AS m2, avg((v - mu) ** 3) AS m3, avg((v - mu) ** 4) AS m4 FROM fe JOIN (SELECT sequence_id, avg(v) AS mu FROM fe GROUP BY 1) AS a USING (sequence_id) GROUP BY 1)"
@@ -34,7 +33,7 @@ _MOMENTS = "m AS (SELECT fe.sequence_id, count(*)::DOUBLE AS n, avg((v - mu) **
 
 @query("a04_moments", "sequence_id", "skew kurt", f"WITH {_MOMENTS} SELECT sequence_id, CASE WHEN sqrt(m2) <= 1e-12 THEN 0 ELSE m3 / m2 ** 1.5 END AS skew, CASE WHEN sqrt(m2) <= 1e-12 THEN 0 ELSE m4 / m2 ** 2 - 3 END AS kurt FROM m")
 def _(t):
-    return S.summarise(t.fe, S.moments(V))
+    return S.summarise(t.fe, S.moments(F.col("v")))
 
 
 @query(
@@ -42,7 +41,7 @@ def _(t):
     f"WITH {_MOMENTS} SELECT sequence_id, CASE WHEN n < 3 OR m2 <= 1e-16 THEN 0 ELSE m3 / m2 ** 1.5 * sqrt(n * (n - 1)) / (n - 2) END AS skew, CASE WHEN n < 4 OR m2 <= 1e-16 THEN 0 ELSE (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6) END AS kurt FROM m",
 )
 def _(t):
-    return S.summarise(t.fe, S.corrected_moments(V))
+    return S.summarise(t.fe, S.corrected_moments(F.col("v")))
 
 
 @query("a06_first_last", "sequence_id", "first last delta", "SELECT sequence_id, arg_min(v, idx) AS first, arg_max(v, idx) AS last, arg_max(v, idx) - arg_min(v, idx) AS delta FROM fe GROUP BY 1")
@@ -72,7 +71,7 @@ def _corr_sql(a: str, b: str) -> str:
 
 @query("a09_time_correlation", "sequence_id", "r", f"SELECT sequence_id, {_corr_sql('idx', 'v')} AS r FROM fe GROUP BY 1")
 def _(t):
-    return S.summarise(t.fe, {"r": S.safe_corr(F.col("idx"), V)})
+    return S.summarise(t.fe, {"r": S.safe_corr(F.col("idx"), F.col("v"))})
 
 
 @query("a10_trend", "sequence_id", "slope intercept", "SELECT sequence_id, CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(v, idx) END AS slope, CASE WHEN count(*) < 2 THEN avg(v) ELSE regr_intercept(v, idx) END AS intercept FROM fe GROUP BY 1")
@@ -83,7 +82,7 @@ def _(t):
 
 @query("a11_energy", "sequence_id", "energy total log_energy", "SELECT sequence_id, avg(v * v) AS energy, sum(v * v) AS total, ln(1 + avg(v * v)) AS log_energy FROM fe GROUP BY 1", digits=4)
 def _(t):
-    return S.summarise(t.fe, {"energy": F.avg(V * V), "total": F.sum(V * V), "log_energy": F.log1p(F.avg(V * V))})
+    return S.summarise(t.fe, {"energy": F.avg(F.col("v") * F.col("v")), "total": F.sum(F.col("v") * F.col("v")), "log_energy": F.log1p(F.avg(F.col("v") * F.col("v")))})
 
 
 @query("a12_line_length", "sequence_id", "line_length", f"WITH {_STEP} SELECT sequence_id, coalesce(sum(abs(step)), 0) AS line_length FROM d GROUP BY 1", digits=4)
@@ -109,7 +108,7 @@ def _(t):
 )
 def _(t):
     df = t.fe.select("sequence_id", "v", *(F.lag("v", k).over(S.by_time()).alias(f"l{k}") for k in (1, 2, 4, 8)))
-    return S.summarise(df, {f"r{k}": S.safe_corr(V, F.col(f"l{k}")) for k in (1, 2, 4, 8)})
+    return S.summarise(df, {f"r{k}": S.safe_corr(F.col("v"), F.col(f"l{k}")) for k in (1, 2, 4, 8)})
 
 
 _BINS = ", ".join(f"count(*) FILTER (b = {i})::DOUBLE / count(*) AS b{i}" for i in range(10))
@@ -162,7 +161,7 @@ def _(t):
 )
 def _(t):
     w = S.by_time()
-    df = t.fe.withColumn("u", V - F.avg("v").over(S.whole()))
+    df = t.fe.withColumn("u", F.col("v") - F.avg("v").over(S.whole()))
     df = df.withColumns({k: F.signum(c) != F.lag(F.signum(c)).over(w) for k, c in (("x", "v"), ("y", "u"))})
     return S.summarise(df, {"rate": F.count_if("x") / F.count("*"), "centred_rate": F.count_if("y") / F.count("*")})
 
@@ -195,7 +194,7 @@ def _segment_sql() -> str:
 def segments(t):
     df = S.segment(t.fe, 3)
     short = F.max("n") < 9
-    cols = {f"{a}{i}": F.when(short, f("v")).otherwise(f(F.when(F.col("seg") == i, V))) for i in range(3) for f, a in ((F.avg, "mean"), (F.stddev_pop, "std"))}
+    cols = {f"{a}{i}": F.when(short, f("v")).otherwise(f(F.when(F.col("seg") == i, F.col("v")))) for i in range(3) for f, a in ((F.avg, "mean"), (F.stddev_pop, "std"))}
     out = S.summarise(df, cols)
     return out.withColumns({"step1": F.col("mean1") - F.col("mean0"), "step2": F.col("mean2") - F.col("mean1")})
 
@@ -214,7 +213,7 @@ def _(t):
 @query("a24_half_trend", "sequence_id", "half_trend", "WITH s AS (SELECT *, count(*) OVER (PARTITION BY sequence_id) AS n FROM fe) SELECT sequence_id, coalesce(avg(v) FILTER (idx >= n // 2) - avg(v) FILTER (idx < n // 2), 0) AS half_trend FROM s GROUP BY 1")
 def _(t):
     df = t.fe.withColumn("late", F.col("idx") >= F.expr("count(*) over (partition by sequence_id) div 2"))
-    return S.summarise(df, {"half_trend": F.coalesce(F.avg(F.when(F.col("late"), V)) - F.avg(F.when(~F.col("late"), V)), F.lit(0.0))})
+    return S.summarise(df, {"half_trend": F.coalesce(F.avg(F.when(F.col("late"), F.col("v"))) - F.avg(F.when(~F.col("late"), F.col("v"))), F.lit(0.0))})
 
 
 @query("a25_axis_correlation", "sequence_id", "xy xz yz", f"SELECT sequence_id, {_corr_sql('ax', 'ay')} AS xy, {_corr_sql('ax', 'az')} AS xz, {_corr_sql('ay', 'az')} AS yz FROM fv GROUP BY 1")
@@ -343,7 +342,7 @@ def _(t):
 )
 def _(t):
     click = F.col("phase") == "click"
-    s = S.summarise(S.lagged_steps(t.fe), {"max_jerk": F.max(F.abs("step")), "phase_range": F.max(F.when(click, V)) - F.min(F.when(click, V)), "peak_over_median": F.try_divide(F.max(V), F.percentile(F.when(~click, V), F.lit(0.5)))})
+    s = S.summarise(S.lagged_steps(t.fe), {"max_jerk": F.max(F.abs("step")), "phase_range": F.max(F.when(click, F.col("v"))) - F.min(F.when(click, F.col("v"))), "peak_over_median": F.try_divide(F.max(F.col("v")), F.percentile(F.when(~click, F.col("v")), F.lit(0.5)))})
     c = t.table("customer").select(F.col("c_custkey").alias("sequence_id"), "c_mktsegment")
     return s.join(c, "sequence_id", "left").withColumn("cohort", F.coalesce("c_mktsegment", F.lit("none")))
 
