@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 350_000
 # Unicode white space, as the tokenizers' patterns have it (Python's own class has four more).
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
