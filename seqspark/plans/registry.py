@@ -33,8 +33,9 @@ def query(name: str, keys: str = "", floats: str = "", sql: str | None = None, d
         QUERIES[name] = run
         if sql is not None:
             used = [v for k, v in VIEWS.items() if re.search(rf"\b{k}\b", sql)]
-            inner = re.match(r"\s*WITH\s", sql)
-            head = "WITH " + ",\n".join(used) + (", " if inner else " ") if used else ("WITH " if inner else "")
+            inner = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
+            start = "WITH RECURSIVE " if inner and inner[1] else "WITH "
+            head = start + ",\n".join(used) + (", " if inner else " ") if used else (start if inner else "")
             body = sql[inner.end() :] if inner else sql
             cut = _main_select(body) if inner else 0
             out = ", ".join([*ks, *(f"round({c}::DOUBLE, {digits}) + 0.0 AS {c}" for c in fs)]) or "*"
