@@ -13,11 +13,11 @@ import re
 
 import numpy as np
 
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 450_000
 # Unicode white space, as the tokenizers' patterns have it (Python's own class has four more).
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_AWKWARD = re.compile(f"[{_WS}] ")
+_ASCII_WS = [c for c in _WS if c.isascii()]
 # The letters by which byte-level vocabularies write bytes; those that print stand for themselves.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -32,12 +32,14 @@ def words_apart(text: str) -> list[str]:
 
 def words_with_space(text: str) -> list[str]:
     """Chunks for a byte-level vocabulary: every run of white space with the word after it."""
-    if _AWKWARD.search(text):
+    blanks = _ASCII_WS if text.isascii() else _WS
+    if "\0" in text or any(c + " " in text for c in blanks):
         return _CHUNK.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    return text.replace(" ", "\0 ").split("\0")
 
 
+#: Marks that form one piece of their own after a letter, for either pre-tokenizer.
+_TAIL = "!#$%&*.,|;:?"
 CHUNKS = {"apart": words_apart, "spaced": words_with_space}
 
 
@@ -74,33 +76,41 @@ class Encoder:
         return [b"".join(map(get, x)) for x in split]
 
     def _learn(self, new: set[str]) -> None:
-        """Encode chunks. One that ends in a comma or stop after a letter, or holds a single line end, is put together from its parts."""
-        seen, whole, composed = self.seen, set(), []
-        for w in new:
-            parts = self._parts(w)
-            if parts is None:
-                whole.add(w)
-            else:
+        """Encode chunks. One that ends in marks after a letter, or holds single line ends, is put together from its parts."""
+        seen = self.seen
+        whole = {w for w in new if w[-1] not in _TAIL and "\n" not in w}
+        composed = []
+        for w in new.difference(whole):
+            if parts := self._parts(w):
                 composed.append((w, parts))
-                whole.update(x for x in parts if x not in seen)
+                whole.update(parts)
+            else:
+                whole.add(w)
+        whole.difference_update(seen)
         plain = [w for w in whole if self._is_plain(w)]
-        for at in range(0, len(plain), 20_000):
-            self._learn_plain(plain[at : at + 20_000])
-        whole = whole.difference(seen)
+        whole.difference_update(plain)
+        ascii_, other = [w for w in plain if w.isascii()], [w for w in plain if not w.isascii()]
+        for part in (ascii_, other):
+            for at in range(0, len(part), 20_000):
+                self._learn_plain(part[at : at + 20_000])
         rest = list(whole)
         for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             seen[w] = np.array(found.ids, self.dtype).tobytes()
         for w, parts in composed:
-            seen[w] = b"".join(seen[x] for x in parts)
+            seen[w] = b"".join([seen[x] for x in parts])
 
     def _is_plain(self, w: str) -> bool:
         word = w if self.apart else w[1:]
         return word.isalpha() and max(word) <= "ÿ" and (self.apart or w[0] == " ")
 
     def _learn_plain(self, words: list[str]) -> None:
-        text = " ".join(words).lower() if self.apart else " ".join(_BLANK + w[1:] for w in words)
-        if not text.isascii():
-            text = " ".join("".join(_BYTE[b] for b in w.encode()) if not w.isascii() else w for w in text.replace(_BLANK, "").split(" "))
+        """Words all of ASCII, or all with other letters."""
+        if self.apart:
+            text = " ".join(words).lower()
+        else:
+            text = _BLANK + "".join(words).replace(" ", " " + _BLANK)[2:]
+        if not words[0].isascii():
+            text = " ".join(["".join([_BYTE[b] for b in w.encode()]) for w in text.replace(_BLANK, "").split(" ")])
             text = text if self.apart else _BLANK + text.replace(" ", " " + _BLANK)
         (found,) = self.plain.encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(found.ids, self.dtype)
@@ -122,8 +132,9 @@ class Encoder:
             for i, x in enumerate(parts):
                 out += (["\n"] if i else []) + (Encoder._parts(x) or [x])
             return out
-        if w[-1] in ",." and len(w) > 1 and w[-2].isalpha() and w[-2] <= "ÿ":
-            return [w[:-1], w[-1]]
+        base = w.rstrip(_TAIL)
+        if base and base != w and base[-1].isalpha() and base[-1] <= "ÿ":
+            return [base, w[len(base) :]]
         return None
 
 
