@@ -131,3 +131,26 @@ def test_completed_sequences_are_scored(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen and all(r["n"] >= 1 for r in seen)
+
+
+def test_quaternion_repair():
+    from seqspark.operators.kernels import repair_quaternions
+
+    nan = float("nan")
+    out = repair_quaternions(np.array([[0.7, -0.1, 0.5, 0.5], [0.6, nan, 0, 0], [nan, nan, 0, 0], [0, 0, 0, 0], [1, nan, 0.5, 0]]))
+    assert np.allclose(out[1], [0.6, -0.8, 0, 0]) and (out[2:] == [1, 0, 0, 0]).all()
+
+
+def test_prominent_peaks():
+    from seqspark.operators.kernels import prominent_peaks
+
+    x = np.array([0, 3, 2.5, 2.8, 0, 1, 0, 5, 0], float)
+    assert prominent_peaks(x, 0.5, 1).tolist() == [1, 5, 7] and prominent_peaks(x, 0.1, 1).tolist() == [1, 3, 5, 7] and prominent_peaks(x, 0.1, 3).tolist() == [1, 7]
+
+
+def test_wavelet_keeps_the_energy():
+    from seqspark.operators.kernels import DB4, wavelet_levels
+
+    assert math.isclose((DB4**2).sum(), 1, rel_tol=1e-9) and math.isclose(DB4.sum(), math.sqrt(2), rel_tol=1e-9)
+    flat = wavelet_levels(np.full(64, 2.0))
+    assert all(np.allclose(d, 0) for d in flat[:-1]) and np.allclose(flat[-1], 2 * math.sqrt(8))
