@@ -252,7 +252,7 @@ def _(t):
 
 @query(
     "a30_grid_valid_ratio", "sequence_id", "mean min p5 p50 p95 empty_share",
-    "WITH f AS (SELECT sequence_id, sensor, idx, count(d)::DOUBLE / count(*) AS r FROM grid GROUP BY ALL) SELECT sequence_id, avg(r) AS mean, min(r) AS min, quantile_cont(r, 0.05) AS p5, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.95) AS p95, avg((r = 0)::INT) AS empty_share FROM f GROUP BY 1",
+    "WITH f AS (SELECT sequence_id, sensor, idx, count(d)::DOUBLE / count(*) AS r FROM grid GROUP BY ALL) SELECT sequence_id, avg(r) AS mean, min(r) AS min, quantile_cont(r, 0.05) AS p5, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.95) AS p95, avg((r = 0)::INT) AS empty_share FROM f GROUP BY 1", digits=5,
 )
 def _(t):
     f = t.grid.groupBy("sequence_id", "sensor", "idx").agg((F.count("d") / F.count("*")).alias("r"))
