@@ -13,7 +13,7 @@ Copies of one word sequence are first gathered into one text. Texts that share a
 band of ROWS components are candidates. In each bucket all are verified against
 one centre (the text with the most company over all its buckets); texts of one
 bucket that are then still in different components are verified pair by pair,
-unless their lengths alone rule the link out. So every candidate pair ends up in
+unless their lengths, or the shingles that no other text has, rule the link out. So every candidate pair ends up in
 one component or fails its own check; no bucket is capped.
 
 With M = 80, ROWS = 4: a pair at similarity 0.8 misses all 20 bands with
@@ -191,12 +191,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(verified(star, body, threshold), "neardup-links")
     parts = written(connected_components(links.select("a", "b"), "neardup-parts"), "neardup-part")
 
-    # texts that share a bucket but no component yet: pair by pair
+    # texts that share a bucket but no component yet: pair by pair, unless their own shingles rule a link out
     home = met.join(parts.withColumnsRenamed({"node": "key"}), "key", "left").select("band", "key", "size", F.coalesce("component", "key").alias("part"))
     split = home.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band")
-    open_ = home.join(split, "band")
-    other = open_.select("band", F.col("key").alias("b"), F.col("size").alias("sb"), F.col("part").alias("pb"))
-    rest = open_.join(other, "band").where("key < b AND part <> pb").where(fits).select(F.col("key").alias("a"), "b").distinct()
+    open_ = written(home.join(split, "band"), "neardup-open")
+    common = shared_weight(body.join(open_.select("key").distinct(), "key", "left_semi"))
+    open_ = open_.join(common, "key").where(F.col("common") >= threshold * F.col("size"))
+    other = open_.select("band", F.col("key").alias("b"), F.col("size").alias("sb"), F.col("part").alias("pb"), F.col("common").alias("cb"))
+    may = F.least("common", "cb") >= threshold / (1 + threshold) * (F.col("size") + F.col("sb")) - 1e-6
+    rest = open_.join(other, "band").where(F.col("key") < F.col("b")).where(F.col("part") != F.col("pb")).where(fits).where(may).select(F.col("key").alias("a"), "b").distinct()
     rest = rest.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     rest = written(rest, "neardup-rest")
     if not rest.isEmpty():
@@ -209,6 +212,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sk.select("id", "key").join(of_key, "key").select(F.col("id").alias(id_col), "class_id", "class_size", "n_texts")
 
 
+def shared_weight(texts: DataFrame) -> DataFrame:
+    """(key, common): how much of each text's multiset lies in shingles that any other of the texts has too.
+
+    No two texts overlap by more than the smaller of their two numbers.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                bags = [shingles(x.as_py()) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([b[0].view(np.int64) for b in bags], pa.list_(pa.int64())), pa.array([b[1] for b in bags], pa.list_(pa.int64()))], names=["key", "shingle", "n"]
+                )
+
+    each = texts.select("key", "text").mapInArrow(run, "key binary, shingle array<long>, n array<long>")
+    rows = each.select("key", F.explode(F.arrays_zip("shingle", "n")).alias("x")).select("key", "x.shingle", "x.n")
+    # of a shingle that one text alone has, the two least keys are equal
+    owners = rows.groupBy("shingle").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x = y").select(F.col("x").alias("key"), "shingle")
+    own = rows.join(owners, ["key", "shingle"]).groupBy("key").agg(F.sum("n").alias("own"))
+    size = each.select("key", F.aggregate("n", F.lit(0).cast("long"), lambda a, v: a + v).alias("size"))
+    return size.join(own, "key", "left").select("key", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """(key, text) of the wanted keys, one text for each."""
     raw = docs.select(F.col(text_col).alias("text"))
