@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.quality_rules import MEASURES, measure
-from seqspark.llm.shared import fold, table, written
+from seqspark.llm.shared import fold, least_by_hash, table, written
 
 FEATURES = (
     "n_chars", "n_words", "n_lines", "chars_per_word", "words_per_line", "symbols_per_word", "upper_share", "lettered_share", "duplicate_line_share",
@@ -144,7 +144,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_rows: int = 200_000, depth: int = 4) -> Boosted:
     """Fit on the labelled rows of ``found``, at most ``max_rows`` of them."""
     rows = found.join(labels.select(F.col(id_col), F.col(label_col).alias("y")).where("y IS NOT NULL"), id_col)
-    part = rows.orderBy(F.xxhash64(id_col), id_col, "y").limit(max_rows).select("x", "y").toArrow()
+    part = least_by_hash(rows, id_col, max_rows, "y").select("x", "y").toArrow()
     x = np.array(part.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, part.column("y").to_numpy().astype(float), depth=depth)
 

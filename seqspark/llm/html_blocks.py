@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.shared import table
+from seqspark.llm.shared import least_by_hash, table
 
 PATH_DIM, WORD_DIM = 96, 48
 DIM = PATH_DIM + WORD_DIM + 8
@@ -378,7 +378,7 @@ _SEED_PAGE = "<body><nav><ul><li><a>home</a></li><li><a>news</a></li></ul></nav>
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 250, copies: int = 3, seed: int = 7) -> Labeller:
     """Fit on at most ``max_pages`` pages and ``copies`` other layouts of each."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("html IS NOT NULL")
-    taken = [r["html"] for r in rows.orderBy(F.xxhash64("id"), "id", F.length("html")).limit(max_pages).collect()]
+    taken = [r["html"] for r in least_by_hash(rows, "id", max_pages, F.length("html")).collect()]
     r = np.random.default_rng(seed)
     xs, ys = [], []
     for page in taken or [_SEED_PAGE]:
