@@ -278,6 +278,17 @@ def _counts_of(words: np.ndarray, answers: list[dict], buckets: int) -> np.ndarr
 def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score (add 0.1 to the unigram counts) and score (Katz), log10."""
     made = blocks(docs, id_col, text_col, train_col)
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, "1")  # rows are whole blocks from here on: one at a time in a worker
+    try:
+        return _scored(made, id_col)
+    finally:
+        conf.set(key, before)
+
+
+def _scored(made: DataFrame, id_col: str) -> DataFrame:
+    """The scores of all documents of a block table, as a written table."""
     kind = made.schema["ids"].dataType.elementType.simpleString()
     total = made.agg(F.sum("n")).head()[0] or 0
     buckets = max(8, math.ceil(total / BUCKET_TOKENS))
@@ -319,7 +330,8 @@ def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_co
         full = joined.join(by_block(pairs, "counts", "followers", "mass").withColumnRenamed("answers", "pairs"), "block")
     else:
         full = joined.withColumn("pairs", F.lit(None).cast("string"))
-    return full.select("ids", "sizes", "tokens", "words", "answers", "pairs").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = full.select("ids", "sizes", "tokens", "words", "answers", "pairs").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return written(found, "katz-scores")
 
 
 def _log_pairs(p: _Pairs, r, followers, mass, c, stats, d1, d2) -> np.ndarray:
