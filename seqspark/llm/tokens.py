@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-CACHE_CHUNKS = 450_000
+CACHE_CHUNKS = {"apart": 450_000, "spaced": 700_000}
 # Unicode white space, as the tokenizers' patterns have it (Python's own class has four more).
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -55,7 +55,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.split, self.apart = CHUNKS[chunks], chunks == "apart"
+        self.split, self.apart, self.most = CHUNKS[chunks], chunks == "apart", CACHE_CHUNKS[chunks]
         # words of Latin letters need no normalising or pattern: the same merges, with white space between words
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
@@ -67,7 +67,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         split = [self.split(x) if x else [] for x in texts]
-        if len(self.seen) > CACHE_CHUNKS:
+        if len(self.seen) > self.most:
             self.seen = {"": b""}
         seen = self.seen
         if new := set().union(*split).difference(seen):
