@@ -6,9 +6,13 @@ passages of the corpus. A randomised SVD is computed where the rows are: each
 round sends a words x rank matrix to the tasks and sums their answers, so only
 matrices of the benchmark's size ever reach the driver. Benchmark items are
 rows too, weighted up so that their directions stay in the latent space. All
-passages are then compared with all items by cosine in that space, and each
-candidate is checked: the longest common subsequence of words with the item,
-and whether the item's answer (its last sentence) is there as well.
+passages are then compared with all items, by cosine in that space and by the
+number of words they share. A pair that shares fewer words than the least
+subsequence wanted cannot be a leak; every other pair is checked, whatever its
+cosine: the longest common subsequence of words with the item, and whether the
+item's answer (its last sentence) is there as well. Where an item's words carry
+little weight, as they are common in the corpus, they have to follow each other
+without gaps, since common words in this order are found almost anywhere.
 
 Defined cases: null and empty texts have no passages; items that are null or
 without words match nothing; an item of more than WINDOW / 2 words is searched
@@ -18,6 +22,7 @@ tables give an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import repeat
 
@@ -34,8 +39,9 @@ STRIDE = WINDOW // 2
 RANK, EXTRA, ROUNDS = 128, 16, 2
 DIMENSIONS = 1 << 14
 CHUNK = 512
-MAX_SHARE = 0.05
-COSINE, LCS, LCS_WITH_ANSWER = 0.35, 0.7, 0.55
+COMMON = 0.02  # words in a greater share of passages are columns of a dense matrix
+LCS, LCS_WITH_ANSWER = 0.7, 0.55
+LITTLE_WEIGHT = 3.0  # the sum over an item's words; one word in 5 % of passages has as much
 _MARKS = ".,;:!?|\"'()[]{}<>*#$%&/\\-–—«»“”„’…¿¡"
 
 
@@ -92,6 +98,13 @@ def common_subsequence(mask: dict[int, int], n: int, other: list[int]) -> int:
     return n - v.bit_count()
 
 
+def unbroken(ids: list[int], other: list[int], share: float) -> bool:
+    """Whether a share of the words of ``ids`` follow each other in ``other``, without gaps."""
+    text = lambda x: "," + "".join(f"{w}," for w in x)
+    n, inside = max(1, math.ceil(share * len(ids) - 1e-9)), text(other)
+    return any(text(ids[i : i + n]) in inside for i in range(len(ids) - n + 1))
+
+
 def rows_of(bench: Benchmark, texts: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Word ids of each text; of the passages: text, first word; pairs (passage, dimension), each pair once with its count."""
     ids = [bench.ids(t)[0] for t in texts]
@@ -129,20 +142,48 @@ def weighted(pairs: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, dim, w, starts
 
 
-def project(dim: np.ndarray, w: np.ndarray, starts: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Rows x basis."""
-    out, step = [], 1 << 15
-    ends = np.append(starts, len(dim))
-    at = 0
+def chunked(dim: np.ndarray, w: np.ndarray, starts: np.ndarray, top: np.ndarray, dims: int, step: int = 1 << 15):
+    """Stretches of rows: from, to, the dense part over the dimensions ``top``, and row, dimension and weight of the other entries."""
+    column = np.full(dims, -1)
+    column[top] = np.arange(len(top))
+    ends, at = np.append(starts, len(dim)), 0
     while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] + step, "right")) - 1)
         a, b = ends[at], ends[stop]
-        out.append(np.add.reduceat(basis[dim[a:b]] * w[a:b, None], starts[at:stop] - a, axis=0))
+        row, c = np.repeat(np.arange(stop - at), np.diff(ends[at : stop + 1])), column[dim[a:b]]
+        dense = np.zeros((stop - at, len(top)), np.float32)
+        dense[row[c >= 0], c[c >= 0]] = w[a:b][c >= 0]
+        yield at, stop, dense, row[c < 0], dim[a:b][c < 0], w[a:b][c < 0]
         at = stop
+
+
+def chunk_times(dense: np.ndarray, row: np.ndarray, dim: np.ndarray, w: np.ndarray, top: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    y = dense @ basis[top]
+    if len(row):
+        heads = np.flatnonzero(np.diff(row, prepend=-1))
+        y[row[heads]] += np.add.reduceat(basis[dim] * w[:, None], heads, axis=0)
+    return y
+
+
+def project(dim: np.ndarray, w: np.ndarray, starts: np.ndarray, basis: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Rows x basis."""
+    out = [chunk_times(*x[2:], top, basis) for x in chunked(dim, w, starts, top, len(basis))]
     return np.concatenate(out) if out else np.zeros((0, basis.shape[1]), np.float32)
 
 
-def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+def shared_words(dim: np.ndarray, starts: np.ndarray, counts: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """For each row and piece, how many of the piece's words the row has; ``counts`` (dims x pieces) as bytes."""
+    dense_counts, out = counts[top].astype(np.float32), []
+    for at, stop, dense, row, d, _ in chunked(dim, np.ones(len(dim), np.float32), starts, top, len(counts)):
+        y = (dense @ dense_counts).astype(np.uint8)
+        if len(row):
+            heads = np.flatnonzero(np.diff(row, prepend=-1))
+            y[row[heads]] += np.add.reduceat(counts[d], heads, axis=0, dtype=np.uint8)
+        out.append(y)
+    return np.concatenate(out)
+
+
+def gram_times(rows: DataFrame, basis: np.ndarray, top: np.ndarray) -> np.ndarray:
     """A' A basis over all rows of the corpus, summed in two steps of groups."""
     dims, width = basis.shape
     kind = "part int, salt int, data binary"
@@ -152,11 +193,13 @@ def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
         for batch in batches:
             for dim, w, starts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 dim, w, starts = np.frombuffer(dim, np.uint16).astype(np.int64), np.frombuffer(w, np.float32), np.frombuffer(starts, np.int32).astype(np.int64)
-                y = project(dim, w, starts, basis)
-                z = w[:, None] * np.repeat(y, np.diff(np.append(starts, len(dim))), axis=0)
-                order = np.argsort(dim, kind="stable")
-                heads = np.flatnonzero(np.diff(dim[order], prepend=-1))
-                total[dim[order][heads]] += np.add.reduceat(z[order], heads, axis=0)
+                for _, _, dense, row, d, v in chunked(dim, w, starts, top, dims):
+                    y = chunk_times(dense, row, d, v, top, basis)
+                    total[top] += dense.T @ y
+                    if len(row):
+                        order = np.argsort(d, kind="stable")
+                        heads = np.flatnonzero(np.diff(d[order], prepend=-1))
+                        total[d[order][heads]] += np.add.reduceat((v[:, None] * y[row])[order], heads, axis=0)
         salt = TaskContext.get().partitionId() % 64
         parts = range(0, dims, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array([p // CHUNK for p in parts], pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([total[p : p + CHUNK].tobytes() for p in parts], pa.binary())], names=["part", "salt", "data"])
@@ -172,15 +215,15 @@ def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent_basis(rows: DataFrame, items: tuple, dims: int, n_rows: int, seed: int = 11) -> np.ndarray:
+def latent_basis(rows: DataFrame, items: tuple, dims: int, n_rows: int, top: np.ndarray, seed: int = 11) -> np.ndarray:
     """Right singular vectors (dims x rank) of the passages and the items, by randomised subspace iteration."""
     _, dim, w, starts = items
     width = min(dims, RANK + EXTRA)
     weight = max(1.0, n_rows / max(1, len(starts)))  # together the items weigh as much as the corpus
 
     def times(q: np.ndarray) -> np.ndarray:
-        y = project(dim, w, starts, q)
-        out = gram_times(rows, q).astype(float)
+        y = project(dim, w, starts, q, top)
+        out = gram_times(rows, q, top).astype(float)
         np.add.at(out, dim, weight * w[:, None] * np.repeat(y, np.diff(np.append(starts, len(dim))), axis=0))
         return out
 
@@ -214,7 +257,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     n_rows = counts.pop(-1, 0)
     df = np.zeros(bench.dims)
     df[list(counts)] = list(counts.values())
-    idf = np.where(df <= max(MAX_SHARE * n_rows, 5), np.log((n_rows + 2) / (df + 1)), 0.0)
+    idf = np.log((n_rows + 2) / (df + 1))  # above 0 for every word
+    top = np.flatnonzero(df > COMMON * n_rows)
+    least = np.array([LCS_WITH_ANSWER * len(p) for _, p, _ in bench.pieces])
+    little = [float(idf[np.array(p) % bench.dims].sum()) < LITTLE_WEIGHT for _, p, _ in bench.pieces]
 
     def sparse(batches):
         for batch in batches:
@@ -225,13 +271,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     key = [np.array([[k, d, n] for k, (_, p, _) in enumerate(bench.pieces) for d, n in zip(*np.unique(np.array(p) % bench.dims, return_counts=True))], np.int64).reshape(-1, 3).T]
     items = weighted(key[0], idf)
     matrix = written(rows.select("text").mapInArrow(sparse, "dim binary, w binary, starts binary"), "decontam-rows")
-    basis = latent_basis(matrix, items, bench.dims, n_rows)
+    basis = latent_basis(matrix, items, bench.dims, n_rows, top)
     latent = np.zeros((len(bench.pieces), basis.shape[1]), np.float32)
     if len(items[3]):
-        latent[items[0][items[3]]] = project(*items[1:], basis)
+        latent[items[0][items[3]]] = project(*items[1:], basis, top)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
     def searched(batches):
+        counts = np.zeros((bench.dims, len(bench.pieces)), np.uint8)
+        np.add.at(counts, (key[0][1], key[0][0]), key[0][2].astype(np.uint8))
         for batch in batches:
             found = {c: [] for c in ("row", "piece", "cosine", "lcs", "answer", "first")}
             for at in range(0, batch.num_rows, 250):
@@ -239,18 +287,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 row, dim, w, starts = weighted(pairs, idf)
                 if not len(starts):
                     continue
-                y = project(dim, w, starts, basis)
+                y = project(dim, w, starts, basis, top)
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
                 cosine = y @ latent.T
-                for r, piece in zip(*np.nonzero(cosine >= COSINE)):
+                for r, piece in zip(*np.nonzero(shared_words(dim, starts, counts, top) >= least)):
                     p = row[starts[r]]
                     _, want, answer = bench.pieces[piece]
                     window = ids[text[p]][first[p] : first[p] + WINDOW].tolist()
                     share = common_subsequence(bench.masks[piece], len(want), window) / len(want)
-                    if share < LCS_WITH_ANSWER:
+                    if share < LCS_WITH_ANSWER or (little[piece] and not unbroken(want, window, LCS_WITH_ANSWER)):
                         continue
                     has = bool(answer) and common_subsequence(bench.answer_masks[piece], len(answer), window) >= 0.8 * len(answer)
-                    if share >= LCS or has:
+                    if has or (share >= LCS and not (little[piece] and not unbroken(want, window, LCS))):
                         for c, v in zip(found, (at + text[p], piece, float(cosine[r, piece]), share, has, int(first[p]))):
                             found[c].append(v)
             yield pa.RecordBatch.from_arrays(

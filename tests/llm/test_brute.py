@@ -278,6 +278,26 @@ def test_paraphrases_are_found(spark, sf, docs):
     assert len(set(zip(found.doc_id, found.item_id)) & {(int(i), int(i)) for i in b.item_id}) >= 18
 
 
+def test_items_of_common_words_are_found(spark):
+    r = random.Random(8)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(4000)]
+    text = lambda n: [r.choice(common) if r.random() < 0.6 else r.choice(rare) for _ in range(n)]
+    leaked, plain, other = [f"leak{i}" for i in range(20)], r.sample(common, 20), text(20)
+    made, want = [], set()
+    for k in range(300):
+        words = text(100)
+        for key, item, on in ((1, leaked, k % 10 < 3), (2, plain, k % 50 == 7), (3, other, k % 100 == 4)):
+            if on:
+                at = r.randrange(len(words))
+                words[at:at] = item
+                want.add((k, key))
+        made.append((k, " ".join(words)))
+    items = spark.createDataFrame([(1, " ".join(leaked)), (2, " ".join(plain)), (3, " ".join(other))], "item_id long, text string")
+    got = decontam.find_leaks(spark.createDataFrame(made, "doc_id long, text string"), items).toPandas()
+    found = set(zip(got.doc_id, got.item_id))
+    assert {x for x in want if x[1] == 1} <= found and {x for x in want if x[1] == 2} <= found and sum(x[1] == 1 for x in found) == 90
+
+
 def test_pipeline(spark, sf, docs, bench):
     kept = docs[[not (m[0] < 50 or 100 * m[4] > 50 * m[0] or 10 * m[2] > m[0] or 10 * m[3] > 3 * m[5] or m[1] < 2 * m[0] or m[1] > 20 * m[0] or 2 * m[6] > m[1] or 10 * m[7] < 6 * m[0]) for m in map(quality_rules.measure, docs.text)]].reset_index(drop=True)
     first = [i == c for i, c in enumerate(_classes(kept.text.tolist()))]
