@@ -16,7 +16,7 @@ without gaps, since common words in this order are found almost anywhere.
 
 Defined cases: null and empty texts have no passages; items that are null or
 without words match nothing; an item of more than WINDOW / 2 words is searched
-in pieces; equal items are found separately; extra columns are ignored; empty
+in overlapping pieces, the last one up to its end; equal items are found separately; extra columns are ignored; empty
 tables give an empty result.
 """
 
@@ -68,8 +68,8 @@ class Benchmark:
             ids = [self.words.setdefault(w, len(self.words)) for w in words_of(text)]
             sentences = [x for x in re.split(r"[.!?\n]+", text or "") if x.strip()]
             answer = [self.words[w] for w in words_of(sentences[-1])] if sentences else []
-            parts = [ids[i : i + STRIDE] for i in range(0, len(ids), STRIDE)]
-            self.pieces += [(key, p, answer) for p in parts if len(p) >= min(8, len(ids))]
+            last = max(0, len(ids) - STRIDE)
+            self.pieces += [(key, ids[i : i + STRIDE], answer) for i in [*range(0, last, STRIDE // 4), last] if ids]
         self.dims = min(DIMENSIONS, max(1, len(self.words)))
         self.masks = [self._mask(p) for _, p, _ in self.pieces]
         self.answer_masks = [self._mask(a) for *_, a in self.pieces]
@@ -287,10 +287,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 row, dim, w, starts = weighted(pairs, idf)
                 if not len(starts):
                     continue
-                y = project(dim, w, starts, basis, top)
+                rows_, pieces_ = np.nonzero(shared_words(dim, starts, counts, top) >= least)
+                there, where = np.unique(rows_, return_inverse=True)
+                if not len(there):
+                    continue
+                n = np.diff(np.append(starts, len(dim)))
+                of = np.isin(np.repeat(np.arange(len(starts)), n), there)
+                y = project(dim[of], w[of], np.cumsum(n[there]) - n[there], basis, top)  # only rows with a pair to check
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
                 cosine = y @ latent.T
-                for r, piece in zip(*np.nonzero(shared_words(dim, starts, counts, top) >= least)):
+                for r, k, piece in zip(rows_, where, pieces_):
                     p = row[starts[r]]
                     _, want, answer = bench.pieces[piece]
                     window = ids[text[p]][first[p] : first[p] + WINDOW].tolist()
@@ -299,7 +305,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         continue
                     has = bool(answer) and common_subsequence(bench.answer_masks[piece], len(answer), window) >= 0.8 * len(answer)
                     if has or (share >= LCS and not (little[piece] and not unbroken(want, window, LCS))):
-                        for c, v in zip(found, (at + text[p], piece, float(cosine[r, piece]), share, has, int(first[p]))):
+                        for c, v in zip(found, (at + text[p], piece, float(cosine[k, piece]), share, has, int(first[p]))):
                             found[c].append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(found["row"], pa.int64())), pa.array(found["piece"], pa.int32()), pa.array(found["cosine"], pa.float64()), pa.array(found["lcs"], pa.float64()), pa.array(found["answer"], pa.bool_()), pa.array(found["first"], pa.int64())],

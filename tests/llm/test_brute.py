@@ -298,6 +298,14 @@ def test_items_of_common_words_are_found(spark):
     assert {x for x in want if x[1] == 1} <= found and {x for x in want if x[1] == 2} <= found and sum(x[1] == 1 for x in found) == 90
 
 
+def test_quotes_of_long_items_are_found(spark):
+    item = [f"w{i}" for i in range(160)]
+    quotes = [(n, at) for n in (50, 64, 77, 90) for at in range(0, 161 - n)]
+    made = [(k, " ".join([f"f{i}" for i in range(k % 97)] + item[at : at + n] + [f"g{i}" for i in range(60)])) for k, (n, at) in enumerate(quotes)]
+    got = decontam.find_leaks(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == set(range(len(made)))
+
+
 def test_pipeline(spark, sf, docs, bench):
     kept = docs[[not (m[0] < 50 or 100 * m[4] > 50 * m[0] or 10 * m[2] > m[0] or 10 * m[3] > 3 * m[5] or m[1] < 2 * m[0] or m[1] > 20 * m[0] or 2 * m[6] > m[1] or 10 * m[7] < 6 * m[0]) for m in map(quality_rules.measure, docs.text)]].reset_index(drop=True)
     first = [i == c for i, c in enumerate(_classes(kept.text.tolist()))]
