@@ -9,8 +9,9 @@ the deficits run on across them. When a queue runs dry within a window, the
 others fill the window, and go on by their targets without it.
 
 Without given targets, each source's share of all tokens is its target. At most
-``max_queues`` sources, those with most tokens, have queues of their own; all
-others share one more queue, so the schedule stays small and no token is lost.
+``max_queues`` sources, those with the greatest targets, have queues of their
+own; all others share one more queue, so the schedule stays small. Its target
+is the sum of theirs, and within it their documents are dealt by the targets.
 
 Defined cases: a null text is empty (one end token); a null source counts as
 the empty one; an empty table gives no pieces; extra columns are ignored.
@@ -126,6 +127,33 @@ class Schedule:
             at += take
 
 
+def shared_places(docs: DataFrame) -> DataFrame:
+    """(shard, source, local, place): where each document starts in the queue of sources without one of their own.
+
+    Weighted fair queueing: documents go by the tokens that their source has given
+    once they are out, divided by its weight; so at any place each source that
+    still has documents has given its target share, up to one document.
+    """
+    spark = docs.sparkSession
+    due = (F.col("base") + F.col("local") + F.col("n")) / F.greatest("weight", F.lit(1e-12))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["due", "source", "shard", "local"]
+    rows = docs.select(due.alias("due"), "source", "shard", "local", "n").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = np.array(batch.column(4).to_pylist(), np.int64)
+            start = total + np.cumsum(n) - n
+            total += int(n.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), batch.column(4), pa.array(start), pa.array([part] * len(n), pa.int32())], names=["source", "shard", "local", "n", "start", "part"])
+
+    made = written(rows.mapInArrow(run, "source string, shard int, local long, n long, start long, part int"), "packing-shared")
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    before = made.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    return made.join(before, "part").select("shard", "source", "local", (F.col("before") + F.col("start")).alias("place"))
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end_id: int = 0, weights: dict[str, float] | None = None, max_queues: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = True) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, and ``token_ids`` if asked for."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
@@ -147,18 +175,20 @@ def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end
     ids = written(rows.mapInArrow(tokenised, f"shard int, id {kind}, source string, local long, n long, ids binary"), "packing-ids")
     runs = ids.groupBy("shard", "source").agg(F.sum("n").alias("n"))
     totals = runs.groupBy("source").agg(F.sum("n").alias("n"))
-    top = totals.orderBy(F.desc("n"), "source").limit(max_queues)
-    own = [(r["source"], r["n"]) for r in top.collect()]  # at most max_queues rows
-    everything = totals.agg(F.sum("n").alias("n")).head()["n"] or 0
-    sizes = [n for _, n in own] + [everything - sum(n for _, n in own)]
-    given = weights or {}
-    shares = [float(given.get(s, 0.0)) if weights else float(n) for s, n in own] + [float(given.get("", 0.0)) if weights else float(sizes[-1])]
-    schedule = Schedule(sizes, shares)
-    queue = docs.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(own)], "source string, queue int")
-    placed = runs.join(queue, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(own))))
-    order = Window.partitionBy("queue").orderBy("shard", "source").rowsBetween(Window.unboundedPreceding, -1)
+    if weights:
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
+        totals = totals.join(given, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    else:
+        totals = totals.withColumn("weight", F.col("n").cast("double"))
+    own = [tuple(r) for r in totals.orderBy(F.desc("weight"), F.desc("n"), "source").limit(max_queues).select("source", "n", "weight").collect()]  # at most max_queues rows
+    queue = docs.sparkSession.createDataFrame([(s, i) for i, (s, *_) in enumerate(own)], "source string, queue int")
+    others = totals.join(queue, "source", "left_anti").agg(F.sum("n").alias("n"), F.sum("weight").alias("w")).head()
+    sizes = [n for _, n, _ in own] + [others["n"] or 0]
+    schedule = Schedule(sizes, [w for *_, w in own] + [others["w"] or 0.0])
+    placed = runs.join(totals.select("source", "weight"), "source").join(queue, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(own))))
+    order = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # a row per shard and source; written, so that Spark knows its size when it chooses how to join it
-    base = written(placed.select("shard", "source", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "packing-base")
+    base = written(placed.select("shard", "source", "queue", "weight", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "packing-base")
     width = encoder(vocabulary, chunks).dtype
 
     def pieces(batches):
@@ -187,7 +217,11 @@ def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end
                 columns.append(pa.array(out["tokens"], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "token_ids"][: len(columns)])
 
-    joined = ids.join(base, ["shard", "source"]).select("id", "source", "local", "n", "base", "queue", "ids")
+    joined = ids.join(base, ["shard", "source"])
+    if sizes[-1]:
+        at = shared_places(joined.where(F.col("queue") == len(own)))
+        joined = joined.join(at, ["shard", "source", "local"], "left").withColumn("base", F.coalesce(F.col("place") - F.col("local"), "base"))
+    joined = joined.select("id", "source", "local", "n", "base", "queue", "ids")
     return joined.mapInArrow(pieces, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", token_ids array<long>" * with_ids)
 
 

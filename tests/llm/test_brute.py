@@ -122,6 +122,27 @@ def test_windows_follow_the_mixture():
     assert abs(taken - [500, 250, 250]).max() <= 1
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_sources_that_share_a_queue_keep_their_targets(spark, weighted):
+    made = [(s * 1000 + k, f"s{s:02}", "some words " * 20) for s in range(12) for k in range(30 * (1 + s % 3) if s else 5)]
+    weights = {f"s{s:02}": float(1 + s % 3) if s else 9.0 for s in range(12)} if weighted else None
+    docs = spark.createDataFrame(made, "doc_id long, source string, text string")
+    got = rows(packing.pack_documents(docs, P.path("byte_bpe_50k.json"), weights=weights, max_queues=3, with_ids=False))
+    n = got.groupby("source").length.sum()
+    size = got.doc_tokens.max()
+    assert got.length.sum() == size * len(made)
+    got["at"] = got.sequence_id * packing.SEQUENCE + got.offset
+    if weighted:
+        first = got[got.source == "s00"]
+        assert first["at"].min() < got[got.source == "s03"]["at"].min()
+    mine = weights or n.to_dict()
+    shared = sorted(n.index, key=lambda s: (-mine[s], -n[s], s))[3:]
+    part = got[got.source.isin(shared)].sort_values("at")
+    half = part[part.length.cumsum() <= part.length.sum() // 2].groupby("source").length.sum()
+    for s in shared:
+        assert abs(half.get(s, 0) - n[s] / 2) <= 2 * size
+
+
 def test_language_id(spark, sf, docs):
     got = rows(Q["op5_language_id"](spark, sf)).merge(docs[["doc_id", "lang"]])
     held = got[got.held_out]
