@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +83,39 @@ def hierarchical_f1(df: DataFrame, truth: str, predicted: str, n_targets: int) -
     binary = counts.agg(F.coalesce(F.try_divide(2 * part(t & p), part(t) + part(p)), F.lit(0.0)).alias("binary_f1"))
     macro = class_scores(counts).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1"))
     return binary.crossJoin(macro).withColumn("score", (F.col("binary_f1") + F.col("macro_f1")) / 2)
+
+
+def trial_scores(df: DataFrame, truth: str, parts: list[str], weights: DataFrame, n_targets: int) -> DataFrame:
+    """``weights`` (trial, w1, w2, ...; a fixed number of rows) with the ``score`` (``hierarchical_f1``) of the weighted sum of ``parts``.
+
+    Tasks add up a confusion table per trial, so nothing grows with rows x trials. Rows without a class or a part are left out.
+    """
+    found = sorted(weights.collect(), key=lambda r: r["trial"])
+    trials, w = [r["trial"] for r in found], np.array([[r[f"w{i + 1}"] for i in range(len(parts))] for r in found])
+    k = n_targets + 1  # the last class is that of all others
+
+    def run(batches):
+        counts = np.zeros((len(trials), k * k), np.int64)
+        at = np.arange(len(trials))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                y = np.minimum(np.array(part.column(0).to_pylist(), np.int64), n_targets)
+                p = [np.array(part.column(1 + j).to_pylist(), float) for j in range(len(parts))]
+                if len(y):
+                    # summed in the order of the parts, as a row by itself would be
+                    h = np.minimum(sum(w[:, j, None, None] * p[j] for j in range(len(parts))).argmax(2), n_targets)
+                    counts += np.bincount((at[:, None] * k * k + y * k + h).ravel(), minlength=counts.size).reshape(counts.shape)
+        trial, cell = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(trials, np.int64)[trial]), pa.array(cell // k), pa.array(cell % k), pa.array(counts[trial, cell])], names=["trial", "t", "h", "n"])
+
+    rows = df.select(F.col(truth).cast("long").alias("y"), *parts).dropna()
+    c = rows.mapInArrow(run, "trial long, t long, h long, n long").groupBy("trial")
+    part = lambda x: F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0))
+    t, h = F.col("t"), F.col("h")
+    f1 = lambda hit, real, said: F.try_divide(2 * part(hit), part(real) + part(said))
+    binary = F.coalesce(f1((t < n_targets) & (h < n_targets), t < n_targets, h < n_targets), F.lit(0.0))
+    each = F.filter(F.array(*(f1((t == j) & (h == j), t == j, h == j) for j in range(k))), lambda x: x.isNotNull())
+    macro = F.try_divide(F.aggregate("each", F.lit(0.0), lambda a, b: a + b), F.size("each"))
+    scores = c.agg(binary.alias("binary_f1"), each.alias("each")).select("trial", ((F.col("binary_f1") + macro) / 2).alias("score"))
+    return weights.join(scores, "trial")

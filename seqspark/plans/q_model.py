@@ -159,13 +159,14 @@ def _(t):
 
 @query("m20_weight_search", "trial", "w1 w2 w3 score")
 def _(t):
-    trials = t.spark.range(32).withColumnRenamed("id", "trial")
-    raw = trials.withColumns({f"d{i}": -F.ln(C.draw(20 + i, "trial") + 1e-9) for i in (1, 2, 3)})
-    weights = raw.select("trial", *((F.col(f"d{i}") / (F.col("d1") + F.col("d2") + F.col("d3"))).alias(f"w{i}") for i in (1, 2, 3)))
-    rows = t.proba.crossJoin(F.broadcast(weights))  # 32 trials: a fixed number
-    s = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.col("w1") * F.get("p", i) + F.col("w2") * F.get("p2", i) + F.col("w3") * F.get("p3", i))
-    hits = rows.withColumn("hit", (E.argmax(s) == F.col("y")).cast("int"))
-    return hits.groupBy("trial", "w1", "w2", "w3").agg(F.avg("hit").alias("score"))
+    """The best of 1,024 random weightings, by hierarchical F1."""
+    trials = t.spark.range(1024).withColumnRenamed("id", "trial")
+    raw = trials.withColumns({f"d{i}": C.draw(20 + i, "trial") for i in (1, 2, 3)})
+    total = F.greatest(F.col("d1") + F.col("d2") + F.col("d3"), F.lit(1e-12))
+    weights = raw.select("trial", *((F.col(f"d{i}") / total).alias(f"w{i}") for i in (1, 2, 3)))
+    scores = E.trial_scores(t.proba, "y", ["p", "p2", "p3"], weights, 4)
+    best = F.max_by(F.struct("trial", "w1", "w2", "w3", "score"), F.struct("score", (-F.col("trial")).alias("first")))
+    return scores.agg(best.alias("b")).select("b.*")
 
 
 @query("m21_boost_targets", "row_id", _C, f"WITH {LONG}, b AS (SELECT row_id, class, CASE WHEN class < 4 THEN p * 1.2 ELSE p END AS s FROM l), n AS (SELECT row_id, class, s / sum(s) OVER (PARTITION BY row_id) AS s FROM b) SELECT row_id, {_PIVOT} FROM n GROUP BY 1")

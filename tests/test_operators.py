@@ -154,3 +154,25 @@ def test_wavelet_keeps_the_energy():
     assert math.isclose((DB4**2).sum(), 1, rel_tol=1e-9) and math.isclose(DB4.sum(), math.sqrt(2), rel_tol=1e-9)
     flat = wavelet_levels(np.full(64, 2.0))
     assert all(np.allclose(d, 0) for d in flat[:-1]) and np.allclose(flat[-1], 2 * math.sqrt(8))
+
+
+def test_weight_search_returns_the_best_of_all_trials(spark, sf):
+    from seqspark.plans import catalog
+
+    got = catalog.queries()["m20_weight_search"](spark, sf).collect()
+    assert len(got) == 1 and 0 <= got[0]["trial"] < 1024
+    rows = Tables(spark, sf).proba
+    raw = spark.range(1024).withColumnRenamed("id", "trial").select("trial", *(clean.draw(20 + i, "trial").alias(f"d{i}") for i in (1, 2, 3))).toPandas().to_numpy()
+    w = raw[:, 1:] / raw[:, 1:].sum(1, keepdims=True)
+    data = rows.select("y", "p", "p2", "p3").toPandas()
+    y, p = data.y.to_numpy(), [np.array(data[c].tolist()) for c in ("p", "p2", "p3")]
+
+    def score(v):
+        h = (v[0] * p[0] + v[1] * p[1] + v[2] * p[2]).argmax(1)
+        f1 = lambda a, b: 2 * (a & b).sum() / (a.sum() + b.sum())
+        t, q = np.where(y < 4, y, 99), np.where(h < 4, h, 99)
+        return (f1(y < 4, h < 4) + np.mean([f1(t == k, q == k) for k in sorted({*t, *q})])) / 2
+
+    scores = np.array([score(v) for v in w])
+    assert math.isclose(got[0]["score"], scores.max(), abs_tol=1e-6) and math.isclose(scores[int(raw[:, 0].tolist().index(got[0]["trial"]))], scores.max(), abs_tol=1e-9)
+    assert np.allclose([got[0][f"w{i}"] for i in (1, 2, 3)], w[raw[:, 0].tolist().index(got[0]["trial"])], atol=1e-6)
