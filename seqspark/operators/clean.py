@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,38 @@ def validation(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, n_violations) of every rule, in one pass."""
     one = df.agg(F.array(*(F.struct(F.lit(k).alias("rule"), F.count_if(c).alias("n_violations")) for k, c in rules.items())).alias("r"))
     return one.select(F.explode("r").alias("x")).select("x.*")
+
+
+def nearest_of_class(df: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(vec_id, label, neighbour, dist, k) of the ``k`` nearest other rows of a row's class, exactly. ``df``: vec_id, label, x, and n, the size of the class.
+
+    A class is dealt into blocks of about ``block`` rows; every block meets every block of its class in a
+    group of its own, which keeps the best k, and these are merged. Ties go to the smaller neighbour.
+    """
+    count = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+    a = df.select("vec_id", "label", "x", count.alias("blocks"), F.pmod(F.xxhash64("vec_id"), count).cast("int").alias("mine"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = a.select("vec_id", "label", "x", "mine", every.alias("other"))
+    right = a.select(F.col("vec_id").alias("near"), F.col("label").alias("near_label"), F.col("x").alias("near_x"), every.alias("near_mine"), F.col("mine").alias("near_other"))
+    id_type, label_type = (df.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
+
+    def best(queries, rows):
+        id_kind, label_kind = queries.column("vec_id").type, queries.column("label").type
+        out_id, out_label, out_near, out_dist = [], [], [], []
+        if queries.num_rows and rows.num_rows:
+            ids, near = queries.column("vec_id").to_pylist(), np.array(rows.column("near").to_pylist())
+            x, y = np.array(queries.column("x").to_pylist(), float), np.array(rows.column("near_x").to_pylist(), float)
+            name = queries.column("label")[0].as_py()
+            for i, v in enumerate(ids):
+                d = ((y - x[i]) ** 2).sum(1)
+                d[near == v] = np.inf
+                order = np.lexsort((near, d))[:k]
+                order = order[np.isfinite(d[order])]
+                out_id += [v] * len(order)
+                out_label += [name] * len(order)
+                out_near += near[order].tolist()
+                out_dist += d[order].tolist()
+        return pa.table({"vec_id": pa.array(out_id, id_kind), "label": pa.array(out_label, label_kind), "neighbour": pa.array(out_near, id_kind), "dist": pa.array(out_dist, pa.float64())})
+
+    found = left.groupBy("label", "mine", "other").cogroup(right.groupBy("near_label", "near_mine", "near_other")).applyInArrow(best, f"vec_id {id_type}, label {label_type}, neighbour {id_type}, dist double")
+    return found.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "neighbour"))).where(F.col("k") <= k)

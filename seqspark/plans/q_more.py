@@ -85,18 +85,17 @@ def _(t):
     return motion.join(depth, ["sequence_id", "idx"], "left").na.fill(0)
 
 
-@query("m10_oversample", "vec_id neighbour label", "x0 x1 x2")
+@query("m10_oversample", "vec_id neighbour label point", "x0 x1 x2")
 def _(t):
-    """For each row of a rare class, a point between it and one of its three nearest rows of the class in its block of 64."""
-    e = t.table("embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("x"))
-    rare = e.groupBy("label").agg(F.count("*").alias("n")).orderBy("n", "label").limit(3).select("label")
-    a = e.join(rare, "label").withColumn("block", F.expr("vec_id div 64"))
-    b = a.select("label", "block", F.col("vec_id").alias("neighbour"), F.col("x").alias("y"))
-    near = a.join(b, ["label", "block"]).where("vec_id <> neighbour").withColumn("dist", F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "neighbour"))).where("k <= 3")
+    """For each row of a rare class, a point between it and one of its three nearest rows of the class, over all numbers of the embedding."""
+    e = t.table("embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    rare = e.groupBy("label").agg(F.count("*").alias("n")).orderBy("n", "label").limit(3)
+    best = C.nearest_of_class(e.join(rare, "label"), 3)
     pick = best.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy(C.draw(3, "vec_id", "neighbour")))).where("r = 1")
+    pick = pick.join(e.select("vec_id", "x"), "vec_id").join(e.select(F.col("vec_id").alias("neighbour"), F.col("x").alias("y")), "neighbour")
     lam = C.draw(4, "vec_id")
-    return pick.withColumn("z", F.zip_with("x", "y", lambda p, q: p + (q - p) * lam)).select("vec_id", "neighbour", F.col("label").cast("long").alias("label"), *(F.col("z")[i].alias(f"x{i}") for i in range(3)))
+    z = pick.withColumn("point", F.zip_with("x", "y", lambda p, q: p + (q - p) * lam))
+    return z.select("vec_id", "neighbour", F.col("label").cast("long").alias("label"), "point", *(F.col("point")[i].alias(f"x{i}") for i in range(3)))
 
 
 @query("m12_two_stage", "vec_id label predicted")

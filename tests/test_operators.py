@@ -176,3 +176,23 @@ def test_weight_search_returns_the_best_of_all_trials(spark, sf):
     scores = np.array([score(v) for v in w])
     assert math.isclose(got[0]["score"], scores.max(), abs_tol=1e-6) and math.isclose(scores[int(raw[:, 0].tolist().index(got[0]["trial"]))], scores.max(), abs_tol=1e-9)
     assert np.allclose([got[0][f"w{i}"] for i in (1, 2, 3)], w[raw[:, 0].tolist().index(got[0]["trial"])], atol=1e-6)
+
+
+def test_oversampling_sees_the_whole_class(spark, sf):
+    from seqspark.plans import catalog
+
+    e = Tables(spark, sf).table("embeddings").select("vec_id", "label", "embedding").toPandas()
+    n = e.groupby("label").vec_id.count()
+    rare = sorted(n.index, key=lambda c: (n[c], c))[:3]
+    got = {r["vec_id"]: r for r in catalog.queries()["m10_oversample"](spark, sf).collect()}
+    assert set(got) == set(e[e.label.isin(rare)].vec_id)
+    x = {v: np.array(a, float) for v, a in zip(e.vec_id, e.embedding)}
+    for c in rare:
+        ids = e[e.label == c].vec_id.tolist()
+        for v in ids:
+            near = sorted((((x[v] - x[o]) ** 2).sum(), o) for o in ids if o != v)[:3]
+            assert got[v]["neighbour"] in [o for _, o in near]
+            assert len(got[v]["point"]) == len(x[v])
+    rows = spark.createDataFrame([(v, 1, x[v].tolist(), len(x)) for v in x], "vec_id long, label int, x array<double>, n long")
+    one, many = (sorted((r["vec_id"], r["k"], r["neighbour"]) for r in clean.nearest_of_class(rows, 3, b).collect()) for b in (10**6, 40))
+    assert one == many
