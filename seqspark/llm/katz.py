@@ -1,4 +1,4 @@
-"""Katz backoff bigrams with Good-Turing discounts and exactly normalised backoff weights.
+"""Katz backoff bigrams and trigrams with Good-Turing discounts and exactly normalised backoff weights.
 
 Texts become blocks of token numbers, a table bucketed by block. Every block
 asks, per partition of a hash of the context, for the training counts of its
@@ -18,6 +18,9 @@ larger counts. alpha(v) = (1 - sum of d(r) r / c(v)) / (1 - sum of P(w)),
 both over the followers of v, so the probabilities of all words and the unknown
 one add up to 1. After an unseen context P(w | v) = P(w). The first word of a
 text follows a start mark, whose count is the number of training texts.
+Order 3 is the same step once more: P(w | u v) from the counts of triples, with
+P(w | v) in place of P(w); the first word of a text follows two start marks.
+Pairs are told apart as contexts by a 64-bit hash of both words.
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased; each
 text ends in one end mark, which counts as a token. Words are told apart by a
@@ -39,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.shared import fold, shared_dir, table, written
+from seqspark.llm.shared import fold, mix64, shared_dir, table, written
 
 BLOCK_TOKENS = 2_000_000
 BUCKET_TOKENS = 1_500_000
@@ -125,25 +128,34 @@ def _word_order(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 class _Pairs:
-    """A block's distinct pairs by (bucket, context, word)."""
+    """A block's distinct pairs of a context and a word by (bucket, context, word). A context is the word before, or ``before``, a pair: the two words before."""
 
-    def __init__(self, tok: np.ndarray, sizes: np.ndarray, words: np.ndarray, buckets: int, flags: np.ndarray | None = None):
+    def __init__(self, tok: np.ndarray, sizes: np.ndarray, words: np.ndarray, buckets: int, flags: np.ndarray | None = None, before: _Pairs | None = None):
         first = np.cumsum(sizes) - sizes
         context = np.empty(len(tok), np.int64)
-        context[1:] = tok[:-1]
-        context[first] = START
-        kinds, inverse = np.unique(context * len(words) + tok, return_inverse=True)
+        context[1:] = (tok if before is None else before.of_token)[:-1]
+        context[first] = START if before is None else len(before.context)
+        names = words if before is None else before.names(words)
+        kinds, example, inverse = np.unique(context * len(words) + tok, return_index=True, return_inverse=True)
         v, w = kinds // len(words), kinds % len(words)
-        order = np.lexsort((words[w], words[v], words[v] % np.uint64(buckets)))
+        order = np.lexsort((words[w], names[v], names[v] % np.uint64(buckets)))
+        self.example = example[order]  # a token of each pair
         self.context, self.word = v[order], w[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.of_token = rank[inverse]
         self.train = None if flags is None else np.bincount(self.of_token, np.repeat(flags, sizes).astype(float), len(kinds)).astype(np.uint32)
         self.heads = np.flatnonzero(np.diff(self.context, prepend=-1))  # one per context
-        self.bucket = (words[self.context[self.heads]] % np.uint64(buckets)).astype(np.int64)
+        self.hashes = names[self.context[self.heads]]
+        self.bucket = (self.hashes % np.uint64(buckets)).astype(np.int64)
         self.runs = np.diff(np.append(self.heads, len(order)))
 
+    def names(self, words: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each pair, and of the two start marks."""
+        v, w = (np.append(words[x], words[START]) for x in (self.context, self.word))
+        with np.errstate(over="ignore"):
+            return mix64(mix64(v) * np.uint64(0x9E3779B97F4A7C15) + w)
+
 
 def _slices(bucket: np.ndarray):
     """(bucket, from, to) of each stretch of equal buckets."""
@@ -213,21 +225,27 @@ def unigram(stats: list[int], d: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, _discounted(d, c) / n, unknown)
 
 
-def pair_counts(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray) -> DataFrame:
-    """Stored answers (block, bucket, counts, followers, mass, stats): for each pair of a block its training count, for each
-    context the number of followers with count 1 .. CUT, the sum and the number of larger counts, and the unigram mass of all followers."""
+def pair_counts(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray, d2: np.ndarray | None = None) -> DataFrame:
+    """With ``d2``, of contexts of two words, from the answers in ``pairs``. Stored answers (block, bucket, counts, followers, mass, stats): for each pair of a block its training count, for each
+    context the number of followers with count 1 .. CUT, the sum and the number of larger counts, and the mass of all followers at the order below."""
 
     def ask(batches):
         for batch in batches:
-            for block, flags, sizes, tok, words, answers in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for block, flags, sizes, tok, words, answers, *found in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
                 sizes, tok, words = _frombytes(sizes, np.int32), _frombytes(tok, np.int32), _frombytes(words, np.uint64)
                 c = _counts_of(words, answers, buckets)
-                p = _Pairs(tok, sizes, words, buckets, np.array(flags, bool))
+                if d2 is None:
+                    p = _Pairs(tok, sizes, words, buckets, np.array(flags, bool))
+                    below = c[p.word].astype(np.uint32)
+                else:
+                    two = _Pairs(tok, sizes, words, buckets)
+                    p = _Pairs(tok, sizes, words, buckets, np.array(flags, bool), two)
+                    below = _probability(two, *_found(found[0]), c[two.context[two.heads]], unigram(stats, d, c[two.word]), d2)[two.of_token[p.example]]
                 parts = list(_slices(p.bucket))
                 ends = np.append(p.heads, len(p.context))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(parts), pa.int64()), pa.array([b for b, *_ in parts], pa.int32()), _binary(words[p.context[p.heads[i:j]]] for _, i, j in parts), _binary(p.runs[i:j].astype(np.int32) for _, i, j in parts)]
-                    + [_binary(x[ends[i] : ends[j]] for _, i, j in parts) for x in (words[p.word], p.train, c[p.word].astype(np.uint32))],
+                    [pa.array([block] * len(parts), pa.int64()), pa.array([b for b, *_ in parts], pa.int32()), _binary(p.hashes[i:j] for _, i, j in parts), _binary(p.runs[i:j].astype(np.int32) for _, i, j in parts)]
+                    + [_binary(x[ends[i] : ends[j]] for _, i, j in parts) for x in (words[p.word], p.train, below)],
                     names=["block", "bucket", "contexts", "runs", "words", "n", "c"],
                 )
 
@@ -237,7 +255,7 @@ def pair_counts(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray
         v_all = np.concatenate(contexts)
         kinds, v = np.unique(v_all, return_inverse=True)
         of_pair = np.repeat(v, np.concatenate(runs))
-        w, n, c = np.concatenate(words), np.concatenate(get("n", np.uint32)), np.concatenate(get("c", np.uint32))
+        w, n, c = np.concatenate(words), np.concatenate(get("n", np.uint32)), np.concatenate(get("c", np.uint32 if d2 is None else np.float64))
         order = np.lexsort((w, of_pair))
         new = np.ones(len(order), bool)
         new[1:] = (w[order][1:] != w[order][:-1]) | (of_pair[order][1:] != of_pair[order][:-1])
@@ -251,7 +269,7 @@ def pair_counts(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray
         np.add.at(followers, (at[small], r[small] - 1), 1)
         followers[:, CUT] = np.bincount(at[~small], r[~small].astype(float), len(kinds)).astype(np.uint32)
         followers[:, CUT + 1] = np.bincount(at[~small], minlength=len(kinds))
-        mass = np.bincount(at, unigram(stats, d, c[head][seen].astype(np.int64)), len(kinds))
+        mass = np.bincount(at, unigram(stats, d, c[head][seen].astype(np.int64)) if d2 is None else c[head][seen], len(kinds))
         of_entry = np.empty(len(order), np.uint32)
         of_entry[order] = total[group].astype(np.uint32)
         cut_v, cut_w = np.cumsum([len(x) for x in contexts])[:-1], np.cumsum([len(x) for x in words])[:-1]
@@ -262,8 +280,8 @@ def pair_counts(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray
             }
         )
 
-    asked = joined.select("block", "train", "sizes", "tokens", "words", "answers").mapInArrow(ask, "block long, bucket int, contexts binary, runs binary, words binary, n binary, c binary")
-    return written(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, counts binary, followers binary, mass binary, stats array<long>"), "katz-pairs")
+    asked = joined.select("block", "train", "sizes", "tokens", "words", "answers", *["pairs"][: d2 is not None]).mapInArrow(ask, "block long, bucket int, contexts binary, runs binary, words binary, n binary, c binary")
+    return written(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, counts binary, followers binary, mass binary, stats array<long>"), "katz-pairs" if d2 is None else "katz-triples")
 
 
 def _counts_of(words: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:
@@ -275,19 +293,22 @@ def _counts_of(words: np.ndarray, answers: list[dict], buckets: int) -> np.ndarr
     return out
 
 
-def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, n_known, train_tokens, base_score (add 0.1 to the unigram counts) and score (Katz), log10."""
+def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """One row per document: id, n_tokens, n_known, train_tokens, base_score (add 0.1 to the unigram counts) and score (Katz, pairs), log10;
+    with ``order`` 3 also score_3 (Katz, triples that back off to the pairs)."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     made = blocks(docs, id_col, text_col, train_col)
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
     conf.set(key, "1")  # rows are whole blocks from here on: one at a time in a worker
     try:
-        return _scored(made, id_col)
+        return _scored(made, id_col, order)
     finally:
         conf.set(key, before)
 
 
-def _scored(made: DataFrame, id_col: str) -> DataFrame:
+def _scored(made: DataFrame, id_col: str, order: int) -> DataFrame:
     """The scores of all documents of a block table, as a written table."""
     kind = made.schema["ids"].dataType.elementType.simpleString()
     total = made.agg(F.sum("n")).head()[0] or 0
@@ -300,10 +321,21 @@ def _scored(made: DataFrame, id_col: str) -> DataFrame:
     joined = made.join(by_block(uni, "counts"), "block")
     pairs = pair_counts(joined, buckets, stats, d1) if n_train else None
     d2 = discounts(_summed(pairs)) if n_train else d1
+    if pairs is not None:
+        full = joined.join(by_block(pairs, "counts", "followers", "mass").withColumnRenamed("answers", "pairs"), "block")
+    else:
+        full = joined.withColumn("pairs", F.lit(None).cast("string"))
+    d3 = d2
+    if n_train and order == 3:
+        triples = pair_counts(full, buckets, stats, d1, d2)
+        d3 = discounts(_summed(triples))
+        full = full.join(by_block(triples, "counts", "followers", "mass").withColumnRenamed("answers", "triples"), "block")
+    else:
+        full = full.withColumn("triples", F.lit(None).cast("string"))
 
     def run(batches):
         for batch in batches:
-            col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("ids", "sizes", "tokens", "words", "answers", "pairs")}
+            col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("ids", "sizes", "tokens", "words", "answers", "pairs", "triples")}
             for i in range(batch.num_rows):
                 sizes, tok, words = (_frombytes(col[c][i].as_buffer(), k) for c, k in (("sizes", np.int32), ("tokens", np.int32), ("words", np.uint64)))
                 c = _counts_of(words, col["answers"][i].as_py(), buckets)
@@ -313,42 +345,50 @@ def _scored(made: DataFrame, id_col: str) -> DataFrame:
                 if n_train:
                     base = sums(np.log10((c + 0.1) / (n_train + 0.1 * (vocabulary + 1)))[tok])
                     p = _Pairs(tok, sizes, words, buckets)
-                    found = sorted(col["pairs"][i].as_py(), key=lambda a: a["bucket"])
-                    r = np.concatenate([_frombytes(a["counts"], np.uint32) for a in found]).astype(np.int64)
-                    followers = np.concatenate([_frombytes(a["followers"], np.uint32) for a in found]).reshape(-1, CUT + 2)
-                    mass = np.concatenate([_frombytes(a["mass"], np.float64) for a in found])
-                    score = sums(_log_pairs(p, r, followers, mass, c, stats, d1, d2)[p.of_token])
+                    r, followers, mass = _found(col["pairs"][i].as_py())
+                    two = _probability(p, r, followers, mass, c[p.context[p.heads]], unigram(stats, d1, c[p.word]), d2)
+                    score = sums(_log(two)[p.of_token])
+                    if order == 3:
+                        q = _Pairs(tok, sizes, words, buckets, before=p)
+                        three = _probability(q, *_found(col["triples"][i].as_py()), np.append(r, c[START])[q.context[q.heads]], two[p.of_token[q.example]], d3)
+                        score_3 = sums(_log(three)[q.of_token])
                 else:
-                    base = score = np.full(len(sizes), np.nan)
+                    base = score = score_3 = np.full(len(sizes), np.nan)
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [col["ids"][i].values, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array([n_train] * n, pa.int64()), pa.array(base, from_pandas=True), pa.array(score, from_pandas=True)],
-                    names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    [col["ids"][i].values, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array([n_train] * n, pa.int64()), pa.array(base, from_pandas=True), pa.array(score, from_pandas=True)]
+                    + ([pa.array(score_3, from_pandas=True)] if order == 3 else []),
+                    names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score", *["score_3"][: order == 3]],
                 )
 
-    if pairs is not None:
-        full = joined.join(by_block(pairs, "counts", "followers", "mass").withColumnRenamed("answers", "pairs"), "block")
-    else:
-        full = joined.withColumn("pairs", F.lit(None).cast("string"))
-    found = full.select("ids", "sizes", "tokens", "words", "answers", "pairs").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = full.select("ids", "sizes", "tokens", "words", "answers", "pairs", "triples").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double" + ", score_3 double" * (order == 3))
     return written(found, "katz-scores")
 
 
-def _log_pairs(p: _Pairs, r, followers, mass, c, stats, d1, d2) -> np.ndarray:
-    """log10 P(w | v) of each of a block's pairs."""
-    weights = np.concatenate([d2[1:] * np.arange(1, CUT + 1), [1.0, 0.0]])
+def _found(answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, followers and mass for a block, from its stored answers."""
+    answers = sorted(answers, key=lambda a: a["bucket"])
+    get = lambda name, kind: np.concatenate([_frombytes(a[name], kind) for a in answers])
+    return get("counts", np.uint32).astype(np.int64), get("followers", np.uint32).reshape(-1, CUT + 2), get("mass", np.float64)
+
+
+def _probability(p: _Pairs, r, followers, mass, cv, below, d) -> np.ndarray:
+    """P(w | context) of each of a block's pairs; ``cv`` counts of the contexts, ``below`` P(w) at the order below."""
+    weights = np.concatenate([d[1:] * np.arange(1, CUT + 1), [1.0, 0.0]])
     of_context = np.repeat(np.arange(len(p.heads)), p.runs)
-    cv = c[p.context[p.heads]].astype(float)
-    seen = cv > 0
+    cv = cv.astype(float)
     none = ~followers[:, :CUT].any(1)  # nothing to take from by the ratios
     with np.errstate(divide="ignore", invalid="ignore"):
         kept = (followers @ weights - np.where(none, 0.5 * followers[:, CUT + 1], 0.0)) / cv
-        alpha = np.where(seen, np.maximum(1 - kept, 0) / np.maximum(1 - mass, 1e-300), 1.0)
-        value = np.where(r > 0, (_discounted(d2, r) - np.where(none[of_context], 0.5, 0.0)) / cv[of_context], alpha[of_context] * unigram(stats, d1, c[p.word]))
-        return np.log10(np.maximum(value, 1e-300))
+        alpha = np.where(cv > 0, np.maximum(1 - kept, 0) / np.maximum(1 - mass, 1e-300), 1.0)
+        return np.where(r > 0, (_discounted(d, r) - np.where(none[of_context], 0.5, 0.0)) / cv[of_context], alpha[of_context] * below)
+
+
+def _log(value: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(value, 1e-300))
 
 
 def op6_katz_backoff(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_texts(docs.select("doc_id", "text", (fold("doc_id", 10) != 0).alias("train")), "train")
-    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = score_texts(docs.select("doc_id", "text", (fold("doc_id", 10) != 0).alias("train")), "train", order=3)
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_3")

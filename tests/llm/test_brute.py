@@ -206,6 +206,43 @@ def test_katz(spark, sf, docs):
         assert math.isclose(r.score, sum(math.log10(p2(v, w)) for v, w in zip([" ", *x[:-1]], x)), rel_tol=1e-9)
 
 
+def test_katz_of_order_3(spark, sf, docs):
+    words = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"] for t in docs.text]
+    train = [zlib.crc32(str(k).encode()) % 10 != 0 for k in docs.doc_id]
+    n = [Counter(), Counter(), Counter()]
+    for x, on in zip(words, train):
+        if on:
+            y = [" ", " ", *x]
+            for k in range(3):
+                n[k].update(zip(*(y[2 - j : len(y) - j] for j in range(k, -1, -1))))
+    total, cut = sum(n[0].values()), katz.CUT
+    d = [katz.discounts(katz._stats(np.array(list(c.values())))) for c in n]
+    kept_of = lambda k, r: (d[k][r] if r <= cut else 1.0) * r
+    unknown = 1 - sum(kept_of(0, c) / total for c in n[0].values())
+    low, after = [{g[:-1] for g, r in c.items() if r <= cut} for c in n], [Counter(), Counter(), Counter()]
+    kept, mass = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+
+    def p(g):
+        k = len(g) - 1
+        if k == 0:
+            return kept_of(0, n[0][g]) / total if g in n[0] else unknown
+        v = g[:-1]
+        if g in n[k]:
+            return (kept_of(k, n[k][g]) - (0 if v in low[k] else 0.5)) / after[k][v]
+        return (1 - kept[k][v]) / (1 - mass[k][v]) * p(g[1:]) if after[k][v] else p(g[1:])
+
+    for k in (1, 2):
+        for g, r in n[k].items():
+            after[k][g[:-1]] += r
+        for g in n[k]:
+            kept[k][g[:-1]] += p(g)
+            mass[k][g[:-1]] += p(g[1:])
+    got = rows(Q["op6_katz_backoff"](spark, sf)).set_index("doc_id")
+    for k, x in zip(docs.doc_id, words):
+        y = [" ", " ", *x]
+        assert math.isclose(got.loc[k].score_3, sum(math.log10(p(tuple(y[i : i + 3]))) for i in range(len(x))), rel_tol=1e-6)
+
+
 def test_html(spark, sf):
     pages = pd.read_parquet(f"{sf}/pages.parquet").set_index("page_id")
     got = rows(Q["op7_html_extraction"](spark, sf))
