@@ -11,10 +11,11 @@ order of time, and a process stops once it is later than all components.
 
 Copies of one word sequence are first gathered into one text. Texts that share a
 band of ROWS components are candidates. In each bucket all are verified against
-one centre (the text with the most company over all its buckets); texts of one
-bucket that are then still in different components are verified pair by pair,
-unless their lengths, or the shingles that no other text has, rule the link out. So every candidate pair ends up in
-one component or fails its own check; no bucket is capped.
+one centre (the text with the most company over all its buckets). Texts of one
+bucket that are then still in different components meet by their rarest shingles
+(``prefix_pairs``), which every pair at the threshold has in common; these pairs
+are verified too. So every candidate pair ends up in one component or can't
+reach the threshold; no bucket is capped, and none is paired with itself.
 
 With M = 80, ROWS = 4: a pair at similarity 0.8 misses all 20 bands with
 probability 3e-5.
@@ -26,17 +27,20 @@ texts all without id has a null id); extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.components import connected_components
-from seqspark.llm.shared import mix64, table, written
+from seqspark.llm.shared import dropped, mix64, table, written
 
 WORDS, M, ROWS = 5, 80, 4
 BANDS = M // ROWS
 CACHE_WORDS = 400_000
+CLASS = 1.02  # width of a class of sizes
 _HASH: dict[str, int] = {}
 
 
@@ -191,20 +195,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(verified(star, body, threshold), "neardup-links")
     parts = written(connected_components(links.select("a", "b"), "neardup-parts"), "neardup-part")
 
-    # texts that share a bucket but no component yet: pair by pair, unless their own shingles rule a link out
+    # texts that share a bucket but no component yet: those that may still be linked share a rare shingle
     home = met.join(parts.withColumnsRenamed({"node": "key"}), "key", "left").select("band", "key", "size", F.coalesce("component", "key").alias("part"))
     split = home.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band")
-    open_ = written(home.join(split, "band"), "neardup-open")
-    common = shared_weight(body.join(open_.select("key").distinct(), "key", "left_semi"))
-    open_ = open_.join(common, "key").where(F.col("common") >= threshold * F.col("size"))
-    other = open_.select("band", F.col("key").alias("b"), F.col("size").alias("sb"), F.col("part").alias("pb"), F.col("common").alias("cb"))
-    may = F.least("common", "cb") >= threshold / (1 + threshold) * (F.col("size") + F.col("sb")) - 1e-6
-    rest = open_.join(other, "band").where(F.col("key") < F.col("b")).where(F.col("part") != F.col("pb")).where(fits).where(may).select(F.col("key").alias("a"), "b").distinct()
+    open_ = written(home.join(split, "band").select("key", "size", "part").distinct(), "neardup-open")
+    rest = prefix_pairs(body.join(open_, "key"), threshold)
     rest = rest.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     rest = written(rest, "neardup-rest")
     if not rest.isEmpty():
-        links = links.union(verified(rest, body, threshold))
-        parts = connected_components(links.select("a", "b"), "neardup-parts")
+        more = links.union(verified(rest, body, threshold))
+        before, parts = parts, written(connected_components(more.select("a", "b"), "neardup-parts"), "neardup-part")
+        dropped(before)
+    dropped(met, star, body, links, open_, rest)
 
     placed = texts.join(parts.withColumnsRenamed({"node": "key"}), "key", "left").select("key", "rep", "copies", F.coalesce("component", "key").alias("part"))
     classes = placed.groupBy("part").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n_texts"))
@@ -212,10 +214,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sk.select("id", "key").join(of_key, "key").select(F.col("id").alias(id_col), "class_id", "class_size", "n_texts")
 
 
-def shared_weight(texts: DataFrame) -> DataFrame:
-    """(key, common): how much of each text's multiset lies in shingles that any other of the texts has too.
+def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of ``texts`` (key, text, size, part) of different parts, with every pair whose overlap is ``threshold`` or more.
 
-    No two texts overlap by more than the smaller of their two numbers.
+    A shingle that occurs n times counts as n tokens. Texts of x and y tokens
+    have to share least(x, y) tokens, so in any one order of all tokens the
+    first x - least + 1 of one and y - least + 1 of the other have a token in
+    common. The order is by the number of texts that have the token; the
+    partner's size is known up to a class of sizes, and rows only meet rows whose classes are each other's. So texts meet on what few have,
+    not on what a whole group of near copies has; tokens of one text alone
+    never meet anything and are left out once they have taken their place.
     """
 
     def run(batches):
@@ -223,17 +231,30 @@ def shared_weight(texts: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 bags = [shingles(x.as_py()) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([b[0].view(np.int64) for b in bags], pa.list_(pa.int64())), pa.array([b[1] for b in bags], pa.list_(pa.int64()))], names=["key", "shingle", "n"]
-                )
-
-    each = texts.select("key", "text").mapInArrow(run, "key binary, shingle array<long>, n array<long>")
-    rows = each.select("key", F.explode(F.arrays_zip("shingle", "n")).alias("x")).select("key", "x.shingle", "x.n")
-    # of a shingle that one text alone has, the two least keys are equal
-    owners = rows.groupBy("shingle").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x = y").select(F.col("x").alias("key"), "shingle")
-    own = rows.join(owners, ["key", "shingle"]).groupBy("key").agg(F.sum("n").alias("own"))
-    size = each.select("key", F.aggregate("n", F.lit(0).cast("long"), lambda a, v: a + v).alias("size"))
-    return size.join(own, "key", "left").select("key", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+                out = []
+                for h, n, _ in bags:
+                    first = np.repeat(np.cumsum(n) - n, n)
+                    with np.errstate(over="ignore"):
+                        out.append(mix64(np.repeat(h, n) + (np.arange(len(first)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], names=["key", "token"])
+
+    each = texts.select("key", "text").mapInArrow(run, "key binary, token array<long>").select("key", F.explode("token").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(often, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    of_size = lambda x: F.floor(F.log(x) / math.log(CLASS)).cast("int")
+    low = F.floor(F.pow(F.lit(CLASS), F.col("other")) * (1 - 1e-9))  # no text of the class is smaller
+    least = F.ceil(threshold / (1 + threshold) * (F.col("size") + F.greatest(low, F.lit(1))) - 1e-6)
+    sized = shared.join(texts.select("key", "size", "part"), "key").withColumn("own", of_size("size"))
+    classes = F.explode(F.sequence(of_size(F.ceil(threshold * F.col("size") - 1e-6)), of_size(F.col("size") / threshold + 1e-6)))
+    sized = sized.withColumn("other", classes).withColumn("room", (F.col("size") - least + 1 - (F.col("size") - F.size("tokens"))).cast("int")).where("room > 0")
+    rows = sized.select("key", "part", "own", "other", F.explode(F.slice("tokens", 1, F.col("room"))).alias("t")).select("key", "part", "own", "other", F.col("t.token").alias("token"))
+    rows = written(rows, "neardup-prefixes")
+    ends = rows.groupBy("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token", "x", "y")
+    small = rows.where("own <= other").select("token", F.col("own").alias("x"), F.col("other").alias("y"), F.col("key").alias("a"), F.col("part").alias("pa"))
+    large = rows.where("own >= other").select("token", F.col("other").alias("x"), F.col("own").alias("y"), F.col("key").alias("b"), F.col("part").alias("pb"))
+    at = ["token", "x", "y"]
+    met = small.join(ends, at).join(large.withColumnsRenamed({"x": "x2", "y": "y2", "token": "token2"}), F.expr("token = token2 AND x = x2 AND y = y2 AND pa <> pb AND (x < y OR a < b)"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
