@@ -22,28 +22,36 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.shared import fold, table, written
+from seqspark.llm.shared import fold, mix64, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 800_000
 COUNTER_WORDS = 200_000
-BATCH = 2048
-#: Up to this length sums of products stay far from underflow; longer words are done with logarithms.
-LINEAR = 40
-#: More different letters than Unicode has that are no pieces cannot come.
-SPELLED = 200_000
+BATCH = 4096
+#: Sums of products above this have lost nothing to underflow; the few words below it are done again with logarithms.
+SAFE = 1e-250
 _PIECES: dict[str, Pieces] = {}
 _SCORER: dict = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """The vocabulary, and the lattice of a word's pieces."""
+    """The vocabulary, and the lattice of a word's pieces.
+
+    Pieces are looked up by a 64-bit hash of their characters, in a table of
+    numpy arrays with linear probing, for all words of one length at once.
+    Rows: 0 stands for no piece, piece i is row i + 1, and letters that are no
+    piece follow, as they are met.
+    """
+
+    SLOTS = 18
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -53,49 +61,83 @@ class Pieces:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.size = sp.vocab_size()
         self.longest = max(map(len, self.id))
-        self.spelled: dict[str, int] = {}  # letters that are no piece -> an id past the vocabulary
-        self._places: dict[int, tuple] = {}
-
-    def places(self, n: int) -> tuple:
-        if n not in self._places:
-            if len(self._places) > 200:
-                self._places.clear()
-            pairs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
-            end = np.array([j for _, j in pairs])
-            self._places[n] = pairs, end - 1, end - np.array([i for i, _ in pairs]) - 1
-        return self._places[n]
-
-    def lattice(self, words: list[str], n: int) -> np.ndarray:
-        """ids[word, end - 1, length - 1] of the pieces in words of n characters; -1 where there is none."""
-        pairs, row, col = self.places(n)
-        get = self.id.get
-        flat = np.array([[get(w[i:j], -1) for i, j in pairs] for w in words], np.int64)
-        out = np.full((len(words), n, min(n, self.longest)), -1, np.int64)
-        out[:, row, col] = flat
-        for b, j in zip(*np.nonzero(out[:, :, 0] < 0)):
-            out[b, j, 0] = self.size + self.spelled.setdefault(words[b][j], len(self.spelled))
+        self.spelled: dict[str, int] = {}  # letters that are no piece -> row
+        self.keys, self.rows = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32)
+        by_length: dict[int, list[str]] = {}
+        for piece in self.id:
+            by_length.setdefault(len(piece), []).append(piece)
+        for n, some in by_length.items():
+            for piece, key in zip(some, self._prefixes(some, n)[n].tolist()):
+                at = self._slot(np.uint64(key)).item()
+                while self.keys[at]:
+                    at = (at + 1) % len(self.keys)
+                self.keys[at], self.rows[at] = key, self.id[piece] + 1
+
+    def _slot(self, key):
+        with np.errstate(over="ignore"):
+            return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    @staticmethod
+    def _prefixes(words: list[str], n: int) -> np.ndarray:
+        """[j, word]: a hash of the first j characters."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).T
+        codes = mix64(chars.astype(np.uint64) + _STEP)
+        out = np.zeros((n + 1, len(words)), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(n):
+                out[j + 1] = out[j] * _STEP + codes[j]
+        return out
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.rows[slot], 0)
+        left = np.flatnonzero((there != key) & (there != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) % len(self.keys)
+            there = self.keys[slot[left]]
+            out[left] = np.where(there == key[left], self.rows[slot[left]], 0)
+            left = left[(there != key[left]) & (there != 0)]
+        return out
+
+    def lattice(self, words: list[str], n: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """For words of n characters: [begin][length - 1] -> (words that have such a piece, its rows)."""
+        p, out, power = self._prefixes(words, n), [[] for _ in range(n)], np.uint64(1)
+        for x in range(1, min(n, self.longest) + 1):
+            with np.errstate(over="ignore"):
+                power = power * _STEP
+                rows = self._find((p[x:] - p[:-x] * power).ravel()).reshape(n - x + 1, len(words))
+            if x == 1:
+                for i, b in zip(*np.nonzero(rows == 0)):
+                    rows[i, b] = self.spelled.setdefault(words[b][i], self.size + 1 + len(self.spelled))
+            for i in range(n - x + 1):
+                at = np.flatnonzero(rows[i])
+                out[i].append((at, rows[i, at]))
         return out
 
 
 class Probabilities:
-    """Probabilities by id (ids x languages): pieces, then spelled letters, which come as they are met, and 0 last, for id -1."""
+    """Log-probabilities by row (rows x languages), and the probabilities themselves; row 0 is impossible."""
 
     def __init__(self, vocab: Pieces, logp: np.ndarray):
         vocab.spelled.clear()
         self.vocab, self.done = vocab, 0
-        self.log = np.full((vocab.size + SPELLED + 1, len(logp)), -np.inf)
-        self.log[: vocab.size] = logp.T
+        self.log = np.vstack([np.full(len(logp), -np.inf), logp.T])
         self.plain = np.exp(self.log)
 
     def ready(self) -> Probabilities:
-        """With rows for all spelled letters met so far."""
-        spelled = self.vocab.spelled
-        if len(spelled) > self.done:
-            for c in list(spelled)[self.done :]:
-                at = self.vocab.size + spelled[c]
-                self.log[at] = self.log[[self.vocab.byte[b] for b in c.encode("utf-8", "surrogatepass")]].sum(0)
+        """With rows for all letters met so far that are spelled by bytes."""
+        new = list(self.vocab.spelled)[self.done :]
+        if new:
+            need = self.vocab.size + 1 + len(self.vocab.spelled)
+            if need > len(self.log):
+                more = np.full((need, self.log.shape[1]), -np.inf)  # as many again, so that copies stay few
+                self.log, self.plain = np.vstack([self.log, more]), np.vstack([self.plain, np.exp(more)])
+            for c in new:
+                at = self.vocab.spelled[c]
+                self.log[at] = self.log[[self.vocab.byte[b] + 1 for b in c.encode("utf-8", "surrogatepass")]].sum(0)
                 self.plain[at] = np.exp(self.log[at])
-            self.done = len(spelled)
+            self.done = len(self.vocab.spelled)
         return self
 
 
@@ -105,63 +147,58 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    top = np.where(np.isfinite(top), top, 0.0)
-    with np.errstate(divide="ignore"):
-        return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+def _by_length(words: list[str]):
+    """Indexes of words of one length each, in batches whose lattices stay small."""
+    sizes = np.array([len(w) for w in words])
+    order = np.argsort(sizes, kind="stable")
+    heads = np.flatnonzero(np.diff(sizes[order], prepend=-1))
+    for at in np.split(order, heads[1:]):
+        n = int(sizes[at[0]]) if len(at) else 0
+        step = max(1, min(BATCH, 4_000_000 // (max(n, 1) * 16)))
+        for i in range(0, len(at), step):
+            yield n, at[i : i + step]
 
 
-def forward(terms: np.ndarray) -> np.ndarray:
-    """alpha[..., j]: log-probability of all segmentations of the first j characters; terms[..., end - 1, length - 1]."""
-    n, most = terms.shape[-2:]
-    alpha = np.full((*terms.shape[:-2], n + 1), -np.inf)
-    alpha[..., 0] = 0.0
-    for j in range(1, n + 1):
-        k = min(j, most)
-        alpha[..., j] = _logsum(terms[..., j - 1, :k] + alpha[..., j - k : j][..., ::-1], -1)
+def forward(lattice: list, p: np.ndarray, words: int) -> np.ndarray:
+    """alpha[j, word, language]: the sum over all segmentations of the first j characters; p: probabilities by row."""
+    alpha = np.zeros((len(lattice) + 1, words, p.shape[1]))
+    alpha[0] = 1.0
+    for i, found in enumerate(lattice):
+        for x, (at, rows) in enumerate(found, 1):
+            if len(at):
+                alpha[i + x, at] += p[rows] * alpha[i, at]
     return alpha
 
 
-def backward(terms: np.ndarray) -> np.ndarray:
-    n, most = terms.shape[-2:]
-    beta = np.full((*terms.shape[:-2], n + 1), -np.inf)
-    beta[..., n] = 0.0
-    for i in range(n - 1, -1, -1):
-        k = min(n - i, most)
-        steps = np.stack([terms[..., i + x, x] for x in range(k)], -1)
-        beta[..., i] = _logsum(steps + beta[..., i + 1 : i + 1 + k], -1)
+def backward(lattice: list, p: np.ndarray, words: int) -> np.ndarray:
+    """beta[i, word, language]: the sum over all segmentations from character i on."""
+    beta = np.zeros((len(lattice) + 1, words, p.shape[1]))
+    beta[-1] = 1.0
+    for i in range(len(lattice) - 1, -1, -1):
+        for x, (at, rows) in enumerate(lattice[i], 1):
+            if len(at):
+                beta[i, at] += p[rows] * beta[i + x, at]
     return beta
 
 
-def _by_length(words: list[str]):
-    """Indexes of words of one length each, in batches whose lattices stay small."""
-    sizes = np.array([len(w) for w in words])
-    for n in np.unique(sizes).tolist():
-        at = np.flatnonzero(sizes == n)
-        step = max(1, min(BATCH, 2_000_000 // (n * 16)))
-        for i in range(0, len(at), step):
-            yield n, at[i : i + step]
-
-
-def forward_plain(terms: np.ndarray) -> np.ndarray:
-    """``forward`` for probabilities: terms[word, end - 1, length - 1, language]."""
-    words, n, most, langs = terms.shape
-    alpha = np.zeros((words, n + 1, langs))
-    alpha[:, 0] = 1.0
-    for j in range(1, n + 1):
-        k = min(j, most)
-        alpha[:, j] = (terms[:, j - 1, :k] * alpha[:, j - k : j][:, ::-1]).sum(1)
+def forward_log(lattice: list, logp: np.ndarray, words: int) -> np.ndarray:
+    """The logarithm of ``forward``, from log-probabilities, however small they are."""
+    alpha = np.full((len(lattice) + 1, words, logp.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    for i, found in enumerate(lattice):
+        for x, (at, rows) in enumerate(found, 1):
+            if len(at):
+                alpha[i + x, at] = np.logaddexp(alpha[i + x, at], logp[rows] + alpha[i, at])
     return alpha
 
 
-def backward_plain(terms: np.ndarray) -> np.ndarray:
-    words, n, most, langs = terms.shape
-    beta = np.zeros((words, n + 1, langs))
-    beta[:, n] = 1.0
-    for i in range(n - 1, -1, -1):
-        for x in range(min(n - i, most)):
-            beta[:, i] += terms[:, i + x, x] * beta[:, i + 1 + x]
+def backward_log(lattice: list, logp: np.ndarray, words: int) -> np.ndarray:
+    beta = np.full((len(lattice) + 1, words, logp.shape[1]), -np.inf)
+    beta[-1] = 0.0
+    for i in range(len(lattice) - 1, -1, -1):
+        for x, (at, rows) in enumerate(lattice[i], 1):
+            if len(at):
+                beta[i, at] = np.logaddexp(beta[i, at], logp[rows] + beta[i + x, at])
     return beta
 
 
@@ -170,51 +207,74 @@ def word_log_probabilities(words: list[str], table_: Probabilities) -> np.ndarra
     out = np.zeros((len(words), table_.log.shape[1]))
     marked = ["▁" + w for w in words]
     for n, at in _by_length(marked):
-        ids = table_.vocab.lattice([marked[i] for i in at], n)
+        some = [marked[i] for i in at]
+        lattice = table_.vocab.lattice(some, n)
         table_.ready()
-        if n <= LINEAR:
-            out[at] = np.log(forward_plain(table_.plain[ids])[:, n])
-        else:
-            for k in range(out.shape[1]):
-                out[at, k] = forward(table_.log[:, k][ids])[..., n]
+        total = forward(lattice, table_.plain, len(at))[n]
+        with np.errstate(divide="ignore"):
+            out[at] = np.log(total)
+        small = np.flatnonzero(~(total > SAFE).all(1))
+        if len(small):
+            again = table_.vocab.lattice([some[i] for i in small], n)
+            out[at[small]] = forward_log(again, table_.log, len(small))[n]
     return out
 
 
 def expected_counts(words: list[str], n_words: np.ndarray, table_: Probabilities, lang: int) -> np.ndarray:
     """Expected uses of every piece in the words of one language, over all segmentations."""
     vocab = table_.vocab
-    out = np.zeros(vocab.size)
+    got = np.zeros(len(table_.log))
     marked = ["▁" + w for w in words]
+
+    def add(lattice, alpha, beta, p, total, n, combine):
+        nonlocal got
+        if len(got) < len(table_.log):
+            got = np.append(got, np.zeros(len(table_.log) - len(got)))
+        for i, found in enumerate(lattice):
+            for x, (at, rows) in enumerate(found, 1):
+                if len(at):
+                    np.add.at(got, rows, combine(p[rows, 0], alpha[i, at, 0], beta[i + x, at, 0], total[at]) * n[at])
+
     for n, at in _by_length(marked):
-        ids = vocab.lattice([marked[i] for i in at], n)
+        some, weight = [marked[i] for i in at], n_words[at]
+        lattice = vocab.lattice(some, n)
         table_.ready()
-        if n <= LINEAR:
-            terms = table_.plain[:, lang][ids]
-            alpha, beta = forward_plain(terms[..., None])[..., 0], backward_plain(terms[..., None])[..., 0]
-            use = [terms[:, x:, x] * alpha[:, : n - x] * beta[:, x + 1 :] / alpha[:, n:] for x in range(terms.shape[-1])]
-        else:
-            terms = table_.log[:, lang][ids]
-            alpha, beta = forward(terms), backward(terms)
-            use = [np.exp(terms[:, x:, x] + alpha[:, : n - x] + beta[:, x + 1 :] - alpha[:, n:]) for x in range(terms.shape[-1])]
-        got = np.zeros(vocab.size + len(vocab.spelled))
-        for x, e in enumerate(use):  # pieces of x + 1 characters
-            i = ids[:, x:, x]
-            on = i >= 0
-            got += np.bincount(i[on], (e * n_words[at][:, None])[on], len(got))
-        out += got[: vocab.size]
-        letters = list(vocab.spelled)
-        for i in np.flatnonzero(got[vocab.size :]).tolist():
-            c = letters[i]
-            np.add.at(out, [vocab.byte[b] for b in c.encode("utf-8", "surrogatepass")], got[vocab.size + i])
+        p, logp = table_.plain[:, lang : lang + 1], table_.log[:, lang : lang + 1]
+        alpha = forward(lattice, p, len(at))
+        total = alpha[n, :, 0]
+        small = np.flatnonzero(~(total > SAFE))
+        beta = backward(lattice, p, len(at))
+        add(lattice, alpha, beta, p, np.where(total > SAFE, total, np.inf), weight, lambda a, b, c, t: a * b * c / t)
+        if len(small):
+            again = vocab.lattice([some[i] for i in small], n)
+            alpha, beta = forward_log(again, logp, len(small)), backward_log(again, logp, len(small))
+            add(again, alpha, beta, logp, alpha[n, :, 0], weight[small], lambda a, b, c, t: np.exp(a + b + c - t))
+    out = got[1 : vocab.size + 1].copy()
+    for c, row in vocab.spelled.items():
+        if row < len(got) and got[row]:
+            np.add.at(out, [vocab.byte[b] for b in c.encode("utf-8", "surrogatepass")], got[row])
     return out
 
 
+def words_of(token: str) -> list[str]:
+    """The words in a run of anything but white space."""
+    return WORD.findall(token)
+
+
 def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", rounds: int = 3, smoothing: float = 0.5) -> dict:
     """Languages, their log shares of documents, and log-probabilities (languages x pieces)."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
 
     def counted(batches):
-        def emit():
+        def emit(docs_of=()):
+            found: Counter = Counter({(k, ""): docs_of[k] for k in docs_of})
+            for lang, c in by_lang.items():
+                for token, n in c.items():
+                    if token.isalpha():
+                        found[lang, token] += n
+                    else:
+                        for w in words_of(token):
+                            found[lang, w] += n
             keys = list(found)
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
@@ -222,14 +282,12 @@ def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
         docs_of: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                by_lang.setdefault(lang, Counter()).update(WORD.findall(text.as_py().lower()))
+                by_lang.setdefault(lang, Counter()).update(text.as_py().lower().split())
                 docs_of[lang] += 1
             if sum(map(len, by_lang.values())) > COUNTER_WORDS:
-                found = {(k, w): n for k, c in by_lang.items() for w, n in c.items()}
-                by_lang = {}
                 yield emit()
-        found = {(k, w): n for k, c in by_lang.items() for w, n in c.items()} | {(k, ""): n for k, n in docs_of.items()}
-        yield emit()
+                by_lang = {}
+        yield emit(docs_of)
 
     summed = rows.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(summed, "langid-words")
@@ -264,39 +322,66 @@ def _expectation(vocabulary: str, langs: list[str], logp: np.ndarray):
     return run
 
 
+class _Rows(dict):
+    """Token -> row; a token that is not there yet gets the next row, and is noted in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self.new.append(token)
+        self[token] = row = len(self)
+        return row
+
+
 class Scorer:
-    """Keeps the log-probabilities of the words it has met, as rows of a matrix."""
+    """Keeps the log-probabilities of the runs of letters and marks it has met, as rows of a matrix.
+
+    No word reaches across white space, so a run's row is the sum of its words'; it is 0 for runs without a letter.
+    """
 
     def __init__(self, model: dict, vocabulary: str):
         self.model = model
         self.table = Probabilities(pieces(vocabulary), model["logp"])
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1, len(self.model["langs"])))  # row 0: words without a letter
+        self.at, self.rows = _Rows(), np.zeros((1 << 16, len(model["langs"])))
+
+    def _learn(self) -> None:
+        new, self.at.new = self.at.new, []
+        words: dict[str, int] = {}
+        of_token = []
+        for token in new:
+            found = [token] if token.isalpha() else [w for w in words_of(token) if any(map(str.isalpha, w))]
+            of_token.append([words.setdefault(w, len(words)) for w in found])
+        values = word_log_probabilities(list(words), self.table)
+        while len(self.at) > len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        first = len(self.at) - len(new)
+        counts = np.array([len(x) for x in of_token])
+        token = np.repeat(np.arange(first, first + len(new)), counts)
+        self.rows[first : len(self.at)] = 0.0
+        np.add.at(self.rows, token, values[np.fromiter(chain.from_iterable(of_token), np.int64, len(token))])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         langs = self.model["langs"]
-        split = [WORD.findall(x.lower()) if x else [] for x in texts]
+        if not langs:
+            return [("und", 0.0)] * len(texts)
         if len(self.at) > CACHE_WORDS:
-            self.clear()
-        new = list(set().union(*split) - self.at.keys())
-        if new and langs:
-            lettered = [w for w in new if any(map(str.isalpha, w))]
-            self.at |= {w: 0 for w in new}
-            self.at |= {w: len(self.rows) + i for i, w in enumerate(lettered)}
-            self.rows = np.vstack([self.rows, word_log_probabilities(lettered, self.table)])
-        out = []
-        for words in split:
-            idx = np.array(list(map(self.at.__getitem__, words)), np.int64) if langs else np.zeros(0, np.int64)
-            if not idx.any():
-                out.append(("und", 0.0))
-                continue
-            total = self.rows[idx].sum(0) + self.model["prior"]
-            best = int(total.argmax())
-            out.append((langs[best], float(1.0 / np.exp(total - total[best]).sum())))
-        return out
+            self.at = _Rows()
+        split = [x.lower().split() if x else [] for x in texts]
+        sizes = np.array([len(x) for x in split], np.int64)
+        rows = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self.at.new:
+            self._learn()
+        total = np.zeros((len(texts), len(langs)))
+        ends = np.cumsum(sizes)
+        for i, a, b in zip(range(len(texts)), (ends - sizes).tolist(), ends.tolist()):
+            total[i] = self.rows[rows[a:b]].sum(0)
+        lettered = total.any(1)
+        total += self.model["prior"]
+        best = total.argmax(1)
+        top = total[np.arange(len(texts)), best]
+        score = 1.0 / np.exp(total - top[:, None]).sum(1)
+        return [(langs[k], s) if on else ("und", 0.0) for k, s, on in zip(best.tolist(), score.tolist(), lettered.tolist())]
 
 
 def predict(docs: DataFrame, model: dict, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
