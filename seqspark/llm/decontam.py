@@ -39,7 +39,8 @@ STRIDE = WINDOW // 2
 RANK, EXTRA, ROUNDS = 128, 16, 2
 DIMENSIONS = 1 << 14
 CHUNK = 512
-COMMON = 0.02  # words in a greater share of passages are columns of a dense matrix
+COMMON = 0.005  # words in a greater share of passages are columns of a dense matrix: a matter of speed alone
+TEXTS, FAN = 500, 256  # texts in a row of the table of word ids; sums that a group adds up
 LCS, LCS_WITH_ANSWER = 0.7, 0.55
 LITTLE_WEIGHT = 3.0  # the sum over an item's words; one word in 5 % of passages has as much
 _MARKS = ".,;:!?|\"'()[]{}<>*#$%&/\\-–—«»“”„’…¿¡"
@@ -183,16 +184,16 @@ def shared_words(dim: np.ndarray, starts: np.ndarray, counts: np.ndarray, top: n
     return np.concatenate(out)
 
 
-def gram_times(rows: DataFrame, basis: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """A' A basis over all rows of the corpus, summed in two steps of groups."""
+def gram_times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """A' A basis over all rows of the corpus. Tasks send the stretches of words that they have met; groups of FAN add them up, in steps."""
     dims, width = basis.shape
-    kind = "part int, salt int, data binary"
+    kind = "part int, salt long, data binary"
 
     def run(batches):
         total = np.zeros((dims, width), np.float32)
         for batch in batches:
-            for dim, w, starts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                dim, w, starts = np.frombuffer(dim, np.uint16).astype(np.int64), np.frombuffer(w, np.float32), np.frombuffer(starts, np.int32).astype(np.int64)
+            for pairs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                _, dim, w, starts = weighted(unpacked(*pairs), idf)
                 for _, _, dense, row, d, v in chunked(dim, w, starts, top, dims):
                     y = chunk_times(dense, row, d, v, top, basis)
                     total[top] += dense.T @ y
@@ -200,22 +201,28 @@ def gram_times(rows: DataFrame, basis: np.ndarray, top: np.ndarray) -> np.ndarra
                         order = np.argsort(d, kind="stable")
                         heads = np.flatnonzero(np.diff(d[order], prepend=-1))
                         total[d[order][heads]] += np.add.reduceat((v[:, None] * y[row])[order], heads, axis=0)
-        salt = TaskContext.get().partitionId() % 64
-        parts = range(0, dims, CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array([p // CHUNK for p in parts], pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([total[p : p + CHUNK].tobytes() for p in parts], pa.binary())], names=["part", "salt", "data"])
+        parts = [p for p in range(0, dims, CHUNK) if total[p : p + CHUNK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p // CHUNK for p in parts], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array([total[p : p + CHUNK].tobytes() for p in parts], pa.binary())], names=["part", "salt", "data"])
 
     def summed(key, rows_of_part):
         total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(float) for x in rows_of_part.column("data"))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    partial = rows.select("dim", "w", "starts").mapInArrow(run, kind).groupBy("part", "salt").applyInArrow(summed, kind)
+    partial = rows.select("row", "dim", "n").mapInArrow(run, kind)
+    for _ in range(2):
+        partial = partial.withColumn("salt", F.floor(F.col("salt") / FAN)).groupBy("part", "salt").applyInArrow(summed, kind)
     out = np.zeros((dims, width), np.float32)
-    for r in partial.groupBy("part").applyInArrow(summed, kind).collect():
-        out[r["part"] * CHUNK : (r["part"] + 1) * CHUNK] = np.frombuffer(bytes(r["data"]), np.float32).reshape(-1, width)
+    for r in partial.collect():  # a row per part, as many times as there are FAN * FAN tasks
+        out[r["part"] * CHUNK : (r["part"] + 1) * CHUNK] += np.frombuffer(bytes(r["data"]), np.float32).reshape(-1, width)
     return out
 
 
-def latent_basis(rows: DataFrame, items: tuple, dims: int, n_rows: int, top: np.ndarray, seed: int = 11) -> np.ndarray:
+def unpacked(row: bytes, dim: bytes, n: bytes) -> np.ndarray:
+    """The pairs of ``rows_of``, as stored."""
+    return np.stack([np.frombuffer(row, np.int32), np.frombuffer(dim, np.uint16), np.frombuffer(n, np.uint8)]).astype(np.int64)
+
+
+def latent_basis(rows: DataFrame, idf: np.ndarray, items: tuple, dims: int, n_rows: int, top: np.ndarray, seed: int = 11) -> np.ndarray:
     """Right singular vectors (dims x rank) of the passages and the items, by randomised subspace iteration."""
     _, dim, w, starts = items
     width = min(dims, RANK + EXTRA)
@@ -223,7 +230,7 @@ def latent_basis(rows: DataFrame, items: tuple, dims: int, n_rows: int, top: np.
 
     def times(q: np.ndarray) -> np.ndarray:
         y = project(dim, w, starts, q, top)
-        out = gram_times(rows, q, top).astype(float)
+        out = gram_times(rows, idf, q, top).astype(float)
         np.add.at(out, dim, weight * w[:, None] * np.repeat(y, np.diff(np.append(starts, len(dim))), axis=0))
         return out
 
@@ -243,18 +250,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out_type = f"id {kind}, piece int, cosine double, lcs double, has_answer boolean, first_word long"
 
+    def indexed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                ids, text, _, pairs = rows_of(bench, part.column(1).to_pylist())
+                sizes = np.array([len(x) for x in ids], np.int32)
+                stored = (np.concatenate(ids), sizes, pairs[0].astype(np.int32), pairs[1].astype(np.uint16), pairs[2].astype(np.uint8))
+                keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([len(text)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in stored)], names=["ids", "passages", "words", "sizes", "row", "dim", "n"])
+
+    # words of whole texts, once: the rest works on their numbers
+    matrix = written(rows.mapInArrow(indexed, f"ids array<{kind}>, passages long, words binary, sizes binary, row binary, dim binary, n binary"), "decontam-rows")
+
     def counted(batches):
-        df, n = np.zeros(bench.dims, np.int64), 0
+        df = np.zeros(bench.dims, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                _, text, _, pairs = rows_of(bench, batch.column(0).slice(at, 500).to_pylist())
-                df += np.bincount(pairs[1], minlength=bench.dims)
-                n += len(text)
+            for dim in batch.column(0).to_pylist():
+                df += np.bincount(np.frombuffer(dim, np.uint16), minlength=bench.dims)
         there = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(df[there], n))], names=["dim", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(df[there])], names=["dim", "n"])
 
-    counts = {r["dim"]: r["n"] for r in rows.select("text").mapInArrow(counted, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
-    n_rows = counts.pop(-1, 0)
+    counts = {r["dim"]: r["n"] for r in matrix.select("dim").mapInArrow(counted, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
+    n_rows = matrix.agg(F.sum("passages")).head()[0] or 0
     df = np.zeros(bench.dims)
     df[list(counts)] = list(counts.values())
     idf = np.log((n_rows + 2) / (df + 1))  # above 0 for every word
@@ -262,16 +280,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     least = np.array([LCS_WITH_ANSWER * len(p) for _, p, _ in bench.pieces])
     little = [float(idf[np.array(p) % bench.dims].sum()) < LITTLE_WEIGHT for _, p, _ in bench.pieces]
 
-    def sparse(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                _, dim, w, starts = weighted(rows_of(bench, batch.column(0).slice(at, 500).to_pylist())[3], idf)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (dim.astype(np.uint16), w, starts.astype(np.int32))], names=["dim", "w", "starts"])
-
     key = [np.array([[k, d, n] for k, (_, p, _) in enumerate(bench.pieces) for d, n in zip(*np.unique(np.array(p) % bench.dims, return_counts=True))], np.int64).reshape(-1, 3).T]
     items = weighted(key[0], idf)
-    matrix = written(rows.select("text").mapInArrow(sparse, "dim binary, w binary, starts binary"), "decontam-rows")
-    basis = latent_basis(matrix, items, bench.dims, n_rows, top)
+    basis = latent_basis(matrix, idf, items, bench.dims, n_rows, top)
     latent = np.zeros((len(bench.pieces), basis.shape[1]), np.float32)
     if len(items[3]):
         latent[items[0][items[3]]] = project(*items[1:], basis, top)
@@ -281,12 +292,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         counts = np.zeros((bench.dims, len(bench.pieces)), np.uint8)
         np.add.at(counts, (key[0][1], key[0][0]), key[0][2].astype(np.uint8))
         for batch in batches:
-            found = {c: [] for c in ("row", "piece", "cosine", "lcs", "answer", "first")}
-            for at in range(0, batch.num_rows, 250):
-                ids, text, first, pairs = rows_of(bench, batch.column(1).slice(at, 250).to_pylist())
-                row, dim, w, starts = weighted(pairs, idf)
+            for b in range(batch.num_rows):
+                found = {c: [] for c in ("row", "piece", "cosine", "lcs", "answer", "first")}
+                keys, words, sizes = batch.column(0)[b].values, np.frombuffer(batch.column(1)[b].as_buffer(), np.int32), np.frombuffer(batch.column(2)[b].as_buffer(), np.int32)
+                row, dim, w, starts = weighted(unpacked(*(batch.column(c)[b].as_buffer() for c in (3, 4, 5))), idf)
                 if not len(starts):
                     continue
+                n_of = np.array([passages(x) for x in sizes.tolist()])
+                text = np.repeat(np.arange(len(sizes)), n_of)
+                first = (np.arange(len(text)) - (np.cumsum(n_of) - n_of)[text]) * STRIDE
+                begin = np.cumsum(sizes, dtype=np.int64) - sizes
                 rows_, pieces_ = np.nonzero(shared_words(dim, starts, counts, top) >= least)
                 there, where = np.unique(rows_, return_inverse=True)
                 if not len(there):
@@ -299,20 +314,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 for r, k, piece in zip(rows_, where, pieces_):
                     p = row[starts[r]]
                     _, want, answer = bench.pieces[piece]
-                    window = ids[text[p]][first[p] : first[p] + WINDOW].tolist()
+                    at = begin[text[p]]
+                    window = words[at + first[p] : at + min(first[p] + WINDOW, sizes[text[p]])].tolist()
                     share = common_subsequence(bench.masks[piece], len(want), window) / len(want)
                     if share < LCS_WITH_ANSWER or (little[piece] and not unbroken(want, window, LCS_WITH_ANSWER)):
                         continue
                     has = bool(answer) and common_subsequence(bench.answer_masks[piece], len(answer), window) >= 0.8 * len(answer)
                     if has or (share >= LCS and not (little[piece] and not unbroken(want, window, LCS))):
-                        for c, v in zip(found, (at + text[p], piece, float(cosine[k, piece]), share, has, int(first[p]))):
+                        for c, v in zip(found, (text[p], piece, float(cosine[k, piece]), share, has, int(first[p]))):
                             found[c].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(found["row"], pa.int64())), pa.array(found["piece"], pa.int32()), pa.array(found["cosine"], pa.float64()), pa.array(found["lcs"], pa.float64()), pa.array(found["answer"], pa.bool_()), pa.array(found["first"], pa.int64())],
-                names=["id", "piece", "cosine", "lcs", "has_answer", "first_word"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(found["row"], pa.int64())), pa.array(found["piece"], pa.int32()), pa.array(found["cosine"], pa.float64()), pa.array(found["lcs"], pa.float64()), pa.array(found["answer"], pa.bool_()), pa.array(found["first"], pa.int64())],
+                    names=["id", "piece", "cosine", "lcs", "has_answer", "first_word"],
+                )
 
-    hits = rows.mapInArrow(searched, out_type)
+    hits = matrix.select("ids", "words", "sizes", "row", "dim", "n").mapInArrow(searched, out_type)
     names = docs.sparkSession.createDataFrame([(k, p[0]) for k, p in enumerate(bench.pieces)], f"piece int, item {item_kind}")
     best = hits.join(names, "piece").groupBy("id", "item").agg(F.max(F.struct("lcs", "cosine", "has_answer", "first_word")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.cosine", "b.lcs", "b.has_answer", "b.first_word")
