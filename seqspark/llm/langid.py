@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.shared import fold, mix64, table, written
+from seqspark.llm.shared import Numbered, fold, mix64, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 800_000
@@ -322,18 +322,6 @@ def _expectation(vocabulary: str, langs: list[str], logp: np.ndarray):
     return run
 
 
-class _Rows(dict):
-    """Token -> row; a token that is not there yet gets the next row, and is noted in ``new``."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, token: str) -> int:
-        self.new.append(token)
-        self[token] = row = len(self)
-        return row
-
-
 class Scorer:
     """Keeps the log-probabilities of the runs of letters and marks it has met, as rows of a matrix.
 
@@ -343,7 +331,7 @@ class Scorer:
     def __init__(self, model: dict, vocabulary: str):
         self.model = model
         self.table = Probabilities(pieces(vocabulary), model["logp"])
-        self.at, self.rows = _Rows(), np.zeros((1 << 16, len(model["langs"])))
+        self.at, self.rows = Numbered(), np.zeros((1 << 16, len(model["langs"])))
 
     def _learn(self) -> None:
         new, self.at.new = self.at.new, []
@@ -366,7 +354,7 @@ class Scorer:
         if not langs:
             return [("und", 0.0)] * len(texts)
         if len(self.at) > CACHE_WORDS:
-            self.at = _Rows()
+            self.at = Numbered()
         split = [x.lower().split() if x else [] for x in texts]
         sizes = np.array([len(x) for x in split], np.int64)
         rows = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))

@@ -72,5 +72,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class Numbered(dict):
+    """Word -> number; a word that is not there yet gets the next number, and is noted in ``new``."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

@@ -3,17 +3,21 @@
 Both public vocabularies used here split a text before they merge, and never
 merge across the chunks made below; so the ids of a text are those of its
 chunks in a row. Chunks repeat, so each worker keeps the ids of those it has
-met, in a dictionary of bounded size that is emptied when full.
+met, up to a bound; then the half that was met first stays. Texts that may hold
+an added token go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain, islice
 
 import numpy as np
 
-CACHE_CHUNKS = {"apart": 450_000, "spaced": 700_000}
+from seqspark.llm.shared import Numbered
+
+CACHE_CHUNKS = 1_200_000
 # Unicode white space, as the tokenizers' patterns have it (Python's own class has four more).
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -43,6 +47,10 @@ _TAIL = "!#$%&*.,|;:?"
 CHUNKS = {"apart": words_apart, "spaced": words_with_space}
 
 
+#: A text with this may hold one of the vocabularies' added tokens, which stand for one id wherever they are.
+_ADDED = "<|"
+
+
 class Encoder:
     """Ids of texts as little-endian bytes of ``dtype``; ``chunks`` names how the vocabulary's pre-tokenizer splits."""
 
@@ -52,10 +60,9 @@ class Encoder:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.split, self.apart, self.most = CHUNKS[chunks], chunks == "apart", CACHE_CHUNKS[chunks]
+        self.split, self.apart = CHUNKS[chunks], chunks == "apart"
         # words of Latin letters need no normalising or pattern: the same merges, with white space between words
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
@@ -63,48 +70,85 @@ class Encoder:
         self.edge = np.zeros(self.size, bool)  # ids that end a word, or that begin one after a blank
         for piece, i in self.tokenizer.get_vocab().items():
             self.edge[i] = piece.endswith("</w>") if self.apart else piece.startswith(_BLANK)
-        self.seen: dict[str, bytes] = {"": b""}
+        # chunk -> row; a row's ids are ids[start[row] :][: length[row]]
+        self.rows, self.used = Numbered(), 0
+        self.start, self.length, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.split(x) if x else [] for x in texts]
-        if len(self.seen) > self.most:
-            self.seen = {"": b""}
-        seen = self.seen
-        if new := set().union(*split).difference(seen):
-            self._learn(new)
-        get = seen.__getitem__
-        return [b"".join(map(get, x)) for x in split]
-
-    def _learn(self, new: set[str]) -> None:
+        if len(self.rows) > CACHE_CHUNKS:
+            self._forget()
+        split = [self.split(x) if x and _ADDED not in x else [] for x in texts]
+        sizes = np.array([len(x) for x in split], np.int64)
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self.rows.new:
+            self._learn()
+        data, n = self._gather(rows)
+        ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(sizes))] * self.dtype.itemsize
+        raw = data.tobytes()
+        out = [raw[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for i, x in enumerate(texts):
+            if x and _ADDED in x:
+                out[i] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()
+        return out
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, one after the other, and how many each has."""
+        n = self.length[rows]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(n) else 0)
+        at += np.repeat(self.start[rows] - (ends - n), n)
+        return self.ids[at], n
+
+    def _forget(self) -> None:
+        """Keep the half of the chunks that was met first: the frequent ones are among them."""
+        keep = CACHE_CHUNKS // 2
+        data, n = self._gather(np.arange(keep))
+        self.start[:keep], self.length[:keep], self.used = np.cumsum(n) - n, n, len(data)
+        self.ids[: self.used] = data
+        self.rows = Numbered(islice(self.rows.items(), keep))
+
+    def _add(self, rows, ids: np.ndarray, n: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[rows], self.length[rows] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
+
+    def _learn(self) -> None:
         """Encode chunks. One that ends in marks after a letter, or holds single line ends, is put together from its parts."""
-        seen = self.seen
-        whole = {w for w in new if w[-1] not in _TAIL and "\n" not in w}
-        composed = []
-        for w in new.difference(whole):
-            if parts := self._parts(w):
-                composed.append((w, parts))
-                whole.update(parts)
+        new, first = self.rows.new, len(self.rows) - len(self.rows.new)
+        ascii_, latin, rest, composed, parts = [], [], [], [], []
+        for k, w in enumerate(new):  # parts that have not been met join ``new``
+            if w.isascii() and (w if self.apart else w[1:]).isalpha() and (self.apart or w[0] == " "):
+                ascii_.append(k)
+            elif w and (w[-1] in _TAIL or "\n" in w) and (found := self._parts(w)):
+                composed.append(k)
+                parts.append([self.rows[x] for x in found])
+            elif self._is_plain(w):
+                latin.append(k)
             else:
-                whole.add(w)
-        whole.difference_update(seen)
-        plain = [w for w in whole if self._is_plain(w)]
-        whole.difference_update(plain)
-        ascii_, other = [w for w in plain if w.isascii()], [w for w in plain if not w.isascii()]
-        for part in (ascii_, other):
-            for at in range(0, len(part), 20_000):
-                self._learn_plain(part[at : at + 20_000])
-        rest = list(whole)
-        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            seen[w] = np.array(found.ids, self.dtype).tobytes()
-        for w, parts in composed:
-            seen[w] = b"".join([seen[x] for x in parts])
+                rest.append(k)
+        self.rows.new = []
+        while len(self.rows) > len(self.start):
+            self.start, self.length = np.append(self.start, np.zeros_like(self.start)), np.append(self.length, np.zeros_like(self.length))
+        for some in (ascii_, latin):
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                self._add(first + np.array(part), *self._plain_ids([new[k] for k in part]))
+        if rest:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)]
+            self._add(first + np.array(rest), np.fromiter(chain.from_iterable(found), self.dtype), np.array([len(x) for x in found], np.int64))
+        if composed:
+            sizes = np.array([len(x) for x in parts])
+            data, n = self._gather(np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum())))
+            self._add(first + np.array(composed), data, np.add.reduceat(n, np.cumsum(sizes) - sizes))
 
     def _is_plain(self, w: str) -> bool:
         word = w if self.apart else w[1:]
         return word.isalpha() and max(word) <= "ÿ" and (self.apart or w[0] == " ")
 
-    def _learn_plain(self, words: list[str]) -> None:
-        """Words all of ASCII, or all with other letters."""
+    def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, all of ASCII or all with other letters, and how many each has."""
         if self.apart:
             text = " ".join(words).lower()
         else:
@@ -115,13 +159,10 @@ class Encoder:
         (found,) = self.plain.encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(found.ids, self.dtype)
         edges = np.flatnonzero(self.edge[ids])
-        cuts = (edges + 1 if self.apart else np.append(edges[1:], len(ids))) * self.dtype.itemsize
+        cuts = edges + 1 if self.apart else np.append(edges[1:], len(ids))
         if len(cuts) != len(words):
             raise ValueError("the vocabulary marks words in another way")
-        data, at = ids.tobytes(), 0
-        for w, cut in zip(words, cuts.tolist()):
-            self.seen[w] = data[at:cut]
-            at = cut
+        return ids, np.diff(cuts, prepend=0)
 
     @staticmethod
     def _parts(w: str) -> list[str] | None:

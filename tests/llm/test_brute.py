@@ -82,7 +82,7 @@ def test_chunks_give_the_ids_of_whole_texts(name, chunks, docs):
     r = random.Random(3)
     texts = [*docs.text.fillna("").head(60), *("".join(r.choice("ab Zé\n.,\t  '’sS1٣%\x1c\x85\xa0́Σςİ\x0b<|endoftext|>ﬁ你") for _ in range(r.randint(0, 40))) for _ in range(4000))]
     whole = Tokenizer.from_file(P.path(name))
-    whole.encode_special_tokens = True
+    texts += [f"{x[:20]}<|endoftext|>{x[20:]}" for x in texts[:300]]
     enc = Encoder(P.path(name), chunks)
     for x, want, got in zip(texts, whole.encode_batch(texts, add_special_tokens=False), enc.encode_all(texts)):
         assert np.frombuffer(got, enc.dtype).tolist() == want.ids, repr(x)
@@ -93,7 +93,6 @@ def test_huffman(spark, sf, docs):
     lengths = huffman.code_lengths(c, 12)
     assert lengths.max() <= 12 and abs((2.0 ** -lengths).sum() - 1) < 1e-12
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = [[*x.ids, 1] for x in t.encode_batch(docs.text.fillna("").tolist(), add_special_tokens=False)]
     got = rows(Q["op3_huffman_tokens"](spark, sf)).sort_values("doc_id")
     assert got.n_tokens.tolist() == [len(x) for x in ids]
@@ -103,7 +102,6 @@ def test_huffman(spark, sf, docs):
 
 def test_packing(spark, sf, docs):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {k: np.array([*x.ids, 0], "<u4") for k, x in zip(docs.doc_id, t.encode_batch(docs.text.fillna("").tolist(), add_special_tokens=False))}
     got = rows(Q["op4_mixture_packing"](spark, sf))
     for r in got.itertuples():
