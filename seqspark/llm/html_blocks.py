@@ -7,7 +7,7 @@ whole sequence, so every block is judged in the context of its page, and gives
 each block the probability of being part of the article.
 
 It is trained here, on at most ``max_pages`` pages (those with the smallest
-hash of their id): blocks get weak labels from the meaning of HTML5 elements and of
+hash of their id) and ``max_blocks`` blocks of each (extraction reads all): blocks get weak labels from the meaning of HTML5 elements and of
 common class names, and the same blocks are also dealt into other layouts
 (comment threads, side bars, notices, forms, pages of plain divs), in part with
 names of elements and classes left out, so that context has to be used.
@@ -33,16 +33,23 @@ from seqspark.llm.shared import least_by_hash, table
 PATH_DIM, WORD_DIM = 96, 48
 DIM = PATH_DIM + WORD_DIM + 8
 HIDDEN = 20
+DEEP = 64  # a block is described by as many elements from either end of its path; its text is never cut
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>|[^<]++|<", re.S)
+_OPENS = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAME = re.compile(r"[a-z]+")
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "math", "xmp"}
+_RAW = {"script", "style", "textarea", "iframe", "xmp"}  # what they hold is no markup; that of xmp is text
 _RAW_END = {t: re.compile(rf"(?i)</{t}\b[^>]*>") for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul label".split())
 _CLOSES_P = _BLOCK - {"button", "label", "option", "body", "head", "html", "title"}
 _HEADLESS = {"head", "title", "option", "select"}
+#: Elements whose end tag may be left out: what else they close when they open, and up to where.
+_LISTS, _ROWS, _ENTRIES = ("ul", "ol", "menu"), ("table", "tbody", "thead", "tfoot"), ("dl",)
+_ENDS = {"li": (("li",), _LISTS), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), _ROWS), "dt": (("dt", "dd"), _ENTRIES), "dd": (("dt", "dd"), _ENTRIES), "option": (("option",), ("select",))}
+_P_SCOPE = ("ul", "ol", "table", "td", "th", "div", "section", "article", "body")
 
 
 class Block:
@@ -52,12 +59,70 @@ class Block:
         self.text, self.words, self.path, self.linked = text, words, path, linked
 
 
+class _TagEnds:
+    """Where tags end that have other tags or unclosed quotes in them, in one pass over the page.
+
+    Between a tag's quotes, the same place always leads to the same end; so
+    places from which a tag has been found not to end are kept.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.near = page, set(), (0, -1)
+
+    def find(self, at: int) -> int:
+        """The place of the > that ends a tag, looking from ``at``; -1 if it never ends."""
+        page, seen = self.page, []
+        a, stop = self.near
+        if not a <= at <= stop:
+            found = _STOP.search(page, at)
+            stop = found.start() if found else len(page)
+            self.near = at, stop
+        while stop < len(page) and stop not in self.dead:
+            if page[stop] == ">":
+                return stop
+            seen.append(stop)
+            close = page.find(page[stop], stop + 1)
+            if close < 0:
+                break
+            found = _STOP.search(page, close + 1)
+            stop = found.start() if found else len(page)
+        self.dead.update(seen)
+        return -1
+
+
+class _Open:
+    """The open elements, with the places of each name."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def path(self) -> tuple:
+        """All open elements; of more than twice DEEP, the DEEP outermost and innermost ones."""
+        return tuple(self.stack) if len(self.stack) <= 2 * DEEP else (*self.stack[:DEEP], *self.stack[-DEEP:])
+
+    def last(self, names: tuple) -> int:
+        return max((x[-1] for n in names if (x := self.places.get(n))), default=-1)
+
+    def push(self, name: str, names: tuple) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, names))
+
+    def cut(self, i: int) -> list[str]:
+        """Close element i and all in it."""
+        gone = [name for name, _ in self.stack[i:]]
+        for name in gone:
+            self.places[name].pop()
+        del self.stack[i:]
+        return gone
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order: text, words, path of (element, names) and characters inside links."""
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple]] = []
+    tree, ends = _Open(), _TagEnds(page)
     parts: list[str] = []
     linked = links = hidden = 0
 
@@ -66,40 +131,49 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             words = html.unescape("".join(parts)).split()
             if words and not hidden:
-                out.append(Block(" ".join(words), words, tuple(stack), linked))
+                out.append(Block(" ".join(words), words, tree.path(), linked))
             parts, linked = [], 0
 
     def pop_to(i):
         nonlocal links, hidden
-        for name, _ in stack[i:]:
+        for name in tree.cut(i):
             links -= name == "a"
             hidden -= name in _HEADLESS
-        del stack[i:]
+
+    def text(x):
+        nonlocal linked
+        parts.append(x)
+        linked += len(x) if links else 0
 
     at, match = 0, _TOKEN.match
     while at < len(page):
         m = match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0][0] != "<" or m[0] == "<":
-                parts.append(m[0])
-                linked += len(m[0]) if links else 0
+        slash, name, rest = m[1], m[2], m[3]
+        if name is None and m[0] == "<" and (m := _OPENS.match(page, at)) and (end := ends.find(m.end())) >= 0:
+            slash, name, rest, at = m[1], m[2], page[m.end() : end], end + 1
+        elif name is None:
+            word = m[0] if m else "<"
+            if m is None or word[0] != "<" or word == "<":
+                text(word if m else "<")
+            at = m.end() if m else at + 1
             continue
+        else:
+            at = m.end()
         name = name.lower()
-        if m[1]:
+        if slash:
             if name in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 60), -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
+            if (i := tree.last((name,))) >= 0:
+                pop_to(i)
             continue
         if name in _RAW:
             end = _RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
-            if name == "textarea":
+            if name == "xmp":
                 flush()
+                text(html.escape(page[at : end.start() if end else len(page)]))
+            if name in ("textarea", "xmp"):
+                flush()
+            at = end.end() if end else len(page)
             continue
         if name == "br":
             parts.append(" ")
@@ -108,18 +182,15 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             if name == "body":
                 pop_to(0)
-            elif name in _CLOSES_P or name in ("li", "td", "tr", "option"):
-                close = "p" if name in _CLOSES_P and name != "li" else name
-                for i in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
-                    if stack[i][0] == close:
-                        pop_to(i)
-                        break
-                    if stack[i][0] in ("ul", "ol", "table", "div", "section", "article", "body"):
-                        break
-        if name in _VOID or m[3].endswith("/"):
+            else:
+                if name in _CLOSES_P and (i := tree.last(("p",))) > tree.last(_P_SCOPE):
+                    pop_to(i)
+                if name in _ENDS and (i := tree.last(_ENDS[name][0])) > tree.last(_ENDS[name][1]):
+                    pop_to(i)
+        if name in _VOID or rest.endswith("/"):
             continue
-        names = tuple(w for a in _ATTR.finditer(m[3]) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())) if m[3] else ()
-        stack.append((name, names))
+        names = tuple(w for a in _ATTR.finditer(rest) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())) if rest else ()
+        tree.push(name, names)
         links += name == "a"
         hidden += name in _HEADLESS
     flush()
@@ -301,7 +372,7 @@ def weak_label(block: Block) -> int:
     return inside
 
 
-def layouts(page: list[Block], label: list[int], r: np.random.Generator) -> tuple[list[Block], list[int]]:
+def layouts(page: list[Block], label: list[int], r: np.random.Generator, max_blocks: int = 400) -> tuple[list[Block], list[int]]:
     """The blocks of one page dealt into another layout, with their labels."""
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     good, bad = [b for b, y in zip(page, label) if y], [b for b, y in zip(page, label) if not y]
@@ -346,7 +417,7 @@ def layouts(page: list[Block], label: list[int], r: np.random.Generator) -> tupl
     body = pick([[("article", ())], [("main", ())], [("main", ()), ("article", ())], [("div", ("content",))], [("div", ("post", "body"))], [("div", ("entry", "content"))], [("article", ()), ("div", ("text",))], [("section", ("story",))], [("div", ("main",)), ("div", ("article",))], [("div", ("article",))]])
     if r.random() < 0.8:
         put(good[0], [*body, (pick(["h1", "h1", "h2"]), ())], 1, short(good[0], 12))
-    for b in good[:60]:
+    for b in good[:max_blocks]:
         tag = pick(["p", "p", "p", "p", "li", "blockquote", "h2", "h3", "td", "pre", "div"])
         words = short(b, 9) if tag in ("h2", "h3") or r.random() < 0.1 else b.words
         put(b, [*body, *([("ul", ())] if tag == "li" else []), (tag, ()), *([("b", ())] if r.random() < 0.1 else [])], 1, words)
@@ -375,14 +446,14 @@ def layouts(page: list[Block], label: list[int], r: np.random.Generator) -> tupl
 _SEED_PAGE = "<body><nav><ul><li><a>home</a></li><li><a>news</a></li></ul></nav><article><h1>A title of some words</h1>" + "<p>Some words of plain prose, which stand for an article, and a few more of them.</p>" * 4 + "</article><footer>All rights reserved</footer></body>"
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 250, copies: int = 3, seed: int = 7) -> Labeller:
-    """Fit on at most ``max_pages`` pages and ``copies`` other layouts of each."""
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 250, max_blocks: int = 400, copies: int = 3, seed: int = 7) -> Labeller:
+    """Fit on at most ``max_pages`` pages, the first ``max_blocks`` blocks of each, and ``copies`` other layouts of them."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("html IS NOT NULL")
     taken = [r["html"] for r in least_by_hash(rows, "id", max_pages, F.length("html")).collect()]
     r = np.random.default_rng(seed)
     xs, ys = [], []
     for page in taken or [_SEED_PAGE]:
-        found = blocks(page)[:400]
+        found = blocks(page)[:max_blocks]
         if not found:
             continue
         label = [weak_label(b) for b in found]
@@ -392,7 +463,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max
             xs.append(vectors(found, lambda _: r.random() < 0.1))
             ys.append(ys[-1])
         for k in range(copies):
-            some, y = layouts(found, label, r)
+            some, y = layouts(found, label, r, max_blocks)
             xs.append(vectors(some, (lambda _: r.random() < 0.15) if k else None))
             ys.append(np.array(y, float))
     model = Labeller(seed)
