@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from seqspark.operators.stats import by_time
 
@@ -61,6 +64,48 @@ def family(columns: list[str], prefixes: tuple[str, ...]) -> list[str]:
     return [c for c in columns if c.lower().startswith(tuple(p.lower() for p in prefixes))]
 
 
+def numeric_columns(df: DataFrame, prefixes: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> list[str]:
+    """Columns of numbers that don't begin with one of ``prefixes``, whatever their case, and aren't ``excluded``."""
+    drop = {*family(df.columns, prefixes), *excluded} if prefixes else {*excluded}
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in drop]
+
+
+def full_quaternion(df: DataFrame, columns: dict[str, str], out: tuple = ("qw", "qx", "qy", "qz")) -> DataFrame:
+    """All four components; ``columns`` names those there are (w, x, y, z -> column). A missing w column is 1, other missing ones are null; null values stay."""
+    part = lambda k: F.col(columns[k]) if columns.get(k) in df.columns else F.lit(1.0 if k == "w" else None)
+    return df.withColumns({o: part(k).cast("double") for k, o in zip("wxyz", out)})
+
+
+#: Column families of sensor tables: alternative names, the first that fits is taken.
+QUATERNIONS = (("rot_w", "rot_x", "rot_y", "rot_z"), ("quat_w", "quat_x", "quat_y", "quat_z"))
+THERMAL = ("thm_", "therm_", "thermal_")
+
+
+def families(columns: list[str]) -> dict[str, list]:
+    """The quaternion, thermal and time-of-flight columns of a table, by their names alone; ``sensors`` are the ids of the latter."""
+    rotation = next((list(q) for q in QUATERNIONS if all(c in columns for c in q)), [])
+    thermal = next((found for p in THERMAL if (found := [c for c in columns if c.startswith(p)])), [])
+    pixels = [c for c in columns if re.fullmatch(r"tof_\d+_v.+", c)]
+    return {"rotation": rotation, "thermal": thermal, "tof": pixels, "sensors": sorted({int(c.split("_")[1]) for c in pixels})}
+
+
+def unified(df: DataFrame, keys: list[str], n_thermal: int = 5, n_sensors: int = 5, n_pixels: int = 64) -> DataFrame:
+    """``keys`` and every family under fixed names (rot_w.., thm_1.., tof_1_v0..); what the table lacks is a null of type double."""
+    found = families(df.columns)
+    at = dict(zip(QUATERNIONS[0], found["rotation"])) | {f"thm_{m[1]}": c for c in found["thermal"] if (m := re.search(r"_(\d+)$", c))} | {c: c for c in found["tof"]}
+    names = [*QUATERNIONS[0], *(f"thm_{i + 1}" for i in range(n_thermal)), *(f"tof_{s + 1}_v{p}" for s in range(n_sensors) for p in range(n_pixels))]
+    return df.select(*keys, *((F.col(at[n]) if n in at else F.lit(None)).cast("double").alias(n) for n in names))
+
+
+def variant(df: DataFrame, kind: str) -> DataFrame:
+    """``full``, or ``imu_only``: the same columns with the thermal and time-of-flight families null."""
+    if kind not in ("full", "imu_only"):
+        raise ValueError(f"no variant {kind}")
+    found = families(df.columns)
+    gone = [] if kind == "full" else [*found["thermal"], *found["tof"]]
+    return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in gone}) if gone else df
+
+
 def draw(seed: int, *keys: str) -> Column:
     """A uniform number in [0, 1) that depends on the seed and the keys alone, bit for bit the same everywhere."""
     mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))

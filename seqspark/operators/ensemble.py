@@ -46,16 +46,51 @@ def ranked(p: Column) -> Column:
     return F.transform(F.reverse(F.array_sort(F.transform(p, lambda x, i: F.struct(x.alias("p"), (-i).alias("m"))))), lambda s: F.struct(s["p"].alias("p"), (-s["m"]).cast("long").alias("class")))
 
 
-def low_confidence_boost(p: Column, n_targets: int, below: float = 0.35, factor: float = 1.15) -> Column:
-    """Raise the targets where no class is sure and at least two of the five best are targets."""
-    near = F.size(F.filter(F.slice(ranked(p), 1, 5), lambda s: s["class"] < n_targets))
-    return F.when((F.array_max(p) < below) & (near >= 2), boosted(p, n_targets, factor)).otherwise(p)
+def _scaled(p: Column, chosen, factor) -> Column:
+    """The classes for which ``chosen(class)`` holds, times ``factor``."""
+    return F.transform(p, lambda x, i: F.when(chosen(i), x * factor).otherwise(x))
 
 
-def override_when_unsure(p: Column, n_targets: int, below: float = 0.25) -> Column:
-    """The predicted class; where its probability is low, the best target among the three best classes, if there is one."""
+def low_confidence_boost(p: Column, n_targets: int, below: float = 0.35, factor: float = 1.15, similarity: dict[tuple[int, int], float] | None = None) -> Column:
+    """Raise the targets among the five best classes where no class is sure and at least two of the five are targets.
+
+    Where the best stays below half of ``below``, similar classes of the three best (over 0.5 in ``similarity``) are drawn together, from the third up.
+    """
+    five = F.filter(F.transform(F.slice(ranked(p), 1, 5), lambda s: s["class"]), lambda c: c < n_targets)
+    up = F.when((F.array_max(p) < below) & (F.size(five) >= 2), _scaled(p, lambda i: F.array_contains(five, i.cast("long")), factor)).otherwise(p)
+    if not similarity:
+        return up
+    known = F.create_map(*(F.lit(x) for (i, j), v in similarity.items() for key in {(i, j), (j, i)} for x in (key[0] * 1000 + key[1], float(v))))
+    alike = lambda i, j: F.coalesce(F.try_element_at(known, (i * 1000 + j).cast("int")), F.lit(0.0))
+    best = F.slice(ranked(up), 1, 3)
+    cls, val = [best[k]["class"] for k in (2, 1, 0)], [best[k]["p"] for k in (2, 1, 0)]
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        sim = alike(cls[i], cls[j])
+        half = F.when(sim > 0.5, sim * 0.3).otherwise(0.0) / 2
+        val[i], val[j] = val[i] + (val[j] - val[i]) * half, val[j] + (val[i] - val[j]) * half
+    place = lambda x, i: F.when(i == cls[0], val[0]).when(i == cls[1], val[1]).when(i == cls[2], val[2]).otherwise(x)
+    return F.when((F.array_max(p) < below / 2) & (F.size(p) >= 3), F.transform(up, place)).otherwise(up)
+
+
+def confusion_boost(p: Column, n_targets: int, pairs: list[tuple[int, int, float]], gap: float = 0.15, similar: float = 0.7) -> Column:
+    """Where the predicted class is nearly tied with one it is often taken for (pairs: predicted, other, similarity), the target of the two is raised."""
+    said, out = argmax(p), p
+    for a, b, s in pairs:
+        if s > similar and (a < n_targets) != (b < n_targets):
+            target = b if b < n_targets else a
+            out = F.when((said == a) & (out[a] - out[b] < gap), _scaled(out, lambda i, k=target: i == k, 1.1 + 0.1 * s)).otherwise(out)
+    return out
+
+
+def boosted_by_rolloff(p: Column, n_targets: int, rolloff: Column, factor: float = 1.2, limit: float = 5.0, more: float = 1.05) -> Column:
+    """Targets times ``factor``, by ``more`` again where the spectrum reaches past ``limit`` Hz; not renormalised."""
+    return _scaled(p, lambda i: i < n_targets, F.when(rolloff > limit, factor * more).otherwise(factor))
+
+
+def override_when_unsure(p: Column, n_targets: int, below: float = 0.25, sure: Column | None = None) -> Column:
+    """The predicted class; where ``sure`` (the highest probability, unless given) is low, the best target among the three best classes, if there is one."""
     target = F.get(F.filter(F.slice(ranked(p), 1, 3), lambda s: s["class"] < n_targets), F.lit(0))["class"]
-    return F.when(F.array_max(p) < below, F.coalesce(target, argmax(p))).otherwise(argmax(p))
+    return F.when((F.array_max(p) if sure is None else sure) < below, F.coalesce(target, argmax(p))).otherwise(argmax(p))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

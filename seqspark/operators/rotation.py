@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.operators.stats import by_time
+from seqspark.operators.stats import by_time, whole
 
 Quaternion = tuple[Column, Column, Column, Column]
 
@@ -64,11 +64,27 @@ def log_map(q: Quaternion) -> tuple[Column, Column, Column]:
     return tuple(F.when(length > 1e-12, sign * c * angle / length).otherwise(0.0) for c in q[1:])
 
 
-def angular_velocity(q: Quaternion, dt: float, frame: str = "world") -> tuple[Column, Column, Column]:
-    """Rotation per second from each row to the next, in world or body axes; null in the last row."""
+def angular_velocity(df: DataFrame, q: Quaternion, dt: float, frame: str = "world", tail: str = "repeat", names: tuple = ("ox", "oy", "oz")) -> DataFrame:
+    """``df`` with the rotation per second from each row to the next, in world or body axes.
+
+    The last row of a sequence repeats the one before, or is 0 with ``tail`` "zero"; a single row is 0.
+    """
     ahead = following(q)
     turn = product(ahead, conjugate(q)) if frame == "world" else product(conjugate(q), ahead)
-    return tuple(F.when(ahead[0].isNotNull(), c / dt) for c in log_map(turn))
+    out = df.withColumns({n: F.when(ahead[0].isNotNull(), c / dt) for n, c in zip(names, log_map(turn))})
+    last = {n: F.lag(n).over(by_time()) if tail == "repeat" else F.lit(0.0) for n in names}
+    return out.withColumns({n: F.coalesce(F.col(n), last[n], F.lit(0.0)) for n in names})
+
+
+def without_static_gravity(df: DataFrame, columns: tuple = ("wx", "wy", "wz"), out: tuple = ("gx", "gy", "gz"), gate: float = 0.1, gravity: float = 9.8) -> DataFrame:
+    """World acceleration less its mean over the first tenth of the rows (z keeps ``gravity``), for sequences of more than 10 rows whose calmest axis has a variance below ``gate``."""
+    p = whole()
+    df = df.withColumn("_n", F.count("*").over(p)).withColumn("_low", F.least(*(F.var_pop(c).over(p) for c in columns)))
+    early, still = F.expr("idx < greatest(_n div 10, 1)"), (F.col("_n") > 10) & (F.col("_low") < gate)
+    shifted = {}
+    for c, name, shift in zip(columns, out, (0.0, 0.0, gravity)):
+        shifted[name] = F.when(still, F.col(c) - (F.avg(F.when(early, F.col(c))).over(p) - shift)).otherwise(F.col(c))
+    return df.withColumns(shifted).drop("_n", "_low")
 
 
 def angular_distance(q: Quaternion) -> Column:

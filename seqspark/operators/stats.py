@@ -71,3 +71,11 @@ def runs(df: DataFrame, flag: str, sequence: str = "sequence_id", idx: str = "id
     change = F.when(F.col(flag).eqNullSafe(F.lag(flag).over(w)) & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1)
     island = df.withColumn("_change", change).withColumn("_island", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(sequence, "_island", flag).agg(F.min(idx).alias("start"), F.max(idx).alias("end"), F.count("*").alias("length")).drop("_island")
+
+
+def with_other(df: DataFrame, category: Column, least: float = 0.05, other: str = "Other") -> DataFrame:
+    """(category, n); categories with a smaller share of the rows than ``least`` are counted together."""
+    c = df.groupBy(category.alias("k")).agg(F.count("*").alias("n"))
+    total = c.agg(F.sum("n").alias("total"))
+    s = c.crossJoin(total)  # one row beside a row per category
+    return s.groupBy(F.when(F.col("n") / F.col("total") < least, other).otherwise(F.col("k")).alias("category")).agg(F.sum("n").alias("n"))

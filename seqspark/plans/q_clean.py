@@ -144,9 +144,21 @@ def _(t):
     return C.validation(t.fe, {"null_g": F.col("g").isNull(), "large_v": F.col("v") > 90, "negative_v": F.col("v") < 0})
 
 
-@query("p25_variant", "sequence_id idx", "ax qw", "SELECT sequence_id, idx, ax, NULL AS qw FROM fv")
+@query("p25_variant", "kind sequence_id idx", "ax quat_w thm_1 tof_1_v0", "SELECT 'full' AS kind, sequence_id, idx, ax, qw AS quat_w, ay AS thm_1, az AS tof_1_v0 FROM fv UNION ALL SELECT 'imu_only', sequence_id, idx, ax, qw, NULL, NULL FROM fv")
 def _(t):
-    return t.fv.withColumns({c: F.lit(None).cast("double") for c in ("qw", "qx", "qy", "qz")})
+    wide = t.fv.select("sequence_id", "idx", "ax", F.col("qw").alias("quat_w"), F.col("ay").alias("thm_1"), F.col("az").alias("tof_1_v0"))
+    of = lambda k: C.variant(wide, k).withColumn("kind", F.lit(k))
+    return of("full").unionByName(of("imu_only"))
+
+
+@query("p02_families", "kind", "n rot_w thm_2 tof_3_v1 tof_1_v0", "SELECT 'first' AS kind, count(*) AS n, avg(qw) AS rot_w, avg(ay) AS thm_2, avg(az) AS tof_3_v1, NULL AS tof_1_v0 FROM fv UNION ALL SELECT 'second', count(*), NULL, avg(ay), NULL, avg(az) FROM fv", digits=4)
+def _(t):
+    """Two tables that name their families differently, under one set of names."""
+    first = t.fv.select("sequence_id", "idx", *(F.col(f"q{k}").alias(f"quat_{k}") for k in "wxyz"), F.col("ay").alias("therm_2"), F.col("az").alias("tof_3_v1"))
+    second = t.fv.select("sequence_id", "idx", F.col("qw").alias("rot_w"), F.col("ay").alias("thermal_2"), F.col("az").alias("tof_1_v0"))  # three components are missing
+    names = ("rot_w", "thm_2", "tof_3_v1", "tof_1_v0")
+    of = lambda df, k: C.unified(df, ["sequence_id", "idx"]).agg(F.lit(k).alias("kind"), F.count("*").alias("n"), *(F.avg(c).alias(c) for c in names))
+    return of(first, "first").unionByName(of(second, "second"))
 
 
 _DRAW = "('0x' || substr(md5('{seed}:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT / 4294967296.0"
@@ -210,10 +222,12 @@ def _(t):
     return C.fill_quaternion(_gappy(t))
 
 
-@query("n04_full_quaternion", "sequence_id idx", "qw qx qy qz", "SELECT sequence_id, idx, 1.0 AS qw, qx, qy, qz FROM fv")
+@query("n04_full_quaternion", "kind sequence_id idx", "qw qx qy qz", f"WITH {_GAPPY} SELECT 'all' AS kind, sequence_id, idx, qw, qx, qy, qz FROM gq UNION ALL SELECT 'no_w', sequence_id, idx, 1.0, qx, qy, qz FROM gq UNION ALL SELECT 'no_z', sequence_id, idx, qw, qx, qy, NULL FROM gq")
 def _(t):
-    have = t.fv.drop("qw")
-    return have.withColumn("qw", F.lit(1.0)) if "qw" not in have.columns else have
+    g = _gappy(t)
+    have = {k: f"q{k}" for k in "wxyz"}
+    of = lambda df, k: C.full_quaternion(df, have).withColumn("kind", F.lit(k))
+    return of(g, "all").unionByName(of(g.drop("qw"), "no_w")).unionByName(of(g.drop("qz"), "no_z"))
 
 
 @query("n05_family_sentinel", "sequence_id idx", "x", "SELECT sequence_id, idx, coalesce(g, -1.5 * (SELECT max(g) FROM fe)) AS x FROM fe")
@@ -356,6 +370,17 @@ def _(t):
     return _round_trip(t, t.table("customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "csv")
 
 
+@query("s03_header", "position name n_known", "", " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS name, count({c}) AS n_known FROM customer" for i, c in enumerate(("c_custkey", "c_mktsegment", "c_acctbal"))))
+def _(t):
+    """Columns as the header of a file names them; then what each of them holds."""
+    path = f"{shared_folder(t)}/header-{uuid.uuid4().hex}"
+    t.table("customer").select("c_custkey", "c_mktsegment", "c_acctbal").write.option("header", True).csv(path)
+    names = R.header(t.spark, path)
+    rows = R.read_frames(t.spark, path, ", ".join(f"`{c}` string" for c in names))
+    one = rows.agg(F.array(*(F.struct(F.lit(i).cast("long").alias("position"), F.lit(c).alias("name"), F.count(c).alias("n_known")) for i, c in enumerate(names))).alias("x"))
+    return one.select(F.explode("x").alias("x")).select("x.*")
+
+
 @query("s02_pruned_scan", "c_custkey", "c_acctbal", "SELECT c_custkey, c_acctbal FROM customer")
 def _(t):
     return t.table("customer").select("c_custkey", "c_acctbal")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqspark.operators import clean as C
 from seqspark.operators import ensemble as E
 from seqspark.operators import stats as S
+from seqspark.plans.q_signals import _CUM, _PSD, rolloffs
 from seqspark.plans.registry import query
 
 LONG = "l AS (SELECT row_id, y, unnest(p) AS p, unnest(p2) AS p2, unnest(p3) AS p3, unnest(range(10)) AS class FROM proba)"
@@ -174,18 +175,34 @@ def _(t):
     return _wide(t.proba.withColumn("q", E.boosted(F.col("p"), 4, 1.2)))
 
 
-@query("m22_low_confidence", "row_id", _C, f"WITH {LONG}, r AS (SELECT *, max(p) OVER (PARTITION BY row_id) AS top, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, class) AS k FROM l), f AS (SELECT *, count(*) FILTER (k <= 5 AND class < 4) OVER (PARTITION BY row_id) AS near FROM r), b AS (SELECT row_id, class, p, top < 0.35 AND near >= 2 AS hit, CASE WHEN class < 4 THEN p * 1.15 ELSE p END AS u FROM f), s AS (SELECT row_id, class, CASE WHEN hit THEN u / sum(u) OVER (PARTITION BY row_id) ELSE p END AS s FROM b) SELECT row_id, {_PIVOT} FROM s GROUP BY 1")
+_SIM = "CASE WHEN 1 - abs({0} - {1}) / 10.0 > 0.5 THEN (1 - abs({0} - {1}) / 10.0) * 0.15 ELSE 0 END"
+
+
+@query(
+    "m22_low_confidence", "row_id", _C,
+    f"WITH {LONG}, r AS (SELECT *, max(p) OVER (PARTITION BY row_id) AS top, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, class) AS k FROM l), f AS (SELECT *, count(*) FILTER (k <= 5 AND class < 4) OVER (PARTITION BY row_id) AS near FROM r), b AS (SELECT row_id, class, top, CASE WHEN top < 0.35 AND near >= 2 AND k <= 5 AND class < 4 THEN p * 1.15 ELSE p END AS u FROM f), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY u DESC, class) AS k FROM b), "
+    "t0 AS (SELECT row_id, " + ", ".join(f"max(class) FILTER (k = {3 - i}) AS c{i}, max(u) FILTER (k = {3 - i}) AS v{i}" for i in range(3)) + " FROM o GROUP BY 1), "
+    f"t1 AS (SELECT row_id, c0, c1, c2, v0 + (v1 - v0) * h AS v0, v1 + (v0 - v1) * h AS v1, v2 FROM (SELECT *, {_SIM.format('c0', 'c1')} AS h FROM t0) AS x), "
+    f"t2 AS (SELECT row_id, c0, c1, c2, v0 + (v2 - v0) * h AS v0, v1, v2 + (v0 - v2) * h AS v2 FROM (SELECT *, {_SIM.format('c0', 'c2')} AS h FROM t1) AS x), "
+    f"t3 AS (SELECT row_id, c0, c1, c2, v0, v1 + (v2 - v1) * h AS v1, v2 + (v1 - v2) * h AS v2 FROM (SELECT *, {_SIM.format('c1', 'c2')} AS h FROM t2) AS x), "
+    f"s AS (SELECT o.row_id, class, CASE WHEN top < 0.175 AND class = c0 THEN v0 WHEN top < 0.175 AND class = c1 THEN v1 WHEN top < 0.175 AND class = c2 THEN v2 ELSE u END AS s FROM o JOIN t3 USING (row_id)) SELECT row_id, {_PIVOT} FROM s GROUP BY 1",
+)
 def _(t):
-    return _wide(t.proba.withColumn("q", E.low_confidence_boost(F.col("p"), 4)))
+    alike = {(i, j): 1 - (j - i) / 10.0 for i in range(10) for j in range(i + 1, 10)}
+    return _wide(t.proba.withColumn("q", E.low_confidence_boost(F.col("p"), 4, similarity=alike)))
+
 
+_TIED = {0: "(y = 0 AND p[1] - p[5] < 0.15) OR (y = 4 AND p[5] - p[1] < 0.15)", 1: "(y = 1 AND p[2] - p[6] < 0.15) OR (y = 5 AND p[6] - p[2] < 0.15)"}
 
-@query("m23_confusion_pairs", "row_id class", "", f"WITH {LONG}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, class) AS k FROM l), t AS (SELECT row_id, max(class) FILTER (k = 1) AS a, max(class) FILTER (k = 2) AS b, max(p) FILTER (k = 1) - max(p) FILTER (k = 2) AS gap FROM r WHERE k <= 2 GROUP BY 1) SELECT row_id, CASE WHEN gap < 0.15 AND (least(a, b), greatest(a, b)) IN ((0, 4), (1, 5)) AND b < 4 THEN b ELSE a END AS class FROM t")
+
+@query(
+    "m23_confusion_pairs", "row_id", _C,
+    "WITH a AS (SELECT row_id, p, list_position(p, list_max(p)) - 1 AS y FROM proba) SELECT row_id, " + ", ".join(f"CASE WHEN {_TIED[i]} THEN p[{i + 1}] * {(1.18, 1.175)[i]} ELSE p[{i + 1}] END AS c{i}" if i in _TIED else f"p[{i + 1}] AS c{i}" for i in range(10)) + " FROM a",
+)
 def _(t):
-    pairs = t.spark.createDataFrame([(0, 4, 0.8), (1, 5, 0.75), (2, 6, 0.5)], "x long, y long, similarity double").where("similarity > 0.7")
-    r = t.proba.withColumn("r", E.ranked(F.col("p")))
-    top = r.select("row_id", F.col("r")[0]["class"].alias("a"), F.col("r")[1]["class"].alias("b"), (F.col("r")[0]["p"] - F.col("r")[1]["p"]).alias("gap"))
-    top = top.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(pairs, ["x", "y"], "left")
-    return top.select("row_id", F.when((F.col("gap") < 0.15) & F.col("similarity").isNotNull() & (F.col("b") < 4), F.col("b")).otherwise(F.col("a")).alias("class"))
+    pairs = [(0, 4, 0.8), (4, 0, 0.8), (1, 5, 0.75), (5, 1, 0.75), (2, 6, 0.5), (0, 1, 0.9)]  # the last two change nothing: too little alike, or both targets
+    return _wide(t.proba.withColumn("q", E.confusion_boost(F.col("p"), 4, pairs)))
 
 
 @query("m24_normalise", "row_id", _C, f"WITH {LONG}, z AS (SELECT row_id, class, CASE WHEN row_id % 5 = 0 THEN 0 ELSE p * class END AS s FROM l), n AS (SELECT row_id, class, CASE WHEN sum(s) OVER (PARTITION BY row_id) = 0 THEN s ELSE s / sum(s) OVER (PARTITION BY row_id) END AS s FROM z) SELECT row_id, {_PIVOT} FROM n GROUP BY 1")
@@ -249,6 +266,12 @@ def _(t):
     return t.table("documents").select("doc_id").join(t.table("labels").select("doc_id", "quality"), "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(-1)))
 
 
-@query("m33_override", "row_id class", "", f"WITH {LONG}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, class) AS k FROM l), t AS (SELECT row_id, max(p) AS top, max(class) FILTER (k = 1) AS a, arg_min(class, k) FILTER (k <= 3 AND class < 4) AS b FROM r GROUP BY 1) SELECT row_id, CASE WHEN top < 0.25 THEN coalesce(b, a) ELSE a END AS class FROM t")
+@query(
+    "m33_override", "row_id class", "",
+    f"WITH {_PSD}, {_CUM}, ro AS (SELECT sequence_id, min(freq) FILTER (cum >= 0.85 * total) AS rolloff FROM c GROUP BY 1), {LONG}, u AS (SELECT l.row_id, class, p, CASE WHEN class < 4 THEN p * (CASE WHEN rolloff > 5 THEN 1.26 ELSE 1.2 END) ELSE p END AS u FROM l LEFT JOIN ro ON ro.sequence_id = l.row_id), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY u DESC, class) AS k FROM u), t AS (SELECT row_id, max(p) AS top, max(class) FILTER (k = 1) AS a, arg_min(class, k) FILTER (k <= 3 AND class < 4) AS b FROM r GROUP BY 1) SELECT row_id, CASE WHEN top < 0.25 THEN coalesce(b, a) ELSE a END AS class FROM t",
+)
 def _(t):
-    return t.proba.select("row_id", E.override_when_unsure(F.col("p"), 4).alias("class"))
+    """Targets are raised, more so where a sequence's spectrum reaches past 5 Hz; then unsure rows take the best target near the top."""
+    rolloff = rolloffs(t).withColumnRenamed("sequence_id", "row_id")
+    rows = t.proba.join(rolloff, "row_id", "left").withColumn("q", E.boosted_by_rolloff(F.col("p"), 4, F.col("rolloff")))
+    return rows.select("row_id", E.override_when_unsure(F.col("q"), 4, sure=F.array_max("p")).alias("class"))

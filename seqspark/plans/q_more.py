@@ -30,18 +30,24 @@ def _(t):
     return K.wavelet_features(t.fe)
 
 
-@query("p07_numeric_columns", "n_columns", "", "SELECT 3 + 0 * count(*) AS n_columns FROM orders")
+_NUMERIC = ("l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("p07_numeric_columns", "feature n", "mean", " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, avg({c}) AS mean FROM lineitem" for c in _NUMERIC), digits=4)
 def _(t):
-    from pyspark.sql.types import NumericType
+    """Numbers, but for keys by prefix and one column by name."""
+    df = t.table("lineitem")
+    names = C.numeric_columns(df, prefixes=("l_order", "L_PART"), excluded=("l_tax",))
+    one = df.agg(F.array(*(F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean")) for c in names)).alias("x"))
+    return one.select(F.explode("x").alias("x")).select("x.*")
+
 
-    df = t.table("orders")
-    names = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
-    return df.agg((F.lit(len(names)).cast("long") + 0 * F.count("*")).alias("n_columns"))
+_TYPED = "CASE typeof(max({0})) WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' ELSE typeof(max({0})) END"
 
 
-@query("j03_profile", "feature n_missing n_distinct dtype", "", "SELECT 'o_orderstatus' AS feature, count(*) - count(o_orderstatus) AS n_missing, count(DISTINCT o_orderstatus) AS n_distinct, 'string' AS dtype FROM orders UNION ALL SELECT 'o_custkey', count(*) - count(o_custkey), count(DISTINCT o_custkey), 'bigint' FROM orders")
+@query("j03_profile", "feature n_missing n_distinct dtype", "", " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct, {_TYPED.format(c)} AS dtype FROM orders" for c in ("o_orderstatus", "o_custkey", "o_totalprice")))
 def _(t):
-    df = t.table("orders").select("o_orderstatus", "o_custkey")
+    df = t.table("orders").select("o_orderstatus", "o_custkey", "o_totalprice")
     one = df.agg(F.array(*(F.struct(F.lit(c).alias("feature"), (F.count("*") - F.count(c)).alias("n_missing"), F.countDistinct(c).alias("n_distinct"), F.lit(k).alias("dtype")) for c, k in df.dtypes)).alias("p"))
     return one.select(F.explode("p").alias("x")).select("x.*")
 

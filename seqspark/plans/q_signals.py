@@ -38,19 +38,11 @@ def _(t):
 
 @query(
     "f03_static_gravity", "sequence_id idx", "gx gy gz",
-    f"WITH {_WORLD}, s AS (SELECT *, count(*) OVER p AS n, least(var_pop(wx) OVER p, var_pop(wy) OVER p, var_pop(wz) OVER p) AS low FROM w0 WINDOW p AS (PARTITION BY sequence_id)), m AS (SELECT *, avg(CASE WHEN idx < greatest(n // 10, 1) THEN wx END) OVER p AS mx, avg(CASE WHEN idx < greatest(n // 10, 1) THEN wy END) OVER p AS my, avg(CASE WHEN idx < greatest(n // 10, 1) THEN wz END) OVER p AS mz FROM s WINDOW p AS (PARTITION BY sequence_id)) SELECT sequence_id, idx, CASE WHEN n > 10 AND low < 10 THEN wx - mx ELSE wx END AS gx, CASE WHEN n > 10 AND low < 10 THEN wy - my ELSE wy END AS gy, CASE WHEN n > 10 AND low < 10 THEN wz - (mz - 9.8) ELSE wz END AS gz FROM m", digits=5,
+    f"WITH {_WORLD}, u AS (SELECT sequence_id, idx, wx / 10 AS wx, wy / 10 AS wy, wz / 10 AS wz FROM w0), s AS (SELECT *, count(*) OVER p AS n, least(var_pop(wx) OVER p, var_pop(wy) OVER p, var_pop(wz) OVER p) AS low FROM u WINDOW p AS (PARTITION BY sequence_id)), m AS (SELECT *, avg(CASE WHEN idx < greatest(n // 10, 1) THEN wx END) OVER p AS mx, avg(CASE WHEN idx < greatest(n // 10, 1) THEN wy END) OVER p AS my, avg(CASE WHEN idx < greatest(n // 10, 1) THEN wz END) OVER p AS mz FROM s WINDOW p AS (PARTITION BY sequence_id)) SELECT sequence_id, idx, CASE WHEN n > 10 AND low < 0.1 THEN wx - mx ELSE wx END AS gx, CASE WHEN n > 10 AND low < 0.1 THEN wy - my ELSE wy END AS gy, CASE WHEN n > 10 AND low < 0.1 THEN wz - (mz - 9.8) ELSE wz END AS gz FROM m", digits=5,
 )
 def _(t):
-    p = S.whole()
-    df = _world(t).withColumn("n", F.count("*").over(p))
-    df = df.withColumn("low", F.least(*(F.var_pop(c).over(p) for c in ("wx", "wy", "wz"))))
-    early = F.expr("idx < greatest(n div 10, 1)")
-    still = (F.col("n") > 10) & (F.col("low") < 10)
-    out = {}
-    for c, shift in (("x", 0.0), ("y", 0.0), ("z", 9.8)):
-        mean = F.avg(F.when(early, F.col(f"w{c}"))).over(p)
-        out[f"g{c}"] = F.when(still, F.col(f"w{c}") - (mean - shift)).otherwise(F.col(f"w{c}"))
-    return df.withColumns(out)
+    """Tenths of the table's numbers, which are near the gate of 0.1."""
+    return R.without_static_gravity(_world(t).withColumns({c: F.col(c) / 10 for c in ("wx", "wy", "wz")}))
 
 
 @query("f04_linear_acceleration", "sequence_id idx", "lx ly lz", f"WITH {_WORLD} SELECT sequence_id, idx, wx AS lx, wy AS ly, wz - 9.81 AS lz FROM w0")
@@ -84,17 +76,18 @@ def _velocity_sql(frame: str) -> str:
     else:
         vec = "qw * nw + qx * nx + qy * ny + qz * nz AS dw, qw * nx - qx * nw - qy * nz + qz * ny AS dx, qw * ny + qx * nz - qy * nw - qz * nx AS dy, qw * nz - qx * ny + qy * nx - qz * nw AS dz"
     one = lambda c: f"CASE WHEN len > 1e-12 THEN sgn * {c} * 2 * atan2(len, abs(dw)) / len ELSE 0 END / 0.05"
-    return f"WITH n AS (SELECT *, {nxt} FROM fv), d AS (SELECT sequence_id, idx, nw, {vec} FROM n), l AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS len, CASE WHEN dw < 0 THEN -1 ELSE 1 END AS sgn FROM d) SELECT sequence_id, idx, {', '.join(f'CASE WHEN nw IS NOT NULL THEN {one("d" + c)} END AS o{c}' for c in 'xyz')} FROM l"
+    tail = lambda c: f"coalesce(o{c}, lag(o{c}) OVER (PARTITION BY sequence_id ORDER BY idx), 0) AS o{c}" if frame == "world" else f"coalesce(o{c}, 0) AS o{c}"
+    return f"WITH n AS (SELECT *, {nxt} FROM fv), d AS (SELECT sequence_id, idx, nw, {vec} FROM n), l AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS len, CASE WHEN dw < 0 THEN -1 ELSE 1 END AS sgn FROM d), o AS (SELECT sequence_id, idx, {', '.join(f'CASE WHEN nw IS NOT NULL THEN {one("d" + c)} END AS o{c}' for c in 'xyz')} FROM l) SELECT sequence_id, idx, {', '.join(map(tail, 'xyz'))} FROM o"
 
 
 @query("f08_angular_velocity_world", "sequence_id idx", "ox oy oz", _velocity_sql("world"), digits=5)
 def _(t):
-    return t.fv.withColumns(dict(zip(("ox", "oy", "oz"), R.angular_velocity(R.quaternion(), 0.05))))
+    return R.angular_velocity(t.fv, R.quaternion(), 0.05)
 
 
 @query("f09_angular_velocity_body", "sequence_id idx", "ox oy oz", _velocity_sql("body"), digits=5)
 def _(t):
-    return t.fv.withColumns(dict(zip(("ox", "oy", "oz"), R.angular_velocity(R.quaternion(), 0.05, "body"))))
+    return R.angular_velocity(t.fv, R.quaternion(), 0.05, "body", "zero")
 
 
 _DISTANCE = "d AS (SELECT sequence_id, idx, abs(" + " + ".join(f"q{k} * lead(q{k}) OVER (PARTITION BY sequence_id ORDER BY idx)" for k in "wxyz") + ") AS dot FROM fv)"
@@ -230,7 +223,7 @@ _CUM = "c AS (SELECT *, sum(power) OVER (PARTITION BY sequence_id) AS total, sum
 
 
 @query("q09_rolloff", "sequence_id", "rolloff", f"WITH {_PSD}, {_CUM} SELECT sequence_id, min(freq) FILTER (cum >= 0.85 * total) AS rolloff FROM c GROUP BY 1")
-def _(t):
+def rolloffs(t):
     return S.summarise(P.with_shares(psd(t)), {"rolloff": P.share_edge(None, 0.85)})
 
 

@@ -312,12 +312,9 @@ def _(t):
     return kinds.agg((F.sum("count") - F.count("*")).alias("n_duplicates"))
 
 
-@query("a38_category_other", "category n", "", "WITH c AS (SELECT c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT k, n, n / sum(n) OVER () AS share FROM c) SELECT CASE WHEN share < 0.2 THEN 'Other' ELSE k END AS category, sum(n)::BIGINT AS n FROM s GROUP BY 1")
+@query("a38_category_other", "category n", "", "WITH c AS (SELECT l_linenumber::VARCHAR AS k, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT k, n, n / sum(n) OVER () AS share FROM c) SELECT CASE WHEN share < 0.05 THEN 'Other' ELSE k END AS category, sum(n)::BIGINT AS n FROM s GROUP BY 1")
 def _(t):
-    c = t.table("customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    total = c.agg(F.sum("n").alias("total"))
-    s = c.crossJoin(total)  # one row beside a row per category
-    return s.groupBy(F.when(F.col("n") / F.col("total") < 0.2, "Other").otherwise(F.col("c_mktsegment")).alias("category")).agg(F.sum("n").alias("n"))
+    return S.with_other(t.table("lineitem"), F.col("l_linenumber").cast("string"))
 
 
 @query("a39_sequences_per_category", "phase n_sequences", "", "SELECT phase, count(DISTINCT sequence_id) AS n_sequences FROM fe GROUP BY 1")

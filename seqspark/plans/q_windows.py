@@ -24,17 +24,18 @@ def _(t):
 
 
 def _rolling_sql(sizes, std_max=False):
-    cols = ", ".join(f"CASE WHEN count(*) OVER w{k} = {k} THEN avg(v) OVER w{k} END AS m{k}, CASE WHEN count(*) OVER w{k} = {k} THEN stddev_samp(v) OVER w{k} END AS s{k}" for k in sizes)
+    cols = ", ".join(f"avg(v) OVER w{k} AS m{k}, stddev_samp(v) OVER w{k} AS s{k}" for k in sizes)
     wins = ", ".join(f"w{k} AS (PARTITION BY sequence_id ORDER BY idx ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in sizes)
     out = ", ".join(f"avg(m{k}) AS mean_mean{k}, stddev_samp(m{k}) AS mean_std{k}, avg(s{k}) AS std_mean{k}, " + (f"max(s{k}) AS std_max{k}" if std_max else f"stddev_samp(s{k}) AS std_std{k}") for k in sizes)
     return f"WITH r AS (SELECT sequence_id, {cols} FROM fe WINDOW {wins}) SELECT sequence_id, {out} FROM r GROUP BY 1"
 
 
 def _rolling(t, sizes, std_max=False):
+    """Trailing windows count from the first row on; a deviation needs two rows."""
     cols = {}
     for k in sizes:
         w = O.trailing(k)
-        cols |= {f"m{k}": O.full(F.avg("v").over(w), w, k), f"s{k}": O.full(F.stddev_samp("v").over(w), w, k)}
+        cols |= {f"m{k}": F.avg("v").over(w), f"s{k}": F.stddev_samp("v").over(w)}
     df = t.fe.select("sequence_id", *(c.alias(n) for n, c in cols.items()))
     out = {}
     for k in sizes:
@@ -53,18 +54,24 @@ def _(t):
     return _rolling(t, (5, 20, 50), True)
 
 
-@query("w05_centred_mean", "sequence_id", "mean std p10 p90", "WITH r AS (SELECT sequence_id, CASE WHEN count(*) OVER w = 10 THEN avg(v) OVER w END AS m FROM fe WINDOW w AS (PARTITION BY sequence_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)) SELECT sequence_id, avg(m) AS mean, stddev_pop(m) AS std, quantile_cont(m, 0.1) AS p10, quantile_cont(m, 0.9) AS p90 FROM r GROUP BY 1")
+@query("w05_centred_mean", "sequence_id", "mean std p10 p90", "WITH r AS (SELECT sequence_id, avg(v) OVER w AS m FROM fe WINDOW w AS (PARTITION BY sequence_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)) SELECT sequence_id, avg(m) AS mean, stddev_pop(m) AS std, quantile_cont(m, 0.1) AS p10, quantile_cont(m, 0.9) AS p90 FROM r GROUP BY 1")
 def _(t):
     w = O.centred(10)
     p = F.percentile("m", F.array(F.lit(0.1), F.lit(0.9)))
-    return S.summarise(t.fe.withColumn("m", O.full(F.avg("v").over(w), w, 10)), {"mean": F.avg("m"), "std": F.stddev_pop("m"), "p10": p[0], "p90": p[1]})
+    return S.summarise(t.fe.withColumn("m", F.avg("v").over(w)), {"mean": F.avg("m"), "std": F.stddev_pop("m"), "p10": p[0], "p90": p[1]})
 
 
-@query("w06_tail_windows", "sequence_id", "mean_s std_s mean_m std_m", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY idx DESC) AS k, count(*) OVER (PARTITION BY sequence_id) AS n FROM fe) SELECT sequence_id, avg(v) FILTER (k <= 30 AND n >= 20) AS mean_s, stddev_pop(v) FILTER (k <= 30 AND n >= 20) AS std_s, avg(v) FILTER (k <= 80 AND n >= 60) AS mean_m, stddev_pop(v) FILTER (k <= 80 AND n >= 60) AS std_m FROM r GROUP BY 1")
+_TAILS = {"s": (30, 20), "m": (80, 60), "l": (256, 200)}  # the last so many rows, of sequences that have so many at least
+
+
+@query(
+    "w06_tail_windows", "sequence_id", " ".join(f"mean_{k} std_{k}" for k in _TAILS),
+    "WITH r AS (SELECT sequence_id, ax, row_number() OVER (PARTITION BY sequence_id ORDER BY idx DESC) AS k, count(*) OVER (PARTITION BY sequence_id) AS n FROM fv) SELECT sequence_id, " + ", ".join(f"avg(ax) FILTER (k <= {size} AND n >= {least}) AS mean_{k}, stddev_pop(ax) FILTER (k <= {size} AND n >= {least}) AS std_{k}" for k, (size, least) in _TAILS.items()) + " FROM r GROUP BY 1", digits=5,
+)
 def _(t):
-    df = t.fe.withColumns({"k": O.from_end(), "n": F.count("*").over(S.whole())})
-    part = {"s": (F.col("k") <= 30) & (F.col("n") >= 20), "m": (F.col("k") <= 80) & (F.col("n") >= 60)}
-    return S.summarise(df, {f"{a}_{k}": f(F.when(c, F.col("v"))) for k, c in part.items() for a, f in (("mean", F.avg), ("std", F.stddev_pop))})
+    df = t.fv.withColumns({"k": O.from_end(), "n": F.count("*").over(S.whole())})
+    part = {k: (F.col("k") <= size) & (F.col("n") >= least) for k, (size, least) in _TAILS.items()}
+    return S.summarise(df, {f"{a}_{k}": f(F.when(c, F.col("ax"))) for k, c in part.items() for a, f in (("mean", F.avg), ("std", F.stddev_pop))})
 
 
 @query(
