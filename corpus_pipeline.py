@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes and reads again as the next stage's documents. All but the last return
 the columns of documents.
+
+Defined cases: a null or empty text fails the quality rules and goes; null ids,
+languages and sources are kept as they are; rows that share a doc_id are judged
+one by one, and of rows that are equal in every column one stays; of the texts
+of a class of near-duplicates that with the smallest id stays (a row without an
+id comes before all others); extra columns are carried along, whatever
+their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -15,9 +22,13 @@ from seqspark.llm import decontam, near_dup, packing, pii, quality_rules
 from seqspark.llm.shared import table, written
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with an id of its own for every row, so rows that share a doc_id are judged one by one."""
-    return docs.select(F.struct(F.col("doc_id"), F.xxhash64("doc_id", "text", "lang", "source", "n_chars").alias("row")).alias("_key"), "*")
+def _keyed(docs: DataFrame) -> tuple[str, DataFrame]:
+    """Documents with a new column, an id of its own for every row, so rows that share a doc_id are judged one by one; and its name."""
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return name, docs.select(F.struct(F.col("doc_id"), F.xxhash64("doc_id", "text", *rest).alias("row")).alias(name), "*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +42,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that with the smallest id; of rows with this id, one."""
-    classes = near_dup.near_duplicates(_keyed(docs), "_key")
-    kept = classes.where(F.col("_key") == F.col("class_id")).select("_key").distinct()
-    return _keyed(docs).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    key, keyed = _keyed(docs)
+    classes = near_dup.near_duplicates(keyed, key)
+    kept = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).select(key).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    leaks = decontam.find_leaks(_keyed(docs), table(spark, sf_dir, "benchmark"), "_key")
-    return _keyed(docs).join(leaks.select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
+    key, keyed = _keyed(docs)
+    leaks = decontam.find_leaks(keyed, table(spark, sf_dir, "benchmark"), key)
+    return keyed.join(leaks.select(key).distinct(), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +73,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Four of the five stages have no SQL form; tests/llm/test_pipeline.py holds them against brute force.
+#: Four of the five stages have no SQL form; tests/llm/test_brute.py holds them against brute force.
 ORACLE_SQL = None
 
 
