@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a private one of this process where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a private one in local mode, and an error on a cluster."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="seqspark-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -60,7 +63,9 @@ def least_by_hash(df: DataFrame, id_col: str, n: int, *ties) -> DataFrame:
     key = F.xxhash64(id_col)
     total = df.count()
     if total > 4 * n:
-        df = df.where(key < -(1 << 63) + int((1 << 64) * 2 * n / total))
+        cut = df.where(key < -(1 << 63) + int((1 << 64) * 2 * n / total))
+        if cut.count() >= n:  # few distinct ids may leave less; then all rows are sorted
+            df = cut
     return df.orderBy(key, id_col, *ties).limit(n)
 
 
