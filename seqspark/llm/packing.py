@@ -184,7 +184,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end
     queue = docs.sparkSession.createDataFrame([(s, i) for i, (s, *_) in enumerate(own)], "source string, queue int")
     others = totals.join(queue, "source", "left_anti").agg(F.sum("n").alias("n"), F.sum("weight").alias("w")).head()
     sizes = [n for _, n, _ in own] + [others["n"] or 0]
-    schedule = Schedule(sizes, [w for *_, w in own] + [others["w"] or 0.0])
+    # tens of MB for max_queues queues: sent to each executor once
+    schedule = docs.sparkSession.sparkContext.broadcast(Schedule(sizes, [w for *_, w in own] + [others["w"] or 0.0]))
     placed = runs.join(totals.select("source", "weight"), "source").join(queue, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(own))))
     order = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # a row per shard and source; written, so that Spark knows its size when it chooses how to join it
@@ -197,7 +198,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end
             index, out = [], {c: [] for c in ("start", "length", "crc", "sequence", "offset", "tokens")}
             for r, (local, n, b, q) in enumerate(zip(*(col[c].to_pylist() for c in ("local", "n", "base", "queue")))):
                 data = np.frombuffer(col["ids"][r].as_buffer(), width).astype("<u4")
-                for start, length, place in schedule.pieces(q, b + local, n):
+                for start, length, place in schedule.value.pieces(q, b + local, n):
                     while length:
                         take = min(length, SEQUENCE - place % SEQUENCE)
                         part = data[start : start + take]

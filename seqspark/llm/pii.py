@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,14 +127,16 @@ _DOT = rf"(?:\s?[\[({{<]\s?(?:{_DOT_WORD}|\.)\s?[\])}}>]\s?|\s{_DOT_WORD}\s|\s?_
 _AT = re.compile(r"(?i)\s?[\[({<]\s?(?:at|arroba|@)\s?[\])}>]\s?|\s(?:at|arroba)\s|_at_|-at-|\s?@\s?")
 _BARE_AT = re.compile(r"(?i)\s(?:at|arroba)\s|\s@\s?|\s?@\s")
 _HIDDEN_DOT = re.compile(rf"(?i){_DOT}")
-_TAIL = re.compile(rf"(?i)[a-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[a-z0-9-]{{1,63}}){{0,8}}?(?:{_DOT}|\.)[a-z]{{2,24}}(?![a-z0-9-])(?:(?:{_DOT}|\.)[a-z]{{2,24}}(?![a-z0-9-]))*")
+_TAIL = re.compile(rf"(?i)[a-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[a-z0-9-]{{1,63}})*?(?:{_DOT}|\.)[a-z]{{2,24}}(?![a-z0-9-])(?:(?:{_DOT}|\.)[a-z]{{2,24}}(?![a-z0-9-]))*")
 _DOT_BEFORE = re.compile(rf"(?i)[a-z0-9]{_DOT}$")
 _DOT_HINTS = ("dot", "punto", "punkt", "point", "[.", "(.", "{.", "<.", "[ .", "( .", "{ .", "< .")
 _AT_HINTS = ("[at", "(at", "<at", "{at", "[ at", "( at", "{ at", "< at", "_at_", "-at-", "arroba")
 #: Where a text may hold what the first transducer changes: anything but ASCII, Latin letters and common punctuation.
 _UNUSUAL = re.compile("[^\x00-\xa9\xab\xac\xae-\xb1\xb4-\xb6\xb8\xbb-\u0130\u0132-\u017f\u2018-\u201f\u2026]")
 # Endings that a host written with the bare words at and dot must have.
-_ENDINGS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv eu us uk ie ca au nz in de at ch fr be nl lu es pt it pl cz se no dk fi ru ua cn jp kr br mx ar example test invalid".split())
+_ENDINGS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv eu us uk ie ca au nz in de at ch fr be nl lu es pt it pl cz se no dk fi ru ua cn jp kr br mx ar example test invalid "
+    "online site shop store xyz club tech blog cloud news live world email pro mobi asia jobs travel museum cat coop aero post tel page link website space digital agency media design group team today life solutions services systems network works studio consulting "
+    "ac ad ae al am ba bd bg bo by cl cm cr cu cy cz do dz ec ee eg fo ge gh gr gt hk hn hr hu id il ir jm jo ke kg kh kw kz la lb li lk lt lv ma mc md mk mn mt my ng ni np om pa pe ph pk pr ps py qa ro rs sa sg si sk sm sn sv sy th tn tr tw tz ug uy uz va ve vn ye za zm zw".split())
 _IP_DOT = re.compile(rf"(?i)(?<=[0-9]){_DOT}(?=[0-9])")
 
 
@@ -188,18 +191,13 @@ def _spelled(low: str) -> bool:
 def _head(text: str, at: int, least: int) -> int:
     """Where the local part that ends at ``at`` begins, disguised dots included; ``at`` if there is none."""
     start = at
-    for _ in range(5):
-        low = max(least, start - 64)
-        old = start
-        while start > low and text[start - 1] in _LOCAL:
+    while True:
+        while start > least and text[start - 1] in _LOCAL:
             start -= 1
-        if start == old:
-            break
-        m = _DOT_BEFORE.search(text, max(least, start - 12), start)
+        m = _DOT_BEFORE.search(text, max(least, start - 12), start) if start < at else None
         if not m:
             return start
-        start = m.start() + 1
-    return old
+        start = m.start() + 1  # after the letter before the dot, which the next round takes in
 
 
 def _at_dot(text: str) -> list[tuple[int, int, str]]:
@@ -208,7 +206,7 @@ def _at_dot(text: str) -> list[tuple[int, int, str]]:
     for m in _AT.finditer(text):
         if m.start() < free:
             continue
-        tail = _TAIL.match(text, m.end(), m.end() + 400)
+        tail = _TAIL.match(text, m.end())
         if not tail:
             continue
         start = _head(text, m.start(), free)
@@ -245,12 +243,15 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     if dots:
         t.replace([(*m.span(), ".") for m in _IP_DOT.finditer(t.text)])
     if t.changed:
-        have: dict[str, list] = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+        known = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}  # in order, none over another
+        starts, last = {k: [a for a, _ in v] for k, v in known.items()}, dict.fromkeys(KINDS, (0, -1))
         for kind, a, b in detect(t.text):
             if any(t.changed[a:b]):
                 a, b = t.start[a], t.end[b - 1]
-                if not any(x <= a and b <= y for x, y in have[kind]):
-                    have[kind].append((a, b))
+                i = bisect_right(starts[kind], a) - 1
+                inside = (i >= 0 and b <= known[kind][i][1]) or (last[kind][0] <= a and b <= last[kind][1])
+                if not inside:
+                    last[kind] = a, b
                     found.append((kind, a, b, True))
     return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
