@@ -1,30 +1,33 @@
-"""Katz backoff bigrams and trigrams with Good-Turing discounts and exactly normalised backoff weights.
-
-Texts become blocks of token numbers, a table bucketed by block. Every block
-asks, per partition of a hash of the context, for the training counts of its
-words and then of its word pairs; a partition adds up what all blocks sent and
-answers in the order it was asked. So counts are summed after each block has
-summed its own, a frequent word or pair costs one entry a block, and no task
-holds a vocabulary. The answers are stored tables too: for each pair its count,
-for each context how many followers occur once, twice... and the unigram mass of
-its followers, from which the backoff weight follows exactly.
-
-Per token: P(w | v) = d(r) r / c(v) where the pair has count r > 0, else
-alpha(v) P(w); P(w) = d(c) c / N where w was seen, else the mass that is left,
-for one unknown word. d are Good-Turing ratios for counts up to CUT, and 1
-above; where the counts of counts give no ratio in (0, 1), (r - 1/2) / r is
-taken for that order, and r - 1/2 for r in contexts whose followers all have
-larger counts. alpha(v) = (1 - sum of d(r) r / c(v)) / (1 - sum of P(w)),
-both over the followers of v, so the probabilities of all words and the unknown
-one add up to 1. After an unseen context P(w | v) = P(w). The first word of a
-text follows a start mark, whose count is the number of training texts.
-Order 3 is the same step once more: P(w | u v) from the counts of triples, with
-P(w | v) in place of P(w); the first word of a text follows two start marks.
-Pairs are told apart as contexts by a 64-bit hash of both words.
+"""Katz backoff n-grams with Good-Turing discounts and exactly normalised backoff weights.
+
+Texts become blocks of token numbers, a table bucketed by block. Order by order,
+every block asks for the training counts of its distinct n-grams: an n-gram goes
+to the bucket of its context (all words but the last), where what all blocks
+sent is added up, and the answers are stored, in the order they were asked for:
+the count of each n-gram, and of each context how many of its followers occur
+once, twice... and the mass of its followers at the order below, from which the
+backoff weight follows exactly. So counts are summed after each block has summed
+its own, no task holds a vocabulary, and an order needs nothing but the
+probabilities of the order below, which are kept with the block. The followers
+of contexts that are met more than HOT times lie in many buckets, by n-gram;
+their sums, a bounded number, are added up and sent to all tasks. An order is
+asked for in several passes over the buckets, so that the exchange in flight
+stays small beside the text.
+
+Per token and order: P(w | c) = d(r) r / n(c) where w follows context c r > 0
+times, else alpha(c) P(w | c without its first word); P(w) = d(r) r / N where w
+was seen, else the mass that is left, for one unknown word. d are Good-Turing
+ratios for counts up to CUT, and 1 above; where the counts of counts give no
+ratio in (0, 1), (r - 1/2) / r is taken for that order, and r - 1/2 for r in
+contexts whose followers all have larger counts. alpha(c) = (1 - sum of d(r) r /
+n(c)) / (1 - sum of the followers' probabilities at the order below), so the
+probabilities of all words and the unknown one add up to 1. After an unseen
+context the order below is used as it is. The first words of a text follow start
+marks, whose count is the number of training texts.
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased; each
-text ends in one end mark, which counts as a token. Words are told apart by a
-64-bit hash.
+text ends in one end mark, which counts as a token. Words, contexts and n-grams
+are told apart by 64-bit hashes.
 
 Defined cases: a null text is empty (one token); a null ``train`` means not
 training; without training tokens there are no base scores (null) and scores;
@@ -42,10 +45,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.shared import fold, mix64, shared_dir, table, written
+from seqspark.llm.shared import dropped, fold, mix64, shared_dir, swept, table, written
 
-BLOCK_TOKENS = 2_000_000
-BUCKET_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
+BUCKET_TOKENS = 1_000_000
+HOT, MOST_HOT = 250_000, 1 << 16  # a context met more often than HOT and N / MOST_HOT is spread over buckets
+PASSES = {2: 2, 3: 4}  # of an order, over the buckets; higher ones take the last
 CUT = 5
 END, START = 0, 1  # numbers of the two marks in every block
 CACHE_WORDS = 500_000
@@ -113,48 +118,122 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train_col: str) -> DataF
             yield flush()
 
     made = rows.mapInArrow(run, f"block long, n long, ids array<{kind}>, train array<boolean>, sizes binary, tokens binary, words binary")
-    name = f"katz_blocks_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.write.bucketBy(parts, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return _bucketed(made, "blocks")
+
+
+def _bucketed(df: DataFrame, name: str) -> DataFrame:
+    """Written as a table bucketed by block, so that it meets others by block without an exchange."""
+    spark = df.sparkSession
+    name = f"katz_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._seqspark_path, out._seqspark_table = path, name
+    return out
+
+
+def _gone(*tables: DataFrame) -> None:
+    for df in tables:
+        if name := getattr(df, "_seqspark_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        dropped(df)
+
+
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """A stable argsort of random 64-bit numbers: their high bits and the places are sorted as one number."""
+    bits = np.uint64(max(1, len(x)).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    key = (x & ~low) | np.arange(len(x), dtype=np.uint64)
+    key.sort()
+    order = (key & low).astype(np.int64)
+    return order if (x[order][1:] >= x[order][:-1]).all() else np.argsort(x, kind="stable")
+
+
+def _top(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash, in order of the hashes."""
+    return (((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _word_order(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's words by (bucket, hash), without the start mark; and their buckets."""
-    bucket = (words % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((words, bucket))
+    """A block's words by hash, without the start mark; and their buckets."""
+    order = _sorted(words)
     order = order[order != START]
-    return order, bucket[order]
-
-
-class _Pairs:
-    """A block's distinct pairs of a context and a word by (bucket, context, word). A context is the word before, or ``before``, a pair: the two words before."""
-
-    def __init__(self, tok: np.ndarray, sizes: np.ndarray, words: np.ndarray, buckets: int, flags: np.ndarray | None = None, before: _Pairs | None = None):
-        first = np.cumsum(sizes) - sizes
-        context = np.empty(len(tok), np.int64)
-        context[1:] = (tok if before is None else before.of_token)[:-1]
-        context[first] = START if before is None else len(before.context)
-        names = words if before is None else before.names(words)
-        kinds, example, inverse = np.unique(context * len(words) + tok, return_index=True, return_inverse=True)
-        v, w = kinds // len(words), kinds % len(words)
-        order = np.lexsort((words[w], names[v], names[v] % np.uint64(buckets)))
-        self.example = example[order]  # a token of each pair
-        self.context, self.word = v[order], w[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.of_token = rank[inverse]
-        self.train = None if flags is None else np.bincount(self.of_token, np.repeat(flags, sizes).astype(float), len(kinds)).astype(np.uint32)
-        self.heads = np.flatnonzero(np.diff(self.context, prepend=-1))  # one per context
-        self.hashes = names[self.context[self.heads]]
-        self.bucket = (self.hashes % np.uint64(buckets)).astype(np.int64)
-        self.runs = np.diff(np.append(self.heads, len(order)))
-
-    def names(self, words: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each pair, and of the two start marks."""
-        v, w = (np.append(words[x], words[START]) for x in (self.context, self.word))
+    return order, _top(words[order], buckets)
+
+
+class _Grams:
+    """A block's distinct n-grams of one order in the order in which they are asked for.
+
+    ``g`` and ``e`` are hashes of each token's context and n-gram; those of ``hot`` contexts go by n-gram.
+    Of several passes, ``part`` takes its share of the buckets.
+    """
+
+    def __init__(self, g: np.ndarray, e: np.ndarray, hot: np.ndarray, buckets: int, passes: int = 1, part: int = 0):
+        b = _top(np.where(hot, e, g), buckets)
+        some = np.flatnonzero(b % passes == part) if passes > 1 else np.arange(len(e))
+        order = some[_sorted(e[some])]
+        new = np.append(True, e[order][1:] != e[order][:-1])[: len(order)]
+        heads = np.flatnonzero(new)
+        at = order[heads]  # a token of each n-gram
+        cold, warm = np.flatnonzero(~hot[at]), np.flatnonzero(hot[at])
+        cold, warm = cold[_sorted(g[at[cold]])], warm[np.lexsort((g[at[warm]], b[at[warm]]))]
+        place = np.append(cold, warm)
+        rank = np.empty(len(place), np.int64)
+        rank[place] = np.arange(len(place))
+        self.token, self.of_token = order, rank[np.cumsum(new) - 1]  # tokens and their n-grams
+        self.example = at[place]
+        self.e, self.g, self.hot, self.bucket = e[self.example], g[self.example], hot[self.example], b[self.example]
+        change = np.append(True, (self.g[1:] != self.g[:-1]) | (self.bucket[1:] != self.bucket[:-1]) | (self.hot[1:] != self.hot[:-1]))[: len(self.g)]
+        self.heads = np.flatnonzero(change)  # one per context
+        self.runs = np.diff(np.append(self.heads, len(self.g)))
+
+    def per_token(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.token), values.dtype)
+        out[self.token] = values[self.of_token]
+        return out
+
+    def slices(self):
+        """(bucket, hot, n-grams from, to, contexts from, to) of each stretch that goes to one bucket."""
+        key = self.bucket[self.heads] * 2 + self.hot[self.heads]
+        ends = np.append(self.heads, len(self.g))
+        for k, i, j in _slices(key):
+            yield k >> 1, bool(k & 1), int(ends[i]), int(ends[j]), i, j
+
+
+class _Block:
+    """What is known of a block: tokens, hashes and, of the orders done, the counts of its n-grams and the probabilities of the last."""
+
+    def __init__(self, sizes: bytes, tok: bytes, words: bytes, c: np.ndarray, buckets: int, hot: int):
+        self.sizes, self.tok = np.frombuffer(sizes, np.int32), np.frombuffer(tok, np.int32)
+        self.words, self.c, self.buckets, self.hot = np.frombuffer(words, np.uint64), c, buckets, hot
+        self.first = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.inside = np.arange(len(self.tok)) - np.repeat(self.first, self.sizes)
+        self.h = self.words[self.tok]
+
+    def before(self, values: np.ndarray, start) -> np.ndarray:
+        """The value of the token before; ``start`` for the first of a text."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = start
+        return out
+
+    def hashes(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        g, step = np.zeros(len(self.h), np.uint64), np.uint64(0x9E3779B97F4A7C15)
         with np.errstate(over="ignore"):
-            return mix64(mix64(v) * np.uint64(0x9E3779B97F4A7C15) + w)
+            for back in range(order - 1, 0, -1):
+                w = np.where(self.inside >= back, np.append(np.zeros(back, np.uint64), self.h[: len(self.h) - back])[: len(self.h)], self.words[START])
+                g = mix64(g * step + w)
+            return g, mix64(g * step + self.h)
+
+    def met(self, counts: list[np.ndarray]) -> np.ndarray:
+        """How often each token's context was met in training, for the order after those whose n-grams' ``counts`` are given."""
+        out = self.before(self.c[self.tok], self.c[START])
+        for order, r in enumerate(counts, 2):
+            out = self.before(self.grams(order, out).per_token(r), self.c[START])
+        return out
+
+    def grams(self, order: int, met: np.ndarray, passes: int = 1, part: int = 0) -> _Grams:
+        return _Grams(*self.hashes(order), met > self.hot, self.buckets, passes, part)
 
 
 def _slices(bucket: np.ndarray):
@@ -167,6 +246,19 @@ def _binary(values) -> pa.Array:
     return pa.array([x.tobytes() for x in values], pa.binary())
 
 
+def _squeezed(values) -> pa.Array:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(1).compress
+    return pa.array([pack(np.ascontiguousarray(x).tobytes()) for x in values], pa.binary())
+
+
+def _wide(x, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
 def _stats(counts: np.ndarray) -> list[int]:
     """How many have count 1 .. CUT + 1; how many at all; their sum."""
     seen = counts[counts > 0]
@@ -180,18 +272,19 @@ def word_counts(table_: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for block, flags, sizes, tok, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 sizes, tok, words = _frombytes(sizes, np.int32), _frombytes(tok, np.int32), _frombytes(words, np.uint64)
-                n = np.bincount(tok[np.repeat(np.array(flags, bool), sizes)], minlength=len(words)).astype(np.uint32)
+                n = np.bincount(tok[np.repeat(np.array(flags, bool), sizes)], minlength=len(words))
                 order, bucket = _word_order(words, buckets)
                 parts = list(_slices(bucket))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array([b for b, *_ in parts], pa.int32()), _binary(words[order[i:j]] for _, i, j in parts), _binary(n[order[i:j]] for _, i, j in parts)], names=["block", "bucket", "words", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array([b for b, *_ in parts], pa.int32()), _binary(words[order[i:j]] for _, i, j in parts), _squeezed(n[order[i:j]] for _, i, j in parts)], names=["block", "bucket", "words", "n"])
 
     def answer(key, rows):
         words = [_frombytes(x.as_buffer(), np.uint64) for x in rows.column("words")]
-        n = [_frombytes(x.as_buffer(), np.uint32) for x in rows.column("n")]
+        n = [_wide(x.as_py(), np.int64) for x in rows.column("n")]
         _, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(n).astype(float)).astype(np.uint32)
+        total = np.zeros(int(inverse.max()) + 1, np.int64)
+        np.add.at(total, inverse, np.concatenate(n))
         back = np.split(total[inverse], np.cumsum([len(x) for x in words])[:-1])
-        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "counts": _binary(back), "stats": pa.array([_stats(total.astype(np.int64)), *[None] * (len(back) - 1)], pa.list_(pa.int64()))})
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "counts": _squeezed(back), "stats": pa.array([_stats(total), *[None] * (len(back) - 1)], pa.list_(pa.int64()))})
 
     asked = table_.select("block", "train", "sizes", "tokens", "words").mapInArrow(ask, "block long, bucket int, words binary, n binary")
     return written(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, counts binary, stats array<long>"), "katz-words")
@@ -225,163 +318,222 @@ def unigram(stats: list[int], d: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, _discounted(d, c) / n, unknown)
 
 
-def pair_counts(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray, d2: np.ndarray | None = None) -> DataFrame:
-    """With ``d2``, of contexts of two words, from the answers in ``pairs``. Stored answers (block, bucket, counts, followers, mass, stats): for each pair of a block its training count, for each
-    context the number of followers with count 1 .. CUT, the sum and the number of larger counts, and the mass of all followers at the order below."""
+def gram_counts(known: DataFrame, order: int, setup: dict, part: int) -> DataFrame:
+    """Stored answers of one pass: for each n-gram of a block its training count; of each context, unless hot, the number of followers with count 1 .. CUT,
+    the sum and the number of larger counts, and, where a follower was not seen, the mass of all followers at the order below. Of hot contexts, a bucket's share of the same."""
+    passes = _passes(order)
 
     def ask(batches):
         for batch in batches:
-            for block, flags, sizes, tok, words, answers, *found in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                sizes, tok, words = _frombytes(sizes, np.int32), _frombytes(tok, np.int32), _frombytes(words, np.uint64)
-                c = _counts_of(words, answers, buckets)
-                if d2 is None:
-                    p = _Pairs(tok, sizes, words, buckets, np.array(flags, bool))
-                    below = c[p.word].astype(np.uint32)
-                else:
-                    two = _Pairs(tok, sizes, words, buckets)
-                    p = _Pairs(tok, sizes, words, buckets, np.array(flags, bool), two)
-                    below = _probability(two, *_found(found[0]), c[two.context[two.heads]], unigram(stats, d, c[two.word]), d2)[two.of_token[p.example]]
-                parts = list(_slices(p.bucket))
-                ends = np.append(p.heads, len(p.context))
+            for i in range(batch.num_rows):
+                row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+                block, counts, below = _opened(row, setup)
+                grams = block.grams(order, block.met(counts), passes, part)
+                n = np.bincount(grams.of_token, np.repeat(np.array(row["train"], bool), block.sizes)[grams.token], len(grams.e)).astype(np.int64)
+                below = below[grams.example]
+                cuts = list(grams.slices())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(parts), pa.int64()), pa.array([b for b, *_ in parts], pa.int32()), _binary(p.hashes[i:j] for _, i, j in parts), _binary(p.runs[i:j].astype(np.int32) for _, i, j in parts)]
-                    + [_binary(x[ends[i] : ends[j]] for _, i, j in parts) for x in (words[p.word], p.train, below)],
-                    names=["block", "bucket", "contexts", "runs", "words", "n", "c"],
+                    [pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([b for b, *_ in cuts], pa.int32()), pa.array([h for _, h, *_ in cuts], pa.bool_())]
+                    + [_binary(grams.g[grams.heads[k:m]] for *_, k, m in cuts), _squeezed(grams.runs[k:m].astype(np.int32) for *_, k, m in cuts)]
+                    + [_binary(grams.e[a:b] for _, _, a, b, *_ in cuts), _squeezed(n[a:b] for _, _, a, b, *_ in cuts), _squeezed(below[a:b] for _, _, a, b, *_ in cuts)],
+                    names=["block", "bucket", "hot", "contexts", "runs", "grams", "n", "below"],
                 )
 
     def answer(key, rows):
-        get = lambda name, kind: [_frombytes(x.as_buffer(), kind) for x in rows.column(name)]
-        contexts, runs, words = get("contexts", np.uint64), get("runs", np.int32), get("words", np.uint64)
-        v_all = np.concatenate(contexts)
-        kinds, v = np.unique(v_all, return_inverse=True)
-        of_pair = np.repeat(v, np.concatenate(runs))
-        w, n, c = np.concatenate(words), np.concatenate(get("n", np.uint32)), np.concatenate(get("c", np.uint32 if d2 is None else np.float64))
-        order = np.lexsort((w, of_pair))
-        new = np.ones(len(order), bool)
-        new[1:] = (w[order][1:] != w[order][:-1]) | (of_pair[order][1:] != of_pair[order][:-1])
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, n[order].astype(float)).astype(np.int64)
-        head = order[new]
-        seen = total > 0
-        at, r = of_pair[head][seen], total[seen]
-        followers = np.zeros((len(kinds), CUT + 2), np.uint32)
-        small = r <= CUT
-        np.add.at(followers, (at[small], r[small] - 1), 1)
-        followers[:, CUT] = np.bincount(at[~small], r[~small].astype(float), len(kinds)).astype(np.uint32)
-        followers[:, CUT + 1] = np.bincount(at[~small], minlength=len(kinds))
-        mass = np.bincount(at, unigram(stats, d, c[head][seen].astype(np.int64)) if d2 is None else c[head][seen], len(kinds))
-        of_entry = np.empty(len(order), np.uint32)
-        of_entry[order] = total[group].astype(np.uint32)
-        cut_v, cut_w = np.cumsum([len(x) for x in contexts])[:-1], np.cumsum([len(x) for x in words])[:-1]
+        raw = lambda name: [_frombytes(x.as_buffer(), np.uint64) for x in rows.column(name)]
+        wide = lambda name, kind: [_wide(x.as_py(), kind) for x in rows.column(name)]
+        contexts, grams, runs = raw("contexts"), raw("grams"), wide("runs", np.int32)
+        v, e, run = np.concatenate(contexts), np.concatenate(grams), np.concatenate(runs)
+        n, below = np.concatenate(wide("n", np.int64)), np.concatenate(wide("below", np.float64))
+        g, hot = np.repeat(v, run), np.repeat(np.array(rows.column("hot").to_pylist(), bool), [len(x) for x in contexts])
+        order_ = _sorted(e)
+        new = np.append(True, e[order_][1:] != e[order_][:-1])
+        heads = np.flatnonzero(new)
+        total = np.add.reduceat(n[order_], heads)
+        r = np.empty(len(e), np.int64)
+        r[order_] = total[np.cumsum(new) - 1]
+        seen = order_[heads][total > 0]  # a row of each n-gram that occurs
+        seen = seen[_sorted(g[seen])]
+        mark = np.flatnonzero(np.append(True, g[seen][1:] != g[seen][:-1])[: len(seen)])
+        kinds, count = g[seen][mark], r[seen]
+        add = lambda x: np.add.reduceat(x, mark) if len(mark) else np.zeros(0, x.dtype)
+        followers = np.stack([*(add((count == k).astype(np.int64)) for k in range(1, CUT + 1)), add(np.where(count > CUT, count, 0)), add((count > CUT).astype(np.int64))], 1)
+        mass = add(below[seen])
+        at = np.minimum(np.searchsorted(kinds, v), max(len(kinds) - 1, 0))
+        there = kinds[at] == v if len(kinds) else np.zeros(len(v), bool)
+        back = np.zeros((len(v), CUT + 2), np.int64)
+        cold = there & ~hot
+        back[cold] = followers[at[cold]]
+        unseen = np.logical_or.reduceat(r == 0, np.cumsum(run) - run)
+        mass_back = np.zeros(len(v))
+        mass_back[cold & unseen] = mass[at[cold & unseen]]
+        warm = np.unique(at[there & hot])
+        cut_v, cut_e = np.cumsum([len(x) for x in contexts])[:-1], np.cumsum([len(x) for x in grams])[:-1]
+        first = lambda x: pa.array([x, *[None] * (len(grams) - 1)], pa.binary())
         return pa.table(
             {
-                "block": rows.column("block"), "bucket": rows.column("bucket"), "counts": _binary(np.split(of_entry, cut_w)), "followers": _binary(np.split(followers[v], cut_v)), "mass": _binary(np.split(mass[v], cut_v)),
-                "stats": pa.array([_stats(total), *[None] * (len(words) - 1)], pa.list_(pa.int64())),
+                "block": rows.column("block"), "bucket": rows.column("bucket"), "hot": rows.column("hot"), "counts": _squeezed(np.split(r, cut_e)), "followers": _squeezed(np.split(back, cut_v)), "mass": _squeezed(np.split(mass_back, cut_v)),
+                "stats": pa.array([_stats(total), *[None] * (len(grams) - 1)], pa.list_(pa.int64())), "hot_g": first(kinds[warm].tobytes()), "hot_f": first(followers[warm].tobytes()), "hot_m": first(mass[warm].tobytes()),
             }
         )
 
-    asked = joined.select("block", "train", "sizes", "tokens", "words", "answers", *["pairs"][: d2 is not None]).mapInArrow(ask, "block long, bucket int, contexts binary, runs binary, words binary, n binary, c binary")
-    return written(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, counts binary, followers binary, mass binary, stats array<long>"), "katz-pairs" if d2 is None else "katz-triples")
+    asked = known.mapInArrow(ask, "block long, bucket int, hot boolean, contexts binary, runs binary, grams binary, n binary, below binary")
+    kind = "block long, bucket int, hot boolean, counts binary, followers binary, mass binary, stats array<long>, hot_g binary, hot_f binary, hot_m binary"
+    return written(asked.groupBy("bucket").applyInArrow(answer, kind), f"katz-counts-{order}")
+
+
+def _passes(order: int) -> int:
+    return PASSES.get(order, PASSES[max(PASSES)])
+
+
+def _hot(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, followers and mass of the hot contexts, at most MOST_HOT, over all buckets."""
+
+    def parts(batches):
+        for batch in batches:
+            for g, f, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                f = np.frombuffer(f, np.int64).reshape(-1, CUT + 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g, np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in f.T), pa.array(np.frombuffer(m, np.float64))], names=["g", *(f"f{i}" for i in range(CUT + 2)), "m"])
+
+    kind = "g long, " + ", ".join(f"f{i} long" for i in range(CUT + 2)) + ", m double"
+    rows = answers.where("length(hot_g) > 0").select("hot_g", "hot_f", "hot_m").mapInArrow(parts, kind).groupBy("g").agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(CUT + 2)), F.sum("m").alias("m")).toArrow()
+    g = rows.column("g").to_numpy().view(np.uint64)
+    order = np.argsort(g)
+    return g[order], np.stack([rows.column(f"f{i}").to_numpy() for i in range(CUT + 2)], 1)[order], rows.column("m").to_numpy()[order]
 
 
 def _counts_of(words: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:
     """Training counts of a block's words, by number; the start mark counts as often as the end mark."""
     order, _ = _word_order(words, buckets)
     out = np.zeros(len(words), np.int64)
-    out[order] = np.concatenate([_frombytes(a["counts"], np.uint32) for a in sorted(answers, key=lambda a: a["bucket"])])
+    out[order] = np.concatenate([_wide(a["counts"], np.int64) for a in sorted(answers, key=lambda a: a["bucket"])])
     out[START] = out[END]
     return out
 
 
-def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
-    """One row per document: id, n_tokens, n_known, train_tokens, base_score (add 0.1 to the unigram counts) and score (Katz, pairs), log10;
-    with ``order`` 3 also score_3 (Katz, triples that back off to the pairs)."""
-    if order not in (2, 3):
-        raise ValueError("order is 2 or 3")
-    made = blocks(docs, id_col, text_col, train_col)
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, "1")  # rows are whole blocks from here on: one at a time in a worker
-    try:
-        return _scored(made, id_col, order)
-    finally:
-        conf.set(key, before)
+def _opened(row: dict, setup: dict) -> tuple[_Block, list[np.ndarray], np.ndarray]:
+    """The block of a row of the known table; its counts of orders 2..; and the probability of each token at the last of them."""
+    block = _Block(row["sizes"], row["tokens"], row["words"], _wide(row["c"], np.int64), setup["buckets"], setup["hot"])
+    counts = [_wide(x, np.int64) for x in row["counts"] or ()]
+    if not counts:
+        return block, counts, unigram(setup["stats"], setup["d"][0], block.c)[block.tok]
+    grams = block.grams(len(counts) + 1, block.met(counts[:-1]))
+    return block, counts, grams.per_token(_wide(row["p"], np.float64))
+
+
+def _answered(block: _Block, grams: _Grams, answers: list[dict], hot: tuple, met: np.ndarray, below: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and probabilities of a block's n-grams from its stored answers."""
+    answers = sorted(answers, key=lambda a: (a["hot"], a["bucket"]))
+    get = lambda name, kind: np.concatenate([_wide(a[name], kind) for a in answers])
+    r, followers, mass = get("counts", np.int64), get("followers", np.int64).reshape(-1, CUT + 2).copy(), get("mass", np.float64).copy()
+    g, f, m = hot
+    if len(g):
+        at = np.minimum(np.searchsorted(g, grams.g[grams.heads]), len(g) - 1)
+        on = grams.hot[grams.heads] & (g[at] == grams.g[grams.heads])
+        followers[on], mass[on] = f[at[on]], m[at[on]]
+    weights = np.concatenate([d[1:] * np.arange(1, CUT + 1), [1.0, 0.0]])
+    of_context = np.repeat(np.arange(len(grams.heads)), grams.runs)
+    n = met[grams.example[grams.heads]].astype(float)
+    none = ~followers[:, :CUT].any(1)  # nothing to take from by the ratios
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kept = (followers @ weights - np.where(none, 0.5 * followers[:, CUT + 1], 0.0)) / n
+        alpha = np.where(n > 0, np.maximum(1 - kept, 0) / np.maximum(1 - mass, 1e-300), 1.0)
+        return r, np.where(r > 0, (_discounted(d, r) - np.where(none[of_context], 0.5, 0.0)) / n[of_context], alpha[of_context] * below[grams.example])
 
 
-def _scored(made: DataFrame, id_col: str, order: int) -> DataFrame:
-    """The scores of all documents of a block table, as a written table."""
+def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
+    """One row per document: id, n_tokens, n_known, train_tokens, base_score (add 0.1 to the unigram counts), score (Katz, of ``order`` 2 or more) and score_lower (of the order below), log10."""
+    if order < 2:
+        raise ValueError("order is 2 or more")
+    spark = docs.sparkSession
+    made = blocks(docs, id_col, text_col, train_col)
     kind = made.schema["ids"].dataType.elementType.simpleString()
     total = made.agg(F.sum("n")).head()[0] or 0
     buckets = max(8, math.ceil(total / BUCKET_TOKENS))
     uni = word_counts(made, buckets)
     stats = _summed(uni)
+    setup = {"buckets": buckets, "hot": max(HOT, total // MOST_HOT), "stats": stats, "d": [discounts(stats)]}
     n_train, vocabulary = stats[-1], stats[-2]
-    d1 = discounts(stats)
-    by_block = lambda t, *cols: t.groupBy("block").agg(F.collect_list(F.struct("bucket", *cols)).alias("answers"))
-    joined = made.join(by_block(uni, "counts"), "block")
-    pairs = pair_counts(joined, buckets, stats, d1) if n_train else None
-    d2 = discounts(_summed(pairs)) if n_train else d1
-    if pairs is not None:
-        full = joined.join(by_block(pairs, "counts", "followers", "mass").withColumnRenamed("answers", "pairs"), "block")
-    else:
-        full = joined.withColumn("pairs", F.lit(None).cast("string"))
-    d3 = d2
-    if n_train and order == 3:
-        triples = pair_counts(full, buckets, stats, d1, d2)
-        d3 = discounts(_summed(triples))
-        full = full.join(by_block(triples, "counts", "followers", "mass").withColumnRenamed("answers", "triples"), "block")
-    else:
-        full = full.withColumn("triples", F.lit(None).cast("string"))
 
-    def run(batches):
+    def counted(batches):
+        for batch in batches:
+            for block, words, answers in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), _squeezed([_counts_of(np.frombuffer(words, np.uint64), answers, buckets)]), pa.array([[]], pa.list_(pa.binary())), pa.array([None], pa.binary())], names=["block", "c", "counts", "p"])
+
+    by_block = lambda t, *cols: t.groupBy("block").agg(F.collect_list(F.struct("bucket", *cols)).alias("answers"))
+    known_type = "block long, c binary, counts array<binary>, p binary"
+    known = _bucketed(made.select("block", "words").join(by_block(uni, "counts"), "block").mapInArrow(counted, known_type), "known")
+    _gone(uni)
+    swept(spark)
+    text_cols = ["block", "train", "sizes", "tokens", "words"]
+    for k in range(2, order + 1) if n_train else ():
+        parts = []
+        for part in range(_passes(k)):
+            parts.append(gram_counts(made.select(*text_cols).join(known, "block"), k, setup, part))
+            swept(spark)
+        answers = parts[0]
+        for x in parts[1:]:
+            answers = answers.unionByName(x)
+        setup = setup | {"d": [*setup["d"], discounts(_summed(answers))]}
+        hot = spark.sparkContext.broadcast(_hot(answers))
+        replies = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "hot", "counts", "followers", "mass")).alias("answers"))
+        joined = made.select(*text_cols).join(known, "block").join(replies, "block")
+
+        def climbed(batches, k=k, setup=setup, hot=hot):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
+                    block, counts, below = _opened(row, setup)
+                    met = block.met(counts)
+                    grams = block.grams(k, met)
+                    r, p = _answered(block, grams, row["answers"], hot.value, met, below, setup["d"][k - 1])
+                    lower = np.add.reduceat(_log(below), block.first)
+                    score = np.add.reduceat(_log(grams.per_token(p)), block.first)
+                    yield block, row, r, p, lower, score
+
+        if k < order:
+
+            def kept(batches, climbed=climbed):
+                for _, row, r, p, *_ in climbed(batches):
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["c"]], pa.binary()), pa.array([[*(row["counts"] or ()), *_squeezed([r]).to_pylist()]], pa.list_(pa.binary())), _squeezed([p])], names=["block", "c", "counts", "p"])
+
+            following = _bucketed(joined.mapInArrow(kept, known_type), "known")
+            _gone(known, *parts)
+            known = following
+            swept(spark)
+
+    def out(block, row, lower, score):
+        c, n = block.c, len(block.sizes)
+        base = np.add.reduceat(np.log10((c + 0.1) / (n_train + 0.1 * (vocabulary + 1)))[block.tok], block.first) if n_train else np.full(n, np.nan)
+        long = lambda x: pa.array(np.asarray(x, np.int64))
+        ids = row["ids"]
+        return pa.RecordBatch.from_arrays(
+            [ids, long(block.sizes), long(np.add.reduceat((c > 0)[block.tok].astype(np.int64), block.first)), long([n_train] * n), *(pa.array(x, from_pandas=True) for x in (base, score, lower))],
+            names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_lower"],
+        )
+
+    out_type = f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_lower double"
+
+    def scored(batches):
         for batch in batches:
-            col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("ids", "sizes", "tokens", "words", "answers", "pairs", "triples")}
             for i in range(batch.num_rows):
-                sizes, tok, words = (_frombytes(col[c][i].as_buffer(), k) for c, k in (("sizes", np.int32), ("tokens", np.int32), ("words", np.uint64)))
-                c = _counts_of(words, col["answers"][i].as_py(), buckets)
-                first = np.cumsum(sizes) - sizes
-                sums = lambda x: np.add.reduceat(x, first)
-                known = sums((c > 0)[tok].astype(np.int64))
+                one = batch.slice(i, 1)
+                ids = one.column(one.schema.get_field_index("ids"))[0].values
                 if n_train:
-                    base = sums(np.log10((c + 0.1) / (n_train + 0.1 * (vocabulary + 1)))[tok])
-                    p = _Pairs(tok, sizes, words, buckets)
-                    r, followers, mass = _found(col["pairs"][i].as_py())
-                    two = _probability(p, r, followers, mass, c[p.context[p.heads]], unigram(stats, d1, c[p.word]), d2)
-                    score = sums(_log(two)[p.of_token])
-                    if order == 3:
-                        q = _Pairs(tok, sizes, words, buckets, before=p)
-                        three = _probability(q, *_found(col["triples"][i].as_py()), np.append(r, c[START])[q.context[q.heads]], two[p.of_token[q.example]], d3)
-                        score_3 = sums(_log(three)[q.of_token])
+                    for block, row, _, _, lower, score in climbed([one.drop_columns(["ids"])]):
+                        yield out(block, row | {"ids": ids}, lower, score)
                 else:
-                    base = score = score_3 = np.full(len(sizes), np.nan)
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [col["ids"][i].values, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array([n_train] * n, pa.int64()), pa.array(base, from_pandas=True), pa.array(score, from_pandas=True)]
-                    + ([pa.array(score_3, from_pandas=True)] if order == 3 else []),
-                    names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score", *["score_3"][: order == 3]],
-                )
-
-    found = full.select("ids", "sizes", "tokens", "words", "answers", "pairs", "triples").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double" + ", score_3 double" * (order == 3))
-    return written(found, "katz-scores")
-
+                    row = {c: one.column(j)[0].as_py() for j, c in enumerate(one.schema.names) if c != "ids"}
+                    block = _Block(row["sizes"], row["tokens"], row["words"], _wide(row["c"], np.int64), buckets, 1)
+                    none = np.full(len(block.sizes), np.nan)
+                    yield out(block, {"ids": ids}, none, none)
 
-def _found(answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, followers and mass for a block, from its stored answers."""
-    answers = sorted(answers, key=lambda a: a["bucket"])
-    get = lambda name, kind: np.concatenate([_frombytes(a[name], kind) for a in answers])
-    return get("counts", np.uint32).astype(np.int64), get("followers", np.uint32).reshape(-1, CUT + 2), get("mass", np.float64)
-
-
-def _probability(p: _Pairs, r, followers, mass, cv, below, d) -> np.ndarray:
-    """P(w | context) of each of a block's pairs; ``cv`` counts of the contexts, ``below`` P(w) at the order below."""
-    weights = np.concatenate([d[1:] * np.arange(1, CUT + 1), [1.0, 0.0]])
-    of_context = np.repeat(np.arange(len(p.heads)), p.runs)
-    cv = cv.astype(float)
-    none = ~followers[:, :CUT].any(1)  # nothing to take from by the ratios
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kept = (followers @ weights - np.where(none, 0.5 * followers[:, CUT + 1], 0.0)) / cv
-        alpha = np.where(cv > 0, np.maximum(1 - kept, 0) / np.maximum(1 - mass, 1e-300), 1.0)
-        return np.where(r > 0, (_discounted(d, r) - np.where(none[of_context], 0.5, 0.0)) / cv[of_context], alpha[of_context] * below)
+    rows = made.select(*text_cols, "ids").join(known, "block")
+    rows = rows.join(replies, "block") if n_train else rows
+    found = written(rows.mapInArrow(scored, out_type), "katz-scores")
+    _gone(made, known, *(parts if n_train else ()))
+    swept(spark)
+    return found
 
 
 def _log(value: np.ndarray) -> np.ndarray:
@@ -391,4 +543,4 @@ def _log(value: np.ndarray) -> np.ndarray:
 def op6_katz_backoff(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_texts(docs.select("doc_id", "text", (fold("doc_id", 10) != 0).alias("train")), "train", order=3)
-    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_3")
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.col("score_lower").alias("score_2"))
