@@ -43,6 +43,7 @@ COMMON = 0.005  # words in a greater share of passages are columns of a dense ma
 TEXTS, FAN = 500, 256  # texts in a row of the table of word ids; sums that a group adds up
 LCS, LCS_WITH_ANSWER = 0.7, 0.55
 LITTLE_WEIGHT = 3.0  # the sum over an item's words; one word in 5 % of passages has as much
+_LOG = 1 + np.log(np.maximum(np.arange(WINDOW + 1), 1))  # of a word's count in a passage
 _MARKS = ".,;:!?|\"'()[]{}<>*#$%&/\\-–—«»“”„’…¿¡"
 
 
@@ -135,7 +136,7 @@ def weighted(pairs: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     row, dim, n = pairs
     keep = idf[dim] > 0
     row, dim = row[keep], dim[keep]
-    w = ((1 + np.log(n[keep])) * idf[dim]).astype(np.float32)
+    w = (_LOG[n[keep]] * idf[dim]).astype(np.float32)
     starts = np.flatnonzero(np.diff(row, prepend=-1))
     if len(row):
         norm = np.sqrt(np.add.reduceat(w * w, starts))
@@ -235,12 +236,11 @@ def latent_basis(rows: DataFrame, idf: np.ndarray, items: tuple, dims: int, n_ro
         return out
 
     q = np.random.default_rng(seed).normal(size=(dims, width)).astype(np.float32)
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS - 1):
         q = np.linalg.qr(times(q))[0].astype(np.float32)
-    small = q.T @ times(q)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(-values)[: min(RANK, width)]
-    return (q @ vectors[:, best]).astype(np.float32)
+    # the last iterate spans the subspace; its own singular vectors put it in order, without one more pass over the rows
+    vectors, *_ = np.linalg.svd(times(q), full_matrices=False)
+    return np.ascontiguousarray(vectors[:, : min(RANK, width)], np.float32)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
