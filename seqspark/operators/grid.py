@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,28 @@ def region(pixel: str = "pixel") -> Column:
     return F.when(r.between(2, 4) & c.between(2, 4), 0).when(r.between(1, 5) & c.between(1, 5), 1).otherwise(2)
 
 
+def pixel_places(columns: list[str]) -> dict[str, tuple[int, int]] | None:
+    """Row and column of each pixel by its column's name (``r3_c7``, ``px27`` or ``_v27``); None unless all of them tell."""
+    out = {}
+    for c in columns:
+        if m := re.search(r"r(\d+).*?c(\d+)", c, re.I):
+            out[c] = int(m[1]), int(m[2])
+        elif m := re.search(r"(?:px|_v)(\d+)", c, re.I):
+            out[c] = divmod(int(m[1]), 8)
+        else:
+            return None
+    return out
+
+
+def long_frames(df: DataFrame, keys: list[str], prefix: str = "tof_") -> DataFrame:
+    """Wide frames in long form: keys, row, col, pixel, d. Pixels whose names don't tell their place raise an error."""
+    names = [c for c in df.columns if c.startswith(prefix)]
+    if (places := pixel_places(names)) is None:
+        raise ValueError("some pixels' names don't tell their place")
+    cell = lambda c: F.struct(F.lit(places[c][0]).cast("long").alias("row"), F.lit(places[c][1]).cast("long").alias("col"), F.lit(places[c][0] * 8 + places[c][1]).cast("long").alias("pixel"), F.col(c).cast("double").alias("d"))
+    return df.select(*keys, F.explode(F.array(*map(cell, names))).alias("x")).select(*keys, "x.*")
+
+
 def per_frame(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.groupBy(*FRAME).agg(*(c.alias(k) for k, c in columns.items()))
 
@@ -73,4 +97,4 @@ def cluster_labels(mask: Column) -> Column:
         beside = lambda ok, at: F.when(ok & (F.get(labels, at) > 0), F.get(labels, at))
         return F.when(cell > 0, F.least(cell, beside(i % 8 > 0, i - 1), beside(i % 8 < 7, i + 1), beside(i > 7, i - 8), beside(i < 56, i + 8))).otherwise(0)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, lambda labels, _: F.transform(labels, lambda cell, i: best(labels, cell, i)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, lambda labels, _: F.transform(labels, lambda cell, i: best(labels, cell, i)))

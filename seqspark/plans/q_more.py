@@ -82,15 +82,6 @@ def _(t):
     return lim.groupBy("sequence_id").agg(F.avg(both.cast("int")).alias("sync"), S.safe_corr(F.col("a"), F.col("b")).alias("r"))
 
 
-@query("g28_frame_channels", "sequence_id idx", "lx ly lz mag low1 valid1 hot1")
-def _(t):
-    """Fixed channels of a frame, for sequence models; a missing modality is 0."""
-    motion = t.fv.select("sequence_id", "idx", F.col("ax").alias("lx"), F.col("ay").alias("ly"), (F.col("az") - 9.81).alias("lz"))
-    motion = motion.withColumn("mag", F.sqrt(F.col("lx") ** 2 + F.col("ly") ** 2 + F.col("lz") ** 2))
-    depth = t.grid.where("sensor = 1").groupBy("sequence_id", "idx").agg(F.min("d").alias("low1"), (F.count("d") / F.count("*")).alias("valid1"), F.max("d").alias("hot1"))
-    return motion.join(depth, ["sequence_id", "idx"], "left").na.fill(0)
-
-
 @query("m10_oversample", "vec_id neighbour label point", "x0 x1 x2")
 def _(t):
     """For each row of a rare class, a point between it and one of its three nearest rows of the class, over all numbers of the embedding."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,15 +25,15 @@ def windowed(frames: DataFrame, length: str = "1 day", step: str | None = None,
 
 def _running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, mean, m2, low, high, last, length, at = state.get if state.exists else (0, 0.0, 0.0, float("inf"), float("-inf"), None, 0.0, -1)
-    for x in pd.concat(list(batches)).sort_values("idx").itertuples():
-        if x.v is None or x.v != x.v:
-            continue
-        n += 1
-        step = x.v - mean
-        mean += step / n
-        m2 += step * (x.v - mean)
-        length += abs(x.v - last) if last is not None else 0.0
-        low, high, last, at = min(low, x.v), max(high, x.v), float(x.v), max(at, int(x.idx))
+    x = pd.concat(list(batches)).dropna(subset=["v"]).sort_values("idx")
+    v = x["v"].to_numpy(float)
+    if len(v):
+        k, mu = len(v), v.mean()
+        m2 += ((v - mu) ** 2).sum() + (mu - mean) ** 2 * n * k / (n + k)
+        mean += (mu - mean) * k / (n + k)
+        length += float(abs(np.diff(v if last is None else np.append(last, v))).sum())
+        n, low, high, last, at = n + k, min(low, float(v.min())), max(high, float(v.max())), float(v[-1]), max(at, int(x["idx"].iloc[-1]))
+        mean, m2 = float(mean), float(m2)
     state.update((n, mean, m2, low, high, last, length, at))
     yield pd.DataFrame([(key[0], n, mean, m2 / n if n else 0.0, low, high, last, length)], columns=[c.split()[0] for c in RUNNING.split(", ")])
 
@@ -56,3 +57,37 @@ def score_completed(frames: DataFrame, gap: str, score: Callable[[DataFrame, int
     done = timed.groupBy("sequence_id", F.session_window("_ts", gap).alias("s")).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.max("v").alias("max"))
     rows = done.select("sequence_id", F.col("s.start").alias("begin"), F.col("s.end").alias("end"), "n", "mean", "std", "max")
     return rows.writeStream.outputMode("append").foreachBatch(score).option("checkpointLocation", checkpoint).start()
+
+
+COMPLETENESS = "sequence_id long, n long, n_late long, complete boolean"
+
+
+def _arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, late: int) -> Iterator[pd.DataFrame]:
+    n, n_late, newest, complete = state.get if state.exists else (0, 0, -(1 << 62), False)
+    x = pd.concat(list(batches)).sort_values("arrival")
+    at = x["at"].to_numpy(np.int64)
+    seen = np.maximum.accumulate(np.append(newest, at))[:-1]
+    behind = at < seen - late
+    n, n_late, newest, complete = n + int((~behind).sum()), n_late + int(behind.sum()), int(max(newest, at.max())), bool(complete or x["last"].any())
+    state.update((n, n_late, newest, complete))
+    yield pd.DataFrame([(key[0], n, n_late, complete)], columns=[c.split()[0] for c in COMPLETENESS.split(", ")])
+
+
+def completeness(frames: DataFrame, late: int) -> DataFrame:
+    """Per sequence: frames in time, frames more than ``late`` behind the newest before them, and whether its last frame has come.
+
+    ``frames``: sequence_id, arrival (their order), at (a number), last. On a stream, a row per sequence and micro-batch, from four numbers of state.
+    """
+    rows = frames.select("sequence_id", "arrival", "at", "last")
+    if frames.isStreaming:
+        state = "n long, n_late long, newest long, complete boolean"
+        run = lambda key, batches, state: _arrivals(key, batches, state, late)
+        return rows.groupBy("sequence_id").applyInPandasWithState(run, COMPLETENESS, state, "update", GroupStateTimeout.NoTimeout)
+    before = F.max("at").over(Window.partitionBy("sequence_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.coalesce(F.col("at") < before - late, F.lit(False))
+    return rows.withColumn("_behind", behind).groupBy("sequence_id").agg(F.count_if(~F.col("_behind")).alias("n"), F.count_if("_behind").alias("n_late"), F.bool_or("last").alias("complete"))
+
+
+def sequence_source(spark, path: str, schema, files: int = 1) -> DataFrame:
+    """A stream of Parquet files, ``files`` at a time, each with whole sequences: what a scoring service is handed."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
