@@ -372,15 +372,20 @@ class Scorer:
         return [(langs[k], s) if on else ("und", 0.0) for k, s, on in zip(best.tolist(), score.tolist(), lettered.tolist())]
 
 
+def scorer_of(model: dict, vocabulary: str) -> Scorer:
+    """The worker's scorer of a model; it keeps what it has met from task to task."""
+    if _SCORER.get("key") != model["key"]:
+        _SCORER.update(key=model["key"], scorer=Scorer(model, vocabulary))
+    return _SCORER["scorer"]
+
+
 def predict(docs: DataFrame, model: dict, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred and score (the probability of that language among the learned ones)."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        if _SCORER.get("key") != model["key"]:  # a worker keeps what it has met from task to task
-            _SCORER.update(key=model["key"], scorer=Scorer(model, vocabulary))
-        scorer = _SCORER["scorer"]
+        scorer = scorer_of(model, vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 2500):
                 part = batch.slice(at, 2500)
