@@ -16,6 +16,13 @@ from seqspark.operators import ensemble as E
 _LOADED: dict[str, object] = {}
 
 
+def loaded(name: str, load: Callable[[], object]) -> object:
+    """What ``load`` makes, once in this process for each name."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
 @dataclass
 class Bundle:
     """Models of the folds, the features they take in order, their weights, and the name of every class."""
@@ -72,9 +79,8 @@ def score_with(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Ser
     features = [c for c in df.columns if c != key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _LOADED:
-            _LOADED[name] = load()
+        model = loaded(name, load)
         for x in frames:
-            yield pd.DataFrame({key: x[key], "predicted": _LOADED[name](x[features])})
+            yield pd.DataFrame({key: x[key], "predicted": model(x[features])})
 
     return df.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, predicted {kind}")

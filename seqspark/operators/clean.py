@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -151,3 +152,43 @@ def nearest_of_class(df: DataFrame, k: int, block: int = 1024) -> DataFrame:
 
     found = left.groupBy("label", "mine", "other").cogroup(right.groupBy("near_label", "near_mine", "near_other")).applyInArrow(best, f"vec_id {id_type}, label {label_type}, neighbour {id_type}, dist double")
     return found.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "neighbour"))).where(F.col("k") <= k)
+
+
+def partners(df: DataFrame, key: str, seed: int, block: int = 1024) -> DataFrame:
+    """Every row with the next one of its block in an order drawn by ``seed`` (the last with the first): ``other``, and the other's columns as ``other_*``.
+
+    Blocks are by hash, about ``block`` rows each, so no window grows with the table. A row alone in its block is its own partner.
+    """
+    blocks = max(1, -(-df.count() // block))
+    w = Window.partitionBy("_block").orderBy(draw(seed, key), key)
+    cols = [c for c in df.columns if c != key]
+    struct = F.struct(F.col(key).alias("other"), *(F.col(c).alias(f"other_{c}") for c in cols))
+    rows = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("_me", struct)
+    nxt = F.coalesce(F.lead("_me").over(w), F.first("_me").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return rows.withColumn("_other", nxt).select(key, *cols, "_other.*")
+
+
+def normal(seed: int, *keys: str) -> Column:
+    """A standard normal number drawn by seed and keys."""
+    u = F.greatest(draw(seed, *keys), F.lit(2.0**-32))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * draw(seed + 1000, *keys))
+
+
+def augmented(df: DataFrame, sigma: float = 0.2, noise: float = 0.05, share: float = 0.5, value: str = "v") -> DataFrame:
+    """sequence_id, idx, v and four versions of it: ``noisy``, ``magnitude`` (each frame times 1 + sigma x normal), ``warped`` (time runs by such steps, read
+    back at the frames by linear interpolation), ``mixed`` (from ``share`` of the sequence on, the frames of a partner, where it has them)."""
+    key = ("sequence_id", "idx")
+    w = by_time()
+    whole = Window.partitionBy("sequence_id")
+    base = df.select(*key, F.col(value).alias("v"))
+    base = base.withColumns({"noisy": F.col("v") + noise * normal(1, *key), "magnitude": F.col("v") * (1 + sigma * normal(2, *key))})
+    timed = base.withColumn("_t", F.sum(1 + sigma * normal(3, *key)).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.count("*").over(whole))
+    timed = timed.withColumn("_at", F.col("_t") / F.last("_t").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.col("_n"))
+    knots = timed.select("sequence_id", F.col("_at").alias("pos"), F.col("v").alias("k"), F.lit(None).cast("long").alias("idx"))
+    asked = timed.select("sequence_id", F.col("idx").cast("double").alias("pos"), F.lit(None).cast("double").alias("k"), "idx")
+    warped = linear_fill(knots.unionByName(asked), "k", "warped", idx="pos").where("idx IS NOT NULL").select(*key, "warped")
+    pairs = partners(base.select("sequence_id").distinct(), "sequence_id", seed=4)
+    theirs = base.select(F.col("sequence_id").alias("other"), "idx", F.col("v").alias("_theirs")).join(pairs, "other").select("sequence_id", "idx", "_theirs")
+    out = timed.join(warped, list(key)).join(theirs, list(key), "left")
+    mixed = F.when(F.col("idx") >= F.floor(F.col("_n") * share), F.coalesce("_theirs", "v")).otherwise(F.col("v"))
+    return out.withColumn("mixed", mixed).select(*key, "v", "noisy", "magnitude", "warped", "mixed")

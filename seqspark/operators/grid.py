@@ -98,3 +98,28 @@ def cluster_labels(mask: Column) -> Column:
         return F.when(cell > 0, F.least(cell, beside(i % 8 > 0, i - 1), beside(i % 8 < 7, i + 1), beside(i > 7, i - 8), beside(i < 56, i + 8))).otherwise(0)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, lambda labels, _: F.transform(labels, lambda cell, i: best(labels, cell, i)))
+
+
+def sensor_components(df: DataFrame, training: Column, k: int = 8, sensors: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
+    """Per frame: pc1 .. pck, the centred frame on the sensor's principal components of the ``training`` rows, and ``error``, the mean squared error of the frame built back from them."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    a = as_arrays(df).withColumn("x", array_to_vector("a"))
+    out = None
+    for s in sensors:  # a model each
+        mine = a.where(F.col("sensor") == s)
+        fitted = mine.where(training)
+        mean = fitted.agg(Summarizer.mean(F.col("x")).alias("m")).head()["m"]
+        if mean is None:
+            continue
+        axes = PCA(k=k, inputCol="x", outputCol="pc").fit(fitted).pc.toArray().T
+        literal = lambda v: F.array(*(F.lit(float(x)) for x in v))
+        dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda m, x: m + x)
+        part = mine.withColumn("c", F.zip_with("a", literal(mean.toArray()), lambda x, y: x - y))
+        part = part.withColumns({f"pc{i + 1}": dot(F.col("c"), literal(axis)) for i, axis in enumerate(axes)})
+        rest = dot(F.col("c"), F.col("c")) - sum(F.col(f"pc{i + 1}") ** 2 for i in range(len(axes)))  # the axes are orthonormal
+        part = part.select(*FRAME, *(f"pc{i + 1}" for i in range(k)), (F.greatest(rest, F.lit(0.0)) / F.size("a")).alias("error"))
+        out = part if out is None else out.unionByName(part)
+    return out

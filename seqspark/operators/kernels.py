@@ -20,17 +20,17 @@ def repair_quaternions(q: np.ndarray) -> np.ndarray:
     the sign that it had in the frame before, after repair. Anything else
     (more missing, no length, or parts that leave nothing) is the identity.
     """
+    gone = np.isnan(q)
+    n, power = gone.sum(1), np.nansum(q**2, 1)
+    whole, one = (n == 0) & (np.sqrt(power) >= 1e-8), (n == 1) & (power <= 1)
     out = np.zeros_like(q)
-    before = np.array([1.0, 0.0, 0.0, 0.0])
-    for i, row in enumerate(q):
-        gone = np.isnan(row)
-        now = np.array([1.0, 0.0, 0.0, 0.0])
-        if gone.sum() == 0 and (norm := np.sqrt((row**2).sum())) >= 1e-8:
-            now = row / norm
-        elif gone.sum() == 1 and (rest := (row[~gone] ** 2).sum()) <= 1:
-            now = row.copy()
-            now[gone] = np.sqrt(1 - rest) * (-1 if before[gone][0] < 0 else 1)
-        out[i] = before = now
+    out[:, 0] = 1.0
+    out[whole] = q[whole] / np.sqrt(power[whole])[:, None]
+    out[one] = np.where(gone[one], np.sqrt(1 - power[one])[:, None], q[one])
+    for c in range(q.shape[1]):
+        lost = one & gone[:, c] & (out[:, c] > 0)
+        last = np.maximum.accumulate(np.where(lost, -1, np.arange(len(q))))  # the last frame whose sign is known
+        out[lost & (last >= 0) & (out[np.maximum(last, 0), c] < 0), c] *= -1
     return out
 
 

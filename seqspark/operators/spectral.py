@@ -57,28 +57,37 @@ def butterworth(order: int, cutoff: float, fs: float, high: bool = False) -> tup
     return b * np.polyval(a, at) / np.polyval(b, at), a
 
 
-def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The filter forwards and backwards, with odd reflection at the ends and steady initial states."""
-    pad = 3 * max(len(a), len(b))
-    if len(x) <= pad:
-        pad = len(x) - 1
-    if pad < 1:
-        return x.copy()
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+def filtfilt(b: np.ndarray, a: np.ndarray, series: list[np.ndarray]) -> list[np.ndarray]:
+    """The filter forwards and backwards over each of the series, with odd reflection at the ends and steady initial states; all series take each step together."""
     n = len(a) - 1
     companion = np.zeros((n, n))
     companion[:, 0] = -a[1:]
     companion[:-1, 1:] = np.eye(n - 1)
     steady = np.linalg.solve(np.eye(n) - companion, b[1:] - a[1:] * b[0])
 
-    def run(y):
-        z, out = steady * y[0], np.empty(len(y))
-        for i, v in enumerate(y):
-            out[i] = b[0] * v + z[0]
-            z = np.append(z[1:], 0.0) + b[1:] * v - a[1:] * out[i]
-        return out
-
-    return run(run(ext)[::-1])[::-1][pad : pad + len(x)]
+    def run(rows: list[np.ndarray]) -> list[np.ndarray]:
+        steps = max(map(len, rows))
+        y = np.zeros((steps, len(rows)))
+        for k, r in enumerate(rows):
+            y[: len(r), k] = r
+        z, out = steady[:, None] * y[0], np.empty_like(y)
+        for t in range(steps):
+            out[t] = b[0] * y[t] + z[0]
+            z[:-1] = z[1:]
+            z[-1] = 0.0
+            z += b[1:, None] * y[t] - a[1:, None] * out[t]
+        return [out[: len(r), k] for k, r in enumerate(rows)]
+
+    pads = [min(3 * max(len(a), len(b)), len(x) - 1) for x in series]
+    result = [x.copy() for x in series]
+    order = sorted((k for k, p in enumerate(pads) if p >= 1), key=lambda k: len(series[k]))
+    for at in range(0, len(order), 512):  # series of like length
+        some = order[at : at + 512]
+        ext = [np.concatenate([2 * x[0] - x[p:0:-1], x, 2 * x[-1] - x[-2 : -p - 2 : -1]]) for x, p in ((series[k], pads[k]) for k in some)]
+        back = run([x[::-1] for x in run(ext)])
+        for k, x in zip(some, back):
+            result[k] = x[::-1][pads[k] : pads[k] + len(series[k])]
+    return result
 
 
 def filtered(df: DataFrame, order: int, cutoff: float, fs: float = 20.0, high: bool = False, value: str = "v", out: str = "filtered", sequence: str = "sequence_id", idx: str = "idx") -> DataFrame:
@@ -88,13 +97,12 @@ def filtered(df: DataFrame, order: int, cutoff: float, fs: float = 20.0, high: b
 
     @F.pandas_udf("array<double>")
     def kernel(values: pd.Series) -> pd.Series:
-        def one(x):
-            if len(x) < 9:
-                mid = np.full(len(x), np.median(x) if len(x) else 0.0)
-                return x - mid if high else mid
-            return filtfilt(b, a, x)
-
-        return values.map(lambda v: one(np.asarray(v, float)))
+        series = [np.asarray(v, float) for v in values]
+        long = [k for k, x in enumerate(series) if len(x) >= 9]
+        out = [x - np.median(x) if high and len(x) else np.full(len(x), np.median(x) if len(x) else 0.0) for x in series]
+        for k, x in zip(long, filtfilt(b, a, [series[k] for k in long])):
+            out[k] = x
+        return pd.Series(out)
 
     done = arrays.withColumn("f", kernel(F.transform("rows", lambda r: r[value])))
     return done.select(sequence, F.explode(F.arrays_zip("rows", "f")).alias("x")).select(sequence, f"x.rows.{idx}", f"x.rows.{value}", F.col("x.f").alias(out))

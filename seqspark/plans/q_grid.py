@@ -138,14 +138,10 @@ def _(t):
     return s.groupBy("sequence_id", "sensor").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.avg(F.abs("st")).alias("speed"))
 
 
-@query("g19_grid_pca", KEYS, "pc1 pc2")
+@query("g19_grid_pca", KEYS, " ".join(f"pc{i}" for i in range(1, 9)) + " error")
 def _(t):
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    a = G.as_arrays(t.grid.na.fill(0, ["d"])).withColumn("x", array_to_vector("a"))
-    model = PCA(k=2, inputCol="x", outputCol="pc").fit(a.where("sequence_id % 2 = 0"))
-    return model.transform(a).select(*G.FRAME, *(vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(2)))
+    """Eight components per sensor, fitted on the even sequences, and the mean squared error of the frame built from them."""
+    return G.sensor_components(t.grid.na.fill(0, ["d"]), F.col("sequence_id") % 2 == 0)
 
 
 @query("g20_sensor_sync", "sequence_id", "share", "WITH f AS (SELECT sequence_id, idx, sensor, min(d) AS m FROM grid GROUP BY 1, 2, 3), q AS (SELECT *, m < quantile_cont(m, 0.2) OVER (PARTITION BY sequence_id, sensor) AS near FROM f), n AS (SELECT sequence_id, idx, count(*) FILTER (near) AS k FROM q GROUP BY 1, 2) SELECT sequence_id, avg((k >= 3)::INT) AS share FROM n GROUP BY 1")

@@ -60,20 +60,28 @@ def _(t):
     return t.fe.crossJoin(s).withColumn("z", F.try_divide(F.col("v") - F.col("q")[1], F.col("q")[2] - F.col("q")[0]))
 
 
+FOLDS = 5
+
+
+def out_of_fold(rows, steps, folds: int = FOLDS):
+    """Each fold (column ``fold``) transformed by what was fitted on the others."""
+    out = None
+    for k in range(folds):
+        part = steps().fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("m06_fold_safe_pipeline", "sequence_id fold", "pc1 pc2")
 def _(t):
+    """Scaler and principal components of each fold from the other four."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = S.summarise(t.fv, {"a": F.avg("ax"), "b": F.stddev_pop("ay"), "c": F.max("az"), "d": F.avg("qw")}).withColumn("fold", (F.col("sequence_id") % 2).cast("long"))
-    out = None
-    for k in range(2):
-        steps = Pipeline(stages=[VectorAssembler(inputCols=list("abcd"), outputCol="x"), StandardScaler(withMean=True, inputCol="x", outputCol="z"), PCA(k=2, inputCol="z", outputCol="pc")])
-        done = steps.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k))
-        part = done.select("sequence_id", "fold", *(vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(2)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = S.summarise(t.fv, {"a": F.avg("ax"), "b": F.stddev_pop("ay"), "c": F.max("ax"), "d": F.avg("qw"), "e": F.avg("az"), "f": F.stddev_pop("az")}).withColumn("fold", F.col("sequence_id") % FOLDS)
+    steps = lambda: Pipeline(stages=[VectorAssembler(inputCols=list("abcdef"), outputCol="x"), StandardScaler(withMean=True, inputCol="x", outputCol="z"), PCA(k=2, inputCol="z", outputCol="pc")])
+    return out_of_fold(rows, steps).select("sequence_id", "fold", *(vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(2)))
 
 
 @query("m07_pad_and_mask", "sequence_id pos mask", "v", "WITH p AS (SELECT DISTINCT sequence_id, unnest(range(64)) AS pos FROM fe) SELECT p.sequence_id, pos, (v IS NOT NULL)::INT AS mask, coalesce(v, 0) AS v FROM p LEFT JOIN fe ON fe.sequence_id = p.sequence_id AND fe.idx = pos")
@@ -84,36 +92,31 @@ def _(t):
     return a.select("sequence_id", F.posexplode(padded).alias("pos", "x")).select("sequence_id", F.col("pos").cast("long").alias("pos"), "x.mask", "x.v")
 
 
-@query("m08_mixup", "row_id other", "lam " + _C)
+@query("m08_mixup", "row_id other", "lam label " + _C)
 def _(t):
-    w = Window.partitionBy((F.col("row_id") % 16)).orderBy(C.draw(5, "row_id"), "row_id")
-    a = t.proba.withColumn("k", F.row_number().over(w)).withColumn("b", F.col("row_id") % 16).select("row_id", "b", "k", "p")
-    n = a.groupBy("b").agg(F.count("*").alias("n"))
-    other = a.select("b", F.col("k").alias("k2"), F.col("row_id").alias("other"), F.col("p").alias("q"))
-    lam = C.draw(9, "row_id")
-    mixed = a.join(n, "b").withColumn("k2", F.col("k") % F.col("n") + 1).join(other, ["b", "k2"]).withColumn("lam", lam)
-    return mixed.withColumn("m", F.zip_with("p", "q", lambda x, y: F.col("lam") * x + (1 - F.col("lam")) * y)).select("row_id", "other", "lam", *(F.col("m")[i].alias(f"c{i}") for i in range(10)))
+    """Each row mixed with another of its block, of features and labels alike; blocks have about 1,024 rows, however many there are."""
+    m = C.partners(t.proba.select("row_id", "y", "p"), "row_id", seed=5).withColumn("lam", C.draw(9, "row_id"))
+    mix = lambda x, y: F.col("lam") * x + (1 - F.col("lam")) * y
+    m = m.withColumn("m", F.zip_with("p", "other_p", mix)).withColumn("label", mix(F.col("y"), F.col("other_y")))
+    return m.select("row_id", "other", "lam", "label", *(F.col("m")[i].alias(f"c{i}") for i in range(10)))
 
 
-@query("m09_augment", "sequence_id idx", "noisy scaled")
+@query("m09_augment", "sequence_id idx", "v noisy magnitude warped mixed")
 def _(t):
-    return t.fe.select("sequence_id", "idx", (F.col("v") + 0.1 * (C.draw(1, "sequence_id", "idx") - 0.5)).alias("noisy"), (F.col("v") * (0.9 + 0.2 * C.draw(2, "sequence_id"))).alias("scaled"))
+    """Noise, magnitude warp, time warp, and the second half of another sequence."""
+    return C.augmented(t.fe)
 
 
-@query("m11_fold_model", "sequence_id fold label predicted")
+@query("m11_fold_model", "vec_id fold label predicted")
 def _(t):
+    """Ten classes, five folds: every row is predicted by a model that has not seen it."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
-    q = S.quantiles(F.col("v"))
-    rows = S.summarise(t.fe, {**S.basic(F.col("v")), "median": q["median"], "label": (F.count_if(F.col("phase") == "click") > F.count("*") / 5).cast("long")})
-    rows = VectorAssembler(inputCols=["mean", "std", "min", "max", "median"], outputCol="features").transform(rows).withColumn("fold", F.col("sequence_id") % 2)
-    out = None
-    for k in range(2):
-        model = RandomForestClassifier(numTrees=10, maxDepth=4, seed=7, labelCol="label").fit(rows.where(F.col("fold") != k))
-        part = model.transform(rows.where(F.col("fold") == k)).select("sequence_id", "fold", "label", F.col("prediction").cast("long").alias("predicted"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    x = array_to_vector(F.transform("embedding", lambda v: v.cast("double")))
+    rows = t.table("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), x.alias("features"), F.floor(C.draw(11, "vec_id") * FOLDS).alias("fold"))
+    done = out_of_fold(rows, lambda: RandomForestClassifier(numTrees=10, maxDepth=5, seed=7, labelCol="label"))
+    return done.select("vec_id", "fold", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("predicted"))
 
 
 @query("m13_hierarchical_routing", "row_id class", "", f"WITH {LONG}, b AS (SELECT row_id, sum(p) FILTER (class < 4) AS target, arg_max(class, p2) FILTER (class < 4) AS a, arg_max(class, p3) FILTER (class >= 4) AS o, arg_max(class, p) AS f FROM l GROUP BY 1) SELECT row_id, CASE WHEN target > 0.6 THEN a WHEN target < 0.4 THEN o ELSE f END AS class FROM b")

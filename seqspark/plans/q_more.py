@@ -95,7 +95,7 @@ def _(t):
     return z.select("vec_id", "neighbour", F.col("label").cast("long").alias("label"), "point", *(F.col("point")[i].alias(f"x{i}") for i in range(3)))
 
 
-@query("m12_two_stage", "vec_id label predicted")
+@query("m12_two_stage", "vec_id label predicted", "gate")
 def _(t):
     """A binary model routes each row to a model of the target classes (0-3) or of the others."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -110,7 +110,7 @@ def _(t):
         done = model.transform(out)
         out = done.withColumn(name, vector_to_array("probability")).drop("probability", "rawPrediction", "prediction")
     routed = F.when(F.col("g")[1] > 0.5, E.argmax(F.col("n"))).otherwise(E.argmax(F.col("f")) + 4)
-    return out.select("vec_id", F.col("label").cast("long").alias("label"), routed.alias("predicted"))
+    return out.select("vec_id", F.col("label").cast("long").alias("label"), routed.alias("predicted"), F.col("g")[1].alias("gate"))
 
 
 @query("s06_feature_import", "n_rows n_labels", "", "SELECT count(*) AS n_rows, count(DISTINCT label) AS n_labels FROM embeddings")
