@@ -61,7 +61,6 @@ class Pieces:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.size = sp.vocab_size()
         self.longest = max(map(len, self.id))
-        self.spelled: dict[str, int] = {}  # letters that are no piece -> row
         self.keys, self.rows = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32)
         by_length: dict[int, list[str]] = {}
         for piece in self.id:
@@ -100,8 +99,8 @@ class Pieces:
             left = left[(there != key[left]) & (there != 0)]
         return out
 
-    def lattice(self, words: list[str], n: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-        """For words of n characters: [begin][length - 1] -> (words that have such a piece, its rows)."""
+    def lattice(self, words: list[str], n: int, spelled: dict[str, int]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """For words of n characters: [begin][length - 1] -> (words that have such a piece, its rows). ``spelled`` has the rows of letters that are no piece, and gets new ones."""
         p, out, power = self._prefixes(words, n), [[] for _ in range(n)], np.uint64(1)
         for x in range(1, min(n, self.longest) + 1):
             with np.errstate(over="ignore"):
@@ -109,7 +108,7 @@ class Pieces:
                 rows = self._find((p[x:] - p[:-x] * power).ravel()).reshape(n - x + 1, len(words))
             if x == 1:
                 for i, b in zip(*np.nonzero(rows == 0)):
-                    rows[i, b] = self.spelled.setdefault(words[b][i], self.size + 1 + len(self.spelled))
+                    rows[i, b] = spelled.setdefault(words[b][i], self.size + 1 + len(spelled))
             for i in range(n - x + 1):
                 at = np.flatnonzero(rows[i])
                 out[i].append((at, rows[i, at]))
@@ -120,25 +119,26 @@ class Probabilities:
     """Log-probabilities by row (rows x languages), and the probabilities themselves; row 0 is impossible."""
 
     def __init__(self, vocab: Pieces, logp: np.ndarray):
-        vocab.spelled.clear()
         self.vocab, self.done = vocab, 0
+        self.spelled: dict[str, int] = {}  # letters that are no piece -> row
         self.log = np.vstack([np.full(len(logp), -np.inf), logp.T])
         self.plain = np.exp(self.log)
 
-    def ready(self) -> Probabilities:
-        """With rows for all letters met so far that are spelled by bytes."""
-        new = list(self.vocab.spelled)[self.done :]
+    def lattice(self, words: list[str], n: int) -> list:
+        """The words' lattice; afterwards there are rows for all its letters that are spelled by bytes."""
+        out = self.vocab.lattice(words, n, self.spelled)
+        new = list(self.spelled)[self.done :]
         if new:
-            need = self.vocab.size + 1 + len(self.vocab.spelled)
+            need = self.vocab.size + 1 + len(self.spelled)
             if need > len(self.log):
                 more = np.full((need, self.log.shape[1]), -np.inf)  # as many again, so that copies stay few
                 self.log, self.plain = np.vstack([self.log, more]), np.vstack([self.plain, np.exp(more)])
             for c in new:
-                at = self.vocab.spelled[c]
+                at = self.spelled[c]
                 self.log[at] = self.log[[self.vocab.byte[b] + 1 for b in c.encode("utf-8", "surrogatepass")]].sum(0)
                 self.plain[at] = np.exp(self.log[at])
-            self.done = len(self.vocab.spelled)
-        return self
+            self.done = len(self.spelled)
+        return out
 
 
 def pieces(path: str) -> Pieces:
@@ -208,14 +208,13 @@ def word_log_probabilities(words: list[str], table_: Probabilities) -> np.ndarra
     marked = ["▁" + w for w in words]
     for n, at in _by_length(marked):
         some = [marked[i] for i in at]
-        lattice = table_.vocab.lattice(some, n)
-        table_.ready()
+        lattice = table_.lattice(some, n)
         total = forward(lattice, table_.plain, len(at))[n]
         with np.errstate(divide="ignore"):
             out[at] = np.log(total)
         small = np.flatnonzero(~(total > SAFE).all(1))
         if len(small):
-            again = table_.vocab.lattice([some[i] for i in small], n)
+            again = table_.lattice([some[i] for i in small], n)
             out[at[small]] = forward_log(again, table_.log, len(small))[n]
     return out
 
@@ -237,8 +236,7 @@ def expected_counts(words: list[str], n_words: np.ndarray, table_: Probabilities
 
     for n, at in _by_length(marked):
         some, weight = [marked[i] for i in at], n_words[at]
-        lattice = vocab.lattice(some, n)
-        table_.ready()
+        lattice = table_.lattice(some, n)
         p, logp = table_.plain[:, lang : lang + 1], table_.log[:, lang : lang + 1]
         alpha = forward(lattice, p, len(at))
         total = alpha[n, :, 0]
@@ -246,11 +244,11 @@ def expected_counts(words: list[str], n_words: np.ndarray, table_: Probabilities
         beta = backward(lattice, p, len(at))
         add(lattice, alpha, beta, p, np.where(total > SAFE, total, np.inf), weight, lambda a, b, c, t: a * b * c / t)
         if len(small):
-            again = vocab.lattice([some[i] for i in small], n)
+            again = table_.lattice([some[i] for i in small], n)
             alpha, beta = forward_log(again, logp, len(small)), backward_log(again, logp, len(small))
             add(again, alpha, beta, logp, alpha[n, :, 0], weight[small], lambda a, b, c, t: np.exp(a + b + c - t))
     out = got[1 : vocab.size + 1].copy()
-    for c, row in vocab.spelled.items():
+    for c, row in table_.spelled.items():
         if row < len(got) and got[row]:
             np.add.at(out, [vocab.byte[b] for b in c.encode("utf-8", "surrogatepass")], got[row])
     return out

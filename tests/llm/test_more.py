@@ -272,3 +272,48 @@ def test_components(spark):
             low[a] = low[b] = min(low[a], low[b])
     assert got == low
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_hot_contexts_give_the_same_scores(spark, sf, monkeypatch):
+    from seqspark.llm import katz
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").select("doc_id", "text", (F.col("doc_id") % 4 != 0).alias("train")).repartition(5)
+    scores = lambda: {r["doc_id"]: r for r in katz.score_texts(docs, "train").collect()}
+    want = scores()
+    monkeypatch.setattr(katz, "HOT", 4)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 400)
+    got = scores()
+    assert got.keys() == want.keys() and len(got) == 60
+    for k, r in want.items():
+        assert r["n_tokens"] == got[k]["n_tokens"] and r["n_known"] == got[k]["n_known"]
+        assert all(math.isclose(r[c], got[k][c], rel_tol=1e-9) for c in ("base_score", "score", "score_lower"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("katz_")]
+
+
+def _folder(spark, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "what is the capital city of the old northern kingdom by the grey sea? it is the town of seven bridges"), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_on_odd_rows(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    good = corpus_pipeline.deduplicated(spark, corpus_pipeline.quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), sf)
+    texts = [x["text"] for x in good.where("length(text) BETWEEN 600 AND 3000").orderBy("doc_id").limit(60).collect()]
+    prose = lambda k: texts[k]
+    leak = "what is the capital city of the old northern kingdom by the grey sea? it is the town of seven bridges"
+    rows = [
+        (1, prose(1), "en", "a", 10), (2, prose(1), "en", "b", 10), (3, prose(2) + " " + leak + " " + prose(3), "en", "a", 10), (4, None, None, None, None), (5, "", "en", "a", 0), (6, prose(4), None, None, None),
+        (6, prose(4), None, None, None), (6, prose(5), "de", "c", 1), (None, prose(6), "en", "a", 1), (8, prose(7) + " mail ann@example.com", "en", "a", 1), (9, " ".join(prose(s) for s in range(20, 50)), "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(i) for i, c in enumerate(("_key", "row", "key", "rest", "class_id", "_key_"))})
+    got = corpus_pipeline.run(spark, _folder(spark, tmp_path / "some", docs)).toPandas()
+    kept = {None if v != v else int(v) for v in got.doc_id}
+    assert {1, 6, 8, 9, None} >= kept >= {1, 6, 8, None} and not kept & {2, 3, 4, 5}
+    assert got[got.doc_id == 6].groupby("doc_tokens").length.sum().size in (1, 2)  # two texts under one id are judged one by one
+    whole = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    stage = corpus_pipeline.deduplicated(spark, corpus_pipeline.quality(spark, whole, ""), "")
+    assert stage.columns == docs.columns and stage.where("doc_id = 6").count() == 2
+    none = corpus_pipeline.run(spark, _folder(spark, tmp_path / "none", docs.where("false")))
+    assert none.count() == 0
