@@ -125,6 +125,13 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_ok")).alias("base_failed"), "kept", "fail_bits")
 
 
+def rules_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy does over all documents, from the ledger alone."""
+    from seqspark.llm.shared import table
+
+    return ablation(rule_ledger(table(spark, sf_dir, "documents")), DEFAULT)
+
+
 #: DuckDB SQL for the whole query, over the same rules.
 OP8_SQL = (
     r"""
@@ -146,3 +153,7 @@ FROM (SELECT *, ("""
     + " + ".join(f"CASE WHEN {cond} THEN {BIT[name]} ELSE 0 END" for name, cond in RULES.items())
     + ")::BIGINT AS fail_bits FROM m)"
 )
+
+ABLATION_SQL = f"WITH o AS ({OP8_SQL}), b AS (SELECT fail_bits & {DEFAULT.mask} AS bits FROM o) " + " UNION ALL ".join(
+    f"SELECT '{DEFAULT.name}' AS policy, {DEFAULT.version} AS version, '{r}' AS rule, count(*) FILTER (bits & {BIT[r]} <> 0) AS n_failed, count(*) FILTER (bits = {BIT[r]}) AS n_failed_alone, count(*) FILTER (bits & {DEFAULT.mask & ~BIT[r]} = 0) AS n_kept_without FROM b" for r in DEFAULT.rules
+)

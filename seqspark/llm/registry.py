@@ -19,8 +19,9 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_near_duplicates": near_dup.op9_near_duplicates,
         "pipeline": corpus_pipeline.run,
+        "rules_ablation": quality_rules.rules_ablation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.OP8_SQL}
+    return {"op8_quality_rules": quality_rules.OP8_SQL, "rules_ablation": quality_rules.ABLATION_SQL}

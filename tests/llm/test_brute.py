@@ -37,6 +37,9 @@ def test_rules_match_sql(spark, sf):
     want = con.execute(quality_rules.OP8_SQL).df().sort_values("doc_id").reset_index(drop=True)
     got = rows(Q["op8_quality_rules"](spark, sf)).sort_values("doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(got[sorted(got)], want[sorted(want)], check_dtype=False)
+    want = con.execute(quality_rules.ABLATION_SQL).df().sort_values("rule").reset_index(drop=True)
+    got = rows(Q["rules_ablation"](spark, sf)).sort_values("rule").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[sorted(got)], want[sorted(want)], check_dtype=False)
 
 
 def _detect(t):
