@@ -45,12 +45,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.shared import dropped, fold, mix64, shared_dir, swept, table, written
+from seqspark.llm.shared import Numbered, dropped, fold, mix64, shared_dir, swept, table, written
 
 BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
 HOT, MOST_HOT = 250_000, 1 << 16  # a context met more often than HOT and N / MOST_HOT is spread over buckets
-PASSES = {2: 2, 3: 4}  # of an order, over the buckets; higher ones take the last
+PASSES = {2: 2, 3: 2}  # of an order, over the buckets; higher ones take the last
 CUT = 5
 END, START = 0, 1  # numbers of the two marks in every block
 CACHE_WORDS = 500_000
@@ -86,7 +86,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train_col: str) -> DataF
 
     def run(batches):
         part, count, id_type = TaskContext.get().partitionId(), 0, None
-        at: dict[bytes, int] = {b" ": END, b"\t": START}  # no word holds a blank
+        at = Numbered({b" ": END, b"\t": START})  # no word holds a blank
         ids, flags, sizes, data, held = [], [], [], [], 0
 
         def flush():
@@ -99,10 +99,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train_col: str) -> DataF
             id_type = batch.schema.field(0).type
             for key, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = tokens(text.as_py())
-                for w in set(words).difference(at):
-                    at[w] = len(at)
                 x = np.empty(len(words) + 1, np.int32)
-                x[:-1] = list(map(at.__getitem__, words))
+                x[:-1] = np.fromiter(map(at.__getitem__, words), np.int32, len(words))
                 x[-1] = END
                 ids.append(key)
                 flags.append(train)
@@ -112,7 +110,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train_col: str) -> DataF
                 if held >= BLOCK_TOKENS:
                     yield flush()
                     count += 1
-                    at = {b" ": END, b"\t": START}
+                    at = Numbered({b" ": END, b"\t": START})
                     ids, flags, sizes, data, held = [], [], [], [], 0
         if ids:
             yield flush()
@@ -139,14 +137,20 @@ def _gone(*tables: DataFrame) -> None:
         dropped(df)
 
 
-def _sorted(x: np.ndarray) -> np.ndarray:
-    """A stable argsort of random 64-bit numbers: their high bits and the places are sorted as one number."""
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable argsort of random 64-bit numbers, and the numbers in that order: their high bits and the places are sorted as one number."""
     bits = np.uint64(max(1, len(x)).bit_length())
     low = (np.uint64(1) << bits) - np.uint64(1)
-    key = (x & ~low) | np.arange(len(x), dtype=np.uint64)
+    key = x & ~low
+    key |= np.arange(len(x), dtype=np.uint64)
     key.sort()
-    order = (key & low).astype(np.int64)
-    return order if (x[order][1:] >= x[order][:-1]).all() else np.argsort(x, kind="stable")
+    key &= low
+    order = key.view(np.int64)
+    found = x[order]
+    if not (found[1:] >= found[:-1]).all():
+        order = np.argsort(x, kind="stable")
+        found = x[order]
+    return order, found
 
 
 def _top(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -156,7 +160,7 @@ def _top(x: np.ndarray, buckets: int) -> np.ndarray:
 
 def _word_order(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's words by hash, without the start mark; and their buckets."""
-    order = _sorted(words)
+    order, _ = _sorted(words)
     order = order[order != START]
     return order, _top(words[order], buckets)
 
@@ -169,21 +173,35 @@ class _Grams:
     """
 
     def __init__(self, g: np.ndarray, e: np.ndarray, hot: np.ndarray, buckets: int, passes: int = 1, part: int = 0):
-        b = _top(np.where(hot, e, g), buckets)
-        some = np.flatnonzero(b % passes == part) if passes > 1 else np.arange(len(e))
-        order = some[_sorted(e[some])]
-        new = np.append(True, e[order][1:] != e[order][:-1])[: len(order)]
+        any_hot = bool(hot.any())
+        if passes > 1:
+            some = np.flatnonzero(_top(np.where(hot, e, g) if any_hot else g, buckets) % passes == part)
+            order, found = _sorted(e[some])
+            order = some[order]
+        else:
+            order, found = _sorted(e)
+        new = np.append(True, found[1:] != found[:-1])[: len(order)]
         heads = np.flatnonzero(new)
-        at = order[heads]  # a token of each n-gram
-        cold, warm = np.flatnonzero(~hot[at]), np.flatnonzero(hot[at])
-        cold, warm = cold[_sorted(g[at[cold]])], warm[np.lexsort((g[at[warm]], b[at[warm]]))]
-        place = np.append(cold, warm)
+        at, found = order[heads], found[heads]  # a token of each n-gram
+        if any_hot:
+            on = hot[at]
+            cold, warm = np.flatnonzero(~on), np.flatnonzero(on)
+            cold = cold[_sorted(g[at[cold]])[0]]
+            warm = warm[np.lexsort((g[at[warm]], _top(found[warm], buckets)))]
+            place = np.append(cold, warm)
+            self.hot = np.append(np.zeros(len(cold), bool), np.ones(len(warm), bool))
+            self.g = g[at[place]]
+        else:
+            place, self.g = _sorted(g[at])
+            self.hot = np.zeros(len(place), bool)
         rank = np.empty(len(place), np.int64)
         rank[place] = np.arange(len(place))
         self.token, self.of_token = order, rank[np.cumsum(new) - 1]  # tokens and their n-grams
-        self.example = at[place]
-        self.e, self.g, self.hot, self.bucket = e[self.example], g[self.example], hot[self.example], b[self.example]
-        change = np.append(True, (self.g[1:] != self.g[:-1]) | (self.bucket[1:] != self.bucket[:-1]) | (self.hot[1:] != self.hot[:-1]))[: len(self.g)]
+        self.example, self.e = at[place], found[place]
+        self.bucket = _top(np.where(self.hot, self.e, self.g) if any_hot else self.g, buckets)
+        change = np.append(True, self.g[1:] != self.g[:-1])[: len(self.g)]
+        if any_hot:
+            change[1:] |= (self.bucket[1:] != self.bucket[:-1]) | (self.hot[1:] != self.hot[:-1])
         self.heads = np.flatnonzero(change)  # one per context
         self.runs = np.diff(np.append(self.heads, len(self.g)))
 
@@ -225,13 +243,6 @@ class _Block:
                 g = mix64(g * step + w)
             return g, mix64(g * step + self.h)
 
-    def met(self, counts: list[np.ndarray]) -> np.ndarray:
-        """How often each token's context was met in training, for the order after those whose n-grams' ``counts`` are given."""
-        out = self.before(self.c[self.tok], self.c[START])
-        for order, r in enumerate(counts, 2):
-            out = self.before(self.grams(order, out).per_token(r), self.c[START])
-        return out
-
     def grams(self, order: int, met: np.ndarray, passes: int = 1, part: int = 0) -> _Grams:
         return _Grams(*self.hashes(order), met > self.hot, self.buckets, passes, part)
 
@@ -253,6 +264,16 @@ def _squeezed(values) -> pa.Array:
     return pa.array([pack(np.ascontiguousarray(x).tobytes()) for x in values], pa.binary())
 
 
+def _steps(g: np.ndarray) -> np.ndarray:
+    """Ascending numbers as their steps, one byte of all after the other, which packs well."""
+    return np.ascontiguousarray(np.diff(g, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_steps(x) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(np.ascontiguousarray(_wide(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _wide(x, kind) -> np.ndarray:
     import zstandard
 
@@ -327,14 +348,14 @@ def gram_counts(known: DataFrame, order: int, setup: dict, part: int) -> DataFra
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
-                block, counts, below = _opened(row, setup)
-                grams = block.grams(order, block.met(counts), passes, part)
+                block, met, below = _opened(row, setup)
+                grams = block.grams(order, met, passes, part)
                 n = np.bincount(grams.of_token, np.repeat(np.array(row["train"], bool), block.sizes)[grams.token], len(grams.e)).astype(np.int64)
-                below = below[grams.example]
+                below = np.where(n > 0, below[grams.example], 0.0)  # others are nobody's followers
                 cuts = list(grams.slices())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([b for b, *_ in cuts], pa.int32()), pa.array([h for _, h, *_ in cuts], pa.bool_())]
-                    + [_binary(grams.g[grams.heads[k:m]] for *_, k, m in cuts), _squeezed(grams.runs[k:m].astype(np.int32) for *_, k, m in cuts)]
+                    + [_squeezed(_steps(grams.g[grams.heads[k:m]]) for *_, k, m in cuts), _squeezed(grams.runs[k:m].astype(np.int32) for *_, k, m in cuts)]
                     + [_binary(grams.e[a:b] for _, _, a, b, *_ in cuts), _squeezed(n[a:b] for _, _, a, b, *_ in cuts), _squeezed(below[a:b] for _, _, a, b, *_ in cuts)],
                     names=["block", "bucket", "hot", "contexts", "runs", "grams", "n", "below"],
                 )
@@ -342,20 +363,21 @@ def gram_counts(known: DataFrame, order: int, setup: dict, part: int) -> DataFra
     def answer(key, rows):
         raw = lambda name: [_frombytes(x.as_buffer(), np.uint64) for x in rows.column(name)]
         wide = lambda name, kind: [_wide(x.as_py(), kind) for x in rows.column(name)]
-        contexts, grams, runs = raw("contexts"), raw("grams"), wide("runs", np.int32)
+        contexts, grams, runs = [_from_steps(x.as_py()) for x in rows.column("contexts")], raw("grams"), wide("runs", np.int32)
         v, e, run = np.concatenate(contexts), np.concatenate(grams), np.concatenate(runs)
         n, below = np.concatenate(wide("n", np.int64)), np.concatenate(wide("below", np.float64))
         g, hot = np.repeat(v, run), np.repeat(np.array(rows.column("hot").to_pylist(), bool), [len(x) for x in contexts])
-        order_ = _sorted(e)
-        new = np.append(True, e[order_][1:] != e[order_][:-1])
+        order_, found = _sorted(e)
+        new = np.append(True, found[1:] != found[:-1])
         heads = np.flatnonzero(new)
         total = np.add.reduceat(n[order_], heads)
         r = np.empty(len(e), np.int64)
         r[order_] = total[np.cumsum(new) - 1]
         seen = order_[heads][total > 0]  # a row of each n-gram that occurs
-        seen = seen[_sorted(g[seen])]
-        mark = np.flatnonzero(np.append(True, g[seen][1:] != g[seen][:-1])[: len(seen)])
-        kinds, count = g[seen][mark], r[seen]
+        place, kinds = _sorted(g[seen])
+        seen = seen[place]
+        mark = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])[: len(seen)])
+        kinds, count = kinds[mark], r[seen]
         add = lambda x: np.add.reduceat(x, mark) if len(mark) else np.zeros(0, x.dtype)
         followers = np.stack([*(add((count == k).astype(np.int64)) for k in range(1, CUT + 1)), add(np.where(count > CUT, count, 0)), add((count > CUT).astype(np.int64))], 1)
         mass = add(below[seen])
@@ -411,17 +433,18 @@ def _counts_of(words: np.ndarray, answers: list[dict], buckets: int) -> np.ndarr
     return out
 
 
-def _opened(row: dict, setup: dict) -> tuple[_Block, list[np.ndarray], np.ndarray]:
-    """The block of a row of the known table; its counts of orders 2..; and the probability of each token at the last of them."""
+def _opened(row: dict, setup: dict) -> tuple[_Block, np.ndarray, np.ndarray]:
+    """The block of a row; and, from the answers of the orders done, how often each token's context at the next order was met, and the token's probability at the last one."""
     block = _Block(row["sizes"], row["tokens"], row["words"], _wide(row["c"], np.int64), setup["buckets"], setup["hot"])
-    counts = [_wide(x, np.int64) for x in row["counts"] or ()]
-    if not counts:
-        return block, counts, unigram(setup["stats"], setup["d"][0], block.c)[block.tok]
-    grams = block.grams(len(counts) + 1, block.met(counts[:-1]))
-    return block, counts, grams.per_token(_wide(row["p"], np.float64))
+    met, p = block.before(block.c[block.tok], block.c[START]), unigram(setup["stats"], setup["d"][0], block.c)[block.tok]
+    for k, hot in enumerate(setup["contexts"], 2):
+        grams = block.grams(k, met)
+        r, q = _answered(grams, row[f"level{k}"], hot.value, met, p, setup["d"][k - 1])
+        met, p = block.before(grams.per_token(r), block.c[START]), grams.per_token(q)
+    return block, met, p
 
 
-def _answered(block: _Block, grams: _Grams, answers: list[dict], hot: tuple, met: np.ndarray, below: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _answered(grams: _Grams, answers: list[dict], hot: tuple, met: np.ndarray, below: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts and probabilities of a block's n-grams from its stored answers."""
     answers = sorted(answers, key=lambda a: (a["hot"], a["bucket"]))
     get = lambda name, kind: np.concatenate([_wide(a[name], kind) for a in answers])
@@ -458,49 +481,29 @@ def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_co
     def counted(batches):
         for batch in batches:
             for block, words, answers in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), _squeezed([_counts_of(np.frombuffer(words, np.uint64), answers, buckets)]), pa.array([[]], pa.list_(pa.binary())), pa.array([None], pa.binary())], names=["block", "c", "counts", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), _squeezed([_counts_of(np.frombuffer(words, np.uint64), answers, buckets)])], names=["block", "c"])
 
-    by_block = lambda t, *cols: t.groupBy("block").agg(F.collect_list(F.struct("bucket", *cols)).alias("answers"))
-    known_type = "block long, c binary, counts array<binary>, p binary"
-    known = _bucketed(made.select("block", "words").join(by_block(uni, "counts"), "block").mapInArrow(counted, known_type), "known")
+    by_block = lambda t, name, *cols: t.groupBy("block").agg(F.collect_list(F.struct("bucket", *cols)).alias(name))
+    known = _bucketed(made.select("block", "words").join(by_block(uni, "answers", "counts"), "block").mapInArrow(counted, "block long, c binary"), "counts")
     _gone(uni)
     swept(spark)
-    text_cols = ["block", "train", "sizes", "tokens", "words"]
+    text_cols, levels = ["block", "train", "sizes", "tokens", "words"], []
+    setup["contexts"] = []
     for k in range(2, order + 1) if n_train else ():
+        asked = made.select(*text_cols).join(known, "block")
+        for level in levels:
+            asked = asked.join(level, "block")
         parts = []
         for part in range(_passes(k)):
-            parts.append(gram_counts(made.select(*text_cols).join(known, "block"), k, setup, part))
+            parts.append(gram_counts(asked, k, setup, part))
             swept(spark)
         answers = parts[0]
         for x in parts[1:]:
             answers = answers.unionByName(x)
-        setup = setup | {"d": [*setup["d"], discounts(_summed(answers))]}
-        hot = spark.sparkContext.broadcast(_hot(answers))
-        replies = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "hot", "counts", "followers", "mass")).alias("answers"))
-        joined = made.select(*text_cols).join(known, "block").join(replies, "block")
-
-        def climbed(batches, k=k, setup=setup, hot=hot):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
-                    block, counts, below = _opened(row, setup)
-                    met = block.met(counts)
-                    grams = block.grams(k, met)
-                    r, p = _answered(block, grams, row["answers"], hot.value, met, below, setup["d"][k - 1])
-                    lower = np.add.reduceat(_log(below), block.first)
-                    score = np.add.reduceat(_log(grams.per_token(p)), block.first)
-                    yield block, row, r, p, lower, score
-
-        if k < order:
-
-            def kept(batches, climbed=climbed):
-                for _, row, r, p, *_ in climbed(batches):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["c"]], pa.binary()), pa.array([[*(row["counts"] or ()), *_squeezed([r]).to_pylist()]], pa.list_(pa.binary())), _squeezed([p])], names=["block", "c", "counts", "p"])
-
-            following = _bucketed(joined.mapInArrow(kept, known_type), "known")
-            _gone(known, *parts)
-            known = following
-            swept(spark)
+        setup = setup | {"d": [*setup["d"], discounts(_summed(answers))], "contexts": [*setup["contexts"], spark.sparkContext.broadcast(_hot(answers))]}
+        levels.append(_bucketed(by_block(answers, f"level{k}", "hot", "counts", "followers", "mass"), f"level{k}"))
+        _gone(*parts)
+        swept(spark)
 
     def out(block, row, lower, score):
         c, n = block.c, len(block.sizes)
@@ -516,22 +519,23 @@ def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_co
 
     def scored(batches):
         for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("ids"))
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                ids = one.column(one.schema.get_field_index("ids"))[0].values
+                row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names) if c != "ids"} | {"ids": ids[i].values}
                 if n_train:
-                    for block, row, _, _, lower, score in climbed([one.drop_columns(["ids"])]):
-                        yield out(block, row | {"ids": ids}, lower, score)
+                    block, met, below = _opened(row, setup | {"contexts": setup["contexts"][:-1]})
+                    grams = block.grams(order, met)
+                    _, p = _answered(grams, row[f"level{order}"], setup["contexts"][-1].value, met, below, setup["d"][-1])
+                    yield out(block, row, *(np.add.reduceat(_log(x), block.first) for x in (below, grams.per_token(p))))
                 else:
-                    row = {c: one.column(j)[0].as_py() for j, c in enumerate(one.schema.names) if c != "ids"}
                     block = _Block(row["sizes"], row["tokens"], row["words"], _wide(row["c"], np.int64), buckets, 1)
-                    none = np.full(len(block.sizes), np.nan)
-                    yield out(block, {"ids": ids}, none, none)
+                    yield out(block, row, *[np.full(len(block.sizes), np.nan)] * 2)
 
     rows = made.select(*text_cols, "ids").join(known, "block")
-    rows = rows.join(replies, "block") if n_train else rows
+    for level in levels:
+        rows = rows.join(level, "block")
     found = written(rows.mapInArrow(scored, out_type), "katz-scores")
-    _gone(made, known, *(parts if n_train else ()))
+    _gone(made, known, *levels)
     swept(spark)
     return found
 
