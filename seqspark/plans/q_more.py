@@ -82,7 +82,16 @@ def _(t):
     return lim.groupBy("sequence_id").agg(F.avg(both.cast("int")).alias("sync"), S.safe_corr(F.col("a"), F.col("b")).alias("r"))
 
 
-@query("m10_oversample", "vec_id neighbour label point", "x0 x1 x2")
+_DRAWN = "('0x' || substr(md5('{0}:' || {1}), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(
+    "m10_oversample", "vec_id neighbour label", "x0 x1 x2 total",
+    "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), r AS (SELECT label, count(*) AS n FROM e GROUP BY 1 ORDER BY n, label LIMIT 3), "
+    "d AS (SELECT a.vec_id, b.vec_id AS neighbour, a.label, a.x AS p, b.x AS q, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) ** 2)), b.vec_id) AS k FROM e AS a JOIN r USING (label) JOIN e AS b ON b.label = a.label AND b.vec_id <> a.vec_id), "
+    f"o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY {_DRAWN.format(3, 'vec_id || chr(58) || neighbour')}) AS pick, {_DRAWN.format(4, 'vec_id')} AS lam FROM d WHERE k <= 3), "
+    "z AS (SELECT vec_id, neighbour, label, list_transform(list_zip(p, q), lambda z: z[1] + (z[2] - z[1]) * lam) AS point FROM o WHERE pick = 1) SELECT vec_id, neighbour, label::BIGINT AS label, point[1] AS x0, point[2] AS x1, point[3] AS x2, list_sum(point) AS total FROM z",
+)
 def _(t):
     """For each row of a rare class, a point between it and one of its three nearest rows of the class, over all numbers of the embedding."""
     e = t.table("embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
@@ -92,7 +101,7 @@ def _(t):
     pick = pick.join(e.select("vec_id", "x"), "vec_id").join(e.select(F.col("vec_id").alias("neighbour"), F.col("x").alias("y")), "neighbour")
     lam = C.draw(4, "vec_id")
     z = pick.withColumn("point", F.zip_with("x", "y", lambda p, q: p + (q - p) * lam))
-    return z.select("vec_id", "neighbour", F.col("label").cast("long").alias("label"), "point", *(F.col("point")[i].alias(f"x{i}") for i in range(3)))
+    return z.select("vec_id", "neighbour", F.col("label").cast("long").alias("label"), E.total(F.col("point")).alias("total"), *(F.col("point")[i].alias(f"x{i}") for i in range(3)))
 
 
 @query("m12_two_stage", "vec_id label predicted", "gate")

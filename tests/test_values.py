@@ -105,7 +105,8 @@ def test_nearest_of_class(spark, sf, emb):
         near = e.vec_id[sorted(same, key=lambda j: (((x[j] - x[i]) ** 2).sum(), e.vec_id[j]))[:3]]
         assert r.neighbour in set(near)
         y = x[e.index[e.vec_id == r.neighbour][0]]
-        assert np.allclose(r.point, x[i] + (y - x[i]) * draw(4, r.vec_id), atol=1e-6)
+        point = x[i] + (y - x[i]) * draw(4, r.vec_id)
+        assert np.allclose([r.x0, r.x1, r.x2, r.total], [*point[:3], point.sum()], atol=1e-5)
 
 
 def test_fold_models(spark, sf, emb):
