@@ -335,4 +335,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All documents against all items. The benchmark table has no answers, so an item's last sentence stands for its answer."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -20,8 +20,10 @@ are ignored; without training pages the generated layouts stand alone.
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,19 +103,38 @@ class _Open:
         """All open elements; of more than twice DEEP, the DEEP outermost and innermost ones."""
         return tuple(self.stack) if len(self.stack) <= 2 * DEEP else (*self.stack[:DEEP], *self.stack[-DEEP:])
 
-    def last(self, names: tuple) -> int:
-        return max((x[-1] for n in names if (x := self.places.get(n))), default=-1)
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of a name; -1 if none is open."""
+        x = self.places.get(name)
+        return x[-1] if x else -1
+
+    def implied(self, names: tuple, scope: tuple) -> int:
+        """The innermost open element of ``names``, unless one of ``scope`` is open inside it; else -1."""
+        i = -1
+        for n in names:
+            if (x := self.places.get(n)) and x[-1] > i:
+                i = x[-1]
+        if i >= 0:
+            for n in scope:
+                if (x := self.places.get(n)) and x[-1] > i:
+                    return -1
+        return i
 
     def push(self, name: str, names: tuple) -> None:
-        self.places.setdefault(name, []).append(len(self.stack))
+        if (x := self.places.get(name)) is None:
+            x = self.places[name] = []
+        x.append(len(self.stack))
         self.stack.append((name, names))
 
     def cut(self, i: int) -> list[str]:
         """Close element i and all in it."""
-        gone = [name for name, _ in self.stack[i:]]
+        if i == len(self.stack) - 1:
+            gone = [self.stack.pop()[0]]
+        else:
+            gone = [name for name, _ in self.stack[i:]]
+            del self.stack[i:]
         for name in gone:
             self.places[name].pop()
-        del self.stack[i:]
         return gone
 
 
@@ -163,7 +184,7 @@ def blocks(page: str | None) -> list[Block]:
         if slash:
             if name in _BLOCK:
                 flush()
-            if (i := tree.last((name,))) >= 0:
+            if (i := tree.last(name)) >= 0:
                 pop_to(i)
             continue
         if name in _RAW:
@@ -183,9 +204,9 @@ def blocks(page: str | None) -> list[Block]:
             if name == "body":
                 pop_to(0)
             else:
-                if name in _CLOSES_P and (i := tree.last(("p",))) > tree.last(_P_SCOPE):
+                if name in _CLOSES_P and (i := tree.implied(("p",), _P_SCOPE)) >= 0:
                     pop_to(i)
-                if name in _ENDS and (i := tree.last(_ENDS[name][0])) > tree.last(_ENDS[name][1]):
+                if name in _ENDS and (i := tree.implied(*_ENDS[name])) >= 0:
                     pop_to(i)
         if name in _VOID or rest.endswith("/"):
             continue
@@ -209,34 +230,66 @@ def _slot(word: str, dim: int, space: str) -> tuple[int, float]:
     return got
 
 
+class _Words(dict):
+    """Word -> twice its slot, plus 1 where its sign is positive."""
+
+    def __missing__(self, word: str) -> int:
+        i, s = _slot(word, WORD_DIM, "word:")
+        code = 2 * i + (s > 0)
+        if len(self) < 200_000:
+            self[word] = code
+        return code
+
+
+_WORDS = _Words()
+
+
+def word_sums(page: list[Block]) -> np.ndarray:
+    """Signed counts of the hashed words of every block."""
+    sizes = [len(b.words) for b in page]
+    code = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(b.text.lower().split(" ") for b in page)), np.int64, sum(sizes))
+    row = np.repeat(np.arange(len(page)), sizes)
+    return np.bincount(row * WORD_DIM + (code >> 1), 2.0 * (code & 1) - 1, len(page) * WORD_DIM).reshape(-1, WORD_DIM)
+
+
 def vectors(page: list[Block], drop=None) -> np.ndarray:
     """One row of DIM numbers per block. ``drop(name)`` leaves out names of elements and classes, in training."""
     out = np.zeros((len(page), DIM))
-    seen: dict[tuple, np.ndarray] = {}
+    if page:
+        out[:, PATH_DIM : PATH_DIM + WORD_DIM] = word_sums(page)
+    seen: dict[tuple, np.ndarray] = _PATHS if drop is None else {}
+    if len(seen) > 20_000:
+        seen.clear()
+    paths, measures = [], []
     for r, b in enumerate(page):
-        row = seen.get(b.path)
-        if row is None:
-            row = np.zeros(PATH_DIM)
-            for depth, (name, names) in enumerate(b.path[::-1]):
-                if depth < 2 and not (drop and drop(name)):
-                    i, s = _slot(name, PATH_DIM, "own:" if depth == 0 else "up:")
-                    row[i] += s
-                for x in (name, *names):
-                    if not (drop and drop(x)):
-                        i, s = _slot(x, PATH_DIM, "path:")
-                        row[i] += s
-            seen[b.path] = np.clip(row, -2, 2)
-            row = seen[b.path]
-        out[r, :PATH_DIM] = row
-        for w in b.words:
-            i, s = _slot(w.lower(), WORD_DIM, "word:")
-            out[r, PATH_DIM + i] += s
-        n = len(b.words)
-        out[r, PATH_DIM : PATH_DIM + WORD_DIM] /= n
-        out[r, -8:] = np.log1p(n) / 3, np.log1p(len(b.text)) / 5, min(1.0, b.linked / max(1, len(b.text))), b.text[-1] in ".!?…", sum(map(b.text.count, ".,;")) / n, r / len(page), (len(page) - r) / len(page), b.text[:1] == "©" or "copyright" in b.text[:40].lower()
+        if (row := seen.get(b.path)) is None:
+            row = seen[b.path] = _path_row(b.path, drop)
+        paths.append(row)
+        n, text = len(b.words), b.text
+        measures.append((math.log1p(n) / 3, math.log1p(len(text)) / 5, min(1.0, b.linked / max(1, len(text))), text[-1] in ".!?…", (text.count(".") + text.count(",") + text.count(";")) / n, r / len(page), (len(page) - r) / len(page), text[:1] == "©" or "copyright" in text[:40].lower()))
+    if page:
+        out[:, :PATH_DIM] = paths
+        out[:, -8:] = measures
+        out[:, PATH_DIM : PATH_DIM + WORD_DIM] /= np.array([len(b.words) for b in page])[:, None]
     return out
 
 
+_PATHS: dict[tuple, np.ndarray] = {}
+
+
+def _path_row(path: tuple, drop) -> np.ndarray:
+    row = np.zeros(PATH_DIM)
+    for depth, (name, names) in enumerate(path[::-1]):
+        if depth < 2 and not (drop and drop(name)):
+            i, s = _slot(name, PATH_DIM, "own:" if depth == 0 else "up:")
+            row[i] += s
+        for x in (name, *names):
+            if not (drop and drop(x)):
+                i, s = _slot(x, PATH_DIM, "path:")
+                row[i] += s
+    return np.clip(row, -2, 2)
+
+
 class Labeller:
     """A bidirectional LSTM over blocks with one logistic output each."""
 
