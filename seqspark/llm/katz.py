@@ -50,24 +50,15 @@ from seqspark.llm.shared import Numbered, dropped, fold, mix64, shared_dir, swep
 BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
 HOT, MOST_HOT = 250_000, 1 << 16  # a context met more often than HOT and N / MOST_HOT is spread over buckets
-PASSES = {2: 2, 3: 2}  # of an order, over the buckets; higher ones take the last
+PASSES = {2: 2, 3: 3}  # of an order, over the buckets; higher ones take the last
 CUT = 5
 END, START = 0, 1  # numbers of the two marks in every block
-CACHE_WORDS = 500_000
-_HASH: dict[bytes, int] = {}
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if len(_HASH) > CACHE_WORDS:
-        _HASH.clear()
-    out = []
-    for w in words:
-        if (h := _HASH.get(w)) is None:
-            h = _HASH[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def tokens(text: str | None) -> list[bytes]:

@@ -7,6 +7,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -47,9 +48,14 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def swept(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the exchange files of steps that are over; it goes by what the driver's collector finds unused."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner remove the exchange files of steps that are over; it goes by what the driver's collector finds unused.
+
+    Twice, since Python's side lets go of a plan only with the next call.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
