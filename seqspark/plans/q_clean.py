@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from seqspark.operators import clean as C
 from seqspark.operators import joins as J
 from seqspark.operators import stats as S
-from seqspark.operators import windows as O
 from seqspark.plans.registry import query
 from seqspark.sources import frames as R
 
