@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,32 @@ def with_other(df: DataFrame, category: Column, least: float = 0.05, other: str
     total = c.agg(F.sum("n").alias("total"))
     s = c.crossJoin(total)  # one row beside a row per category
     return s.groupBy(F.when(F.col("n") / F.col("total") < least, other).otherwise(F.col("k")).alias("category")).agg(F.sum("n").alias("n"))
+
+
+def table_quantiles(df: DataFrame, column: str, probs: tuple[float, ...], bins: int = 1 << 12) -> list[float | None]:
+    """Exact quantiles of a whole column, linear between neighbours; nulls are left out, an empty column gives None.
+
+    A histogram of equal bins tells in which bin each wanted rank lies; that bin
+    is cut up in turn, until it holds one value. So a task holds a count per bin,
+    never the column's values, and a few scans do, since each narrows a range of
+    doubles by the number of bins.
+    """
+    v = F.col(column).cast("double")
+    rows = df.select(v.alias("v")).where("v IS NOT NULL")
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).head()
+    if not n:
+        return [None] * len(probs)
+    places = [p * (n - 1) for p in probs]
+    found: dict[int, float] = {}
+    todo = [(low, high, 0, sorted({k for x in places for k in (math.floor(x), math.ceil(x))}))]
+    while todo:
+        a, b, before, ranks = todo.pop()
+        if a == b:
+            found |= dict.fromkeys(ranks, a)
+            continue
+        cell = F.least(F.floor((F.col("v") - a) / (b - a) * bins), F.lit(bins - 1))
+        for r in sorted(rows.where(F.col("v").between(a, b)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect(), key=lambda r: r["a"]):
+            if mine := [k for k in ranks if before <= k < before + r["n"]]:
+                todo.append((r["a"], r["b"], before, mine))
+            before += r["n"]
+    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in places]

@@ -196,8 +196,8 @@ def _(t):
 @query("p29_median_split", "cohort n", "mean", "SELECT CASE WHEN c_acctbal <= (SELECT quantile_cont(c_acctbal, 0.5) FROM customer) THEN 'short' ELSE 'long' END AS cohort, count(*) AS n, avg(c_acctbal) AS mean FROM customer GROUP BY 1")
 def _(t):
     c = t.table("customer")
-    mid = c.agg(F.percentile("c_acctbal", F.lit(0.5)).alias("mid"))  # one row
-    split = c.crossJoin(mid).withColumn("cohort", F.when(F.col("c_acctbal") <= F.col("mid"), "short").otherwise("long"))
+    (mid,) = S.table_quantiles(c, "c_acctbal", (0.5,))
+    split = c.withColumn("cohort", F.when(F.col("c_acctbal") <= mid, "short").otherwise("long"))
     return split.groupBy("cohort").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("mean"))
 
 
@@ -261,9 +261,8 @@ def _(t):
 
 @query("n08_clip", "event_id", "x", "SELECT event_id, greatest((SELECT quantile_cont(v, 0.01) FROM fe WHERE sequence_id % 3 <> 0), least((SELECT quantile_cont(v, 0.99) FROM fe WHERE sequence_id % 3 <> 0), v)) AS x FROM fe")
 def _(t):
-    p = F.percentile("v", F.array(F.lit(0.01), F.lit(0.99)))
-    edges = t.fe.where("sequence_id % 3 <> 0").agg(p[0].alias("lo"), p[1].alias("hi"))  # one row
-    return t.fe.crossJoin(edges).withColumn("x", F.greatest("lo", F.least("hi", "v")))
+    low, high = S.table_quantiles(t.fe.where("sequence_id % 3 <> 0"), "v", (0.01, 0.99))
+    return t.fe.withColumn("x", F.greatest(F.lit(low), F.least(F.lit(high), "v")))
 
 
 @query("j01_subject_lookup", "sequence_id idx", "c_acctbal", "SELECT sequence_id, idx, coalesce(c_acctbal, 0) AS c_acctbal FROM fe LEFT JOIN customer ON c_custkey = sequence_id")

@@ -55,9 +55,8 @@ def _(t):
 
 @query("m05_robust_scaler", "sequence_id idx", "z", "SELECT sequence_id, idx, (v - (SELECT quantile_cont(v, 0.5) FROM fe WHERE sequence_id % 5 <> 0)) / (SELECT quantile_cont(v, 0.75) - quantile_cont(v, 0.25) FROM fe WHERE sequence_id % 5 <> 0) AS z FROM fe")
 def _(t):
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = t.fe.where("sequence_id % 5 <> 0").agg(q.alias("q"))  # one row
-    return t.fe.crossJoin(s).withColumn("z", F.try_divide(F.col("v") - F.col("q")[1], F.col("q")[2] - F.col("q")[0]))
+    low, mid, high = S.table_quantiles(t.fe.where("sequence_id % 5 <> 0"), "v", (0.25, 0.5, 0.75))
+    return t.fe.withColumn("z", F.try_divide(F.col("v") - mid, F.lit(high - low)))
 
 
 FOLDS = 5

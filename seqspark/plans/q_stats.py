@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -277,9 +279,13 @@ def _(t):
     " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, max({c}) AS max FROM orders" for c in ("o_totalprice", "o_custkey")), digits=3,
 )
 def _(t):
-    long = t.table("orders").select(F.col("o_totalprice").alias("o_totalprice"), F.col("o_custkey").cast("double").alias("o_custkey")).unpivot([], ["o_totalprice", "o_custkey"], "column_name", "x")
-    p = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("column_name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), p[0].alias("q25"), p[1].alias("q50"), p[2].alias("q75"), F.max("x").alias("max"))
+    df = t.table("orders")
+    cells = []
+    for c in ("o_totalprice", "o_custkey"):
+        q = zip(("q25", "q50", "q75"), S.table_quantiles(df, c, (0.25, 0.5, 0.75)))
+        x = F.col(c).cast("double")
+        cells.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *(F.lit(v).alias(k) for k, v in q), F.max(x).alias("max")))
+    return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 @query("a33_family_profile", "family", "mean std", "WITH p AS (SELECT 'amount' AS family, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem UNION ALL SELECT 'amount', avg(l_extendedprice), stddev_samp(l_extendedprice) FROM lineitem UNION ALL SELECT 'rate', avg(l_discount), stddev_samp(l_discount) FROM lineitem UNION ALL SELECT 'rate', avg(l_tax), stddev_samp(l_tax) FROM lineitem) SELECT family, avg(m) AS mean, avg(s) AS std FROM p GROUP BY 1", digits=4)
@@ -360,7 +366,8 @@ def _(t):
 @query("a45_length_percentiles", "p90 p95 shortest", "mean", "WITH n AS (SELECT count(*) AS n FROM fe GROUP BY sequence_id) SELECT floor(quantile_cont(n, 0.9))::BIGINT AS p90, floor(quantile_cont(n, 0.95))::BIGINT AS p95, min(n) AS shortest, avg(n) AS mean FROM n")
 def _(t):
     n = S.summarise(t.fe, {"n": F.count("*")})
-    return n.agg(F.floor(F.percentile("n", F.lit(0.9))).alias("p90"), F.floor(F.percentile("n", F.lit(0.95))).alias("p95"), F.min("n").alias("shortest"), F.avg("n").alias("mean"))
+    p90, p95 = (math.floor(x) for x in S.table_quantiles(n, "n", (0.9, 0.95)))
+    return n.agg(F.lit(p90).cast("long").alias("p90"), F.lit(p95).cast("long").alias("p95"), F.min("n").alias("shortest"), F.avg("n").alias("mean"))
 
 
 @query("a46_class_weights", "phase", "weight", "WITH c AS (SELECT phase, count(*) AS n FROM fe GROUP BY 1) SELECT phase, sum(n) OVER () / (count(*) OVER () * n) AS weight FROM c")

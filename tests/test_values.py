@@ -306,3 +306,14 @@ def test_quaternions_keep_their_signs():
     lost[1:, 2] = nan  # the sign of the last known frame holds on
     out = kernels.repair_quaternions(lost)
     assert np.allclose(np.abs(out), np.abs(q)) and (np.sign(out[1:, 2]) == np.sign(q[0, 2])).all()
+
+
+def test_table_quantiles_are_exact(spark):
+    from seqspark.operators.stats import table_quantiles
+
+    r = np.random.default_rng(1)
+    for x in (r.normal(size=3000) * 10.0 ** r.integers(-9, 9, 3000), r.integers(0, 4, 500).astype(float), np.full(7, 2.5), np.array([1.0, np.nextafter(1.0, 2), 3.0])):
+        df = spark.createDataFrame(pd.DataFrame({"v": x})).union(spark.createDataFrame([(None,)], "v double"))
+        p = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+        assert np.allclose(table_quantiles(df, "v", p, bins=64), np.quantile(x, p), rtol=1e-12, atol=0)
+    assert table_quantiles(spark.createDataFrame([], "v double"), "v", (0.5,)) == [None]
