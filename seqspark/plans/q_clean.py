@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -16,22 +12,15 @@ from seqspark.operators import joins as J
 from seqspark.operators import stats as S
 from seqspark.plans.registry import query
 from seqspark.sources import frames as R
+from seqspark.sources.shared import shared_dir
 
 OVER = "OVER (PARTITION BY sequence_id ORDER BY idx)"
 LINE = "l_orderkey l_linenumber"
-_OWN: list[str] = []
 
 
 def shared_folder(t) -> str:
-    """Where all executors may write: spark.checkpoint.dir. Where it is unset, a folder of this process in local mode, and an error on a cluster."""
-    if found := t.spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not re.match(r"local($|\[)", t.spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="seqspark-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return "file://" + _OWN[0]
+    """Where all executors may write."""
+    return shared_dir(t.spark)
 
 
 @query("p01_prefix_family", "l_orderkey", "l_discount", "SELECT l_orderkey, l_discount FROM lineitem")
