@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from seqspark.llm import decontam, gbt, html_blocks, huffman, katz, langid, near_dup, packing, pii, quality_rules
+from seqspark.llm import decontam, gbt, html_blocks, huffman, katz, langid, lempel_ziv, near_dup, packing, pii, quality_rules
 
 
 def queries() -> dict:
@@ -18,10 +18,11 @@ def queries() -> dict:
         "op7_html_extraction": html_blocks.op7_html_extraction,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_near_duplicates": near_dup.op9_near_duplicates,
+        "op11_relative_lz": lempel_ziv.op11_relative_lz,
         "pipeline": corpus_pipeline.run,
         "rules_ablation": quality_rules.rules_ablation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.OP8_SQL, "rules_ablation": quality_rules.ABLATION_SQL}
+    return {"op8_quality_rules": quality_rules.OP8_SQL, "op11_relative_lz": lempel_ziv.OP11_SQL, "rules_ablation": quality_rules.ABLATION_SQL}

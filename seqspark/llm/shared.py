@@ -2,49 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import re
-import shutil
-import tempfile
 import time
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a private one in local mode, and an error on a cluster."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="seqspark-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return "file://" + _OWN[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._seqspark_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing will read again."""
-    for df in tables:
-        spark, path = df.sparkSession, df._seqspark_path
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+from seqspark.sources.shared import dropped, shared_dir, written  # noqa: F401
 
 
 def swept(spark: SparkSession) -> None:
