@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from seqspark.llm import decontam, gbt, html_blocks, huffman, katz, langid, lempel_ziv, near_dup, packing, pii, quality_rules, structure_repair
+from seqspark.llm import decontam, gbt, html_blocks, huffman, katz, langid, lempel_ziv, near_dup, packing, pii, prefix_trie, quality_rules, structure_repair
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_near_duplicates": near_dup.op9_near_duplicates,
         "op11_relative_lz": lempel_ziv.op11_relative_lz,
+        "op12_zfast_trie": prefix_trie.op12_zfast_trie,
         "op13_structure_repair": structure_repair.op13_structure_repair,
         "pipeline": corpus_pipeline.run,
         "rules_ablation": quality_rules.rules_ablation,
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_quality_rules": quality_rules.OP8_SQL,
         "op11_relative_lz": lempel_ziv.OP11_SQL,
+        "op12_zfast_trie": prefix_trie.OP12_SQL,
         "op13_structure_repair": structure_repair.OP13_SQL,
         "rules_ablation": quality_rules.ABLATION_SQL,
     }
