@@ -231,7 +231,8 @@ def relative_parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, text, and ``factors``, its parse: an array of (start, length, copied, source, at) in words.
 
     The words of a factor with ``copied`` are covered by windows that stand
-    earlier; they do so in document ``source`` from its word ``at``.
+    earlier; they do so in document ``source`` from its word ``at`` (of rows that
+    share this id, each window in one of them).
     """
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row")).alias("key"), F.col(text_col).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
