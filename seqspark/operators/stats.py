@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,30 +85,75 @@ def with_other(df: DataFrame, category: Column, least: float = 0.05, other: str
     return s.groupBy(F.when(F.col("n") / F.col("total") < least, other).otherwise(F.col("k")).alias("category")).agg(F.sum("n").alias("n"))
 
 
-def table_quantiles(df: DataFrame, column: str, probs: tuple[float, ...], bins: int = 1 << 12) -> list[float | None]:
+#: Bits of a number that a scan of ``table_quantiles`` settles.
+RADIX = 12
+
+
+def ordered_bits(v: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers of the same order: negative infinity, numbers, infinity, NaN. Both zeros are one number, and so are all NaNs."""
+    v = np.where(np.isnan(v), np.nan, v + 0.0)
+    bits = v.view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def from_ordered_bits(k: int) -> float:
+    bits = k & ~(1 << 63) if k >> 63 else ~k & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _radix_counts(rows: DataFrame, known: int, prefixes: list[int]) -> DataFrame:
+    """(prefix, n, low, high): rows by the first ``known`` + RADIX bits, of those whose first ``known`` bits are one of ``prefixes``; low and high are the ends of what is there."""
+    shift = np.uint64(max(64 - known - RADIX, 0))
+    wanted = np.array(sorted(prefixes), np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            k = ordered_bits(batch.column(0).to_numpy(zero_copy_only=False))
+            if known:
+                k = k[np.isin(k >> np.uint64(64 - known), wanted)]
+            k.sort()
+            cell, first, n = np.unique(k >> shift, return_index=True, return_counts=True)
+            columns = (cell, n, k[first] if len(k) else k, k[first + n - 1] if len(k) else k)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64)) for c in columns], names=["cell", "n", "low", "high"])
+
+    flip = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  signed numbers in the order of unsigned ones
+    found = rows.mapInArrow(run, "cell long, n long, low long, high long").withColumns({"low": flip("low"), "high": flip("high")})
+    return found.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def table_quantiles(df: DataFrame, column: str, probs: tuple[float, ...]) -> list[float | None]:
     """Exact quantiles of a whole column, linear between neighbours; nulls are left out, an empty column gives None.
 
-    A histogram of equal bins tells in which bin each wanted rank lies; that bin
-    is cut up in turn, until it holds one value. So a task holds a count per bin,
-    never the column's values, and a few scans do, since each narrows a range of
-    doubles by the number of bins.
+    Doubles are taken as integers of the same order, of which each scan settles
+    RADIX bits around all wanted ranks at once: six scans at most, whatever the
+    numbers are, and two for most. A task holds a count per cell. NaN comes after
+    infinity, as Spark orders it.
     """
-    v = F.col(column).cast("double")
-    rows = df.select(v.alias("v")).where("v IS NOT NULL")
-    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).head()
-    if not n:
-        return [None] * len(probs)
-    places = [p * (n - 1) for p in probs]
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    n, known, open_ = None, 0, {0: 0}  # prefix -> rows before it
+    wanted: dict[int, list[int]] = {}
     found: dict[int, float] = {}
-    todo = [(low, high, 0, sorted({k for x in places for k in (math.floor(x), math.ceil(x))}))]
-    while todo:
-        a, b, before, ranks = todo.pop()
-        if a == b:
-            found |= dict.fromkeys(ranks, a)
-            continue
-        cell = F.least(F.floor((F.col("v") - a) / (b - a) * bins), F.lit(bins - 1))
-        for r in sorted(rows.where(F.col("v").between(a, b)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect(), key=lambda r: r["a"]):
-            if mine := [k for k in ranks if before <= k < before + r["n"]]:
-                todo.append((r["a"], r["b"], before, mine))
-            before += r["n"]
-    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in places]
+    while open_:
+        cells = [(r["cell"] % (1 << 64), r["n"], r["low"] + (1 << 63), r["high"] + (1 << 63)) for r in _radix_counts(rows, known, list(open_)).collect()]
+        bits = min(RADIX, 64 - known)
+        if n is None:
+            n = sum(c[1] for c in cells)
+            if not n:
+                return [None] * len(probs)
+            wanted = {0: sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})}
+        following, ranks = {}, {}
+        for prefix, before in open_.items():
+            for cell, count, low, high in sorted(c for c in cells if c[0] >> bits == prefix):
+                if mine := [k for k in wanted[prefix] if before <= k < before + count]:
+                    if low == high or known + bits == 64:
+                        found |= dict.fromkeys(mine, from_ordered_bits(low))
+                    elif rest := [k for k in mine if k not in (before, before + count - 1)]:
+                        following[cell], ranks[cell] = before, rest
+                    found |= {k: from_ordered_bits(low if k == before else high) for k in mine if k in (before, before + count - 1)}
+                before += count
+        open_, wanted, known = following, ranks, known + bits
+    out = []
+    for p in probs:
+        a, b, part = found[math.floor(p * (n - 1))], found[math.ceil(p * (n - 1))], p * (n - 1) % 1
+        out.append(a if a == b or not part else a * (1 - part) + b * part if math.isinf(b - a) else a + (b - a) * part)
+    return out

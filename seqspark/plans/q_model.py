@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqspark.operators import clean as C
 from seqspark.operators import ensemble as E
+from seqspark.operators import folds as K
 from seqspark.operators import stats as S
+from seqspark.operators.ranks import numbered
 from seqspark.plans.q_signals import _CUM, _PSD, rolloffs
 from seqspark.plans.registry import query
 
@@ -30,8 +31,26 @@ _PIVOT = ", ".join(f"max(s) FILTER (class = {i}) AS c{i}" for i in range(10))
 def _(t):
     c = t.table("events").groupBy(F.col("user_id").alias("group_id"), F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
     d = c.groupBy("group_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "label"))["label"].alias("label"))
-    w = Window.partitionBy("label").orderBy(F.md5(F.concat(F.lit("7:"), F.col("group_id").cast("string")).cast("binary")), "group_id")
-    return d.withColumn("fold", ((F.row_number().over(w) - 1) % 5).cast("long"))
+    ranked = numbered(d, [F.col("label")], [K.drawn(7, "group_id"), F.col("group_id")], "k")
+    return ranked.withColumn("fold", F.col("k") % 5)
+
+
+_COST = "list_sum(list_transform(range(1, len(v) + 1), lambda l: list_stddev_pop(list_transform(range(1, 6), lambda g: (m[g][l] + CASE WHEN g = f THEN v[l] ELSE 0 END) / total[l])))) / len(v)"
+
+
+@query(
+    "m01_stratified_group_folds", "group_id fold n", "",
+    "WITH RECURSIVE l AS (SELECT event_type AS label, count(*)::DOUBLE AS n FROM events GROUP BY 1), tot AS (SELECT list(n ORDER BY label) AS total FROM l), "
+    "c AS (SELECT user_id, event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), "
+    "g AS (SELECT u.user_id AS group_id, list(coalesce(c.n, 0) ORDER BY l.label) AS v FROM (SELECT DISTINCT user_id FROM events) AS u CROSS JOIN l LEFT JOIN c ON c.user_id = u.user_id AND c.event_type = l.label GROUP BY 1), "
+    "o AS (SELECT group_id, v, row_number() OVER (ORDER BY len(v) * list_sum(list_transform(v, lambda x: x * x)) - list_sum(v) ** 2 DESC, md5('7:' || group_id), group_id) AS i FROM g), "
+    "r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS group_id, NULL::BIGINT AS fold, NULL::DOUBLE AS n, list_transform(range(5), lambda f: list_transform(total, lambda x: 0::DOUBLE)) AS m FROM tot "
+    "UNION ALL SELECT i, group_id, f - 1, list_sum(v), list_transform(m, lambda x, g: CASE WHEN g = f THEN list_transform(x, lambda y, l: y + v[l]) ELSE x END) "
+    f"FROM (SELECT o.i, o.group_id, o.v, r.m, list_sort(list_transform(range(1, 6), lambda f: {{'c': round({_COST}, 10), 'n': list_sum(m[f]), 'f': f}}))[1].f AS f FROM r JOIN o ON o.i = r.i + 1 CROSS JOIN tot) AS x) "
+    "SELECT group_id, fold, n::BIGINT AS n FROM r WHERE i > 0",
+)
+def _(t):
+    return K.stratified_group_folds(t.table("events"), "user_id", "event_type").withColumnRenamed("user_id", "group_id")
 
 
 @query("m02_strata", "stratum n", "", "SELECT c_mktsegment || '_' || c_nationkey AS stratum, count(*) AS n FROM customer GROUP BY 1")
@@ -41,10 +60,7 @@ def _(t):
 
 @query("m03_stratified_folds", "c_custkey fold is_test", "", "WITH r AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('1:' || c_custkey), c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, k % 5 AS fold, k < round(n * 0.2) AS is_test FROM r")
 def _(t):
-    w = Window.partitionBy("c_mktsegment")
-    k = F.row_number().over(w.orderBy(F.md5(F.concat(F.lit("1:"), F.col("c_custkey").cast("string")).cast("binary")), "c_custkey")) - 1
-    df = t.table("customer").withColumns({"k": k, "n": F.count("*").over(w)})
-    return df.select("c_custkey", (F.col("k") % 5).cast("long").alias("fold"), (F.col("k") < F.round(F.col("n") * 0.2)).alias("is_test"))
+    return K.dealt_folds(t.table("customer"), "c_mktsegment", "c_custkey").select("c_custkey", "fold", "is_test")
 
 
 @query("m04_standard_scaler", "sequence_id idx", "z", "SELECT sequence_id, idx, (v - (SELECT avg(v) FROM fe WHERE sequence_id % 5 <> 0)) / (SELECT stddev_pop(v) FROM fe WHERE sequence_id % 5 <> 0) AS z FROM fe")
