@@ -48,6 +48,7 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul label".split())
 _CLOSES_P = _BLOCK - {"button", "label", "option", "body", "head", "html", "title"}
 _HEADLESS = {"head", "title", "option", "select"}
+_IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())  # any other start tag, and any text, ends a head
 #: Elements whose end tag may be left out: what else they close when they open, and up to where.
 _LISTS, _ROWS, _ENTRIES = ("ul", "ol", "menu"), ("table", "tbody", "thead", "tfoot"), ("dl",)
 _ENDS = {"li": (("li",), _LISTS), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), _ROWS), "dt": (("dt", "dd"), _ENTRIES), "dd": (("dt", "dd"), _ENTRIES), "option": (("option",), ("select",))}
@@ -175,6 +176,9 @@ def blocks(page: str | None) -> list[Block]:
         elif name is None:
             word = m[0] if m else "<"
             if m is None or word[0] != "<" or word == "<":
+                if tree.stack and tree.stack[-1][0] == "head" and word.strip():
+                    flush()
+                    pop_to(len(tree.stack) - 1)
                 text(word if m else "<")
             at = m.end() if m else at + 1
             continue
@@ -187,6 +191,11 @@ def blocks(page: str | None) -> list[Block]:
             if (i := tree.last(name)) >= 0:
                 pop_to(i)
             continue
+        if name not in _IN_HEAD and (i := tree.last("head")) >= 0 and tree.last("title") < i:
+            flush()
+            pop_to(i)
+        if name == "head" and (tree.last("body") >= 0 or tree.last("head") >= 0):
+            continue
         if name in _RAW:
             end = _RAW_END[name].search(page, at)
             if name == "xmp":
@@ -208,7 +217,7 @@ def blocks(page: str | None) -> list[Block]:
                     pop_to(i)
                 if name in _ENDS and (i := tree.implied(*_ENDS[name])) >= 0:
                     pop_to(i)
-        if name in _VOID or rest.endswith("/"):
+        if name in _VOID or rest.endswith("/") and (tree.last("svg") >= 0 or tree.last("math") >= 0 or name in ("svg", "math")):
             continue
         names = tuple(w for a in _ATTR.finditer(rest) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())) if rest else ()
         tree.push(name, names)

@@ -31,6 +31,21 @@ def test_texts_of_all_elements_are_kept():
     assert " ".join(b.text for b in H.blocks(page)) == "Let x be.on a <b>&amp; z < 5 q 1<2s"
 
 
+def test_optional_tags_may_all_be_left_out():
+    """The same blocks whichever of the tags that HTML lets one leave out are there."""
+    tags = ["<html>", "<head>", "</head>", "<body>", "</body>", "</html>", "</p>", "</li>", "</td>"]
+    for bits in range(1 << len(tags)):
+        on = {t: t if bits >> k & 1 else "" for k, t in enumerate(tags)}
+        page = f"<!doctype html>{on['<html>']}{on['<head>']}<title>x <b></title><meta a=b><link rel=a><style>h1{{}}</style><script>'<p>'</script> {on['</head>']}{on['<body>']}<h1>T</h1><p>one{on['</p>']}<p>two <a href=http://x.org/>link</a> end{on['</p>']}<ul><li>a{on['</li>']}<li>b{on['</li>']}</ul><table><tr><td>c{on['</td>']}<td>d{on['</td>']}</table><div/>e</div>{on['</body>']}{on['</html>']}"
+        found = H.blocks(page)
+        assert [b.text for b in found] == ["T", "one", "two link end", "a", "b", "c", "d", "e"], page
+        assert [b.linked for b in found] == [0, 0, 4, 0, 0, 0, 0, 0]
+        assert [b.path[-1][0] for b in found] == ["h1", "p", "p", "li", "li", "td", "td", "div"]
+    assert [b.text for b in H.blocks("<head><title>x</title>plain text<p>more")] == ["plain text", "more"]
+    assert [b.text for b in H.blocks("<body><p>a<head><p>b")] == ["a", "b"]
+    assert [b.text for b in H.blocks("<p>a<svg><path d='x'/><g/><text>s</text></svg><a href=y/>z</a>")] == ["asz"]
+
+
 def test_gradients_match_differences():
     r = np.random.default_rng(0)
     model = H.Labeller(1)
