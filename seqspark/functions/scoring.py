@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +17,48 @@ from pyspark.sql import functions as F
 
 from seqspark.operators import ensemble as E
 
-_LOADED: dict[str, object] = {}
+class Cache:
+    """The last ``size`` things made in this process, by a key that tells their content."""
 
+    def __init__(self, size: int):
+        self.size, self.held = size, OrderedDict()
 
-def loaded(name: str, load: Callable[[], object]) -> object:
-    """What ``load`` makes, once in this process for each name."""
-    if name not in _LOADED:
-        _LOADED[name] = load()
-    return _LOADED[name]
+    def get(self, key, make: Callable[[], object]) -> object:
+        if key not in self.held:
+            self.held[key] = make()
+        self.held.move_to_end(key)
+        while len(self.held) > self.size:
+            self.held.popitem(last=False)
+        return self.held[key]
+
+
+_BUNDLES, _MODELS = Cache(4), Cache(4)
+
+
+class Model:
+    """A model of the user's own, told by its content: ``load`` makes it from ``payload`` in a worker, once for each content.
+
+    ``load`` takes the payload, or nothing where there is none, and returns a
+    function of a pandas frame that gives a prediction a row. A payload goes to the
+    executors as a broadcast variable and may have ``LIMIT`` bytes; a larger model
+    belongs in shared storage under a name of its own version, which is then the payload.
+    """
+
+    LIMIT = 512 << 20
+
+    def __init__(self, load: Callable, payload: bytes | None = None):
+        if payload is not None and len(payload) > self.LIMIT:
+            raise ValueError(f"a payload of {len(payload)} bytes; {self.LIMIT} may be broadcast")
+        self.load, self.payload = load, payload
+        self.version = hashlib.sha256(cloudpickle.dumps(load) + (payload or b"")).hexdigest()
+
+    def sent(self, spark: SparkSession) -> Callable[[], Callable]:
+        """What a worker calls to get the model."""
+        load, version = self.load, self.version
+        if self.payload is None:
+            return lambda: _MODELS.get(version, load)
+        shared = spark.sparkContext.broadcast(self.payload)
+        return lambda: _MODELS.get(version, lambda: load(shared.value))
 
 
 @dataclass
@@ -39,19 +77,21 @@ class Bundle:
         return cls(list(models), list(features), [s / total for s in scores], list(classes))
 
 
-def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
+def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> str:
+    """Write a new version to ``path`` and make it the current one, by the last write; returns its name. Older versions stay."""
+    version = uuid.uuid4().hex
     for k, model in enumerate(bundle.models):
-        model.write().overwrite().save(f"{path}/model-{k}")
-    row = [(len(bundle.models), bundle.features, [float(w) for w in bundle.weights], bundle.classes)]
-    spark.createDataFrame(row, "n_models int, features array<string>, weights array<double>, classes array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/bundle")
+        model.write().save(f"{path}/models-{version}/{k}")
+    row = [(version, len(bundle.models), bundle.features, [float(w) for w in bundle.weights], bundle.classes)]
+    spark.createDataFrame(row, "version string, n_models int, features array<string>, weights array<double>, classes array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/bundle")
+    return version
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
-    """The bundle under ``path``; read once in this process."""
-    if path not in _LOADED:
-        r = spark.read.parquet(f"{path}/bundle").head()
-        _LOADED[path] = Bundle([PipelineModel.load(f"{path}/model-{k}") for k in range(r["n_models"])], list(r["features"]), list(r["weights"]), list(r["classes"]))
-    return _LOADED[path]
+    """The current bundle under ``path``. Which that is, is read each time; its models are read once in this process."""
+    r = spark.read.parquet(f"{path}/bundle").head()
+    made = lambda: Bundle([PipelineModel.load(f"{path}/models-{r['version']}/{k}") for k in range(r["n_models"])], list(r["features"]), list(r["weights"]), list(r["classes"]))
+    return _BUNDLES.get((path, r["version"]), made)
 
 
 def score(df: DataFrame, bundle: Bundle, key: str = "sequence_id") -> DataFrame:
@@ -70,16 +110,13 @@ def _aligned(df: DataFrame, features: list[str], key: str) -> DataFrame:
     return df.select(key, *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) if f in df.columns else F.lit(0.0).alias(f) for f in features))
 
 
-def score_with(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], name: str, key: str = "sequence_id", kind: str = "string") -> DataFrame:
-    """(key, predicted) by a model of the user's own.
-
-    ``load`` makes the model in the worker, once per process and ``name``; it
-    takes a pandas frame of the other columns and returns a prediction a row.
-    """
+def score_with(df: DataFrame, model: Model | Callable, key: str = "sequence_id", kind: str = "string") -> DataFrame:
+    """(key, predicted) by a ``Model``, or by what makes one, from the other columns; the scoring callback of a batch or a stream."""
     features = [c for c in df.columns if c != key]
+    get = (model if isinstance(model, Model) else Model(model)).sent(df.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = loaded(name, load)
+        model = get()
         for x in frames:
             yield pd.DataFrame({key: x[key], "predicted": model(x[features])})
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.operators.stats import safe_corr
+
 FRAME = ("sequence_id", "idx", "sensor")
 
 
@@ -123,3 +125,11 @@ def sensor_components(df: DataFrame, training: Column, k: int = 8, sensors: tupl
         part = part.select(*FRAME, *(f"pc{i + 1}" for i in range(k)), (F.greatest(rest, F.lit(0.0)) / F.size("a")).alias("error"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def sensor_pairs(df: DataFrame, left: Column, right: Column) -> DataFrame:
+    """(sequence_id, sensor, other, r): correlation over frames of ``left`` of a sensor with ``right`` of each other one; 0 where a side is constant."""
+    f = df.groupBy("sequence_id", "idx", "sensor").agg(left.alias("a"), right.alias("b"))
+    frames = f.groupBy("sequence_id", "idx").agg(F.collect_list(F.struct("sensor", "a", "b")).alias("s"))  # as many as there are sensors
+    pairs = frames.select("sequence_id", F.explode("s").alias("x"), "s").select("sequence_id", "x", F.explode("s").alias("y")).where("x.sensor <> y.sensor")
+    return pairs.groupBy("sequence_id", F.col("x.sensor").alias("sensor"), F.col("y.sensor").alias("other")).agg(safe_corr(F.col("x.a"), F.col("y.b")).alias("r"))

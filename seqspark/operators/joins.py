@@ -30,3 +30,25 @@ def resample(df: DataFrame, length: int, value: str = "v", sequence: str = "sequ
     d = d.withColumn("_hi", hi).where("_lo <= _hi").withColumn("pos", F.explode(F.sequence("_lo", "_hi")))
     x = F.col("pos") * F.greatest(F.col("_n") - 1, F.lit(1)) / (length - 1) - F.col(idx)
     return d.select(sequence, "pos", (F.col(value) + (F.col("_next") - F.col(value)) * F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).alias(value))
+
+
+def checked_join(truth: DataFrame, predictions: DataFrame, key: str, label: str, predicted: str) -> DataFrame:
+    """(key, label, predicted, state) of every id of either table, for scoring.
+
+    ``state`` is matched, missing (no prediction), unknown (no truth) or repeated
+    (more than one prediction; ``predicted`` is null then). A column that is not
+    there is an error, before anything runs.
+    """
+    for name, df, columns in (("truth", truth, (key, label)), ("predictions", predictions, (key, predicted))):
+        for c in columns:
+            if c not in df.columns:
+                raise ValueError(f"{name} has no column {c}")
+    said = predictions.groupBy(key).agg(F.count("*").alias("_n"), F.first(predicted).alias(predicted))
+    both = truth.select(key, F.col(label), F.lit(True).alias("_true")).join(said, key, "full")
+    state = F.when(F.col("_true").isNull(), "unknown").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "repeated").otherwise("matched")
+    return both.select(key, label, F.when(F.col("_n") == 1, F.col(predicted)).alias(predicted), state.alias("state"))
+
+
+def unfinished(planned: DataFrame, finished: DataFrame, *keys: str) -> DataFrame:
+    """Tasks of ``planned`` that ``finished`` doesn't have."""
+    return planned.join(finished.select(*keys), list(keys), "left_anti")

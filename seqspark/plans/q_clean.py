@@ -339,10 +339,12 @@ def _(t):
     return J.resample(t.fe, 16)
 
 
-@query("j13_truth_prediction", "doc_id quality toxic", "", "SELECT a.doc_id, a.quality, b.toxic FROM labels AS a JOIN labels AS b USING (doc_id)")
+@query("j13_truth_prediction", "doc_id quality said state", "", "WITH p AS (SELECT doc_id, CASE WHEN n_chars > 400 THEN 1 ELSE 0 END AS said FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 11 = 5), c AS (SELECT doc_id, count(*) AS n, any_value(said) AS said FROM p GROUP BY 1) SELECT coalesce(l.doc_id, c.doc_id) AS doc_id, quality, CASE WHEN n = 1 THEN said END AS said, CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' ELSE 'matched' END AS state FROM labels AS l FULL JOIN c ON l.doc_id = c.doc_id")
 def _(t):
-    a, b = t.table("labels").select("doc_id", "quality"), t.table("labels").select("doc_id", "toxic")
-    return a.join(b, "doc_id")
+    """Predictions that lack some ids, have some twice, and some that nobody asked for."""
+    d = t.table("documents")
+    said = d.where("doc_id % 7 <> 3").select("doc_id", F.when(F.col("n_chars") > 400, 1).otherwise(0).alias("said")).union(d.where("doc_id % 11 = 5").select("doc_id", F.lit(1)))
+    return J.checked_join(t.table("labels"), said, "doc_id", "quality", "said")
 
 
 @query("j14_values_at_peaks", "sequence_id n_peaks", "mean min", f"WITH p AS (SELECT *, v > lag(v) {OVER} AND v > lead(v) {OVER} AS top FROM fe) SELECT sequence_id, count(*) AS n_peaks, avg(g) AS mean, min(g) AS min FROM p WHERE top GROUP BY 1")
@@ -421,8 +423,16 @@ def _(t):
     return _round_trip(t, arrays, "parquet").select("sequence_id", F.size("a").cast("long").alias("n"), F.aggregate("a", F.lit(0.0), lambda x, y: x + y).alias("total"))
 
 
-@query("s12_resume_plan", "fold phase", "", "SELECT fold, phase FROM (SELECT DISTINCT sequence_id % 4 AS fold, phase FROM fe) AS p WHERE NOT (fold = 0 AND phase = 'click')")
+@query("s12_resume_plan", "fold phase n resumed", "mean", "SELECT sequence_id % 4 AS fold, phase, count(*) AS n, (sequence_id % 4 = 0 OR phase = 'click') AS resumed, avg(v) AS mean FROM fe GROUP BY ALL")
 def _(t):
-    planned = t.fe.select((F.col("sequence_id") % 4).alias("fold"), "phase").distinct()
-    finished = planned.where("fold = 0 AND phase = 'click'")
-    return planned.join(finished, ["fold", "phase"], "left_anti")
+    """Tasks (fold, phase) of a run that was cut off are read from its store, the others are run and stored."""
+    rows = t.fe.withColumn("fold", F.col("sequence_id") % 4)
+    run = lambda part: part.groupBy("fold", "phase").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    path = f"{shared_folder(t)}/tasks-{uuid.uuid4().hex}"
+    run(rows.where("fold = 0 OR phase = 'click'")).write.parquet(path)
+    stored = t.spark.read.parquet(path)
+    planned = rows.select("fold", "phase").distinct()
+    todo = J.unfinished(planned, stored, "fold", "phase")
+    more = f"{path}-more"
+    run(rows.join(todo, ["fold", "phase"], "left_semi")).write.parquet(more)
+    return stored.withColumn("resumed", F.lit(True)).union(t.spark.read.parquet(more).withColumn("resumed", F.lit(False)))

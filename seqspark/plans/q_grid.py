@@ -164,11 +164,10 @@ def _(t):
     return G.per_frame(f, {"mean": G.zero(F.avg("d")), "hot": S.ratio(F.count_if(F.col("d") > F.col("limit")), F.count("d"))})
 
 
-@query("g25_cross_modal", "sequence_id", "r", "WITH a AS (SELECT sequence_id, idx, min(d) AS m FROM grid WHERE sensor = 1 GROUP BY 1, 2), b AS (SELECT sequence_id, idx, count(d)::DOUBLE / count(*) AS v FROM grid WHERE sensor = 2 GROUP BY 1, 2) SELECT sequence_id, coalesce(covar_pop(m, v) / nullif(stddev_pop(m) * stddev_pop(v), 0), 0) AS r FROM a JOIN b USING (sequence_id, idx) GROUP BY 1", digits=5)
+@query("g25_cross_modal", "sequence_id sensor other", "r", "WITH f AS (SELECT sequence_id, idx, sensor, min(d) AS m, count(d)::DOUBLE / count(*) AS v FROM grid GROUP BY 1, 2, 3) SELECT a.sequence_id, a.sensor, b.sensor AS other, coalesce(covar_pop(a.m, b.v) / nullif(stddev_pop(a.m) FILTER (b.v IS NOT NULL) * stddev_pop(b.v) FILTER (a.m IS NOT NULL), 0), 0) AS r FROM f AS a JOIN f AS b USING (sequence_id, idx) WHERE a.sensor <> b.sensor GROUP BY 1, 2, 3", digits=5)
 def _(t):
-    d = F.col("d")
-    f = t.grid.groupBy("sequence_id", "idx").agg(F.min(F.when(F.col("sensor") == 1, d)).alias("m"), (F.count(F.when(F.col("sensor") == 2, d)) / F.count_if(F.col("sensor") == 2)).alias("v"))
-    return f.groupBy("sequence_id").agg(S.safe_corr(F.col("m"), F.col("v")).alias("r"))
+    """Nearest distance of each sensor against the valid share of every other."""
+    return G.sensor_pairs(t.grid, F.min("d"), F.count("d") / F.count("*"))
 
 
 @query("g27_centre_edge", f"{KEYS} top_cell", "ratio", f"WITH r AS (SELECT *, {_REGION} AS r FROM grid) SELECT sequence_id, idx, sensor, coalesce(arg_max(pixel, d), -1) AS top_cell, coalesce(avg(d) FILTER (r = 0) / nullif(avg(d) FILTER (r = 2), 0), 0) AS ratio FROM r GROUP BY 1, 2, 3")

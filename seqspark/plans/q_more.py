@@ -73,13 +73,16 @@ def _(t):
     return q.groupBy("sequence_id", "sensor").agg((F.count_if(F.abs("d1") > F.col("lim")) / F.count("*")).alias("rate"), (p[1] - p[0]).alias("spread"))
 
 
-@query("g26_cross_modal_sync", "sequence_id", "sync r", f"WITH {_SERIES}, p AS (SELECT sequence_id, idx, max(m) FILTER (sensor = 1) AS a, max(m) FILTER (sensor = 2) AS b, max(abs(d1)) FILTER (sensor = 1) AS da, max(abs(d1)) FILTER (sensor = 2) AS db FROM s GROUP BY 1, 2), l AS (SELECT *, quantile_cont(da, 0.75) OVER w AS la, quantile_cont(db, 0.75) OVER w AS lb FROM p WINDOW w AS (PARTITION BY sequence_id)) SELECT sequence_id, avg((coalesce(da > la, false) AND coalesce(db > lb, false))::INT) AS sync, coalesce(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 0) AS r FROM l GROUP BY 1", digits=5)
+@query("g26_cross_modal_sync", "sequence_id sensor other", "sync r", f"WITH {_SERIES}, l AS (SELECT sequence_id, idx, sensor, m, coalesce(abs(d1) > quantile_cont(abs(d1), 0.75) OVER (PARTITION BY sequence_id, sensor), false) AS moved FROM s) SELECT a.sequence_id, a.sensor, b.sensor AS other, avg((a.moved AND b.moved)::INT) AS sync, coalesce(covar_pop(a.m, b.m) / nullif(stddev_pop(a.m) * stddev_pop(b.m), 0), 0) AS r FROM l AS a JOIN l AS b USING (sequence_id, idx) WHERE a.sensor < b.sensor GROUP BY 1, 2, 3", digits=5)
 def _(t):
-    of = lambda k, c: F.max(F.when(F.col("sensor") == k, c))
-    p = _frame_series(t).groupBy("sequence_id", "idx").agg(of(1, F.col("m")).alias("a"), of(2, F.col("m")).alias("b"), of(1, F.abs("d1")).alias("da"), of(2, F.abs("d1")).alias("db"))
-    lim = p.withColumns({k: F.percentile(c, F.lit(0.75)).over(S.whole()) for k, c in (("la", "da"), ("lb", "db"))})
-    both = F.coalesce(F.col("da") > F.col("la"), F.lit(False)) & F.coalesce(F.col("db") > F.col("lb"), F.lit(False))
-    return lim.groupBy("sequence_id").agg(F.avg(both.cast("int")).alias("sync"), S.safe_corr(F.col("a"), F.col("b")).alias("r"))
+    """Every pair of sensors: how often both make a large step, and the correlation of their means."""
+    p = _frame_series(t).select("sequence_id", "idx", "sensor", "m", F.abs("d1").alias("step"))
+    w = Window.partitionBy("sequence_id", "sensor")
+    p = p.withColumn("moved", F.coalesce(F.col("step") > F.percentile("step", F.lit(0.75)).over(w), F.lit(False)))
+    frames = p.groupBy("sequence_id", "idx").agg(F.collect_list(F.struct("sensor", "m", "moved")).alias("s"))  # as many as there are sensors
+    pairs = frames.select("sequence_id", F.explode("s").alias("x"), "s").select("sequence_id", "x", F.explode("s").alias("y")).where("x.sensor < y.sensor")
+    both = (F.col("x.moved") & F.col("y.moved")).cast("int")
+    return pairs.groupBy("sequence_id", F.col("x.sensor").alias("sensor"), F.col("y.sensor").alias("other")).agg(F.avg(both).alias("sync"), S.safe_corr(F.col("x.m"), F.col("y.m")).alias("r"))
 
 
 _DRAWN = "('0x' || substr(md5('{0}:' || {1}), 1, 8))::BIGINT / 4294967296.0"

@@ -140,7 +140,7 @@ def _(t):
         weights = pd.DataFrame(_LINEAR, index=["a", "b", "c"])
         return lambda x: pd.Series([names[k] for k in (x[["a", "b", "c"]].to_numpy() @ weights.to_numpy()).argmax(1)])
 
-    return Z.score_with(rows, load, "linear-demo")
+    return Z.score_with(rows, load)
 
 
 def fold_models(rows, features, label, folds, fit):

@@ -1,4 +1,4 @@
-"""Structured Streaming over frame tables: windowed summaries, running features without keeping frames, completed sequences."""
+"""Structured Streaming over frame tables: windowed summaries, late frames, scoring of completed sequences. State that expires is in ``stateful``."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-RUNNING = "sequence_id long, n long, mean double, var double, low double, high double, last double, line_length double"
-
 
 def windowed(frames: DataFrame, length: str = "1 day", step: str | None = None, late: str = "1 hour", ts: str = "ts", key: str = "phase", value: str = "v") -> DataFrame:
     """Count and mean per time window and key; the same call works on a stream and on a table."""
@@ -23,30 +21,6 @@ def windowed(frames: DataFrame, length: str = "1 day", step: str | None = None,
     return out.select(F.unix_seconds("w.start").alias("start_second"), key, "n", "mean")
 
 
-def _running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, mean, m2, low, high, last, length, at = state.get if state.exists else (0, 0.0, 0.0, float("inf"), float("-inf"), None, 0.0, -1)
-    x = pd.concat(list(batches)).dropna(subset=["v"]).sort_values("idx")
-    v = x["v"].to_numpy(float)
-    if len(v):
-        k, mu = len(v), v.mean()
-        m2 += ((v - mu) ** 2).sum() + (mu - mean) ** 2 * n * k / (n + k)
-        mean += (mu - mean) * k / (n + k)
-        length += float(abs(np.diff(v if last is None else np.append(last, v))).sum())
-        n, low, high, last, at = n + k, min(low, float(v.min())), max(high, float(v.max())), float(v[-1]), max(at, int(x["idx"].iloc[-1]))
-        mean, m2 = float(mean), float(m2)
-    state.update((n, mean, m2, low, high, last, length, at))
-    yield pd.DataFrame([(key[0], n, mean, m2 / n if n else 0.0, low, high, last, length)], columns=[c.split()[0] for c in RUNNING.split(", ")])
-
-
-def running_features(frames: DataFrame) -> DataFrame:
-    """A row per sequence and micro-batch with what is known so far; state is eight numbers a sequence, however long it is.
-
-    Frames of one sequence must come in order of ``idx`` from batch to batch.
-    """
-    state = "n long, mean double, m2 double, low double, high double, last double, line_length double, at long"
-    return frames.select("sequence_id", "idx", "v").groupBy("sequence_id").applyInPandasWithState(_running, RUNNING, state, "update", GroupStateTimeout.NoTimeout)
-
-
 def score_completed(frames: DataFrame, gap: str, score: Callable[[DataFrame, int], None], checkpoint: str, ts: str = "ts", late: str = "1 hour"):
     """Start a query that hands each sequence, once no frame has come for ``gap``, to ``score`` as one row of statistics.
 
@@ -62,7 +36,10 @@ def score_completed(frames: DataFrame, gap: str, score: Callable[[DataFrame, int
 COMPLETENESS = "sequence_id long, n long, n_late long, complete boolean"
 
 
-def _arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, late: int) -> Iterator[pd.DataFrame]:
+def _arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, late: int, forget_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     n, n_late, newest, complete = state.get if state.exists else (0, 0, -(1 << 62), False)
     x = pd.concat(list(batches)).sort_values("arrival")
     at = x["at"].to_numpy(np.int64)
@@ -70,19 +47,21 @@ def _arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, la
     behind = at < seen - late
     n, n_late, newest, complete = n + int((~behind).sum()), n_late + int(behind.sum()), int(max(newest, at.max())), bool(complete or x["last"].any())
     state.update((n, n_late, newest, complete))
+    state.setTimeoutDuration(forget_ms)
     yield pd.DataFrame([(key[0], n, n_late, complete)], columns=[c.split()[0] for c in COMPLETENESS.split(", ")])
 
 
-def completeness(frames: DataFrame, late: int) -> DataFrame:
+def completeness(frames: DataFrame, late: int, forget_ms: int = 86_400_000) -> DataFrame:
     """Per sequence: frames in time, frames more than ``late`` behind the newest before them, and whether its last frame has come.
 
-    ``frames``: sequence_id, arrival (their order), at (a number), last. On a stream, a row per sequence and micro-batch, from four numbers of state.
+    ``frames``: sequence_id, arrival (their order), at (a number), last. On a stream, a row per sequence and micro-batch, from four numbers of state,
+    which go when no frame of the sequence has come for ``forget_ms``.
     """
     rows = frames.select("sequence_id", "arrival", "at", "last")
     if frames.isStreaming:
         state = "n long, n_late long, newest long, complete boolean"
-        run = lambda key, batches, state: _arrivals(key, batches, state, late)
-        return rows.groupBy("sequence_id").applyInPandasWithState(run, COMPLETENESS, state, "update", GroupStateTimeout.NoTimeout)
+        run = lambda key, batches, state: _arrivals(key, batches, state, late, forget_ms)
+        return rows.groupBy("sequence_id").applyInPandasWithState(run, COMPLETENESS, state, "update", GroupStateTimeout.ProcessingTimeTimeout)
     before = F.max("at").over(Window.partitionBy("sequence_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
     behind = F.coalesce(F.col("at") < before - late, F.lit(False))
     return rows.withColumn("_behind", behind).groupBy("sequence_id").agg(F.count_if(~F.col("_behind")).alias("n"), F.count_if("_behind").alias("n_late"), F.bool_or("last").alias("complete"))

@@ -12,6 +12,7 @@ from seqspark.operators import stats as S
 from seqspark.operators import windows as W
 from seqspark.sources.frames import Tables
 from seqspark.streaming import frames as X
+from seqspark.streaming import stateful
 
 
 def series(spark, values, sequence=1):
@@ -108,7 +109,8 @@ def test_stream_matches_batch(spark, sf, tmp_path):
     for k in range(2):
         rows.where("idx % 1000 < 30" if k == 0 else "idx % 1000 >= 30").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = X.running_features(stream).writeStream.outputMode("update").format("memory").queryName("running").option("checkpointLocation", f"{tmp_path}/c1").start()
+    stateful.use_rocksdb(spark)
+    q = stateful.running_features(stream, 3_600_000).writeStream.outputMode("update").format("memory").queryName("running").option("checkpointLocation", f"{tmp_path}/c1").start()
     q.processAllAvailable()
     q.stop()
     got = {r["sequence_id"]: r for r in spark.sql("SELECT sequence_id, max(struct(n, mean, low, high)) AS x FROM running GROUP BY 1").collect()}

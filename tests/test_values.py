@@ -188,7 +188,7 @@ def test_user_models_are_loaded_once_per_process(spark, tmp_path):
 
     rows = spark.range(400).select(F.col("id").alias("sequence_id"), (F.col("id") % 3).alias("a")).repartition(12)
     for _ in range(2):
-        assert {r["predicted"] for r in Z.score_with(rows, load, folder).collect()} == {"c0", "c1", "c2"}
+        assert {r["predicted"] for r in Z.score_with(rows, load).collect()} == {"c0", "c1", "c2"}
     made = [x.name.split("-")[0] for x in tmp_path.iterdir()]
     assert made and len(made) == len(set(made))
 
@@ -315,5 +315,5 @@ def test_table_quantiles_are_exact(spark):
     for x in (r.normal(size=3000) * 10.0 ** r.integers(-9, 9, 3000), r.integers(0, 4, 500).astype(float), np.full(7, 2.5), np.array([1.0, np.nextafter(1.0, 2), 3.0])):
         df = spark.createDataFrame(pd.DataFrame({"v": x})).union(spark.createDataFrame([(None,)], "v double"))
         p = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
-        assert np.allclose(table_quantiles(df, "v", p, bins=64), np.quantile(x, p), rtol=1e-12, atol=0)
+        assert np.allclose(table_quantiles(df, "v", p), np.quantile(x, p), rtol=1e-12, atol=0)
     assert table_quantiles(spark.createDataFrame([], "v double"), "v", (0.5,)) == [None]
