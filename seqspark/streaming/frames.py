@@ -36,10 +36,7 @@ def score_completed(frames: DataFrame, gap: str, score: Callable[[DataFrame, int
 COMPLETENESS = "sequence_id long, n long, n_late long, complete boolean"
 
 
-def _arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, late: int, forget_ms: int) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
+def _arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, late: int) -> Iterator[pd.DataFrame]:
     n, n_late, newest, complete = state.get if state.exists else (0, 0, -(1 << 62), False)
     x = pd.concat(list(batches)).sort_values("arrival")
     at = x["at"].to_numpy(np.int64)
@@ -47,21 +44,20 @@ def _arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, la
     behind = at < seen - late
     n, n_late, newest, complete = n + int((~behind).sum()), n_late + int(behind.sum()), int(max(newest, at.max())), bool(complete or x["last"].any())
     state.update((n, n_late, newest, complete))
-    state.setTimeoutDuration(forget_ms)
     yield pd.DataFrame([(key[0], n, n_late, complete)], columns=[c.split()[0] for c in COMPLETENESS.split(", ")])
 
 
-def completeness(frames: DataFrame, late: int, forget_ms: int = 86_400_000) -> DataFrame:
+def completeness(frames: DataFrame, late: int) -> DataFrame:
     """Per sequence: frames in time, frames more than ``late`` behind the newest before them, and whether its last frame has come.
 
-    ``frames``: sequence_id, arrival (their order), at (a number), last. On a stream, a row per sequence and micro-batch, from four numbers of state,
-    which go when no frame of the sequence has come for ``forget_ms``.
+    ``frames``: sequence_id, arrival (their order), at (a number), last. On a stream, a row per sequence and micro-batch, from four numbers of state
+    that stay; for streams without end there is ``stateful.completed``.
     """
     rows = frames.select("sequence_id", "arrival", "at", "last")
     if frames.isStreaming:
         state = "n long, n_late long, newest long, complete boolean"
-        run = lambda key, batches, state: _arrivals(key, batches, state, late, forget_ms)
-        return rows.groupBy("sequence_id").applyInPandasWithState(run, COMPLETENESS, state, "update", GroupStateTimeout.ProcessingTimeTimeout)
+        run = lambda key, batches, state: _arrivals(key, batches, state, late)
+        return rows.groupBy("sequence_id").applyInPandasWithState(run, COMPLETENESS, state, "update", GroupStateTimeout.NoTimeout)
     before = F.max("at").over(Window.partitionBy("sequence_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
     behind = F.coalesce(F.col("at") < before - late, F.lit(False))
     return rows.withColumn("_behind", behind).groupBy("sequence_id").agg(F.count_if(~F.col("_behind")).alias("n"), F.count_if("_behind").alias("n_late"), F.bool_or("last").alias("complete"))

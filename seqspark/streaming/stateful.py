@@ -60,7 +60,11 @@ def running_features(frames: DataFrame, ttl_ms: int) -> DataFrame:
 
 
 class Completion(StatefulProcessor):
-    """One row for each sequence once it has ended: with its last frame, or when none has come for ``gap_ms`` of event time."""
+    """One row for each sequence once it has ended: with its last frame, or when none has come for ``gap_ms`` of event time.
+
+    A key may have several sequences open, where frames behind a silence come
+    before the watermark has passed it; each has a timer.
+    """
 
     COLUMNS = "sequence_id long, n long, n_behind long, first_ms long, last_ms long, complete boolean"
     STATE = "n long, n_behind long, first_ms long, last_ms long, complete boolean"
@@ -69,26 +73,41 @@ class Completion(StatefulProcessor):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.seen = handle, handle.getValueState("seen", self.STATE)
+        self.handle, self.open = handle, handle.getListState("open", self.STATE)
+
+    def _end(self, sequence: tuple) -> int:
+        """When it is over: once the watermark is there, frames before the end are all in, or late."""
+        return sequence[3] + (1 if sequence[4] else self.gap_ms)
+
+    def _put(self, sequences: list[tuple]) -> None:
+        self.open.put(sequences) if sequences else self.open.clear()
+        due = {self._end(s) for s in sequences}
+        there = set(self.handle.listTimers())
+        for t in there - due:
+            self.handle.deleteTimer(t)
+        for t in due - there:
+            self.handle.registerTimer(t)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         x = pd.concat(list(rows))
-        at = x["ms"].to_numpy("int64")
-        n, behind, first, last, complete = self.seen.get() if self.seen.exists() else (0, 0, int(at.min()), -(1 << 62), False)
-        behind += int((at < last).sum())
-        first, last = min(first, int(at.min())), max(last, int(at.max()))
-        complete = bool(complete or x["last"].fillna(False).astype(bool).any())
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        # once the watermark is there, frames before the end are all in, or late
-        self.handle.registerTimer(last + (1 if complete else self.gap_ms))
-        self.seen.update((n + len(at), behind, first, last, complete))
+        now = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        newest = {s[2]: s[3] for s in now}  # before this batch
+        for t, last in sorted(zip(x["ms"].astype("int64").tolist(), x["last"].eq(True).tolist())):
+            near = [s for s in now if s[2] - self.gap_ms < t < s[3] + self.gap_ms]
+            behind = int(any(t < newest.get(s[2], t) for s in near))
+            now = [s for s in now if s not in near]
+            now.append((1 + sum(s[0] for s in near), behind + sum(s[1] for s in near), min([t, *(s[2] for s in near)]), max([t, *(s[3] for s in near)]), last or any(s[4] for s in near)))
+            if behind:
+                newest[now[-1][2]] = max(newest[s[2]] for s in near if s[2] in newest)
+        self._put(now)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        row = self.seen.get()
-        self.seen.clear()
-        yield pd.DataFrame([(key[0], *row)], columns=[c.split()[0] for c in self.COLUMNS.split(", ")])
+        at, now = expiredTimerInfo.getExpiryTimeInMs(), [tuple(s) for s in self.open.get()]
+        over = [s for s in now if self._end(s) <= at]
+        self._put([s for s in now if s not in over])
+        if over:
+            yield pd.DataFrame([(key[0], *s) for s in over], columns=[c.split()[0] for c in self.COLUMNS.split(", ")])
 
     def close(self) -> None:
         pass
@@ -104,9 +123,9 @@ def completed(frames: DataFrame, gap: str, late: str, ts: str = "ts") -> DataFra
     ``frames``: sequence_id, ``ts``, last (boolean, null where unknown). On a stream
     a timer in event time ends a sequence, so its row comes once; frames later than
     ``late`` behind the newest of all are dropped by the watermark and counted
-    (``late_rows``). ``n_behind`` are frames that came after a later one of their
-    sequence, where batches tell. On a table, silences cut a sequence as they would
-    on a stream without late frames.
+    (``late_rows``). ``n_behind`` are frames that came in a later batch than a later
+    one of their sequence. No frame follows one that is marked last. On a table,
+    silences cut a sequence as they would on a stream without late frames.
     """
     timed = frames.select("sequence_id", F.col(ts).cast("timestamp").alias("_ts"), "last")
     if frames.isStreaming:

@@ -3,7 +3,8 @@
 import pickle
 import time
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,11 +23,12 @@ def rocksdb(spark):
     W.use_rocksdb(spark)
 
 
-def put(spark, folder, rows, k, schema="sequence_id long, idx long, v double, s long, last boolean"):
-    df = spark.createDataFrame(rows, schema)
-    df = df.withColumn("ts", F.timestamp_seconds("s")) if "s" in df.columns else df
-    df.toPandas().to_parquet(f"{folder}/{k:03}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
-    return df.schema
+FRAMES = "sequence_id long, idx long, v double, s long, last boolean, ts timestamp"
+
+
+def put(folder, rows, k):
+    kinds = pa.schema([("sequence_id", pa.int64()), ("idx", pa.int64()), ("v", pa.float64()), ("s", pa.int64()), ("last", pa.bool_()), ("ts", pa.timestamp("us", "UTC"))])
+    pq.write_table(pa.Table.from_pylist([dict(zip(kinds.names, (*r, r[3] * 1_000_000))) for r in rows], kinds), f"{folder}/{k:03}.parquet")
 
 
 def test_a_sequence_ends_once(spark, tmp_path):
@@ -41,8 +43,8 @@ def test_a_sequence_ends_once(spark, tmp_path):
         [(5, 600, True)],
     ]
     for k, b in enumerate(batches):
-        schema = put(spark, folder, [(q, 0, 0.0, s, last) for q, s, last in b], k)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        put(folder, [(q, 0, 0.0, s, last) for q, s, last in b], k)
+    stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(str(folder))
     got = []
     q = W.completed(stream, "40 seconds", "30 seconds").writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -57,25 +59,28 @@ def test_a_sequence_ends_once(spark, tmp_path):
 def test_running_features_expire(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    schema = put(spark, folder, [(q, i, float(i * i), 0, None) for q in range(6) for i in range(4)], 0)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    put(folder, [(q, i, float(i * i), 0, None) for q in range(6) for i in range(4)], 0)
+    stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(str(folder))
     got = []
-    q = W.running_features(stream, 4_000).writeStream.outputMode("update").foreachBatch(lambda df, n: got.extend((n, *r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-        first = W.state_rows(q)
-        put(spark, folder, [(0, 4, 16.0, 0, None)], 1)
-        q.processAllAvailable()
-        assert [r[2:] for r in got if r[1] == 0][-1] == pytest.approx((5, 6.0, 38.8 - 4.0 + 0.0, 0.0, 16.0, 16.0, 16.0), abs=1e-9) or [r[2] for r in got if r[1] == 0][-1] == 5
-        time.sleep(6)
-        put(spark, folder, [(9, 0, 1.0, 0, None)], 2)
-        q.processAllAvailable()
-        put(spark, folder, [(0, 5, 2.0, 0, None)], 3)
-        q.processAllAvailable()
-        assert first >= 6 and W.state_rows(q) <= 4 < first
-        assert [r[2] for r in got if r[1] == 0][-1] == 1  # forgotten, so it begins anew
-    finally:
-        q.stop()
+
+    def step():
+        q = W.running_features(stream, 5_000).writeStream.outputMode("update").foreachBatch(lambda df, n: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+        assert q.awaitTermination(60)
+        return W.state_rows(q)
+
+    first = step()
+    put(folder, [(0, 4, 16.0, 0, None)], 1)
+    step()
+    known = [r for r in got if r["sequence_id"] == 0][-1]
+    assert known["n"] == 5 and known["mean"] == 6.0 and known["var"] == pytest.approx(34.8) and (known["low"], known["high"], known["last"], known["line_length"]) == (0.0, 16.0, 16.0, 16.0)
+    time.sleep(6)
+    for k in (2, 3):
+        put(folder, [(9, k, 1.0, 0, None)], k)
+        last = step()
+    assert first >= 6 and last < first  # sequences 0 to 5 have gone
+    put(folder, [(0, 5, 2.0, 0, None)], 4)
+    step()
+    assert [r["n"] for r in got if r["sequence_id"] == 0][-1] == 1  # forgotten, so it begins anew
 
 
 def test_whole_sequences_once_over_a_restart(spark, tmp_path):
@@ -84,7 +89,7 @@ def test_whole_sequences_once_over_a_restart(spark, tmp_path):
     seen = []
 
     def keep(df, batch):
-        seen.extend((batch, *r) for r in df.groupBy("sequence_id").agg(F.count("*").alias("n"), F.count_distinct(F.spark_partition_id())).collect())
+        seen.extend((batch, *r) for r in df.withColumn("part", F.spark_partition_id()).groupBy("sequence_id").agg(F.count("*").alias("n"), F.count_distinct("part")).collect())
 
     for k in range(3):
         Q.write_sequences(frames.where(F.col("sequence_id") % 3 == k), path, "sequence_id", "idx", files=4)
