@@ -40,7 +40,7 @@ from seqspark.llm.shared import dropped, mix64, table, written
 WORDS, M, ROWS = 5, 80, 4
 BANDS = M // ROWS
 CACHE_WORDS = 400_000
-CLASS = 1.02  # width of a class of sizes
+CLASS = 1.08  # width of a class of sizes, by which profiles look for each other
 _HASH: dict[str, int] = {}
 
 
@@ -220,10 +220,16 @@ def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     A shingle that occurs n times counts as n tokens. Texts of x and y tokens
     have to share least(x, y) tokens, so in any one order of all tokens the
     first x - least + 1 of one and y - least + 1 of the other have a token in
-    common. The order is by the number of texts that have the token; the
-    partner's size is known up to a class of sizes, and rows only meet rows whose classes are each other's. So texts meet on what few have,
-    not on what a whole group of near copies has; tokens of one text alone
-    never meet anything and are left out once they have taken their place.
+    common. The order is by the number of texts that have the token. So a token at
+    place i of a text of x counts for partners of at most Y tokens, a number that
+    i and x give; two texts meet at a token only if each is small enough for the
+    other. This holds for a template with all its pages as exactly as their
+    similarity: texts just below the threshold do not meet.
+
+    Who meets whom is found between profiles (token, x, Y), of which a template
+    has few, however many texts it has; only then do texts come in.
+    Tokens of one text alone never meet anything and are left out once they have
+    taken their place.
     """
 
     def run(batches):
@@ -241,19 +247,25 @@ def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     each = texts.select("key", "text").mapInArrow(run, "key binary, token array<long>").select("key", F.explode("token").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = each.join(often, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"))
-    of_size = lambda x: F.floor(F.log(x) / math.log(CLASS)).cast("int")
-    low = F.floor(F.pow(F.lit(CLASS), F.col("other")) * (1 - 1e-9))  # no text of the class is smaller
-    least = F.ceil(threshold / (1 + threshold) * (F.col("size") + F.greatest(low, F.lit(1))) - 1e-6)
-    sized = shared.join(texts.select("key", "size", "part"), "key").withColumn("own", of_size("size"))
-    classes = F.explode(F.sequence(of_size(F.ceil(threshold * F.col("size") - 1e-6)), of_size(F.col("size") / threshold + 1e-6)))
-    sized = sized.withColumn("other", classes).withColumn("room", (F.col("size") - least + 1 - (F.col("size") - F.size("tokens"))).cast("int")).where("room > 0")
-    rows = sized.select("key", "part", "own", "other", F.explode(F.slice("tokens", 1, F.col("room"))).alias("t")).select("key", "part", "own", "other", F.col("t.token").alias("token"))
+    share = threshold / (1 + threshold)
+    place = F.col("i") + F.col("size") - F.col("kept")
+    tokens = shared.join(texts.select("key", "size", "part"), "key").withColumn("kept", F.size("tokens"))
+    room = (F.floor(F.col("size") - share * (1 + threshold) * F.col("size") + 1e-6) + 1 - (F.col("size") - F.col("kept"))).cast("int")  # for the smallest partners
+    tokens = tokens.where(room > 0).select("key", "part", "size", "kept", F.posexplode(F.slice("tokens", 1, room)).alias("i", "t"))
+    most = F.floor(F.least((F.col("size") - place + 1e-6) / share - F.col("size"), F.col("size") / threshold + 1e-6)).cast("long")
+    rows = tokens.select(F.col("t.token").alias("token"), "size", most.alias("most"), "key", "part").where(F.col("most") >= threshold * F.col("size") - 1e-6)
     rows = written(rows, "neardup-prefixes")
-    ends = rows.groupBy("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token", "x", "y")
-    small = rows.where("own <= other").select("token", F.col("own").alias("x"), F.col("other").alias("y"), F.col("key").alias("a"), F.col("part").alias("pa"))
-    large = rows.where("own >= other").select("token", F.col("other").alias("x"), F.col("own").alias("y"), F.col("key").alias("b"), F.col("part").alias("pb"))
-    at = ["token", "x", "y"]
-    met = small.join(ends, at).join(large.withColumnsRenamed({"x": "x2", "y": "y2", "token": "token2"}), F.expr("token = token2 AND x = x2 AND y = y2 AND pa <> pb AND (x < y OR a < b)"))
+
+    profiles = rows.groupBy("token", "size", "most").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+    of_size = lambda x: F.floor(F.log(x) / math.log(CLASS)).cast("int")
+    asked = F.explode(F.sequence(of_size(F.greatest(threshold * F.col("size") - 1e-6, F.lit(1))), of_size(F.col("most") + 1e-6)))
+    left = profiles.select("token", asked.alias("class"), F.col("size").alias("x"), F.col("most").alias("x_most"), F.col("p").alias("xp"), F.col("q").alias("xq"))
+    right = profiles.select("token", of_size(F.col("size") + 1e-6).alias("class"), F.col("size").alias("y"), F.col("most").alias("y_most"), F.col("p").alias("yp"), F.col("q").alias("yq"))
+    fit = left.join(right, ["token", "class"]).where("x <= y_most AND y <= x_most AND (x < y OR x = y AND x_most <= y_most)").where("xp <> xq OR yp <> yq OR xp <> yp")
+    fit = fit.select("token", "x", "x_most", "y", "y_most")
+    one = rows.select("token", F.col("size").alias("x"), F.col("most").alias("x_most"), F.col("key").alias("a"), F.col("part").alias("pa"))
+    two = rows.select("token", F.col("size").alias("y"), F.col("most").alias("y_most"), F.col("key").alias("b"), F.col("part").alias("pb"))
+    met = fit.join(one, ["token", "x", "x_most"]).join(two, ["token", "y", "y_most"]).where("pa <> pb AND a <> b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

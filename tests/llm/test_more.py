@@ -257,6 +257,27 @@ def test_prefix_pairs_hold_every_link_and_few_others(spark):
     assert sum(a in unlike and b in unlike for a, b in pairs) < len(unlike) * 4  # texts that never link are hardly paired
 
 
+@pytest.mark.parametrize("unique", [36, 29, 28])  # similarities of 0.745, 0.789 and 0.795
+def test_a_template_below_the_threshold_makes_no_pairs(spark, unique):
+    r = random.Random(unique)
+    template = [f"t{i}" for i in range(250 - unique)]
+    made = []
+    for k in range(400):
+        extra = [f"u{k}x{i}" for i in range(unique + r.randrange(0, 2))]
+        at = 60
+        made.append(" ".join(template[:at] + template[at:] + extra))
+    # a few that are linked, so that something has to be found
+    made += [m + " one more end" for m in made[:5]]
+    bags = [near_dup.shingles(t) for t in made]
+    rows = [(near_dup.sequence_key(t), t, int(b[1].sum()), near_dup.sequence_key(t)) for t, b in zip(made, bags)]
+    pairs = {(bytes(x["a"]), bytes(x["b"])) for x in near_dup.prefix_pairs(spark.createDataFrame(rows, "key binary, text string, size long, part binary"), 0.8).collect()}
+    by_key = {k: b for (k, *_), b in zip(rows, bags)}
+    keys = sorted(by_key)
+    links = {(a, b) for i, b in enumerate(keys) for a in keys[:i] if near_dup.similarity(by_key[a], by_key[b]) >= 0.8}
+    assert links <= pairs and links
+    assert len(pairs) < 20 * len(made)
+
+
 def test_components(spark):
     from seqspark.llm.components import connected_components
 
