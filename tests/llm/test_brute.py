@@ -306,10 +306,12 @@ def _leaks(bench, text):
     out = set()
     for at in range(decontam.passages(len(ids))):
         window = ids[at * decontam.STRIDE : at * decontam.STRIDE + decontam.WINDOW]
-        for (key, p, answer), m, am in zip(bench.pieces, bench.masks, bench.answer_masks):
-            share = decontam.common_subsequence(m, len(p), window) / len(p)
-            if share >= decontam.LCS or (share >= decontam.LCS_WITH_ANSWER and decontam.common_subsequence(am, len(answer), window) >= 0.8 * len(answer)):
-                out.add(key)
+        for k, (key, p, answer) in enumerate(bench.pieces):
+            share = decontam.common_subsequence(bench.masks[k], len(p), window) / len(p)
+            if share >= decontam.LCS or (share >= decontam.LCS_WITH_ANSWER and decontam.common_subsequence(bench.answer_masks[k], len(answer), window) >= 0.8 * len(answer)):
+                chance = sum(decontam.common_subsequence(bench.masks[k], len(p), [window[i] for i in order if i < len(window)]) for order in decontam._DRAWN) / 4 / len(p)
+                if share >= chance + min(0.2, (1 - chance) / 2) - 1e-9:
+                    out.add(key)
     return out
 
 
@@ -357,6 +359,41 @@ def test_items_of_common_words_are_found(spark):
     assert {x for x in want if x[1] == 1} <= found and {x for x in want if x[1] == 2} <= found and sum(x[1] == 1 for x in found) == 90
 
 
+@pytest.mark.parametrize("share", [0.01, 0.5, 0.9, 0.99])
+def test_paraphrases_of_common_leaks_are_found(spark, sf, docs, share):
+    """One rule whatever share of the documents has the item; half of the copies are paraphrases."""
+    b = pd.read_parquet(f"{sf}/benchmark.parquet")
+    item = min(b.itertuples(), key=lambda x: len(x.text.split()))
+    r = random.Random(int(share * 100))
+    made, want = [], set()
+    for k in range(300):
+        words = decontam.words_of(docs.text[k % len(docs)] or "")[:400]
+        if k % 100 < share * 100:
+            said = decontam.words_of(item.text)
+            if k % 2:
+                said = [w for w in said if r.random() > 0.12]
+                for _ in range(len(said) // 10):
+                    said.insert(r.randrange(len(said)), "indeed")
+            at = r.randrange(len(words) + 1)
+            words[at:at] = said
+            want.add(k)
+        made.append((k, " ".join(words)))
+    got = decontam.find_leaks(spark.createDataFrame(made, "doc_id long, text string"), table(spark, sf, "benchmark")).toPandas()
+    found = set(got.doc_id[got.item_id == item.item_id])
+    print("recall", share, len(found & want) / len(want))
+    assert len(found & want) >= 0.9 * len(want)
+    assert {k for k in want if k % 2 == 0} <= found  # verbatim
+    assert len(found - want) <= len({k for k in range(300) if "indeed" not in made[k][1]}) * 0.05
+
+
+def test_candidates_come_from_the_latent_space(spark, sf, monkeypatch):
+    """With directions in which passages and items have nothing, there are no candidates."""
+    docs_ = table(spark, sf, "documents").where("doc_id < 100")
+    assert decontam.find_leaks(docs_, table(spark, sf, "benchmark")).count()
+    monkeypatch.setattr(decontam, "latent_basis", lambda rows, idf, items, dims, n, top: np.zeros((dims, decontam.RANK), np.float32))
+    assert decontam.find_leaks(docs_, table(spark, sf, "benchmark")).count() == 0
+
+
 def test_quotes_of_long_items_are_found(spark):
     item = [f"w{i}" for i in range(160)]
     quotes = [(n, at) for n in (50, 64, 77, 90) for at in range(0, 161 - n)]
