@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from seqspark.operators.stats import by_time
+from seqspark.sources.shared import written
 
 
 def fill_both_ways(column: str, default: float = 0.0, sequence: str = "sequence_id", idx: str = "idx") -> Column:
@@ -119,39 +120,120 @@ def validation(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.select(F.explode("r").alias("x")).select("x.*")
 
 
-def nearest_of_class(df: DataFrame, k: int, block: int = 1024) -> DataFrame:
+def nearest_of_class(df: DataFrame, k: int, block: int = 1024, pivots: int | None = None, compared=None) -> DataFrame:
     """(vec_id, label, neighbour, dist, k) of the ``k`` nearest other rows of a row's class, exactly. ``df``: vec_id, label, x, and n, the size of the class.
 
-    A class is dealt into blocks of about ``block`` rows; every block meets every block of its class in a
-    group of its own, which keeps the best k, and these are merged. Ties go to the smaller neighbour.
+    The square root of n rows of each class, drawn by hash (or ``pivots`` of them),
+    are its pivots; a row lies in the cell of the nearest. What a row finds in its
+    own cell bounds how far its neighbours are; by the triangle inequality a cell
+    whose rows all lie further from its pivot, or nearer, than the row does by more
+    than this has none of them, and only the other cells are searched. A cell is
+    searched in blocks of about ``block`` rows, so equal rows make no large group.
+    Ties go to the smaller neighbour. ``compared``, an accumulator, counts pairs.
     """
-    count = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    a = df.select("vec_id", "label", "x", count.alias("blocks"), F.pmod(F.xxhash64("vec_id"), count).cast("int").alias("mine"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = a.select("vec_id", "label", "x", "mine", every.alias("other"))
-    right = a.select(F.col("vec_id").alias("near"), F.col("label").alias("near_label"), F.col("x").alias("near_x"), every.alias("near_mine"), F.col("mine").alias("near_other"))
+    spark, limit = df.sparkSession, 256 << 20
     id_type, label_type = (df.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
-
-    def best(queries, rows):
+    wanted = F.lit(pivots) if pivots else F.ceil(F.sqrt("n"))
+    # about as many as wanted, by hash; the first of all always, so no class is without
+    chosen = df.withColumn("_h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)))
+    least = chosen.groupBy("label").agg(F.min("_h").alias("_least"))
+    chosen = chosen.join(least, "label").where((F.col("_h") * F.col("n") < wanted * F.lit(1 << 40)) | (F.col("_h") == F.col("_least"))).select("label", "x").distinct()
+    size = chosen.agg(F.sum(F.size("x") * 8)).head()[0] or 0
+    if size > limit:
+        raise ValueError(f"{size} bytes of pivots; {limit} may be sent to every executor: ask for fewer")
+    centres: dict = {}
+    for r in sorted(chosen.collect(), key=lambda r: (str(r["label"]), r["x"])):
+        centres.setdefault(r["label"], []).append(r["x"])
+    centres = {c: np.array(v, float) for c, v in centres.items()}
+    known = spark.sparkContext.broadcast(centres)
+
+    def distances(x, labels):
+        """Rows by label: (where they are, their distances to the pivots of the class)."""
+        for c in dict.fromkeys(labels):
+            at = [i for i, y in enumerate(labels) if y == c]
+            p = known.value[c]
+            yield at, c, np.sqrt(np.maximum(((x[at] ** 2).sum(1)[:, None] - 2 * x[at] @ p.T + (p**2).sum(1)[None]), 0))
+
+    def placed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, labels = np.array(batch.column("x").to_pylist(), float), batch.column("label").to_pylist()
+            cell, off = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for at, _, d in distances(x, labels):
+                cell[at] = d.argmin(1)
+                off[at] = d.min(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "label", "x")), pa.array(cell), pa.array(off)], names=["vec_id", "label", "x", "cell", "off"])
+
+    rows = written(df.select("vec_id", "label", "x").mapInArrow(placed, f"vec_id {id_type}, label {label_type}, x array<double>, cell long, off double"), "nearest-cells")
+    cells = rows.groupBy("label", "cell").agg(F.min("off").alias("near"), F.max("off").alias("far"), F.count("*").alias("m"))  # a row for each pivot
+    shapes = {(r["label"], r["cell"]): (r["near"], r["far"], r["m"]) for r in cells.collect()}
+    shape = spark.sparkContext.broadcast(shapes)
+
+    def best(queries, there):
         id_kind, label_kind = queries.column("vec_id").type, queries.column("label").type
-        out_id, out_label, out_near, out_dist = [], [], [], []
-        if queries.num_rows and rows.num_rows:
-            ids, near = queries.column("vec_id").to_pylist(), np.array(rows.column("near").to_pylist())
-            x, y = np.array(queries.column("x").to_pylist(), float), np.array(rows.column("near_x").to_pylist(), float)
-            name = queries.column("label")[0].as_py()
+        out = {"vec_id": [], "neighbour": [], "dist": []}
+        label = queries.column("label")[0].as_py() if queries.num_rows else None
+        if queries.num_rows and there.num_rows:
+            ids, near = queries.column("vec_id").to_pylist(), np.array(there.column("near").to_pylist())
+            x, y = np.array(queries.column("x").to_pylist(), float), np.array(there.column("near_x").to_pylist(), float)
+            if compared is not None:
+                compared.add(len(ids) * len(near))
             for i, v in enumerate(ids):
                 d = ((y - x[i]) ** 2).sum(1)
                 d[near == v] = np.inf
                 order = np.lexsort((near, d))[:k]
                 order = order[np.isfinite(d[order])]
-                out_id += [v] * len(order)
-                out_label += [name] * len(order)
-                out_near += near[order].tolist()
-                out_dist += d[order].tolist()
-        return pa.table({"vec_id": pa.array(out_id, id_kind), "label": pa.array(out_label, label_kind), "neighbour": pa.array(out_near, id_kind), "dist": pa.array(out_dist, pa.float64())})
-
-    found = left.groupBy("label", "mine", "other").cogroup(right.groupBy("near_label", "near_mine", "near_other")).applyInArrow(best, f"vec_id {id_type}, label {label_type}, neighbour {id_type}, dist double")
-    return found.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "neighbour"))).where(F.col("k") <= k)
+                out["vec_id"] += [v] * len(order)
+                out["neighbour"] += near[order].tolist()
+                out["dist"] += d[order].tolist()
+        return pa.table({"vec_id": pa.array(out["vec_id"], id_kind), "label": pa.array([label] * len(out["dist"]), label_kind), "neighbour": pa.array(out["neighbour"], id_kind), "dist": pa.array(out["dist"], pa.float64())})
+
+    many = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    sized = rows.join(cells.select("label", "cell", "m"), ["label", "cell"])
+
+    def search(asked: DataFrame) -> DataFrame:
+        """The best of each cell asked for: queries (vec_id, label, x, cell)."""
+        crowd = asked.groupBy("label", "cell").agg(F.count("*").alias("q"))
+        left = asked.join(crowd, ["label", "cell"]).join(cells.select("label", "cell", "m"), ["label", "cell"])
+        left = left.select("vec_id", "label", "x", "cell", F.pmod(F.xxhash64("vec_id"), many(F.col("q"))).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), many(F.col("m")) - 1)).alias("other"))
+        right = sized.join(crowd, ["label", "cell"]).select(
+            F.col("label").alias("near_label"), F.col("cell").alias("near_cell"), F.col("vec_id").alias("near"), F.col("x").alias("near_x"),
+            F.explode(F.sequence(F.lit(0), many(F.col("q")) - 1)).alias("near_mine"), F.pmod(F.xxhash64("vec_id"), many(F.col("m"))).cast("int").alias("near_other"),
+        )
+        found = left.groupBy("label", "cell", "mine", "other").cogroup(right.groupBy("near_label", "near_cell", "near_mine", "near_other"))
+        return found.applyInArrow(best, f"vec_id {id_type}, label {label_type}, neighbour {id_type}, dist double")
+
+    top = Window.partitionBy("vec_id").orderBy("dist", "neighbour")
+    own = written(search(rows.select("vec_id", "label", "x", "cell")).withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= k).drop("_k"), "nearest-own")
+    bound = own.groupBy("vec_id").agg(F.when(F.count("*") == k, F.sqrt(F.max("dist"))).alias("bound"))
+
+    def open_cells(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, labels, mine, bounds = np.array(batch.column("x").to_pylist(), float), batch.column("label").to_pylist(), batch.column("cell").to_numpy(), batch.column("bound").to_pylist()
+            rows_, cells_ = [], []
+            for at, c, d in distances(x, labels):
+                held = [shape.value.get((c, j), (np.inf, -np.inf, 0)) for j in range(d.shape[1])]
+                near, far, m = (np.array([h[i] for h in held]) for i in range(3))
+                for i, row in zip(at, d):
+                    most = np.inf if bounds[i] is None else bounds[i]
+                    if not np.isfinite(most):  # a small cell: as far as the cells that have k rows for certain
+                        order = np.argsort(row + far)
+                        enough = np.flatnonzero(np.cumsum(m[order]) > k)
+                        most = (row + far)[order][enough[0]] if len(enough) else np.inf
+                    slack = 1e-9 * (1 + row)
+                    meets = np.flatnonzero((m > 0) & (row - far <= most + slack) & (near - row <= most + slack))
+                    meets = meets[meets != mine[i]]
+                    rows_ += [i] * len(meets)
+                    cells_ += meets.tolist()
+            take = pa.array(rows_, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("vec_id", "label", "x")), pa.array(cells_, pa.int64())], names=["vec_id", "label", "x", "cell"])
+
+    asked = rows.join(bound, "vec_id", "left").select("vec_id", "label", "x", "cell", "bound").mapInArrow(open_cells, f"vec_id {id_type}, label {label_type}, x array<double>, cell long")
+    found = own.unionByName(search(asked))
+    return found.withColumn("k", F.row_number().over(top)).where(F.col("k") <= k)
 
 
 def partners(df: DataFrame, key: str, seed: int, block: int = 1024) -> DataFrame:

@@ -199,5 +199,19 @@ def test_oversampling_sees_the_whole_class(spark, sf):
             point = x[v] + (x[got[v]["neighbour"]] - x[v]) * lam
             assert [got[v][c] for c in ("x0", "x1", "x2", "total")] == pytest.approx([*point[:3], point.sum()], abs=2e-6)
     rows = spark.createDataFrame([(v, 1, x[v].tolist(), len(x)) for v in x], "vec_id long, label int, x array<double>, n long")
-    one, many = (sorted((r["vec_id"], r["k"], r["neighbour"]) for r in clean.nearest_of_class(rows, 3, b).collect()) for b in (10**6, 40))
+    one, many = (sorted((r["vec_id"], r["k"], r["neighbour"]) for r in clean.nearest_of_class(rows, 3, b, pivots=p).collect()) for b, p in ((10**6, 1), (40, None)))
     assert one == many
+
+
+def test_nearest_rows_by_pivots_skip_most_pairs(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(40, 8)) * 50
+    x = np.concatenate([c + r.normal(size=(50, 8)) for c in centres] + [np.repeat(centres[:1], 30, 0)])
+    df = spark.createDataFrame([(i, "c", v.tolist(), len(x)) for i, v in enumerate(x)], "vec_id long, label string, x array<double>, n long")
+    compared = spark.sparkContext.accumulator(0)
+    got = {(row["vec_id"], row["k"]): row["neighbour"] for row in clean.nearest_of_class(df, 3, 16, pivots=200, compared=compared).collect()}
+    for i in range(len(x)):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert [got[i, k] for k in (1, 2, 3)] == np.lexsort((np.arange(len(x)), d))[:3].tolist()
+    assert compared.value < 0.1 * len(x) ** 2
