@@ -100,7 +100,7 @@ _TOF = "to0 AS (SELECT sequence_id, idx, coalesce(avg(d), 0) AS tof_mean, coales
 @query(
     "g28_frame_channels", "sequence_id idx", " ".join(H.CHANNELS_18),
     f"WITH {_WORLD}, {_OMEGA}, {_TOF} SELECT w0.sequence_id, w0.idx, wx AS linear_acc_x, wy AS linear_acc_y, wz - 9.81 AS linear_acc_z, ox AS omega_x, oy AS omega_y, oz AS omega_z, sqrt(wx * wx + wy * wy + (wz - 9.81) ** 2) AS linear_acc_mag, sqrt(ox * ox + oy * oy + oz * oz) AS omega_mag, "
-    + ", ".join(f"coalesce({c}, 0) AS {c}" for c in H.CHANNELS_18[8:]) + " FROM w0 JOIN om USING (sequence_id, idx) LEFT JOIN to0 USING (sequence_id, idx) LEFT JOIN th0 USING (sequence_id, idx)", digits=4,
+    + ", ".join(f"coalesce({c}, 0) AS {c}" for c in H.CHANNELS_18[8:]) + " FROM w0 JOIN om USING (sequence_id, idx) LEFT JOIN to0 USING (sequence_id, idx) LEFT JOIN th0 USING (sequence_id, idx)", digits=4, materialised=True,
 )
 def _(t):
     """Gravity by subtraction here, so that SQL can follow; the operator's default is the low-pass split."""

@@ -13,12 +13,13 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 
 
-def query(name: str, keys: str = "", floats: str = "", sql: str | None = None, digits: int = DIGITS):
+def query(name: str, keys: str = "", floats: str = "", sql: str | None = None, digits: int = DIGITS, materialised: bool = False):
     """Register ``f(tables) -> DataFrame`` under ``name``.
 
     ``keys`` and ``floats`` name its columns; floats are rounded on both sides,
     since sums depend on the order of rows. ``sql`` is the body of the DuckDB
-    query over the base tables and VIEWS, with the same columns.
+    query over the base tables and VIEWS, with the same columns; ``materialised``
+    has DuckDB keep each of its common tables instead of evaluating them again.
     """
     ks, fs = keys.split(), floats.split()
 
@@ -39,7 +40,8 @@ def query(name: str, keys: str = "", floats: str = "", sql: str | None = None, d
             body = sql[inner.end() :] if inner else sql
             cut = _main_select(body) if inner else 0
             out = ", ".join([*ks, *(f"round({c}::DOUBLE, {digits}) + 0.0 AS {c}" for c in fs)]) or "*"
-            ORACLES[name] = f"{head}{body[:cut]}SELECT {out} FROM ({body[cut:]}) AS result_rows"
+            text = f"{head}{body[:cut]}SELECT {out} FROM ({body[cut:]}) AS result_rows"
+            ORACLES[name] = re.sub(r"\b(\w+) AS \((SELECT|WITH)\b", r"\1 AS MATERIALIZED (\2", text) if materialised else text
         return f
 
     return add
