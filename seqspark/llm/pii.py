@@ -123,9 +123,10 @@ _NEAR = frozenset(_DIGITS) | {"plus", "dot", "punto", "punkt", "point"}
 _PLUS = re.compile(r"(?i)(?<![^\W_])plus[\s-]{1,2}(?=[0-9])")
 
 _DOT_WORD = r"(?:dot|punto|punkt|point)"
-_DOT = rf"(?:\s?[\[({{<]\s?(?:{_DOT_WORD}|\.)\s?[\])}}>]\s?|\s{_DOT_WORD}\s|\s?_{_DOT_WORD}_\s?|-dot-)"
-_AT = re.compile(r"(?i)\s?[\[({<]\s?(?:at|arroba|@)\s?[\])}>]\s?|\s(?:at|arroba)\s|_at_|-at-|\s?@\s?")
-_BARE_AT = re.compile(r"(?i)\s(?:at|arroba)\s|\s@\s?|\s?@\s")
+# White space is taken by whole runs, each from its first character alone, so that long runs take linear time.
+_DOT = rf"(?:\s*+[\[({{<]\s?(?:{_DOT_WORD}|\.)\s?[\])}}>]\s*+|\s++{_DOT_WORD}\s++|\s*+_{_DOT_WORD}_\s*+|-dot-)"
+_AT = re.compile(r"(?i)(?<!\s)\s*+(?:[\[({<]\s?(?:at|arroba|@)\s?[\])}>]\s*+|@\s*+)|(?<!\s)\s++(?:at|arroba)\s++|_at_|-at-")
+_BARE_AT = re.compile(r"(?i)\s++(?:at|arroba)\s++|\s++@\s*+|\s*+@\s++")
 _HIDDEN_DOT = re.compile(rf"(?i){_DOT}")
 _TAIL = re.compile(rf"(?i)[a-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[a-z0-9-]{{1,63}})*?(?:{_DOT}|\.)[a-z]{{2,24}}(?![a-z0-9-])(?:(?:{_DOT}|\.)[a-z]{{2,24}}(?![a-z0-9-]))*")
 _DOT_BEFORE = re.compile(rf"(?i)[a-z0-9]{_DOT}$")
@@ -188,13 +189,22 @@ def _spelled(low: str) -> bool:
     return any(w in _DIGITS and any(x in _NEAR or x[:1].isdigit() or x[-1:].isdigit() or x[:1] == "+" for x in (words[i - 1] if i else "", *words[i + 1 : i + 2])) for i, w in enumerate(words))
 
 
+def _before_dot(text: str, start: int, least: int) -> int:
+    """From where a disguised dot that ends at ``start`` may begin, and the character before it: two runs of white space and ten others."""
+    for room in (10, 2):
+        while start > least and text[start - 1].isspace():
+            start -= 1
+        start = max(least, start - room)
+    return start
+
+
 def _head(text: str, at: int, least: int) -> int:
     """Where the local part that ends at ``at`` begins, disguised dots included; ``at`` if there is none."""
     start = at
     while True:
         while start > least and text[start - 1] in _LOCAL:
             start -= 1
-        m = _DOT_BEFORE.search(text, max(least, start - 12), start) if start < at else None
+        m = _DOT_BEFORE.search(text, _before_dot(text, start, least), start) if start < at else None
         if not m:
             return start
         start = m.start() + 1  # after the letter before the dot, which the next round takes in
