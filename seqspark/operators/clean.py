@@ -239,13 +239,13 @@ def nearest_of_class(df: DataFrame, k: int, block: int = 1024, pivots: int | Non
 def partners(df: DataFrame, key: str, seed: int, block: int = 1024) -> DataFrame:
     """Every row with the next one of its block in an order drawn by ``seed`` (the last with the first): ``other``, and the other's columns as ``other_*``.
 
-    Blocks are by hash, about ``block`` rows each, so no window grows with the table. A row alone in its block is its own partner.
+    Blocks are drawn as well, about ``block`` rows each, so no window grows with the table. A row alone in its block is its own partner.
     """
     blocks = max(1, -(-df.count() // block))
     w = Window.partitionBy("_block").orderBy(draw(seed, key), key)
     cols = [c for c in df.columns if c != key]
     struct = F.struct(F.col(key).alias("other"), *(F.col(c).alias(f"other_{c}") for c in cols))
-    rows = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("_me", struct)
+    rows = df.withColumn("_block", F.floor(draw(seed + 7, key) * blocks)).withColumn("_me", struct)
     nxt = F.coalesce(F.lead("_me").over(w), F.first("_me").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return rows.withColumn("_other", nxt).select(key, *cols, "_other.*")
 

@@ -107,7 +107,22 @@ def _(t):
     return a.select("sequence_id", F.posexplode(padded).alias("pos", "x")).select("sequence_id", F.col("pos").cast("long").alias("pos"), "x.mask", "x.v")
 
 
-@query("m08_mixup", "row_id other", "lam label " + _C)
+_DRAWN = "('0x' || substr(md5('{0}:' || {1}), 1, 8))::BIGINT / 4294967296.0"
+
+
+def _partners_sql(rows: str, key: str, seed: int) -> str:
+    """(key, other) of ``clean.partners``."""
+    return (
+        f"(WITH nb AS (SELECT greatest(1, (count(*) + 1023) // 1024) AS nb FROM {rows}), d AS (SELECT {key}, floor({_DRAWN.format(seed + 7, key)} * nb) AS block, {_DRAWN.format(seed, key)} AS u FROM {rows}, nb), "
+        f"k AS (SELECT {key}, block, row_number() OVER (PARTITION BY block ORDER BY u, {key}) - 1 AS k, count(*) OVER (PARTITION BY block) AS m FROM d) SELECT a.{key}, b.{key} AS other FROM k AS a JOIN k AS b ON a.block = b.block AND b.k = (a.k + 1) % a.m)"
+    )
+
+
+@query(
+    "m08_mixup", "row_id other", "lam label " + _C,
+    f"WITH w AS (SELECT a.row_id, x.other, {_DRAWN.format(9, 'a.row_id')} AS lam, a.y, a.p, b.y AS oy, b.p AS op FROM proba AS a JOIN {_partners_sql('proba', 'row_id', 5)} AS x ON x.row_id = a.row_id JOIN proba AS b ON b.row_id = x.other) "
+    "SELECT row_id, other, lam, lam * y + (1 - lam) * oy AS label, " + ", ".join(f"lam * p[{i + 1}] + (1 - lam) * op[{i + 1}] AS c{i}" for i in range(10)) + " FROM w",
+)
 def _(t):
     """Each row mixed with another of its block, of features and labels alike; blocks have about 1,024 rows, however many there are."""
     m = C.partners(t.proba.select("row_id", "y", "p"), "row_id", seed=5).withColumn("lam", C.draw(9, "row_id"))
@@ -116,7 +131,19 @@ def _(t):
     return m.select("row_id", "other", "lam", "label", *(F.col("m")[i].alias(f"c{i}") for i in range(10)))
 
 
-@query("m09_augment", "sequence_id idx", "v noisy magnitude warped mixed")
+def _normal_sql(seed: int) -> str:
+    u = lambda k: _DRAWN.format(k, "sequence_id || ':' || idx")
+    return f"(sqrt(-2 * ln(greatest({u(seed)}, 1 / 4294967296.0))) * cos(2 * pi() * {u(seed + 1000)}))"
+
+
+@query(
+    "m09_augment", "sequence_id idx", "v noisy magnitude warped mixed",
+    f"WITH t0 AS (SELECT sequence_id, idx, v, v + 0.05 * {_normal_sql(1)} AS noisy, v * (1 + 0.2 * {_normal_sql(2)}) AS magnitude, count(*) OVER (PARTITION BY sequence_id) AS n, sum(1 + 0.2 * {_normal_sql(3)}) OVER (PARTITION BY sequence_id ORDER BY idx) AS t FROM fe), "
+    "t1 AS (SELECT *, t / last_value(t) OVER (PARTITION BY sequence_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * n AS at, idx::DOUBLE AS pos FROM t0), "
+    "s AS (SELECT DISTINCT sequence_id FROM fe), "
+    "r AS (SELECT q.*, coalesce(a.v + (b.v - a.v) * (q.pos - a.at) / nullif(b.at - a.at, 0), a.v, b.v) AS warped FROM t1 AS q ASOF LEFT JOIN t1 AS a ON a.sequence_id = q.sequence_id AND a.at <= q.pos ASOF LEFT JOIN t1 AS b ON b.sequence_id = q.sequence_id AND b.at >= q.pos) "
+    f"SELECT r.sequence_id, r.idx, r.v, noisy, magnitude, warped, CASE WHEN r.idx >= floor(n * 0.5) THEN coalesce(o.v, r.v) ELSE r.v END AS mixed FROM r JOIN {_partners_sql('s', 'sequence_id', 4)} AS x ON x.sequence_id = r.sequence_id LEFT JOIN fe AS o ON o.sequence_id = x.other AND o.idx = r.idx", digits=5,
+)
 def _(t):
     """Noise, magnitude warp, time warp, and the second half of another sequence."""
     return C.augmented(t.fe)
