@@ -367,11 +367,12 @@ def gram_counts(known: DataFrame, order: int, setup: dict, part: int) -> DataFra
         seen = order_[heads][total > 0]  # a row of each n-gram that occurs
         place, kinds = _sorted(g[seen])
         seen = seen[place]
+        lower = np.maximum.reduceat(below[order_], heads)[total > 0][place]  # a block that has an n-gram in held-out texts alone says 0
         mark = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])[: len(seen)])
         kinds, count = kinds[mark], r[seen]
         add = lambda x: np.add.reduceat(x, mark) if len(mark) else np.zeros(0, x.dtype)
         followers = np.stack([*(add((count == k).astype(np.int64)) for k in range(1, CUT + 1)), add(np.where(count > CUT, count, 0)), add((count > CUT).astype(np.int64))], 1)
-        mass = add(below[seen])
+        mass = add(lower)
         at = np.minimum(np.searchsorted(kinds, v), max(len(kinds) - 1, 0))
         there = kinds[at] == v if len(kinds) else np.zeros(len(v), bool)
         back = np.zeros((len(v), CUT + 2), np.int64)

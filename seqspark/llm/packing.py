@@ -230,3 +230,14 @@ def op4_mixture_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("source")
+
+
+def packing_mixture(spark, sf_dir: str) -> DataFrame:
+    """(window, source, n_tokens): what every window of sequences has of each source, packed with weights: the third, sixth, ... source by name counts three times."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    names = [r["source"] for r in docs.groupBy("source").count().orderBy(F.desc("count"), "source").limit(256).select("source").collect()]  # queues of their own
+    weights = {s or "": 3.0 if i % 3 == 2 else 1.0 for i, s in enumerate(sorted(names, key=lambda s: s or ""))}
+    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), weights=weights, with_ids=False)
+    return packed.groupBy(F.expr(f"sequence_id div {WINDOW}").alias("window"), "source").agg(F.sum("length").alias("n_tokens"))

@@ -21,6 +21,7 @@ def queries() -> dict:
         "op11_relative_lz": lempel_ziv.op11_relative_lz,
         "op12_zfast_trie": prefix_trie.op12_zfast_trie,
         "op13_structure_repair": structure_repair.op13_structure_repair,
+        "packing_mixture": packing.packing_mixture,
         "pipeline": corpus_pipeline.run,
         "rules_ablation": quality_rules.rules_ablation,
     }

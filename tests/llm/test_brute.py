@@ -207,21 +207,25 @@ def test_katz(spark, sf, docs):
         assert math.isclose(r.score_2, sum(math.log10(p2(v, w)) for v, w in zip([" ", *x[:-1]], x)), rel_tol=1e-9)
 
 
-def test_katz_of_order_3(spark, sf, docs):
+@pytest.mark.parametrize("order", [3, 4])
+def test_katz_of_higher_orders(spark, sf, docs, order):
+    """Every score by recursion over plain counts; the probabilities of all next words and the unknown one sum to 1 after contexts of every length."""
+    docs = docs if order == 3 else docs.head(60)
     words = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"] for t in docs.text]
     train = [zlib.crc32(str(k).encode()) % 10 != 0 for k in docs.doc_id]
-    n = [Counter(), Counter(), Counter()]
+    n = [Counter() for _ in range(order)]
+    marks = [" "] * (order - 1)
     for x, on in zip(words, train):
         if on:
-            y = [" ", " ", *x]
-            for k in range(3):
-                n[k].update(zip(*(y[2 - j : len(y) - j] for j in range(k, -1, -1))))
+            y = [*marks, *x]
+            for k in range(order):
+                n[k].update(zip(*(y[order - 1 - j : len(y) - j] for j in range(k, -1, -1))))
     total, cut = sum(n[0].values()), katz.CUT
     d = [katz.discounts(katz._stats(np.array(list(c.values())))) for c in n]
     kept_of = lambda k, r: (d[k][r] if r <= cut else 1.0) * r
     unknown = 1 - sum(kept_of(0, c) / total for c in n[0].values())
-    low, after = [{g[:-1] for g, r in c.items() if r <= cut} for c in n], [Counter(), Counter(), Counter()]
-    kept, mass = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    low = [{g[:-1] for g, r in c.items() if r <= cut} for c in n]
+    after, kept, mass = ([Counter() for _ in range(order)] for _ in range(3))
 
     def p(g):
         k = len(g) - 1
@@ -232,16 +236,24 @@ def test_katz_of_order_3(spark, sf, docs):
             return (kept_of(k, n[k][g]) - (0 if v in low[k] else 0.5)) / after[k][v]
         return (1 - kept[k][v]) / (1 - mass[k][v]) * p(g[1:]) if after[k][v] else p(g[1:])
 
-    for k in (1, 2):
+    for k in range(1, order):
         for g, r in n[k].items():
             after[k][g[:-1]] += r
         for g in n[k]:
             kept[k][g[:-1]] += p(g)
             mass[k][g[:-1]] += p(g[1:])
-    got = rows(Q["op6_katz_backoff"](spark, sf)).set_index("doc_id")
+    for k in range(1, order):
+        contexts = list(after[k])
+        for v in [tuple(marks[:k]), *contexts[:: max(1, len(contexts) // 4)]]:
+            assert abs(sum(p((*v, w)) for (w,) in n[0]) + p((*v, "never seen")) - 1) < 1e-9
+    if order == 3:
+        got = rows(Q["op6_katz_backoff"](spark, sf)).set_index("doc_id").score
+    else:
+        made = spark.createDataFrame([(int(k), t, on) for k, t, on in zip(docs.doc_id, docs.text, train)], "doc_id long, text string, train boolean")
+        got = katz.score_texts(made, "train", order=order).toPandas().set_index("doc_id").score
     for k, x in zip(docs.doc_id, words):
-        y = [" ", " ", *x]
-        assert math.isclose(got.loc[k].score, sum(math.log10(p(tuple(y[i : i + 3]))) for i in range(len(x))), rel_tol=1e-6)
+        y = [*marks, *x]
+        assert math.isclose(got.loc[k], sum(math.log10(p(tuple(y[i : i + order]))) for i in range(len(x))), rel_tol=1e-6)
 
 
 def test_html(spark, sf):

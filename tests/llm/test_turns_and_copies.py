@@ -225,3 +225,25 @@ def test_repair_of_nothing_and_of_dropped_rows(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
         got = [tuple(r) for r in structure_repair.op13_structure_repair(spark, str(tmp_path)).collect()]
         assert got == [(9, 0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())][: len(rows)]
+
+
+def test_weighted_windows_hold_their_shares(spark, sf):
+    """While no queue has run dry, each full window has the shares that the weights ask for; nothing is lost."""
+    from seqspark.llm import packing
+
+    folder = sf.replace("sf0.001", "sf0.01")
+    got = packing.packing_mixture(spark, folder).toPandas()
+    names = sorted(got.source.unique())
+    weight = {s: 3.0 if i % 3 == 2 else 1.0 for i, s in enumerate(names)}
+    want = {s: w / sum(weight.values()) for s, w in weight.items()}
+    size = packing.SEQUENCE * packing.WINDOW
+    table = got.pivot(index="window", columns="source", values="n_tokens").fillna(0)
+    total = table.sum()
+    full, used = 0, table.iloc[0] * 0
+    for _, row in table.sort_index().iterrows():
+        used += row
+        if (used >= total - 1).any() or row.sum() < size:
+            break
+        full += 1
+        assert all(abs(row[s] / size - want[s]) < 0.01 for s in names)
+    assert full >= 1
