@@ -35,6 +35,11 @@ class Cache:
 _BUNDLES, _MODELS = Cache(4), Cache(4)
 
 
+def held(version: str, make: Callable[[], object]) -> object:
+    """A model of this process. (By name: a function of the user's closure would carry a cache of its own to every task.)"""
+    return _MODELS.get(version, make)
+
+
 class Model:
     """A model of the user's own, told by its content: ``load`` makes it from ``payload`` in a worker, once for each content.
 
@@ -56,9 +61,9 @@ class Model:
         """What a worker calls to get the model."""
         load, version = self.load, self.version
         if self.payload is None:
-            return lambda: _MODELS.get(version, load)
+            return lambda: held(version, load)
         shared = spark.sparkContext.broadcast(self.payload)
-        return lambda: _MODELS.get(version, lambda: load(shared.value))
+        return lambda: held(version, lambda: load(shared.value))
 
 
 @dataclass
