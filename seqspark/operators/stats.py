@@ -43,6 +43,28 @@ def quantiles(v: Column) -> dict[str, Column]:
     return {"p10": p[0], "q25": p[1], "median": p[2], "q75": p[3], "p90": p[4], "iqr": p[3] - p[1]}
 
 
+def with_quantiles(df: DataFrame, column: str, probs: tuple[float, ...], by: list[str], out: str) -> DataFrame:
+    """``df`` with the array ``out``: the quantiles of ``column`` in the groups ``by``, to the last bit those of the SQL, for rows that are compared with them.
+
+    Between its neighbours a quantile is fma(low, 1 - part, high * part), as DuckDB
+    computes it; other formulas differ by a rounding, which moves rows that equal
+    their quantile to the other side. Nulls are left out; a group of nulls has null quantiles.
+    """
+    rank, n = "_rank", "_known"
+    group = Window.partitionBy(*by)
+    rows = df.withColumns({rank: F.row_number().over(group.orderBy(F.asc_nulls_last(column))), n: F.count(column).over(group)})
+    at = {i: (F.col(n) - 1).cast("double") * p for i, p in enumerate(probs)}
+    ends = {f"_{side}{i}": F.max(F.when(F.col(rank) == f(r) + 1, F.col(column).cast("double"))).over(group) for i, r in at.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+
+    def between(i):
+        low, high, part = F.col(f"_low{i}"), F.col(f"_high{i}"), at[i] - F.floor(at[i])
+        given = [F.coalesce(c, F.lit(0.0)) for c in (low, 1 - part, high * part)]
+        fused = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), *given).cast("double")
+        return F.when(low.isNull() | (part == 0), low).otherwise(fused)
+
+    return rows.withColumns(ends).withColumn(out, F.array(*(between(i) for i in at))).drop(rank, n, *ends)
+
+
 def moments(v: Column) -> dict[str, Column]:
     """Population skewness and excess kurtosis; 0 for a constant series."""
     flat = F.stddev_pop(v) <= 1e-12

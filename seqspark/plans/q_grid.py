@@ -97,8 +97,7 @@ def _(t):
 
 @query("g12_near_share", KEYS, "near10 near20", "WITH q AS (SELECT *, quantile_cont(d, 0.1) OVER p AS a, quantile_cont(d, 0.2) OVER p AS b FROM grid WINDOW p AS (PARTITION BY sequence_id, idx, sensor)) SELECT sequence_id, idx, sensor, coalesce((count(*) FILTER (d < a))::DOUBLE / nullif(count(d), 0), 0) AS near10, coalesce((count(*) FILTER (d < b))::DOUBLE / nullif(count(d), 0), 0) AS near20 FROM q GROUP BY 1, 2, 3")
 def _(t):
-    w = Window.partitionBy(*G.FRAME)
-    q = t.grid.withColumns({"a": F.percentile("d", F.lit(0.1)).over(w), "b": F.percentile("d", F.lit(0.2)).over(w)})
+    q = S.with_quantiles(t.grid, "d", (0.1, 0.2), G.FRAME, "q").withColumns({"a": F.col("q")[0], "b": F.col("q")[1]})
     return G.per_frame(q, {k: S.ratio(F.count_if(F.col("d") < F.col(c)), F.count("d")) for k, c in (("near10", "a"), ("near20", "b"))})
 
 
@@ -147,7 +146,7 @@ def _(t):
 @query("g20_sensor_sync", "sequence_id", "share", "WITH f AS (SELECT sequence_id, idx, sensor, min(d) AS m FROM grid GROUP BY 1, 2, 3), q AS (SELECT *, m < quantile_cont(m, 0.2) OVER (PARTITION BY sequence_id, sensor) AS near FROM f), n AS (SELECT sequence_id, idx, count(*) FILTER (near) AS k FROM q GROUP BY 1, 2) SELECT sequence_id, avg((k >= 3)::INT) AS share FROM n GROUP BY 1")
 def _(t):
     f = G.per_frame(t.grid, {"m": F.min("d")})
-    q = f.withColumn("near", F.col("m") < F.percentile("m", F.lit(0.2)).over(Window.partitionBy("sequence_id", "sensor")))
+    q = S.with_quantiles(f, "m", (0.2,), ["sequence_id", "sensor"], "q").withColumn("near", F.col("m") < F.col("q")[0])
     n = q.groupBy("sequence_id", "idx").agg(F.count_if("near").alias("k"))
     return n.groupBy("sequence_id").agg(F.avg((F.col("k") >= 3).cast("int")).alias("share"))
 

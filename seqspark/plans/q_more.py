@@ -68,7 +68,7 @@ def _(t):
 
 @query("g24_thermal_events", "sequence_id sensor", "rate spread", f"WITH {_SERIES}, q AS (SELECT *, quantile_cont(abs(d1), 0.75) OVER (PARTITION BY sequence_id, sensor) AS lim FROM s) SELECT sequence_id, sensor, (count(*) FILTER (abs(d1) > lim))::DOUBLE / count(*) AS rate, quantile_cont(m, 0.9) - quantile_cont(m, 0.1) AS spread FROM q GROUP BY 1, 2", digits=5)
 def _(t):
-    q = _frame_series(t).withColumn("lim", F.percentile(F.abs("d1"), F.lit(0.75)).over(Window.partitionBy("sequence_id", "sensor")))
+    q = S.with_quantiles(_frame_series(t).withColumn("step", F.abs("d1")), "step", (0.75,), ["sequence_id", "sensor"], "q").withColumn("lim", F.col("q")[0])
     p = F.percentile("m", F.array(F.lit(0.1), F.lit(0.9)))
     return q.groupBy("sequence_id", "sensor").agg((F.count_if(F.abs("d1") > F.col("lim")) / F.count("*")).alias("rate"), (p[1] - p[0]).alias("spread"))
 
@@ -77,8 +77,8 @@ def _(t):
 def _(t):
     """Every pair of sensors: how often both make a large step, and the correlation of their means."""
     p = _frame_series(t).select("sequence_id", "idx", "sensor", "m", F.abs("d1").alias("step"))
-    w = Window.partitionBy("sequence_id", "sensor")
-    p = p.withColumn("moved", F.coalesce(F.col("step") > F.percentile("step", F.lit(0.75)).over(w), F.lit(False)))
+    p = S.with_quantiles(p, "step", (0.75,), ["sequence_id", "sensor"], "q")
+    p = p.withColumn("moved", F.coalesce(F.col("step") > F.col("q")[0], F.lit(False)))
     frames = p.groupBy("sequence_id", "idx").agg(F.collect_list(F.struct("sensor", "m", "moved")).alias("s"))  # as many as there are sensors
     pairs = frames.select("sequence_id", F.explode("s").alias("x"), "s").select("sequence_id", "x", F.explode("s").alias("y")).where("x.sensor < y.sensor")
     both = (F.col("x.moved") & F.col("y.moved")).cast("int")

@@ -131,8 +131,8 @@ def _(t):
     f"WITH {_STEP}, e AS (SELECT sequence_id, quantile_cont(step, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q, min(step) AS lo, max(step) AS hi FROM d GROUP BY 1), f AS (SELECT d.sequence_id, CASE WHEN hi = lo THEN 5 ELSE len(list_filter(q, lambda x: x <= step)) END AS b FROM d JOIN e USING (sequence_id) WHERE step IS NOT NULL) SELECT sequence_id, {_BINS} FROM f GROUP BY 1",
 )
 def _(t):
-    q = F.percentile("step", F.array(*(F.lit(i / 10) for i in range(1, 10)))).over(S.whole())
-    df = S.lagged_steps(t.fe).where("step IS NOT NULL").withColumns({"q": q, "lo": F.min("step").over(S.whole()), "hi": F.max("step").over(S.whole())})
+    df = S.lagged_steps(t.fe).where("step IS NOT NULL AND sequence_id IS NOT NULL")
+    df = S.with_quantiles(df, "step", tuple(i / 10 for i in range(1, 10)), ["sequence_id"], "q").withColumns({"lo": F.min("step").over(S.whole()), "hi": F.max("step").over(S.whole())})
     df = df.withColumn("b", F.when(F.col("hi") == F.col("lo"), 5).otherwise(F.size(F.filter("q", lambda x: x <= F.col("step")))))
     return S.summarise(df, {f"b{i}": F.count_if(F.col("b") == i) / F.count("*") for i in range(10)})
 

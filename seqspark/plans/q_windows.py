@@ -172,7 +172,7 @@ def _(t):
     "WITH q AS (SELECT *, v < quantile_cont(v, 0.2) OVER (PARTITION BY sequence_id) AS f FROM fe), i AS (SELECT *, idx - row_number() OVER (PARTITION BY sequence_id, f ORDER BY idx) AS isl FROM q), r AS (SELECT sequence_id, f, count(*) AS n FROM i GROUP BY sequence_id, f, isl) SELECT sequence_id, count(*) FILTER (f) AS n_starts, coalesce(sum(n) FILTER (f), 0)::DOUBLE / sum(n) AS share, coalesce(max(n) FILTER (f), 0) / 20.0 AS longest_seconds FROM r GROUP BY 1",
 )
 def _(t):
-    near = t.fe.withColumn("f", F.col("v") < F.percentile("v", F.lit(0.2)).over(S.whole()))
+    near = S.with_quantiles(t.fe, "v", (0.2,), ["sequence_id"], "q").withColumn("f", F.col("v") < F.col("q")[0])
     length = F.when(F.col("f"), F.col("length"))
     return S.summarise(S.runs(near, "f"), {"n_starts": F.count_if("f"), "share": F.coalesce(F.sum(length), F.lit(0)) / F.sum("length"), "longest_seconds": F.coalesce(F.max(length), F.lit(0)) / 20})
 
