@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqspark.operators.ranks import numbered
 from seqspark.operators.stats import by_time, whole
 
 
@@ -46,6 +47,24 @@ def change_points(df: DataFrame, k: float, value: str = "v", sequence: str = "se
     return d.withColumn("is_change", F.coalesce(F.col("_step") > F.col("_limit"), F.lit(False))).drop("_step", "_limit")
 
 
+def smoothed_classes(df: DataFrame, row: str, probs: str, k: int, block: int = 4096) -> DataFrame:
+    """(``row``, class, p): the mean of each of ``k`` class probabilities over five rows in the order of ``row``; the first and the last row's stand in for what is missing.
+
+    Rows are numbered and cut into blocks, each with two rows of its neighbours, so no window grows with the table.
+    """
+    padded = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(probs, i))
+    rows = numbered(df.select(row, padded.alias("_p")), [], [F.asc_nulls_last(row)], "_place")
+    ends = rows.agg(F.min_by("_p", "_place").alias("_first"), F.max_by("_p", "_place").alias("_last"))  # one row
+    near = F.array_distinct(F.array(*(F.expr(f"(_place + {i}) div {block}") for i in (-2, 0, 2))))
+    w = Window.partitionBy("_block").orderBy("_place")
+    around = {"_b2": F.lag("_p", 2).over(w), "_b1": F.lag("_p", 1).over(w), "_a1": F.lead("_p", 1).over(w), "_a2": F.lead("_p", 2).over(w)}
+    mine = rows.withColumn("_block", F.explode(near)).withColumns(around).where(f"_block = _place div {block}").crossJoin(ends)
+    at = lambda c, i, end=None: F.get(c, i) if end is None else F.coalesce(F.get(c, i), F.get(end, i))
+    mean = lambda i: (at("_b2", i, "_first") + at("_b1", i, "_first") + at("_p", i) + at("_a1", i, "_last") + at("_a2", i, "_last")) / 5
+    found = mine.select(row, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), mean)).alias("class", "p"))
+    return found.withColumn("class", F.col("class").cast("long"))
+
+
 def unwrap(df: DataFrame, angle: str, out: str, sequence: str = "sequence_id", idx: str = "idx") -> DataFrame:
     """Angles without jumps of 2 pi: a running sum of corrections."""
     w, turn = by_time(sequence, idx), 6.283185307179586

@@ -192,11 +192,7 @@ def _(t):
 
 @query("w21_smoothed_probabilities", "row_id class", "p", "WITH l AS (SELECT row_id, unnest(p) AS p, unnest(range(10)) AS class FROM proba), w AS (SELECT *, [lag(p, 2) OVER o, lag(p) OVER o, p, lead(p) OVER o, lead(p, 2) OVER o] AS n, first_value(p) OVER o AS a, last_value(p) OVER (PARTITION BY class ORDER BY row_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM l WINDOW o AS (PARTITION BY class ORDER BY row_id)) SELECT row_id, class, (coalesce(n[1], a) + coalesce(n[2], a) + n[3] + coalesce(n[4], b) + coalesce(n[5], b)) / 5 AS p FROM w")
 def _(t):
-    long = t.proba.select("row_id", F.posexplode("p").alias("class", "p")).withColumn("class", F.col("class").cast("long"))
-    w = Window.partitionBy("class").orderBy("row_id")
-    first, last = F.first("p").over(w), F.last("p").over(w.rowsBetween(0, Window.unboundedFollowing))
-    at = [F.coalesce(F.lag("p", 2).over(w), first), F.coalesce(F.lag("p", 1).over(w), first), F.col("p"), F.coalesce(F.lead("p", 1).over(w), last), F.coalesce(F.lead("p", 2).over(w), last)]
-    return long.withColumn("q", sum(at) / 5).select("row_id", "class", F.col("q").alias("p"))
+    return O.smoothed_classes(t.proba, "row_id", "p", 10)
 
 
 @query("t01_order", "sequence_id idx event_id place", "", "SELECT sequence_id, idx, event_id, row_number() OVER (PARTITION BY phase ORDER BY sequence_id, idx) AS place FROM fe")
