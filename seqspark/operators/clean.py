@@ -17,9 +17,9 @@ from seqspark.sources.shared import written
 
 def fill_both_ways(column: str, default: float = 0.0, sequence: str = "sequence_id", idx: str = "idx") -> Column:
     """The last known value, else the next one, else ``default``; never across sequences."""
-    w = by_time(sequence, idx)
-    before = F.last(column, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(column, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    to_here = lambda order: Window.partitionBy(sequence).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # backwards for the next value: a frame that runs to the end of a sequence is read again for every row
+    before, after = (F.last(column, True).over(to_here(order)) for order in (F.asc(idx), F.desc(idx)))
     return F.coalesce(before, after, F.lit(default))
 
 
@@ -33,10 +33,10 @@ def fill_quaternion(df: DataFrame, columns: tuple = ("qw", "qx", "qy", "qz")) ->
 
 def linear_fill(df: DataFrame, column: str, out: str, sequence: str = "sequence_id", idx: str = "idx") -> DataFrame:
     """Linear interpolation between known values; the nearest one beyond the first and last."""
-    w = by_time(sequence, idx)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # both ways a known value comes before rows of its idx without one, so that it is seen from either side
+    back, ahead = (Window.partitionBy(sequence).orderBy(order, F.col(column).isNull()).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc(idx), F.desc(idx)))
     at = F.when(F.col(column).isNotNull(), F.col(idx))
-    d = df.withColumns({"_a": F.last(column, True).over(back), "_i": F.last(at, True).over(back), "_b": F.first(column, True).over(ahead), "_j": F.first(at, True).over(ahead)})
+    d = df.withColumns({"_a": F.last(column, True).over(back), "_i": F.last(at, True).over(back), "_b": F.last(column, True).over(ahead), "_j": F.last(at, True).over(ahead)})
     between = F.col("_a") + (F.col("_b") - F.col("_a")) * F.try_divide(F.col(idx) - F.col("_i"), F.col("_j") - F.col("_i"))
     return d.withColumn(out, F.coalesce(F.col(column), between, "_a", "_b")).drop("_a", "_b", "_i", "_j")
 
