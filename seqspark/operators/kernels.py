@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,16 +35,18 @@ def repair_quaternions(q: np.ndarray) -> np.ndarray:
 
 
 def repaired(df: DataFrame, columns: tuple = ("qw", "qx", "qy", "qz"), sequence: str = "sequence_id", idx: str = "idx") -> DataFrame:
-    """(sequence, idx, columns) with quaternions repaired in the order of each sequence."""
-    rows = gathered(df, list(columns), sequence, idx)
-
-    @F.pandas_udf("array<array<double>>")
-    def kernel(frames: pd.Series) -> pd.Series:
-        return frames.map(lambda f: [list(r) for r in repair_quaternions(np.array([[np.nan if v is None else v for v in r] for r in f], float).reshape(-1, 4))])
-
-    parts = F.transform("rows", lambda r: F.array(*(r[c] for c in columns)))
-    done = rows.withColumn("q", kernel(parts)).select(sequence, F.explode(F.arrays_zip("rows", "q")).alias("x"))
-    return done.select(sequence, f"x.rows.{idx}", *(F.col("x.q")[i].alias(c) for i, c in enumerate(columns)))
+    """(sequence, idx, columns) with quaternions repaired in the order of each sequence, by the rule of ``repair_quaternions``, as running columns: no sequence is gathered."""
+    before = Window.partitionBy(sequence).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    parts = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]  # NaN is missing as well
+    n = sum(p.isNull().cast("int") for p in parts)
+    power = sum(F.coalesce(p * p, F.lit(0.0)) for p in parts)
+    whole, one = (n == 0) & (F.sqrt(power) >= 1e-8), (n == 1) & (power <= 1)
+    rest = F.sqrt(F.greatest(1 - power, F.lit(0.0)))
+    out = {c: F.when(whole, p / F.sqrt(power)).when(one, F.coalesce(p, rest)).otherwise(1.0 if i == 0 else 0.0) for i, (c, p) in enumerate(zip(columns, parts))}
+    lost = {c: one & p.isNull() & (rest > 0) for c, p in zip(columns, parts)}
+    # the last frame whose sign is known says which sign a lost part has
+    negative = {c: F.coalesce(F.last(F.when(~lost[c], out[c] < 0), True).over(before), F.lit(False)) for c in columns}
+    return df.select(sequence, idx, *(F.when(lost[c] & negative[c], -out[c]).otherwise(out[c]).alias(c) for c in columns))
 
 
 def prominent_peaks(x: np.ndarray, prominence: float, distance: int) -> np.ndarray:
