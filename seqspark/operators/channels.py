@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.operators import rotation as R
@@ -28,6 +28,24 @@ def _aggregated(frames: DataFrame, prefix: str) -> DataFrame:
     return frames.groupBy(*KEY).agg(F.avg(d).alias(f"{prefix}_mean"), F.stddev_pop(d).alias(f"{prefix}_std"), F.min(d).alias(f"{prefix}_min"), F.max(d).alias(f"{prefix}_max"), (F.count(d) / F.count("*")).alias(f"{prefix}_valid_ratio"))
 
 
+def beside(frames: DataFrame, *parts: DataFrame) -> DataFrame:
+    """The left join of ``frames`` with ``parts``, each of which has one row a frame.
+
+    Frames whose sequences lie together stay where they are: a join on both keys
+    would shuffle all their columns once more, a window within the sequence does
+    not. Only the parts are dealt, by sequence like the frames.
+    """
+    seen = parts[0]
+    for part in parts[1:]:
+        seen = seen.join(part, KEY, "full")
+    names = [c for c in seen.columns if c not in KEY]
+    seen = seen.select(*KEY, F.struct(*names).alias("_seen"), F.lit(False).alias("_frame")).dropna(subset=KEY).repartition("sequence_id")
+    kept = frames.columns
+    both = frames.withColumn("_frame", F.lit(True)).unionByName(seen, allowMissingColumns=True)
+    both = both.withColumn("_seen", F.max("_seen").over(Window.partitionBy(*KEY))).where("_frame")
+    return both.select(*kept, *(F.col(f"_seen.{c}").alias(c) for c in names))
+
+
 def linear_acceleration(df: DataFrame, method: str = "lowpass", fs: float = 20.0, columns: tuple = ("wx", "wy", "wz"), out: tuple = CHANNELS_18[:3]) -> DataFrame:
     """World acceleration without gravity: less its low-pass part (``lowpass``), its median over the sequence (``median``), or 9.81 along z (``subtract``)."""
     if method == "subtract":
@@ -47,9 +65,9 @@ def frame_channels(motion: DataFrame, depth: DataFrame | None = None, thermal: D
     world = motion.withColumns(dict(zip(("wx", "wy", "wz"), R.rotate(R.quaternion(), tuple(F.col(c) for c in ("ax", "ay", "az"))))))
     df = R.angular_velocity(linear_acceleration(world, method, 1 / dt), R.quaternion(), dt, names=tuple(CHANNELS_18[3:6]))
     df = df.withColumns({"linear_acc_mag": _length(*map(F.col, CHANNELS_18[:3])), "omega_mag": _length(*map(F.col, CHANNELS_18[3:6]))})
-    for part, prefix in ((depth, "tof"), (thermal, "thm")):
-        if part is not None:
-            df = df.join(_aggregated(part, prefix), KEY, "left")
+    df = df.select(*KEY, *CHANNELS_18[:8])
+    if parts := [_aggregated(part, prefix) for part, prefix in ((depth, "tof"), (thermal, "thm")) if part is not None]:
+        df = beside(df, *parts)
     return df.select(*KEY, *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in CHANNELS_18))
 
 
@@ -66,5 +84,5 @@ def wide_channels(motion: DataFrame, depth: DataFrame, thermal: DataFrame, dt: f
     of = lambda s: F.when(F.col("sensor") == s, F.col("d"))
     sensors = depth.groupBy(*KEY).agg(*(f(of(s)).alias(f"tof_{s}_{a}") for s in range(1, 6) for a, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))))
     heat = thermal.groupBy(*KEY).agg(*(F.max(of(s)).alias(f"thm_{s}") for s in range(1, 6)))
-    df = df.join(sensors, KEY, "left").join(heat, KEY, "left")
+    df = beside(df.select(*KEY, *CHANNELS_41[:16]), sensors, heat)
     return df.select(*KEY, *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in CHANNELS_41))
