@@ -120,6 +120,20 @@ def validation(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.select(F.explode("r").alias("x")).select("x.*")
 
 
+def in_slices(batches, size: int = 512):
+    """Record batches of ``size`` rows at most, none of them empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+def repeated(batch: pa.RecordBatch, columns: tuple[str, ...], rows: list[int], name: str, values: list[int], size: int = 8192):
+    """Record batches of ``size`` rows at most: ``columns`` of the given rows, and ``values`` beside them."""
+    for at in range(0, len(rows), size):
+        take = pa.array(rows[at : at + size], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in columns), pa.array(values[at : at + size], pa.int64())], names=[*columns, name])
+
+
 def nearest_of_class(df: DataFrame, k: int, block: int = 1024, pivots: int | None = None, compared=None) -> DataFrame:
     """(vec_id, label, neighbour, dist, k) of the ``k`` nearest other rows of a row's class, exactly. ``df``: vec_id, label, x, and n, the size of the class.
 
@@ -155,9 +169,7 @@ def nearest_of_class(df: DataFrame, k: int, block: int = 1024, pivots: int | Non
             yield at, c, np.sqrt(np.maximum(((x[at] ** 2).sum(1)[:, None] - 2 * x[at] @ p.T + (p**2).sum(1)[None]), 0))
 
     def placed(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_slices(batches):
             x, labels = np.array(batch.column("x").to_pylist(), float), batch.column("label").to_pylist()
             cell, off = np.zeros(len(x), np.int64), np.zeros(len(x))
             for at, _, d in distances(x, labels):
@@ -209,9 +221,7 @@ def nearest_of_class(df: DataFrame, k: int, block: int = 1024, pivots: int | Non
     bound = own.groupBy("vec_id").agg(F.when(F.count("*") == k, F.sqrt(F.max("dist"))).alias("bound"))
 
     def open_cells(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_slices(batches):
             x, labels, mine, bounds = np.array(batch.column("x").to_pylist(), float), batch.column("label").to_pylist(), batch.column("cell").to_numpy(), batch.column("bound").to_pylist()
             rows_, cells_ = [], []
             for at, c, d in distances(x, labels):
@@ -228,8 +238,7 @@ def nearest_of_class(df: DataFrame, k: int, block: int = 1024, pivots: int | Non
                     meets = meets[meets != mine[i]]
                     rows_ += [i] * len(meets)
                     cells_ += meets.tolist()
-            take = pa.array(rows_, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("vec_id", "label", "x")), pa.array(cells_, pa.int64())], names=["vec_id", "label", "x", "cell"])
+            yield from repeated(batch, ("vec_id", "label", "x"), rows_, "cell", cells_)
 
     asked = rows.join(bound, "vec_id", "left").select("vec_id", "label", "x", "cell", "bound").mapInArrow(open_cells, f"vec_id {id_type}, label {label_type}, x array<double>, cell long")
     found = own.unionByName(search(asked))
