@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.components import connected_components
-from seqspark.llm.shared import dropped, mix64, table, written
+from seqspark.llm.shared import claim, dropped, mix64, table, written
 
 WORDS, M, ROWS = 5, 80, 4
 BANDS = M // ROWS
@@ -47,6 +47,7 @@ _HASH: dict[str, int] = {}
 def word_hashes(words: list[str]) -> np.ndarray:
     import xxhash
 
+    claim("near_dup", _HASH.clear)
     if len(_HASH) > CACHE_WORDS:
         _HASH.clear()
     for w in set(words).difference(_HASH):

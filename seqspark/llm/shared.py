@@ -55,6 +55,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_CLAIMED: dict = {}
+
+
+def claim(name: str, clear) -> None:
+    """A worker keeps one large cache: the others are cleared when a stage first uses its own, since workers outlive stages."""
+    if name not in _CLAIMED:
+        while _CLAIMED:
+            _CLAIMED.popitem()[1]()
+        _CLAIMED[name] = clear
+
+
 class Numbered(dict):
     """Word -> number; a word that is not there yet gets the next number, and is noted in ``new``."""
 

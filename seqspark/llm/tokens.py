@@ -15,9 +15,9 @@ from itertools import chain, islice
 
 import numpy as np
 
-from seqspark.llm.shared import Numbered
+from seqspark.llm.shared import Numbered, claim
 
-CACHE_CHUNKS = 1_200_000
+CACHE_CHUNKS = 600_000
 # Unicode white space, as the tokenizers' patterns have it (Python's own class has four more).
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -181,6 +181,7 @@ class Encoder:
 
 def encoder(path: str, chunks: str) -> Encoder:
     """The worker's encoder for a vocabulary file, kept between tasks."""
+    claim("tokens", _LOADED.clear)
     if (path, chunks) not in _LOADED:
         _LOADED.clear()
         _LOADED[path, chunks] = Encoder(path, chunks)
