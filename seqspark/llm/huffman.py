@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.llm.shared import shared_dir, table, written
-from seqspark.llm.tokens import encoder
+from seqspark.llm.tokens import encoder, slices
 
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 512
@@ -133,9 +133,8 @@ def encoded(docs: DataFrame, vocabulary: str, chunks: str, end_id: int, id_col:
         enc = encoder(vocabulary, chunks)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in enc.encode_all(part.column(1).to_pylist())], pa.binary())], names=["id", "ids"])
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in enc.encode_all(part.column(1))], pa.binary())], names=["id", "ids"])
 
     return rows.mapInArrow(run, f"id {kind}, ids binary")
 

@@ -2,26 +2,26 @@
 
 Both public vocabularies used here split a text before they merge, and never
 merge across the chunks made below; so the ids of a text are those of its
-chunks in a row. Chunks repeat, so each worker keeps the ids of those it has
-met, up to a bound; then the half that was met first stays. Texts that may hold
-an added token go to the library whole.
+chunks in a row. A slice of texts is cut as a whole, in its Arrow buffer, and
+its distinct chunks are looked up among those that the worker has met, which it
+keeps up to a bound; then the half that was used most stays. Texts that may
+hold an added token go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from seqspark.llm.shared import Numbered, claim
+from seqspark.llm.shared import claim
 
 CACHE_CHUNKS = 600_000
-# Unicode white space, as the tokenizers' patterns have it (Python's own class has four more).
-_WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_ASCII_WS = [c for c in _WS if c.isascii()]
+CACHE_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 # The letters by which byte-level vocabularies write bytes; those that print stand for themselves.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -29,28 +29,71 @@ _BLANK = _BYTE[0x20]
 _LOADED: dict = {}
 
 
-def words_apart(text: str) -> list[str]:
-    """Chunks for a vocabulary that drops white space: what stands between ASCII blanks and line ends."""
-    return text.replace("\n", " ").split(" ")
+def _among(chars: bytes) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(chars)] = True
+    return found
 
 
-def words_with_space(text: str) -> list[str]:
-    """Chunks for a byte-level vocabulary: every run of white space with the word after it."""
-    blanks = _ASCII_WS if text.isascii() else _WS
-    if "\0" in text or any(c + " " in text for c in blanks):
-        return _CHUNK.findall(text)
-    return text.replace(" ", "\0 ").split("\0")
+_GAP = _among(b" \n")
+#: Marks that begin a piece of their own after a letter, for either pre-tokenizer.
+_MARK = _among(b"!#$%&*.,|;:?")
+_LETTER = _among(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]))
+#: First bytes of characters that are no white space: ASCII ones that print, and those of two bytes from U+00C0 on.
+_SOLID = _among(bytes([*range(0x21, 0x7F), *range(0xC3, 0xE0)]))
+# White space beyond ASCII, as the tokenizers' patterns have it, by its bytes as one number.
+_WIDE_WS = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 
 
-#: Marks that form one piece of their own after a letter, for either pre-tokenizer.
-_TAIL = "!#$%&*.,|;:?"
-CHUNKS = {"apart": words_apart, "spaced": words_with_space}
+def _after_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a Latin letter (up to U+00FF) ends before each place; a place has two bytes before it at least."""
+    last, before = data[at - 1], data[at - 2]
+    return _LETTER[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+
+
+def _after_solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a character that is no white space ends before each place; a place has two bytes before it at least."""
+    last = data[at - 1]
+    out = last > 0x20
+    wide = np.flatnonzero(last >= 0x80)
+    two = data[at[wide] - 2].astype(np.int64) << 8 | last[wide]
+    three = data[np.maximum(at[wide] - 3, 0)].astype(np.int64) << 16 | two
+    out[wide] = ~(np.isin(two, _WIDE_WS) | np.isin(three, _WIDE_WS))
+    return out
+
+
+def words_apart(data: np.ndarray) -> list[np.ndarray]:
+    """Where to cut for a vocabulary that drops white space: before blanks and line ends, and before marks after a letter."""
+    marks = np.flatnonzero(_MARK[data])
+    marks = marks[marks > 1]
+    return [np.flatnonzero(_GAP[data]), marks[_after_letter(data, marks)]]
+
 
+def words_with_space(data: np.ndarray) -> list[np.ndarray]:
+    """Where to cut for a byte-level vocabulary: before white space that follows another character, after a line end between two of these, and before marks after a letter."""
+    gaps, marks = np.flatnonzero(_GAP[data]), np.flatnonzero(_MARK[data])
+    gaps, marks = gaps[gaps > 1], marks[marks > 1]
+    gaps = gaps[_after_solid(data, gaps)]
+    after = gaps[data[gaps] == 0x0A] + 1
+    after = after[after < len(data)]
+    return [gaps, after[_SOLID[data[after]]], marks[_after_letter(data, marks)]]
 
+
+CHUNKS = {"apart": words_apart, "spaced": words_with_space}
 #: A text with this may hold one of the vocabularies' added tokens, which stand for one id wherever they are.
 _ADDED = "<|"
 
 
+def slices(batch: pa.RecordBatch, column: int):
+    """The batch in runs of rows whose texts have SLICE_BYTES together, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Encoder:
     """Ids of texts as little-endian bytes of ``dtype``; ``chunks`` names how the vocabulary's pre-tokenizer splits."""
 
@@ -62,121 +105,115 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.split, self.apart = CHUNKS[chunks], chunks == "apart"
+        self.cuts, self.apart = CHUNKS[chunks], chunks == "apart"
         # words of Latin letters need no normalising or pattern: the same merges, with white space between words
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
         self.plain.model._resize_cache(0)
-        self.edge = np.zeros(self.size, bool)  # ids that end a word, or that begin one after a blank
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.edge[i] = piece.endswith("</w>") if self.apart else piece.startswith(_BLANK)
-        # chunk -> row; a row's ids are ids[start[row] :][: length[row]]
-        self.rows, self.used = Numbered(), 0
-        self.start, self.length, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype)
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.rows) > CACHE_CHUNKS:
-            self._forget()
-        split = [self.split(x) if x and _ADDED not in x else [] for x in texts]
-        sizes = np.array([len(x) for x in split], np.int64)
-        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        if self.rows.new:
-            self._learn()
-        data, n = self._gather(rows)
-        ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(sizes))] * self.dtype.itemsize
+        (self.bar,) = self.plain.encode("|", add_special_tokens=False).ids  # stands between words
+        # chunk number -> ids[start[number] :][: length[number]]; how often it was used
+        self.known = pa.array([], pa.large_string())
+        self.start, self.length, self.uses, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def encode_all(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
+        added = pc.match_substring(texts, _ADDED)
+        chunks, sizes = self._split(pc.if_else(added, "", texts))
+        numbers = self._numbers(chunks)
+        data, n = self._gather(numbers)
+        ends = np.append(0, np.cumsum(n, dtype=np.int64))[np.append(0, np.cumsum(sizes))] * self.dtype.itemsize
         raw = data.tobytes()
         out = [raw[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        for i, x in enumerate(texts):
-            if x and _ADDED in x:
-                out[i] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()
+        for i in np.flatnonzero(added.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype).tobytes()
         return out
 
-    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rows, one after the other, and how many each has."""
-        n = self.length[rows]
-        ends = np.cumsum(n)
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts, one after the other, and how many each has."""
+        _, offsets, values = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(values, np.uint8)[: bounds[-1]] if values and bounds[-1] else np.zeros(0, np.uint8)
+        cut = np.zeros(len(data) + 1, bool)
+        for places in self.cuts(data[bounds[0] :]):
+            cut[places + bounds[0]] = True
+        cut[bounds] = True
+        edges = np.flatnonzero(cut[bounds[0] :]) + bounds[0]
+        chunks = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        return chunks, np.diff(np.searchsorted(edges, bounds))
+
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """The number of each chunk; those that were not met yet are encoded."""
+        if len(self.known) > CACHE_CHUNKS or self.known.nbytes > CACHE_BYTES:
+            self._forget()
+        distinct = chunks.dictionary_encode()
+        which, words = distinct.indices.to_numpy(), distinct.dictionary
+        found = pc.index_in(words, value_set=self.known)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        numbers = found.fill_null(0).to_numpy().astype(np.int64)
+        if new.any():
+            numbers[new] = len(self.known) + np.arange(int(new.sum()))
+            self._learn(words.filter(pa.array(new)))
+        self.uses[numbers] += np.bincount(which, minlength=len(words))
+        return numbers[which]
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after the other, and how many each has."""
+        n = self.length[numbers]
+        ends = np.cumsum(n, dtype=np.int64)
         at = np.arange(int(ends[-1]) if len(n) else 0)
-        at += np.repeat(self.start[rows] - (ends - n), n)
+        at += np.repeat(self.start[numbers] - (ends - n), n)
         return self.ids[at], n
 
     def _forget(self) -> None:
-        """Keep the half of the chunks that was met first: the frequent ones are among them."""
-        keep = CACHE_CHUNKS // 2
-        data, n = self._gather(np.arange(keep))
-        self.start[:keep], self.length[:keep], self.used = np.cumsum(n) - n, n, len(data)
-        self.ids[: self.used] = data
-        self.rows = Numbered(islice(self.rows.items(), keep))
-
-    def _add(self, rows, ids: np.ndarray, n: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[rows], self.length[rows] = self.used + np.cumsum(n) - n, n
-        self.used += len(ids)
-
-    def _learn(self) -> None:
-        """Encode chunks. One that ends in marks after a letter, or holds single line ends, is put together from its parts."""
-        new, first = self.rows.new, len(self.rows) - len(self.rows.new)
-        ascii_, latin, rest, composed, parts = [], [], [], [], []
-        for k, w in enumerate(new):  # parts that have not been met join ``new``
-            if w.isascii() and (w if self.apart else w[1:]).isalpha() and (self.apart or w[0] == " "):
-                ascii_.append(k)
-            elif w and (w[-1] in _TAIL or "\n" in w) and (found := self._parts(w)):
-                composed.append(k)
-                parts.append([self.rows[x] for x in found])
-            elif self._is_plain(w):
-                latin.append(k)
-            else:
-                rest.append(k)
-        self.rows.new = []
-        while len(self.rows) > len(self.start):
-            self.start, self.length = np.append(self.start, np.zeros_like(self.start)), np.append(self.length, np.zeros_like(self.length))
-        for some in (ascii_, latin):
+        """Keep the half of the chunks that was used most, or fewer if they are long; what is used from now on counts for more."""
+        keep = np.argsort(-self.uses, kind="stable")[: CACHE_CHUNKS // 2]
+        sizes = pc.binary_length(self.known).to_numpy()
+        keep = np.sort(keep[np.cumsum(sizes[keep]) <= CACHE_BYTES // 4])
+        self.ids, self.length = self._gather(keep)
+        self.start, self.uses = np.cumsum(self.length, dtype=np.int64) - self.length, self.uses[keep] // 2
+        self.known = self.known.take(pa.array(keep))
+
+    def _learn(self, new: pa.Array) -> None:
+        """Encode chunks: words of ASCII letters, those with other Latin letters, and all others by the library's own patterns."""
+        kinds: dict = {True: [], False: [], None: []}
+        words = new.to_pylist()
+        for k, w in enumerate(words):
+            word = w[1:] if w[:1] == " " or (self.apart and w[:1] == "\n") else w
+            kinds[word.isascii() if word.isalpha() and max(word) <= "ÿ" else None].append(k)
+        order, ids, sizes = [], [], []
+        for kind, some in kinds.items():
             for at in range(0, len(some), 20_000):
                 part = some[at : at + 20_000]
-                self._add(first + np.array(part), *self._plain_ids([new[k] for k in part]))
-        if rest:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)]
-            self._add(first + np.array(rest), np.fromiter(chain.from_iterable(found), self.dtype), np.array([len(x) for x in found], np.int64))
-        if composed:
-            sizes = np.array([len(x) for x in parts])
-            data, n = self._gather(np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum())))
-            self._add(first + np.array(composed), data, np.add.reduceat(n, np.cumsum(sizes) - sizes))
-
-    def _is_plain(self, w: str) -> bool:
-        word = w if self.apart else w[1:]
-        return word.isalpha() and max(word) <= "ÿ" and (self.apart or w[0] == " ")
-
-    def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, all of ASCII or all with other letters, and how many each has."""
+                data, n = self._other_ids([words[k] for k in part]) if kind is None else self._plain_ids([words[k] for k in part], kind)
+                order.append(part)
+                ids.append(data)
+                sizes.append(n)
+        n = np.concatenate(sizes).astype(np.int32)
+        start, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
+        order = np.concatenate(order)
+        start[order], length[order] = len(self.ids) + np.cumsum(n, dtype=np.int64) - n, n
+        self.ids = np.concatenate([self.ids, *ids])
+        self.start, self.length = np.append(self.start, start), np.append(self.length, length)
+        self.uses = np.append(self.uses, np.zeros(len(words), np.int64))
+        self.known = pa.concat_arrays([self.known, new])
+
+    def _other_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), self.dtype), np.array([len(x) for x in found], np.int64)
+
+    def _plain_ids(self, chunks: list[str], ascii_: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, all of ASCII letters or all with others, and how many each has."""
         if self.apart:
-            text = " ".join(words).lower()
-        else:
-            text = _BLANK + "".join(words).replace(" ", " " + _BLANK)[2:]
-        if not words[0].isascii():
-            text = " ".join(["".join([_BYTE[b] for b in w.encode()]) for w in text.replace(_BLANK, "").split(" ")])
-            text = text if self.apart else _BLANK + text.replace(" ", " " + _BLANK)
+            chunks = [w.strip(" \n").lower() for w in chunks]
+        if not ascii_:
+            chunks = ["".join([_BYTE[b] for b in w.encode()]) for w in chunks]
+        text = " | ".join([w.replace(" ", _BLANK) for w in chunks])
         (found,) = self.plain.encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(found.ids, self.dtype)
-        edges = np.flatnonzero(self.edge[ids])
-        cuts = edges + 1 if self.apart else np.append(edges[1:], len(ids))
-        if len(cuts) != len(words):
+        ends = np.append(np.flatnonzero(ids == self.bar), len(ids))
+        if len(ends) != len(chunks):
             raise ValueError("the vocabulary marks words in another way")
-        return ids, np.diff(cuts, prepend=0)
-
-    @staticmethod
-    def _parts(w: str) -> list[str] | None:
-        if "\n" in w:
-            parts, out = w.split("\n"), []
-            if "" in parts or any(x[0].isspace() or x[-1].isspace() for x in parts[1:]) or parts[0][-1].isspace():
-                return None
-            for i, x in enumerate(parts):
-                out += (["\n"] if i else []) + (Encoder._parts(x) or [x])
-            return out
-        base = w.rstrip(_TAIL)
-        if base and base != w and base[-1].isalpha() and base[-1] <= "ÿ":
-            return [base, w[len(base) :]]
-        return None
+        return ids[ids != self.bar], np.diff(ends, prepend=-1) - 1
 
 
 def encoder(path: str, chunks: str) -> Encoder:
