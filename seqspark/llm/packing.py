@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.llm.shared import table, written
-from seqspark.llm.tokens import encoder
+from seqspark.llm.tokens import encoder, slices
 
 SEQUENCE = 1024
 WINDOW = 64
@@ -163,9 +163,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end
         enc = encoder(vocabulary, chunks)
         end, shard, before = np.array([end_id], enc.dtype).tobytes(), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                data = [x + end for x in enc.encode_all(part.column(2).to_pylist())]
+            for part in slices(batch, 2):
+                data = [x + end for x in enc.encode_all(part.column(2))]
                 sizes, starts = [len(x) // enc.dtype.itemsize for x in data], []
                 for s, n in zip(part.column(1).to_pylist(), sizes):
                     starts.append(before.get(s, 0))
