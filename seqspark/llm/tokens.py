@@ -84,12 +84,12 @@ CHUNKS = {"apart": words_apart, "spaced": words_with_space}
 _ADDED = "<|"
 
 
-def slices(batch: pa.RecordBatch, column: int):
-    """The batch in runs of rows whose texts have SLICE_BYTES together, or one row."""
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES):
+    """The batch in runs of rows whose texts have ``size`` bytes together, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(sizes, dtype=np.int64), 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, to - at)
         at = to
 

@@ -1,14 +1,17 @@
 """Inverse and brute-force tests of disguises, trees, pieces, schedules and residual near-duplicates."""
 
+import heapq
 import math
 import random
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from seqspark.llm import gbt, langid, near_dup, packing, pii
 
@@ -207,6 +210,86 @@ def test_windows_never_drift_from_their_targets():
                 assert abs(taken[w] - want).max() <= 2
 
 
+def served_in_turn(sizes, weights):
+    """The queue of each token of the stream, token by token: the queue that is due first gives the next one."""
+    given, due = [0] * len(sizes), [(0.5 / w, q) for q, w in enumerate(weights) if sizes[q]]
+    heapq.heapify(due)
+    while due:
+        _, q = heapq.heappop(due)
+        yield q
+        given[q] += 1
+        if given[q] < sizes[q]:
+            heapq.heappush(due, ((given[q] + 0.5) / weights[q], q))
+
+
+@pytest.mark.parametrize("window", [7, 100, 5000])
+def test_windows_of_few_and_many_queues_are_those_of_a_plain_round_robin(window):
+    r = np.random.default_rng(window)
+    for k, shares in ((3, [5, 1, 0.01]), (40, r.integers(1, 4, 40)), (300, 10.0 ** r.integers(-4, 4, 300))):
+        sizes, shares = r.integers(0, 120, k), np.array(shares, float)
+        s = packing.Schedule(sizes, shares, window=window, period=5)
+        want = [Counter() for _ in range(-(-int(sizes.sum()) // window))]
+        for i, q in enumerate(served_in_turn(sizes.tolist(), shares.tolist())):
+            want[i // window][q] += 1
+        got, places = [Counter() for _ in want], []
+        for q in range(k):
+            for a, n in ((0, min(5, int(sizes[q]))), (min(5, int(sizes[q])), max(int(sizes[q]) - 5, 0))):  # two documents
+                for _, length, place in s.pieces(q, a, n):
+                    got[place // window][q] += length
+                    places += range(place, place + length)
+        assert got == want and sorted(places) == list(range(int(sizes.sum())))
+
+
+@pytest.fixture(scope="module")
+def many_sources(spark, tmp_path_factory):
+    """A folder of documents of 704 sources, without a name or with an empty one too; and the tokens of each source."""
+    r = random.Random(4)
+    names = [f"s{i:03}" for i in range(702)] + ["", None]
+    docs = [(k, " ".join(f"w{r.randrange(50)}" for _ in range(r.choice((3, 40, 40, 150)))), names[k % 704 if k < 1100 else r.randrange(5)]) for k in range(1600)]
+    folder = str(tmp_path_factory.mktemp("sources"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    t, size = Tokenizer.from_file(P.path("byte_bpe_50k.json")), Counter()
+    ids = {k: [*t.encode(text, add_special_tokens=False).ids, 0] for k, text, _ in docs}
+    for k, _, s in docs:
+        size[s or ""] += len(ids[k])
+    return folder, ids, size
+
+
+def windows_by_hand(size, weights):
+    order = sorted(size, key=lambda s: (-weights[s], -size[s], s))
+    out = Counter()
+    for i, q in enumerate(served_in_turn([size[s] for s in order], [weights[s] for s in order])):
+        out[i // (packing.WINDOW * packing.SEQUENCE), order[q]] += 1
+    return out
+
+
+def test_every_source_has_its_share_of_every_window(spark, many_sources):
+    """More sources than have places by arithmetic: all count by their weights, none is put off."""
+    folder, _, size = many_sources
+    weights = {s: 3.0 if i % 3 == 2 else 1.0 for i, s in enumerate(sorted(size))}
+    want = windows_by_hand(size, weights)
+    assert len(size) == 703 and max(w for w, _ in want) >= 2
+    assert {(r["window"], r["source"]): r["n_tokens"] for r in packing.packing_mixture(spark, folder).collect()} == want
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_windows_do_not_depend_on_how_many_queues_come_first(spark, many_sources, weighted):
+    folder, ids, size = many_sources
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    weights = {s: float(i % 4) for i, s in enumerate(sorted(size)) if i % 5} if weighted else None  # a third without a weight, or with 0
+    mine = {s: weights.get(s) or 1e-9 for s in size} if weighted else size
+    want = windows_by_hand(size, mine)
+    for most in (0, 3, 256, 1000):
+        got = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), weights=weights, max_queues=most).toPandas().sort_values(["sequence_id", "offset"])
+        n = got.groupby([got.sequence_id // packing.WINDOW, "source"]).length.sum()
+        assert n.to_dict() == want
+        at = got.sequence_id * packing.SEQUENCE + got.offset
+        assert (at == got.length.cumsum() - got.length).all() and got.length.sum() == sum(size.values())
+        for r in got.itertuples():
+            part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+            assert list(r.token_ids) == part.tolist() and r.ids_crc32 == zlib.crc32(part.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+
+
 def _near_group(n, length, most, seed):
     r = random.Random(seed)
     base = [f"b{r.randrange(10**6)}" for _ in range(length)]
