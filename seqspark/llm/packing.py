@@ -30,6 +30,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,9 @@ from seqspark.operators.ranks import numbered
 SEQUENCE = 1024
 WINDOW = 64
 PERIOD = 64
+SPAN = 8
 STRETCH_BYTES = 1 << 19
+HELD_BYTES = 32 << 20
 
 
 def least_weight(last: float | None) -> float:
@@ -102,7 +105,10 @@ def in_order(due: np.ndarray, queue: np.ndarray) -> np.ndarray:
 
 
 class Schedule:
-    """Where each token of each queue goes. Built from the sizes and weights of the queues that are served in turn, and the borders of windows, if there are others."""
+    """Where each token of each queue goes. Built from the sizes and weights of the queues that are served in turn, and the borders of windows, if there are others.
+
+    ``period`` windows are worked out at a time.
+    """
 
     def __init__(self, sizes, shares, window: int = WINDOW * SEQUENCE, period: int = PERIOD, found: tuple[np.ndarray, np.ndarray] | None = None):
         self.sizes, self.weights, self.window, self.period = np.array(sizes, np.int64), np.array(shares, float), window, period
@@ -218,6 +224,21 @@ def pieces_of(rows: list[pa.Array], row, start, length, place, tokens: np.ndarra
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def by_span(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(span, stretches): for each SPAN windows, their rows as one Arrow stream, since single rows of a few tokens cost far more to sort and to send."""
+    t = pa.Table.from_batches(held)
+    span = t["window"].to_numpy() // SPAN
+    order = np.argsort(span, kind="stable")
+    t, span = t.take(order).combine_chunks(), span[order]
+    edges, out = np.flatnonzero(np.append(True, span[1:] != span[:-1])), []
+    for begin, end in zip(edges, np.append(edges[1:], len(span))):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            to.write_table(t.slice(begin, end - begin))
+        out.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(span[edges]), pa.array(out, pa.binary())], names=["span", "stretches"])
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end_id: int = 0, weights: dict[str, float] | DataFrame | None = None, max_queues: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = True) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, and ``token_ids`` if asked for.
 
@@ -245,7 +266,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end
     totals = runs.groupBy("source").agg(F.sum("n").alias("n"))
     if isinstance(weights, DataFrame) or weights:
         given = weights if isinstance(weights, DataFrame) else spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
-        totals = totals.join(given, "source", "left")
+        totals = totals.join(given.select("source", F.nanvl(F.col("weight").cast("double"), F.lit(0.0)).alias("weight")), "source", "left")
         last = totals.where("weight > 0").agg(F.max(F.col("n") / F.col("weight"))).head()[0]
         totals = totals.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(least_weight(last))))
     else:
@@ -275,18 +296,28 @@ def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end
             yield pieces_of([col["id"], col["n"], col["source"]], row, start, length, schedule.value.places(queue, weight, at, window), tokens, names)
 
     def others(batches):
+        held, size = [], 0
         for col, row, at, start, length, window, queue, weight, tokens in stretches(batches):
             ends = np.append(0, np.cumsum(length)) * width.itemsize
-            ids = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(tokens)]).cast(pa.binary())
+            data = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(tokens)])
             doc = [col[c].take(pa.array(row)) for c in ("id", "n", "source")]
-            yield pa.RecordBatch.from_arrays([*doc, *map(pa.array, (window, (at + length - 0.5) / weight, queue, at, start)), ids], names=["id", "n", "source", "window", "due", "queue", "at", "start", "ids"])
+            held.append(pa.RecordBatch.from_arrays([*doc, *map(pa.array, (window, (at + length - 0.5) / weight, queue, start)), data], names=["id", "n", "source", "window", "due", "queue", "start", "ids"]))
+            size += held[-1].nbytes
+            if size > HELD_BYTES:
+                yield by_span(held)
+                held, size = [], 0
+        if held:
+            yield by_span(held)
 
     def after_those(batches):
-        last, used = -1, 0
-        for batch in batches:
-            for part in slices(batch, 8, STRETCH_BYTES):
-                window, start = part.column(3).to_numpy(), part.column(7).to_numpy()
-                tokens, length = tokens_of(part.column(8), width)
+        spans = ((span, data.as_buffer()) for batch in batches for span, data in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for _, some in groupby(spans, lambda x: x[0]):
+            t = pa.concat_tables([pa.ipc.open_stream(data).read_all() for _, data in some])
+            t = t.take(np.lexsort([t[c].to_numpy() for c in ("queue", "due", "window")]))
+            last, used = -1, 0
+            for part in (x for batch in t.combine_chunks().to_batches() for x in slices(batch, 7, STRETCH_BYTES)):
+                window, start = part.column(3).to_numpy(), part.column(6).to_numpy()
+                tokens, length = tokens_of(part.column(7), width)
                 begins = np.append(window[0] != last, window[1:] != window[:-1])
                 done = np.cumsum(length) - length
                 done -= np.maximum.accumulate(np.where(begins, done, -used))
@@ -298,8 +329,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, chunks: str = "spaced", end
     packed = joined.where(F.col("queue") < max_queues).mapInArrow(in_turn, out)
     if classes[2].sum() <= max_queues:
         return packed
-    cut = joined.where(F.col("queue") >= max_queues).mapInArrow(others, f"id {kind}, n long, source string, window long, due double, queue long, at long, start long, ids binary")
-    return packed.unionByName(cut.repartition("window").sortWithinPartitions("window", "due", "queue", "at").mapInArrow(after_those, out))
+    cut = joined.where(F.col("queue") >= max_queues).mapInArrow(others, "span long, stretches binary")
+    return packed.unionByName(cut.repartition("span").sortWithinPartitions("span").mapInArrow(after_those, out))
 
 
 def op4_mixture_packing(spark, sf_dir: str) -> DataFrame:
